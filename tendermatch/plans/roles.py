@@ -28,7 +28,7 @@ NOTICE_NUMERIC = {
 NOTICE_CATEGORICAL = {
     "o_orderstatus": {"encoding_method": "label"},
     "o_orderpriority": {"encoding_method": "label"},
-    "o_clerk_bucket": {"encoding_method": "label", "rare_threshold": 0.01},
+    "o_clerk_bucket": {"encoding_method": "label", "rare_threshold": 0.0065},
 }
 COMPANY_NUMERIC = {
     "s_acctbal": {"fill": "median", "log1p": False, "scale": "none", "add_flag": True, "clip_abs": [0.0, 1000000.0]},
