@@ -32,4 +32,4 @@ def load_all() -> None:
         importlib.import_module(f"tendermatch.plans.{mod}")
 
 
-MODULES = ["numeric_queries", "categorical_queries", "lookup_queries", "pair_queries", "matching_queries", "text_queries", "store_queries", "table_queries"]
+MODULES = ["numeric_queries", "categorical_queries", "lookup_queries", "pair_queries", "matching_queries", "text_queries", "store_queries", "table_queries", "stream_queries"]

@@ -44,7 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def notice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    return notice_from_orders(table(spark, sf_dir, "orders"))
+
+
+def notice_from_orders(o: DataFrame) -> DataFrame:
+    """The notice view of an orders frame (batch or stream: stateless)."""
     k = F.col("o_orderkey")
     return o.select(
         k.cast("string").alias("notice_no"),
