@@ -4,9 +4,10 @@ Fit: all configured columns are unpivoted into ``(column, label)`` and counted
 with one ``groupBy`` (map-side combined, so a label holding a third of the rows
 is one partial count per task). Rare labels (relative frequency strictly
 below ``rare_threshold``, denominator = all rows) collapse into ``[RARE]``;
-missing values are the ``[NULL]`` label. The vocabulary is numbered in code
-point order with the distributed running index (no single-task window) and
-``[UNKNOWN]`` is appended last.
+missing values are the ``[NULL]`` label. The vocabulary (distinct labels, not
+rows) is numbered in code point order -- a window per column when the label
+count is checked to be bounded, the distributed running index otherwise --
+and ``[UNKNOWN]`` is appended last.
 
 Transform: one left join per column against that column's lookup table.
 Vocabulary sizes are known from the fit, so the broadcast decision needs no
@@ -59,59 +60,74 @@ def label_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.groupBy("column", "label").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+# Vocabularies up to this size are numbered with a window per column (one task
+# per column, bounded by this check); larger ones with the distributed index.
+MAX_WINDOW_LABELS = 1_000_000
+
+
 def categorical_fit(df: DataFrame, config: dict, pk: list | None = None, rare_as_unknown: bool = False
                     ) -> CategoricalModel:
     cols = [c for c in df.columns if c in config and c not in (pk or [])]
     spark = df.sparkSession
-    counts = label_counts(df, cols)
-    totals = counts.groupBy("column").agg(F.sum("cnt").alias("total"))   # one row per column
-    thr_rows = [(c, float(config[c].get("rare_threshold", 0.0) or 0.0)) for c in cols]
-    thr = spark.createDataFrame(thr_rows, "column string, thr double")
-    freq = (counts.join(F.broadcast(totals), "column").join(F.broadcast(thr), "column")
-            .withColumn("freq", F.col("cnt") / F.col("total"))
-            .withColumn("is_rare", (F.col("thr") > 0) & (F.col("freq") < F.col("thr")))
+    counts = materialize(label_counts(df, cols))
+    thr = {c: float(config[c].get("rare_threshold", 0.0) or 0.0) for c in cols}
+    thr_map = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(thr[c]))])
+
+    # one small job: per column totals and label statistics
+    tot = {r["column"]: int(r["total"]) for r in counts.groupBy("column").agg(F.sum("cnt").alias("total")).collect()}
+    tot_map = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(tot.get(c, 0)).cast("long"))])
+    freq = (counts.withColumn("freq", F.col("cnt") / tot_map[F.col("column")])
+            .withColumn("is_rare", (thr_map[F.col("column")] > 0) & (F.col("freq") < thr_map[F.col("column")]))
             .withColumn("mapped", F.when(F.col("is_rare"), F.lit(RARE_TOKEN)).otherwise(F.col("label"))))
-    freq = materialize(freq)
+    stats = {r["column"]: r for r in freq.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n_raw"),
+        F.sum(F.col("is_rare").cast("long")).alias("n_rare"),
+        F.max(((F.col("mapped") == UNKNOWN_TOKEN)).cast("int")).alias("has_unknown"),
+        F.max(((F.col("mapped") == NULL_TOKEN)).cast("int")).alias("has_null"),
+        F.max(((F.col("mapped") == RARE_TOKEN) & ~F.col("is_rare")).cast("int")).alias("raw_rare_label")).collect()}
+    n_mapped = {}
+    for c in cols:
+        st = stats.get(c)
+        if st is None:
+            n_mapped[c] = 0
+            continue
+        n_rare = int(st["n_rare"])
+        # rare labels collapse into one [RARE] label (unless a literal "[RARE]" label already exists)
+        n_mapped[c] = int(st["n_raw"]) - n_rare + (1 if n_rare > 0 and not st["raw_rare_label"] else 0)
+
     labels = freq.groupBy("column", F.col("mapped").alias("label")).agg(F.sum("cnt").alias("cnt"))
-    indexed = materialize(with_row_index(labels, ["label"], group_by=["column"], name="idx"))
-    stats = {r["column"]: r for r in indexed.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max((F.col("label") == UNKNOWN_TOKEN).cast("int")).alias("has_unknown"),
-        F.max((F.col("label") == RARE_TOKEN).cast("int")).alias("has_rare"),
-        F.max((F.col("label") == NULL_TOKEN).cast("int")).alias("has_null")).collect()}
-    unk_rows = [(c, UNKNOWN_TOKEN, int(stats[c]["n"]) if c in stats else 0, 0) for c in cols
-                if not (c in stats and stats[c]["has_unknown"])]
+    if max(n_mapped.values(), default=0) <= MAX_WINDOW_LABELS:
+        from pyspark.sql import Window
+        indexed = labels.withColumn("idx", F.row_number().over(Window.partitionBy("column").orderBy("label")) - 1)
+    else:
+        indexed = with_row_index(labels, ["label"], group_by=["column"], name="idx")
+    indexed = materialize(indexed.select("column", "label", F.col("idx").cast("long"), F.col("cnt").cast("long")))
+
+    unk_rows = [(c, UNKNOWN_TOKEN, n_mapped[c], 0) for c in cols if not (c in stats and stats[c]["has_unknown"])]
     unk = spark.createDataFrame(unk_rows, "column string, label string, idx long, cnt long")
     kind = (F.when(F.col("label") == UNKNOWN_TOKEN, "unknown").when(F.col("label") == RARE_TOKEN, "rare")
             .when(F.col("label") == NULL_TOKEN, "null").otherwise("label"))
-    vocab = (indexed.select("column", "label", F.col("idx").cast("long"), F.col("cnt").cast("long"))
-             .unionByName(unk).withColumn("kind", kind))
-    vocab = materialize(vocab)
+    vocab = indexed.unionByName(unk).withColumn("kind", kind)
     # raw label -> index; rare raw labels point at [RARE] unless reproducing the
     # original behaviour, where they fall through to [UNKNOWN].
     raw = freq.where(~F.col("is_rare")) if rare_as_unknown else freq
     lookup = (raw.select("column", "label", "mapped")
               .join(indexed.select("column", F.col("label").alias("mapped"), "idx"), ["column", "mapped"])
-              .select("column", "label", F.col("idx").cast("long")))
+              .select("column", "label", "idx"))
     if rare_as_unknown:
-        lookup = lookup.unionByName(indexed.where(F.col("label") == RARE_TOKEN).select("column", "label",
-                                                                                       F.col("idx").cast("long")))
+        lookup = lookup.unionByName(indexed.where(F.col("label") == RARE_TOKEN).select("column", "label", "idx"))
     lookup = materialize(lookup)
-    raw_counts = {r["column"]: int(r["n"]) for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     info = {}
     for c in cols:
-        n = int(stats[c]["n"]) if c in stats else 0
         has_unk = bool(c in stats and stats[c]["has_unknown"])
-        info[c] = {"vocab_size": n if has_unk else n + 1,
-                   "unknown_idx": None,
-                   "lookup_rows": raw_counts.get(c, 0) + 1,
-                   "has_rare": bool(c in stats and stats[c]["has_rare"]),
+        info[c] = {"vocab_size": n_mapped[c] if has_unk else n_mapped[c] + 1,
+                   "unknown_idx": None if has_unk else n_mapped[c],
+                   "lookup_rows": (int(stats[c]["n_raw"]) if c in stats else 0) + 1,
+                   "has_rare": bool(c in stats and int(stats[c]["n_rare"]) > 0),
                    "has_null": bool(c in stats and stats[c]["has_null"])}
-        if not has_unk:
-            info[c]["unknown_idx"] = n
     if any(v["unknown_idx"] is None for v in info.values()):
         # a literal "[UNKNOWN]" label was seen: its sorted position is the unknown index
-        for r in vocab.where(F.col("label") == UNKNOWN_TOKEN).collect():
+        for r in indexed.where(F.col("label") == UNKNOWN_TOKEN).collect():
             info[r["column"]]["unknown_idx"] = int(r["idx"])
     return CategoricalModel(config={c: config[c] for c in cols}, vocab=vocab, lookup=lookup, info=info,
                             pk=list(pk or []))

@@ -8,9 +8,12 @@ Config per column (same keys as the reference's JSON configs):
 Fit runs as a handful of jobs that each cover *all* configured columns:
 
 1. one scan builds a value histogram ``(column, value, cnt)`` by unpivot +
-   ``groupBy`` (map-side combined; a hot value is one row, not a hot task);
-2. fill values: exact median via range-partitioned running counts over the
-   histogram, mode via ``max_by`` (lowest value on ties);
+   ``groupBy`` (map-side combined; a hot value is one row, not a hot task),
+   and one small aggregate reads its shape (distinct values per column);
+2. fill values: exact median -- Spark's ``percentile`` with the count as
+   frequency for columns whose distinct count is checked to be bounded, the
+   range-partitioned running count otherwise -- and mode via ``max_by``
+   (lowest value on ties);
 3. percentile clip bounds over the *filled* distribution (the histogram with
    the null count moved onto the fill value);
 4. the log offset from the clipped minimum (histogram aggregate);
@@ -81,20 +84,52 @@ def _map_expr(values: dict) -> Column:
     return F.create_map(*items) if items else F.create_map().cast("map<string,double>")
 
 
+# Columns with at most this many distinct values are summarised by one
+# aggregate per column (Spark's exact ``percentile`` with a frequency argument
+# keeps a value->count map of the column in one task); wider columns use the
+# range-partitioned running count of ``ranking.exact_quantiles``.
+MAX_SINGLE_TASK_DISTINCT = 1_000_000
+
+
+def _quantiles(hist: DataFrame, requests: list[tuple[str, float]], distinct: dict[str, int]
+               ) -> dict[tuple[str, float], float | None]:
+    """Exact quantiles of the histogram (non-null values), one job for all narrow columns."""
+    out: dict[tuple[str, float], float | None] = {}
+    narrow = [(c, p) for c, p in requests if distinct.get(c, 0) <= MAX_SINGLE_TASK_DISTINCT]
+    wide = [(c, p) for c, p in requests if distinct.get(c, 0) > MAX_SINGLE_TASK_DISTINCT]
+    if narrow:
+        cols = sorted({c for c, _ in narrow})
+        ps = sorted({p for _, p in narrow})
+        rows = (hist.where(F.col("value").isNotNull() & F.col("column").isin(cols)).groupBy("column")
+                .agg(F.percentile(F.col("value"), F.array(*[F.lit(p) for p in ps]), F.col("cnt")).alias("q"))
+                .collect())
+        got = {r["column"]: dict(zip(ps, r["q"])) for r in rows}
+        for c, p in narrow:
+            out[(c, p)] = got.get(c, {}).get(p)
+    if wide:
+        out.update(exact_quantiles(hist, wide))
+    return out
+
+
 def numeric_fit(df: DataFrame, config: dict, pk: list | None = None) -> NumericModel:
     cols = [c for c in df.columns if c in config]
     model = NumericModel(config={c: config[c] for c in cols}, pk=list(pk or []))
     if not cols:
         return model
-    spark = df.sparkSession
     hist = materialize(value_histogram(df, cols))
 
-    # (2) fill values
+    # (1) per-column shape of the histogram: distinct values, nulls, extremes
+    shape = {r["column"]: r for r in hist.groupBy("column").agg(
+        F.count(F.col("value")).alias("n_distinct"),
+        F.sum(F.when(F.col("value").isNull(), F.col("cnt")).otherwise(0)).alias("n_null")).collect()}
+    distinct = {c: int(shape[c]["n_distinct"]) if c in shape else 0 for c in cols}
+
+    # (2) fill values: exact median, mode (most frequent, lowest on ties) or constant
     kinds = {c: _fill_kind(config[c]) for c in cols}
     fills: dict[str, float | None] = {c: k for c, k in kinds.items() if isinstance(k, float)}
     med_cols = [c for c, k in kinds.items() if k == "median"]
     if med_cols:
-        q = exact_quantiles(hist, [(c, 0.5) for c in med_cols])
+        q = _quantiles(hist, [(c, 0.5) for c in med_cols], distinct)
         fills.update({c: q[(c, 0.5)] for c in med_cols})
     mode_cols = [c for c, k in kinds.items() if k == "mode"]
     if mode_cols:
@@ -105,10 +140,8 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None) -> NumericM
         got = {r["column"]: r["mode"] for r in modes}
         fills.update({c: (got[c] if got.get(c) is not None else 0.0) for c in mode_cols})
 
-    # (3) filled histogram: nulls take the fill value
-    filled = (hist.withColumn("value", F.coalesce(F.col("value"), _map_expr(fills)[F.col("column")]))
-              .groupBy("column", "value").agg(F.sum("cnt").alias("cnt")))
-    filled = materialize(filled)
+    # (3) the filled distribution: the null count moves onto the fill value
+    filled = hist.withColumn("value", F.coalesce(F.col("value"), _map_expr(fills)[F.col("column")]))
     bounds: dict[str, tuple[float | None, float | None]] = {}
     pct_req = []
     for c in cols:
@@ -119,7 +152,8 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None) -> NumericM
         elif "clip_abs" in cfg:
             bounds[c] = (float(cfg["clip_abs"][0]), float(cfg["clip_abs"][1]))
     if pct_req:
-        q = exact_quantiles(filled, pct_req)
+        filled_distinct = {c: distinct[c] + 1 for c in cols}
+        q = _quantiles(filled, pct_req, filled_distinct)
         for c in cols:
             if "clip" in config[c]:
                 lo, hi = config[c]["clip"]
@@ -133,7 +167,7 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None) -> NumericM
             return out_of_range_to_null(v, lo, hi)
         return clip(v, lo, hi)
 
-    # (4) log offsets from the clipped minimum
+    # (4) log offsets from the minimum of the clipped (or in-range) values
     offsets: dict[str, float] = {}
     log_cols = [c for c in cols if config[c].get("log1p", False)]
     if log_cols:
@@ -178,7 +212,6 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None) -> NumericM
                 hi = lo + 1.0
             s["min"], s["max"] = lo, hi
         model.stats[c] = s
-    filled.unpersist()
     hist.unpersist()
     return model
 

@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FEATURE_TYPE = "struct<kind:string,ints:array<bigint>,floats:array<double>,bytes:string>"
-_NULL_FEATURE = F.lit(None).cast(FEATURE_TYPE)
+
+
+def _null_feature() -> Column:
+    return F.lit(None).cast(FEATURE_TYPE)
 
 
 def _feature(kind: str | Column, ints=None, floats=None, text=None) -> Column:
@@ -33,13 +36,17 @@ def _feature(kind: str | Column, ints=None, floats=None, text=None) -> Column:
 def _list_feature(nums: Column, raw_text: Column) -> Column:
     """Feature of a parsed numeric list (or NULL when it is not an all-numeric list)."""
     integral = F.forall(nums, lambda x: x == F.floor(x))
-    return (F.when(F.size(nums) == 0, _NULL_FEATURE)
+    return (F.when(F.size(nums) == 0, _null_feature())
             .when(integral, _feature("int64", ints=F.transform(nums, lambda x: x.cast("long"))))
             .otherwise(_feature("float", floats=nums)))
 
 
+def _nums_col(col: str) -> str:
+    return f"_tm_{col}_nums"
+
+
 def typed_value(col: str, dtype: T.DataType) -> Column:
-    """V14 for one column."""
+    """V14 for one column (string columns need ``parse_lists`` first)."""
     c = F.col(col)
     if isinstance(dtype, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return F.when(c.isNotNull(), _feature("int64", ints=F.array(c.cast("long"))))
@@ -57,21 +64,27 @@ def typed_value(col: str, dtype: T.DataType) -> Column:
                 F.size(c) > 0, _feature("bytes", text=F.to_json(c)))
         return F.when(F.size(c) > 0, _feature("bytes", text=F.to_json(c)))
     if isinstance(dtype, T.StringType):
-        s = F.trim(c)
-        looks = s.startswith("[") & s.endswith("]")
-        nums = F.from_json(s, "array<double>")
-        parsed_any = F.from_json(s, "array<string>")
+        nums = F.col(_nums_col(col))
         numeric = nums.isNotNull() & F.forall(nums, lambda x: x.isNotNull())
-        return (F.when(c.isNull(), _NULL_FEATURE)
-                .when(looks & numeric, _list_feature(nums, s))
-                .when(looks & parsed_any.isNotNull() & (F.size(parsed_any) == 0), _NULL_FEATURE)
+        # an empty list parses as an empty numeric list -> omitted
+        return (F.when(c.isNull(), _null_feature())
+                .when(numeric, _list_feature(nums, c))
                 .otherwise(_feature("bytes", text=c)))
     return F.when(c.isNotNull(), _feature("bytes", text=c.cast("string")))
 
 
+def parse_lists(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Parse list-looking strings once per row (only rows that start with '[' and end with ']')."""
+    def parsed(c: str) -> Column:
+        s = F.trim(F.col(c))
+        return F.when(s.startswith("[") & s.endswith("]"), F.from_json(s, "array<double>")).alias(_nums_col(c))
+    return df.select("*", *[parsed(c) for c in cols])
+
+
 def typed_features(df: DataFrame, exclude: tuple = ()) -> DataFrame:
     """One ``features`` map per row (NULL features dropped)."""
     cols = [f for f in df.schema.fields if f.name not in exclude]
+    df = parse_lists(df, [f.name for f in cols if isinstance(f.dataType, T.StringType)])
     m = F.map_from_arrays(F.array(*[F.lit(f.name) for f in cols]),
                           F.array(*[typed_value(f.name, f.dataType) for f in cols]))
     return df.select(*[F.col(c) for c in exclude], F.map_filter(m, lambda k, v: v.isNotNull()).alias("features"))
