@@ -1,0 +1,147 @@
+"""Edge cases of the fit / transform operators against brute-force pandas / NumPy."""
+
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from tendermatch.operators.categorical import RARE_TOKEN, UNKNOWN_TOKEN, categorical_fit, categorical_transform
+from tendermatch.operators import numeric as N
+from tendermatch.operators.numeric import numeric_fit, numeric_transform
+
+
+def reference_numeric(col: pd.Series, cfg: dict) -> tuple[dict, pd.Series]:
+    """Brute-force statement of the numeric semantics (pandas / NumPy)."""
+    st = {}
+    f = cfg.get("fill")
+    raw = pd.to_numeric(col, errors="coerce")
+    if f == "median":
+        st["fill"] = raw.median()
+    elif f == "mode":
+        m = raw.mode()
+        st["fill"] = m.iloc[0] if not m.empty else 0
+    elif isinstance(f, (int, float)):
+        st["fill"] = f
+    else:
+        st["fill"] = 0
+    x = raw.fillna(st["fill"])
+    if "clip" in cfg:
+        st["lo"], st["hi"] = np.percentile(x, cfg["clip"][0]), np.percentile(x, cfg["clip"][1])
+    elif "clip_abs" in cfg:
+        st["lo"], st["hi"] = cfg["clip_abs"]
+    if "lo" in st:
+        if cfg.get("clip_to_null"):
+            x = x.where((x >= st["lo"]) & (x <= st["hi"]))
+        else:
+            x = x.clip(st["lo"], st["hi"])
+    if cfg.get("log1p"):
+        m = x.min()
+        st["off"] = abs(m) + 1 if m <= 0 else 0
+        x = np.log1p(x + st["off"])
+    if cfg.get("scale") == "zscore":
+        st["mean"], st["std"] = x.mean(), x.std()
+        if st["std"] == 0:
+            st["std"] = 1
+    # transform
+    y = raw.fillna(st["fill"])
+    if "lo" in st:
+        if cfg.get("clip_to_null"):
+            y = y.where((y >= st["lo"]) & (y <= st["hi"])).fillna(st["fill"])
+        else:
+            y = y.clip(st["lo"], st["hi"])
+    if cfg.get("log1p"):
+        y = np.log1p(y + st["off"])
+    if cfg.get("scale") == "zscore":
+        y = (y - st["mean"]) / st["std"]
+    return st, y.astype("float32")
+
+
+CASES = {
+    "median_pct_log_z": {"fill": "median", "clip": [5, 95], "log1p": True, "scale": "zscore", "add_flag": True},
+    "mode_abs_to_null": {"fill": "mode", "clip_abs": [0.0, 50.0], "clip_to_null": True, "add_flag": True},
+    "const_neg_log": {"fill": 0, "log1p": True, "scale": "zscore"},
+    "other_fill_is_zero": {"fill": "mean", "clip_abs": [-5.0, 5.0]},
+}
+
+
+def _values():
+    rng = np.random.default_rng(3)
+    vals = list(rng.normal(10, 30, 60).round(1))
+    vals[3] = None
+    vals[7] = float("nan")          # NaN counts as missing
+    vals[11] = -40.0                 # negative minimum -> log offset
+    vals[12] = 10.0
+    vals[13] = 10.0                  # a repeated value
+    return vals
+
+
+@pytest.mark.parametrize("case", sorted(CASES))
+def test_numeric_matches_pandas(spark, case):
+    cfg = {"x": CASES[case]}
+    vals = _values()
+    pdf = pd.DataFrame({"id": range(len(vals)), "x": vals})
+    df = spark.createDataFrame([(i, None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v))
+                                for i, v in zip(pdf.id, pdf.x)], "id long, x double")
+    model = numeric_fit(df, cfg, ["id"])
+    out = numeric_transform(df, model).orderBy("id").toPandas()
+    st, expect = reference_numeric(pdf.x, cfg["x"])
+    assert model.stats["x"]["fill_value"] == pytest.approx(st["fill"])
+    np.testing.assert_allclose(out.x.to_numpy(dtype=float), expect.to_numpy(dtype=float), rtol=1e-5, atol=1e-5)
+    if cfg["x"].get("add_flag"):
+        assert out.x_is_null.tolist() == [1.0 if v is None or (isinstance(v, float) and math.isnan(v)) else 0.0
+                                          for v in vals]
+
+
+def test_wide_quantile_path_matches(spark, monkeypatch):
+    monkeypatch.setattr(N, "MAX_SINGLE_TASK_DISTINCT", 3)
+    cfg = {"x": CASES["median_pct_log_z"]}
+    vals = _values()
+    df = spark.createDataFrame([(i, None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v))
+                                for i, v in enumerate(vals)], "id long, x double")
+    model = numeric_fit(df, cfg, ["id"])
+    st, _ = reference_numeric(pd.Series(vals, dtype="float64"), cfg["x"])
+    assert model.stats["x"]["fill_value"] == pytest.approx(st["fill"])
+    assert model.stats["x"]["clip_low"] == pytest.approx(st["lo"])
+    assert model.stats["x"]["clip_high"] == pytest.approx(st["hi"])
+
+
+def test_numeric_unparsable_strings_single_row_and_constant(spark):
+    df = spark.createDataFrame([(1, " 7 ", 5.0), (2, "12a", 5.0), (3, None, 5.0)], "id long, s string, c double")
+    model = numeric_fit(df, {"s": {"fill": "median", "add_flag": True}, "c": {"fill": 0, "scale": "zscore"}}, ["id"])
+    out = {r.id: r for r in numeric_transform(df, model).collect()}
+    assert out[1].s == 7.0 and out[2].s == 7.0 and out[3].s == 7.0      # '12a' -> NULL -> median of {7}
+    assert out[2].s_is_null == 0.0 and out[3].s_is_null == 1.0           # flag is taken before coercion
+    assert model.stats["c"]["std"] == 1.0                                  # constant column: std 0 -> 1
+    one = spark.createDataFrame([(1, 3.0)], "id long, x double")
+    m1 = numeric_fit(one, {"x": {"fill": 0, "scale": "zscore"}}, ["id"])
+    assert m1.stats["x"]["std"] is None                                    # n=1: undefined -> NULL output
+    assert numeric_transform(one, m1).collect()[0].x is None
+
+
+def test_mode_ties_take_lowest_and_all_null_column(spark):
+    df = spark.createDataFrame([(1, 3.0, None), (2, 3.0, None), (3, 1.0, None), (4, 1.0, None), (5, 9.0, None)],
+                               "id long, x double, y double")
+    model = numeric_fit(df, {"x": {"fill": "mode"}, "y": {"fill": "mode"}}, ["id"])
+    assert model.stats["x"]["fill_value"] == 1.0
+    assert model.stats["y"]["fill_value"] == 0.0
+
+
+def test_categorical_unknown_null_rare_threshold(spark):
+    rows = [(i, lab) for i, lab in enumerate(["a"] * 5 + ["b"] * 2 + ["c"] * 1 + [None] * 2)]
+    df = spark.createDataFrame(rows, "id long, x string")
+    # 'b' has frequency exactly 0.2: not rare (strictly below); 'c' (0.1) is rare
+    model = categorical_fit(df, {"x": {"rare_threshold": 0.2}}, ["id"])
+    vocab = {r.label: r.idx for r in model.vocab.collect()}
+    assert vocab == {"[NULL]": 0, RARE_TOKEN: 1, "a": 2, "b": 3, UNKNOWN_TOKEN: 4}
+    new = spark.createDataFrame([(100, "zzz"), (101, "c"), (102, None), (103, "b")], "id long, x string")
+    out = {r.id: r for r in categorical_transform(new, model).collect()}
+    assert out[100].x == 4                    # seen only at transform -> [UNKNOWN]
+    assert out[101].x == 1                    # rare at fit -> [RARE]
+    assert out[102].x == 0 and out[102].x_is_null == 1.0
+    assert out[103].x == 3
+    q2 = categorical_fit(df, {"x": {"rare_threshold": 0.2}}, ["id"], rare_as_unknown=True)
+    out2 = {r.id: r.x for r in categorical_transform(new, q2).collect()}
+    assert out2[101] == 4                     # original behaviour: rare labels fall to [UNKNOWN]
+    spec = {r.column: r for r in model.spec().collect()}
+    assert spec["x"].input_dim == 5 and spec["x"].has_rare_token and spec["x"].has_null_token
