@@ -147,3 +147,52 @@ def page_scan_q(spark, sf_dir):
     pg = L.page(pairs, ["id"], 1000, 500).select(F.lit("page").alias("kind"), "*")
     nth = L.page(pairs, ["id"], 2500, 1).select(F.lit("nth").alias("kind"), "*")
     return pg.unionByName(nth).select("kind", F.col("id").cast("long"), "notice_no", "bizno")
+
+
+@query("select_except", oracle=with_(NOTICE_CTE) + f"""
+SELECT notice_no, notice_ord, {r6('o_totalprice')} AS o_totalprice, o_custkey, o_orderstatus, o_orderpriority
+FROM notice""")
+def select_except_q(spark, sf_dir):
+    out = L.select_except(roles.notice(spark, sf_dir), ["registered_at", "o_clerk_bucket"])
+    return out.withColumn("o_totalprice", round6("o_totalprice"))
+
+
+@query("pk_and_text", oracle="""
+SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM documents""")
+def pk_and_text_q(spark, sf_dir):
+    out = L.select_pk_and_text(roles.table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return out.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query("id_range", oracle=with_(PAIR_CTE) + """
+SELECT CAST(id AS BIGINT) AS id, notice_no, bizno FROM pair WHERE id BETWEEN 1000 AND 2999""")
+def id_range_q(spark, sf_dir):
+    out = L.id_range(roles.pairs(spark, sf_dir), "id", 1000, 2999)
+    return out.select(F.col("id").cast("long"), "notice_no", "bizno")
+
+
+@query("distinct_company_ids", oracle=with_(BID_CTE, COMPANY_CTE) + """
+SELECT bizno FROM bid WHERE bizno IS NOT NULL UNION SELECT bizno FROM company WHERE bizno IS NOT NULL""")
+def distinct_company_ids_q(spark, sf_dir):
+    a = L.distinct_non_null(roles.bids(spark, sf_dir), "bizno")
+    b = L.distinct_non_null(roles.company(spark, sf_dir), "bizno")
+    return a.union(b).distinct()
+
+
+@query("bag_union", oracle=with_(BID_CTE) + """
+SELECT notice_no, CAST(count(*) AS BIGINT) AS n FROM
+  (SELECT notice_no FROM bid WHERE bid_rate < 0.05 UNION ALL SELECT notice_no FROM bid WHERE bid_rate >= 0.05)
+GROUP BY notice_no""")
+def bag_union_q(spark, sf_dir):
+    bids = roles.bids(spark, sf_dir)
+    low = bids.where(F.col("bid_rate") < 0.05).select("notice_no")
+    high = bids.where(F.col("bid_rate") >= 0.05).select("notice_no")
+    return low.unionByName(high).groupBy("notice_no").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("key_difference", oracle=with_(NOTICE_CTE, BID_CTE) + """
+SELECT notice_no, notice_ord FROM notice EXCEPT SELECT notice_no, notice_ord FROM bid""")
+def key_difference_q(spark, sf_dir):
+    n = roles.notice(spark, sf_dir).select(*roles.NOTICE_PK)
+    b = roles.bids(spark, sf_dir).select(*roles.NOTICE_PK)
+    return n.subtract(b)

@@ -127,3 +127,28 @@ def pair_batches_q(spark, sf_dir):
     b = P.with_batches(roles.pairs(spark, sf_dir), [P.shuffle_key("id", 42), F.col("id")], 256)
     return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.min("id").cast("long").alias("min_id"),
                                      F.max("id").cast("long").alias("max_id"), F.sum("id").cast("long").alias("sum_id"))
+
+
+@query("entity_row_index", oracle=with_(COMPANY_CTE) + """
+SELECT bizno, CAST(row_number() OVER (ORDER BY bizno) - 1 AS BIGINT) AS row_idx FROM company""")
+def entity_row_index_q(spark, sf_dir):
+    from tendermatch.operators.ranking import with_row_index
+    out = with_row_index(roles.company(spark, sf_dir).select("bizno"), ["bizno"], name="row_idx")
+    return out.select("bizno", "row_idx")
+
+
+@query("pair_subset_bundle", oracle=with_(PAIR_CTE) + """
+, sub AS (SELECT * FROM pair ORDER BY id LIMIT 2000),
+sp AS (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '|' || '42'), id) - 1 AS rk FROM sub),
+nt AS (SELECT CAST(ceil(count(*) * 0.2) AS BIGINT) AS n_test FROM sub),
+s2 AS (SELECT id, CASE WHEN rk < n_test THEN 'test' ELSE 'train' END AS split FROM sp, nt),
+b AS (SELECT id, split,
+             row_number() OVER (PARTITION BY split ORDER BY md5(CAST(id AS VARCHAR) || '|' || '42'), id) - 1 AS bi
+      FROM s2)
+SELECT CAST(id AS BIGINT) AS id, split, CAST(bi // 64 AS BIGINT) AS batch_id, CAST(bi % 64 AS INTEGER) AS pos FROM b""")
+def pair_subset_bundle_q(spark, sf_dir):
+    notices = roles.notice(spark, sf_dir).select(*roles.NOTICE_PK, "o_totalprice")
+    comps = roles.company(spark, sf_dir).select("bizno", "s_acctbal")
+    out = P.pair_subset_bundle(roles.pairs(spark, sf_dir), notices, comps, roles.NOTICE_PK, roles.COMPANY_PK,
+                               limit=2000, test_split=0.2, batch_size=64, seed=42)
+    return out.select(F.col("id").cast("long"), "split", "batch_id", "pos")

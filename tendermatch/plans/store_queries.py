@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tendermatch.functions.numeric import round6
 from tendermatch.operators import jagged as J
 from tendermatch.operators.pairs import with_batches
-from tendermatch.operators.scoring import Layer, TowerWeights, embed_categorical, project, seeded_weights, tower_scores
+from tendermatch.operators.scoring import Layer, TowerWeights, embed_categorical, project, tower_scores
 from tendermatch.operators.store import build_store, store_summary
 from tendermatch.plans import roles
 from tendermatch.plans.categorical_queries import VOCAB_CTES
@@ -113,13 +113,11 @@ def tower_scores_q(spark, sf_dir):
     _, fitted = features(spark, sf_dir)
     sizes = [fitted.categorical.info[c]["vocab_size"] for c in CAT]
     rng = np.random.default_rng(11)
-    dense, hidden, final = seeded_weights([4, 8, 6, 4], 5)
     weights = TowerWeights(dense=Layer(rng.normal(0, 0.5, (4, 4)), np.zeros(4)),
                            embeddings=[rng.normal(0, 1, (v, 2)) for v in sizes],
                            mlp=[Layer(rng.normal(0, 0.3, (10, 8)), np.zeros(8), relu=True,
                                       bn=(np.ones(8), np.zeros(8), np.zeros(8), np.ones(8), 1e-5))],
                            final=Layer(rng.normal(0, 0.3, (8, 4)), np.zeros(4)))
-    del dense, hidden, final
     t = tower_scores(s, ["notice_no"], "numeric", "categorical", weights)
     return t.select("notice_no", F.posexplode("embedding").alias("pos", "value")).select(
         "notice_no", F.col("pos").cast("int"), round6("value").alias("value"))
@@ -212,3 +210,112 @@ def jagged_multi_q(spark, sf_dir):
     lens = p.select("batch_id", F.lit("len").alias("part"), F.posexplode("jagged.lengths").alias("p", "value"))
     vals = p.select("batch_id", F.lit("val").alias("part"), F.posexplode("jagged.values").alias("p", "value"))
     return lens.unionByName(vals).select("batch_id", "part", F.col("p").cast("int"), F.col("value").cast("long"))
+
+
+def _company_store(spark, sf_dir):
+    comp = roles.company(spark, sf_dir).select("bizno", *roles.COMPANY_NUMERIC, *roles.COMPANY_CATEGORICAL)
+    fitted = fit_once(comp, ["bizno"], roles.COMPANY_NUMERIC, roles.COMPANY_CATEGORICAL)
+    cf = preprocess(comp, fitted)
+    dense = [*roles.COMPANY_NUMERIC, *[f"{c}_is_null" for c in roles.COMPANY_NUMERIC]]
+    return build_store(cf, ["bizno"], dense, list(roles.COMPANY_CATEGORICAL)), fitted
+
+
+@query("training_batches", oracle=FEATURES_SQL + f""",
+company AS (SELECT CAST(s.s_suppkey AS VARCHAR) AS bizno, s.s_acctbal, n.n_name, r.r_name
+            FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
+                            LEFT JOIN region r ON n.n_regionkey = r.r_regionkey),
+cf AS (SELECT bizno, CAST(CAST(least(greatest(s_acctbal, 0.0), 1000000.0) AS FLOAT) AS DOUBLE) AS acct,
+              dense_rank() OVER (ORDER BY n_name) - 1 AS n_idx, dense_rank() OVER (ORDER BY r_name) - 1 AS r_idx
+       FROM company),
+pair AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_suppkey) - 1 AS id,
+                CAST(l_orderkey AS VARCHAR) AS notice_no, '000' AS notice_ord, CAST(l_suppkey AS VARCHAR) AS bizno
+         FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)),
+j AS (SELECT p.id, f.o_totalprice AS nd0, f.o_orderstatus + f.o_orderpriority + f.o_clerk_bucket AS ncat,
+             c.n_idx + c.r_idx AS ccat, c.acct
+      FROM pair p JOIN feat f USING (notice_no, notice_ord) JOIN cf c USING (bizno)),
+b AS (SELECT *, (row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '|' || '42'), id) - 1) // {BATCH} AS batch_id
+      FROM j)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(count(*) AS INTEGER) AS batch_rows,
+       CAST(count(*) * 3 AS INTEGER) AS n_notice_values, CAST(sum(ncat) AS BIGINT) AS sum_notice_values,
+       CAST(sum(ccat) AS BIGINT) AS sum_company_values, round(sum(nd0), 4) + 0.0 AS sum_notice_dense0,
+       round(sum(acct), 2) + 0.0 AS sum_company_dense0
+FROM b GROUP BY batch_id""")
+def training_batches_q(spark, sf_dir):
+    from tendermatch.operators.pairs import pair_features, shuffle_key
+    nstore = _store(spark, sf_dir).select(*roles.NOTICE_PK, F.col("numeric").alias("notice_dense"),
+                                          F.col("categorical").alias("notice_cat"))
+    cstore, _ = _company_store(spark, sf_dir)
+    cstore = cstore.select("bizno", F.col("numeric").alias("company_dense"), F.col("categorical").alias("company_cat"))
+    joined = pair_features(roles.pairs(spark, sf_dir), nstore, cstore, roles.NOTICE_PK, roles.COMPANY_PK)
+    batched = with_batches(joined, [shuffle_key("id", 42), F.col("id")], BATCH)
+    coll = J.collate(batched, "notice_dense", "notice_cat", "company_dense", "company_cat", CAT,
+                     list(roles.COMPANY_CATEGORICAL))
+    total = lambda a: F.aggregate(a.cast("array<double>"), F.lit(0.0), lambda x, y: x + y)
+    return coll.select(
+        "batch_id", F.col("batch_rows").cast("int"), F.size("notice.kjt.values").cast("int").alias("n_notice_values"),
+        total(F.col("notice.kjt.values")).cast("long").alias("sum_notice_values"),
+        total(F.col("company.kjt.values")).cast("long").alias("sum_company_values"),
+        (F.round(total(F.transform("notice.dense", lambda d: d[0])), 4) + 0.0).alias("sum_notice_dense0"),
+        (F.round(total(F.transform("company.dense", lambda d: d[0])), 2) + 0.0).alias("sum_company_dense0"))
+
+
+@query("store_slice", oracle=FEATURES_SQL + f""",
+company AS (SELECT CAST(s.s_suppkey AS VARCHAR) AS bizno, r.r_name FROM supplier s
+            LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey),
+wanted AS (SELECT DISTINCT CAST(l.l_orderkey AS VARCHAR) AS notice_no, '000' AS notice_ord FROM lineitem l
+           JOIN company c ON c.bizno = CAST(l.l_suppkey AS VARCHAR) WHERE c.r_name = 'ASIA'),
+sl AS (SELECT f.* FROM feat f JOIN wanted USING (notice_no, notice_ord))
+""" + " UNION ALL ".join(f"SELECT notice_no, CAST({i} AS INTEGER) AS pos, {r6(c)} AS value FROM sl"
+                         for i, c in enumerate(DENSE)))
+def store_slice_q(spark, sf_dir):
+    from tendermatch.operators.store import slice_store
+    asia = roles.company(spark, sf_dir).where(F.col("r_name") == "ASIA").select("bizno")
+    ids = roles.pairs(spark, sf_dir).join(asia, "bizno", "left_semi").select(*roles.NOTICE_PK)
+    sl = slice_store(_store(spark, sf_dir), ids, roles.NOTICE_PK)
+    return sl.select("notice_no", F.posexplode("dense").alias("pos", "value")).select(
+        "notice_no", F.col("pos").cast("int"), round6("value").alias("value"))
+
+
+@query("conditional_store", oracle=FEATURES_SQL + f"""
+SELECT notice_no, {r6('o_totalprice')} AS numeric0, CAST(o_orderpriority AS BIGINT) AS cat1 FROM feat
+WHERE o_totalprice > 1.0""")
+def conditional_store_q(spark, sf_dir):
+    f, _ = features(spark, sf_dir)
+    s = build_store(f, roles.NOTICE_PK, DENSE, CAT, where=F.col("o_totalprice") > 1.0)
+    return s.select("notice_no", round6(F.col("numeric")[0]).alias("numeric0"),
+                    F.col("categorical")[1].alias("cat1"))
+
+
+@query("jagged_combine", oracle=FEATURES_SQL + _BATCHED + f"""
+SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(row * {len(CAT)} + k AS INTEGER) AS p, v AS value
+FROM ({_CAT_ROWS})""")
+def jagged_combine_q(spark, sf_dir):
+    b = _batched_store(spark, sf_dir)
+    samples = b.select("batch_id", "pos", F.struct(F.array(*[F.lit(c) for c in CAT]).alias("keys"),
+                                                   F.col("categorical").alias("values"),
+                                                   F.array_repeat(F.lit(1), len(CAT)).alias("lengths")).alias("jagged"))
+    c = J.combine(samples, "batch_id", "pos")
+    return c.select("batch_id", F.posexplode("jagged.values").alias("p", "value")).select(
+        "batch_id", F.col("p").cast("int"), "value")
+
+
+@query("pair_scores")
+def pair_scores_q(spark, sf_dir):
+    """Both towers with seeded weights, pair score = dot product (no SQL twin)."""
+    from tendermatch.operators.scoring import pair_scores
+    nstore = _store(spark, sf_dir)
+    _, nfit = features(spark, sf_dir)
+    cstore, cfit = _company_store(spark, sf_dir)
+    rng = np.random.default_rng(21)
+
+    def tower(dense_dim, sizes):
+        return TowerWeights(dense=Layer(rng.normal(0, 0.5, (dense_dim, 4)), np.zeros(4)),
+                            embeddings=[rng.normal(0, 1, (v, 2)) for v in sizes],
+                            mlp=[Layer(rng.normal(0, 0.3, (4 + 2 * len(sizes), 8)), np.zeros(8), relu=True)],
+                            final=Layer(rng.normal(0, 0.3, (8, 4)), np.zeros(4)))
+    nt = tower(4, [nfit.categorical.info[c]["vocab_size"] for c in CAT])
+    ct = tower(2, [cfit.categorical.info[c]["vocab_size"] for c in roles.COMPANY_CATEGORICAL])
+    ne = tower_scores(nstore, roles.NOTICE_PK, "numeric", "categorical", nt)
+    ce = tower_scores(cstore, ["bizno"], "numeric", "categorical", ct)
+    s = pair_scores(roles.pairs(spark, sf_dir), ne, ce, roles.NOTICE_PK, roles.COMPANY_PK)
+    return s.select(F.col("id").cast("long"), round6("score").alias("score"))

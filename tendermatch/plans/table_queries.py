@@ -167,3 +167,32 @@ def run_log_append_q(spark, sf_dir):
     return S.append_run_log(None, row)
 
 
+
+
+@query("snapshot_many", oracle="""
+SELECT 'orders' AS table_name, CAST(count(*) AS BIGINT) AS n_rows FROM orders
+UNION ALL SELECT 'supplier', CAST(count(*) AS BIGINT) FROM supplier
+UNION ALL SELECT 'nation', CAST(count(*) AS BIGINT) FROM nation""")
+def snapshot_many_q(spark, sf_dir):
+    """Three snapshots as concurrent jobs (per-table error isolation), read back."""
+    from functools import reduce
+    base = S.scratch_path(spark, "multi")
+    jobs = {t: (roles.table(spark, sf_dir, t), f"{base}/{t}") for t in ("orders", "supplier", "nation")}
+    done = S.snapshot_many(spark, jobs, max_workers=3, chunk_size=5000, size_threshold=10_000)
+    parts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+             for t, p in sorted(done.items()) if p is not None]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("run_pipeline", oracle=ORACLES["features_merged"])
+def run_pipeline_q(spark, sf_dir):
+    """Fit once, transform, write once; the written table read back."""
+    from tendermatch.plans.pipeline import run_pipeline
+    from tendermatch.plans.store_queries import CAT, DENSE, NUM
+    notice = roles.notice(spark, sf_dir).select(*roles.NOTICE_PK, *NUM, *CAT)
+    path = S.scratch_path(spark, "notice-preprocessed")
+    run_pipeline(notice, roles.NOTICE_PK, roles.NOTICE_NUMERIC, roles.NOTICE_CATEGORICAL, None,
+                 sink=lambda df, mode: S.write_table(df, path, roles.NOTICE_PK, if_exists="replace"))
+    back = spark.read.parquet(path)
+    return back.select(*roles.NOTICE_PK, *[round6(c).alias(c) for c in DENSE], *[F.col(c).cast("long") for c in CAT],
+                       *[round6(f"{c}_is_null").alias(f"{c}_is_null") for c in CAT])
