@@ -63,9 +63,32 @@ def with_running_total(df: DataFrame, order_by: Sequence[str | Column], weight:
 
 def with_row_index(df: DataFrame, order_by: Sequence[str | Column], group_by: Sequence[str] = (),
                    name: str = "row_idx", num_partitions: int | None = None) -> DataFrame:
-    """0-based row number in global ``order_by`` order (inside ``group_by``)."""
-    out = with_running_total(df, order_by, None, group_by, name="_tm_rt", num_partitions=num_partitions)
-    return out.withColumn(name, (F.col("_tm_rt") - 1).cast("long")).drop("_tm_rt")
+    """0-based row number in global ``order_by`` order (inside ``group_by``).
+
+    One range shuffle: rows are range-partitioned and sorted inside each
+    partition; ``monotonically_increasing_id`` then carries the partition
+    index (upper bits) and the position inside it (lower 33 bits), so no
+    window (and no second shuffle) is needed. Partition sizes (one row per
+    partition and group) give the offsets.
+    """
+    n = num_partitions or _num_partitions(df)
+    group_cols = list(group_by)
+    keys = [*[F.col(g) for g in group_cols], *_as_cols(order_by)]
+    mid = F.monotonically_increasing_id()
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_tm_mid", mid)
+              .withColumn(_PID, F.shiftright("_tm_mid", 33))
+              .withColumn(_RUN, F.col("_tm_mid").bitwiseAND((1 << 33) - 1))
+              .drop("_tm_mid"))
+    local = materialize(ranged)
+    sizes = local.groupBy(_PID, *group_cols).agg(F.min(_RUN).alias("_tm_first"), F.count(F.lit(1)).alias(_TOT))
+    before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(_PID, *group_cols, "_tm_first",
+                           F.coalesce(F.sum(_TOT).over(before), F.lit(0)).alias(_OFF))
+    bound = n if not group_cols else None
+    joined = join_small(local, offsets, on=[_PID, *group_cols], how="inner", known_max_rows=bound)
+    return (joined.withColumn(name, (F.col(_OFF) + F.col(_RUN) - F.col("_tm_first")).cast("long"))
+            .drop(_PID, _RUN, _OFF, "_tm_first"))
 
 
 def exact_quantiles(hist: DataFrame, requests: Sequence[tuple[str, float]], key: str = "column",

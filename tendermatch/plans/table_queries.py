@@ -8,6 +8,7 @@ from tendermatch.functions.numeric import round6
 from tendermatch.operators.numeric import NumericModel, numeric_fit, numeric_transform
 from tendermatch.operators.profile import column_profile, vocab_sizes
 from tendermatch.plans import roles
+from tendermatch.plans import store_queries as _store_queries  # noqa: F401  (registers oracles reused below)
 from tendermatch.plans.numeric_queries import numeric_transform_q  # noqa: F401  (oracle reuse below)
 from tendermatch.plans.registry import ORACLES, query
 from tendermatch.plans.sqlparts import COMPANY_CTE, NOTICE_CTE, r6, with_
@@ -29,6 +30,10 @@ def _events(spark, sf_dir):
         F.lit("[1,2").alias("broken"))
 
 
+def _long(spark, sf_dir):
+    return X.typed_long(_events(spark, sf_dir).withColumn("rec_no", F.col("event_id")), exclude=("rec_no",))
+
+
 def _records(spark, sf_dir):
     return X.typed_features(_events(spark, sf_dir).withColumn("rec_no", F.col("event_id")), exclude=("rec_no",))
 
@@ -51,21 +56,20 @@ UNION ALL SELECT event_id, 'broken', 'bytes', 1, 4 FROM events"""
 SELECT CAST(rec_no AS BIGINT) AS rec_no, feature, kind, CAST(n_values AS INTEGER) AS n_values, {r6('num')} AS num
 FROM ({_TYPED_ROWS})""")
 def typed_features_q(spark, sf_dir):
-    rec = _records(spark, sf_dir)
-    ex = rec.select("rec_no", F.explode("features").alias("feature", "v"))
+    ex = _long(spark, sf_dir)
     total = lambda a: F.aggregate(a.cast("array<double>"), F.lit(0.0), lambda x, y: x + y)
-    num = F.coalesce(total(F.col("v.ints")), total(F.col("v.floats")), F.length(F.col("v.bytes")).cast("double"))
+    num = F.coalesce(total(F.col("ints")), total(F.col("floats")), F.length(F.col("bytes")).cast("double"))
     # size() of a NULL array is -1 in Spark: pick by kind instead
-    n = (F.when(F.col("v.kind") == "int64", F.size("v.ints")).when(F.col("v.kind") == "float", F.size("v.floats"))
+    n = (F.when(F.col("kind") == "int64", F.size("ints")).when(F.col("kind") == "float", F.size("floats"))
          .otherwise(F.lit(1)))
-    return ex.select(F.col("rec_no").cast("long"), "feature", F.col("v.kind").alias("kind"), n.cast("int").alias("n_values"),
+    return ex.select(F.col("rec_no").cast("long"), "feature", "kind", n.cast("int").alias("n_values"),
                      round6(num).alias("num"))
 
 
 @query("typed_schema", oracle=f"""
 SELECT feature, min(kind) AS kind, CAST(count(*) AS BIGINT) AS n_records FROM ({_TYPED_ROWS}) GROUP BY feature""")
 def typed_schema_q(spark, sf_dir):
-    s = X.inspect_schema(_records(spark, sf_dir))
+    s = X.inspect_schema(_long(spark, sf_dir))
     return s.select("feature", "kind", F.col("n_records").cast("long"))
 
 

@@ -19,9 +19,14 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
-    # Broadcast only sides whose size we checked ourselves (see
-    # tendermatch.operators.joins.broadcast_if_small); Spark's own
-    # estimate-based threshold stays at its default.
+    # Broadcasts happen only behind a checked size: explicitly in
+    # tendermatch.operators.joins.join_small (structural bound or a capped
+    # count), or by AQE from the *measured* size of a finished shuffle stage.
+    # The plan-time estimate (file sizes before decompression and filters) is
+    # not used.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.localShuffleReader.enabled": "true",
 }
 
 
