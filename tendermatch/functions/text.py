@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the characters Python's str.strip() treats as white space
-# (pandas .str.strip()), written as a Java / RE2 character class.
-WHITESPACE_CLASS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-                    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+# The characters pandas' .str.strip() removes: every code point for which
+# Python's str.isspace() holds (29 characters, all below U+3001).
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
 def _c(c: str | Column) -> Column:
@@ -23,15 +22,17 @@ def clean_text(c: str | Column, strip: bool = True, lowercase: bool = True, fill
     """V9: to string, NULL -> fillna, strip Unicode white space at both ends, lower-case."""
     x = F.coalesce(_c(c).cast("string"), F.lit(fillna))
     if strip:
-        x = F.regexp_replace(x, f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$", "")
+        x = F.btrim(x, F.lit(WHITESPACE))
     if lowercase:
         x = F.lower(x)
     return x
 
 
 def tokens(c: str | Column) -> Column:
-    """Whole-text white-space tokenisation (no truncation), empty tokens dropped."""
-    return F.filter(F.split(_c(c), f"{WHITESPACE_CLASS}+"), lambda t: F.length(t) > 0)
+    """Whole-text white-space tokenisation (no truncation): every white-space
+    character becomes a space (``translate``), then split on runs of spaces.
+    May yield empty tokens at the ends; ``hashed_pool`` drops them."""
+    return F.split(F.translate(_c(c), WHITESPACE, " " * len(WHITESPACE)), " +")
 
 
 def token_hash(tok: Column) -> Column:
@@ -52,7 +53,8 @@ def hashed_pool(df: DataFrame, keys: list[str], col: str, dim: int = 8, out: str
         raise ValueError("the hashed encoder supports 1..8 dimensions")
     out = out or col
     ex = df.select(*keys, F.explode_outer(tokens(col)).alias("_tm_tok"))
-    h = ex.select(*keys, token_hash(F.col("_tm_tok")).alias("_tm_h"))
+    tok = F.when(F.length("_tm_tok") > 0, F.col("_tm_tok"))
+    h = ex.select(*keys, token_hash(tok).alias("_tm_h"))
     comps = [F.sum((F.shiftright("_tm_h", 4 * (7 - k)).bitwiseAND(15).cast("double") - 7.5) / 7.5).alias(f"_tm_d{k}")
              for k in range(dim)]
     agg = h.groupBy(*keys).agg(*comps, F.count("_tm_h").alias("_tm_n"))

@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from tendermatch.functions import vectors as V
 from tendermatch.functions.numeric import round6
-from tendermatch.functions.text import WHITESPACE_CLASS, clean_text, hashed_pool
+from tendermatch.functions.text import WHITESPACE, clean_text, hashed_pool
 from tendermatch.operators.text import refresh_vectors, text_transform, update_by_key
 from tendermatch.plans import roles
 from tendermatch.plans.registry import query
 
 DIM = 8
-WS = WHITESPACE_CLASS
-CLEAN_SQL = f"lower(regexp_replace(coalesce(text, ''), '^{WS}+|{WS}+$', '', 'g'))"
+WS = WHITESPACE
+CLEAN_SQL = f"lower(trim(coalesce(text, ''), '{WS}'))"
 TOKENS_CTE = f"""d AS (SELECT doc_id, {CLEAN_SQL} AS t FROM documents),
-tk AS (SELECT doc_id, unnest(regexp_split_to_array(t, '{WS}+')) AS tok FROM d),
+tk AS (SELECT doc_id, unnest(regexp_split_to_array(translate(t, '{WS}', '{" " * len(WS)}'), ' +')) AS tok FROM d),
 th AS (SELECT doc_id, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) AS h FROM tk WHERE length(tok) > 0),
 tv AS (SELECT doc_id, k, (CAST((h >> (4 * (7 - k))) & 15 AS DOUBLE) - 7.5) / 7.5 AS v FROM th, range({DIM}) r(k)),
 pool AS (SELECT d.doc_id, r.k AS pos,
