@@ -14,11 +14,12 @@ Fit runs as a handful of jobs that each cover *all* configured columns:
    frequency for columns whose distinct count is checked to be bounded, the
    range-partitioned running count otherwise -- and mode via ``max_by``
    (lowest value on ties);
-3. percentile clip bounds over the *filled* distribution (the histogram with
-   the null count moved onto the fill value);
-4. the log offset from the clipped minimum (histogram aggregate);
-5. one scan of the data for mean / sample std / min / max of the
-   pre-scaling value, using Spark's numerically stable aggregates.
+3. percentile clip bounds and the minimum over the *filled* distribution
+   (the histogram with the null count moved onto the fill value);
+4. the log offset from the clipped minimum (same job as 3 unless the bounds
+   are percentiles *and* out-of-range values become NULL);
+5. mean / sample std / min / max of the pre-scaling value from the filled
+   histogram (counts as weights, sums around a shift to keep precision).
 
 Only per-column scalars travel to the driver. Transform is one ``select``.
 """
@@ -124,40 +125,65 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None) -> NumericM
         F.sum(F.when(F.col("value").isNull(), F.col("cnt")).otherwise(0)).alias("n_null")).collect()}
     distinct = {c: int(shape[c]["n_distinct"]) if c in shape else 0 for c in cols}
 
-    # (2) fill values: exact median, mode (most frequent, lowest on ties) or constant
+    # (2) fill values in one job: exact median (percentile with the count as
+    # frequency; range-partitioned ranks for wide columns) and mode (most
+    # frequent, lowest value on ties); constants need no job
     kinds = {c: _fill_kind(config[c]) for c in cols}
     fills: dict[str, float | None] = {c: k for c, k in kinds.items() if isinstance(k, float)}
     med_cols = [c for c, k in kinds.items() if k == "median"]
-    if med_cols:
-        q = _quantiles(hist, [(c, 0.5) for c in med_cols], distinct)
-        fills.update({c: q[(c, 0.5)] for c in med_cols})
     mode_cols = [c for c, k in kinds.items() if k == "mode"]
-    if mode_cols:
-        modes = (hist.where(F.col("value").isNotNull() & F.col("column").isin(mode_cols))
-                 .groupBy("column")
-                 .agg(F.max_by("value", F.struct(F.col("cnt"), -F.col("value"))).alias("mode"))
-                 .collect())
-        got = {r["column"]: r["mode"] for r in modes}
-        fills.update({c: (got[c] if got.get(c) is not None else 0.0) for c in mode_cols})
-
-    # (3) the filled distribution: the null count moves onto the fill value
+    narrow_med = [c for c in med_cols if distinct[c] <= MAX_SINGLE_TASK_DISTINCT]
+    if narrow_med or mode_cols:
+        want = sorted(set(narrow_med) | set(mode_cols))
+        rows = (hist.where(F.col("value").isNotNull() & F.col("column").isin(want)).groupBy("column")
+                .agg(F.percentile(F.col("value"), F.lit(0.5), F.col("cnt")).alias("median"),
+                     F.max_by("value", F.struct(F.col("cnt"), -F.col("value"))).alias("mode"))
+                .collect()) if narrow_med else (
+                hist.where(F.col("value").isNotNull() & F.col("column").isin(want)).groupBy("column")
+                .agg(F.max_by("value", F.struct(F.col("cnt"), -F.col("value"))).alias("mode")).collect())
+        got = {r["column"]: r for r in rows}
+        for c in narrow_med:
+            fills[c] = got[c]["median"] if c in got else None
+        for c in mode_cols:
+            fills[c] = got[c]["mode"] if c in got and got[c]["mode"] is not None else 0.0
+    wide_med = [c for c in med_cols if c not in narrow_med]
+    if wide_med:
+        q = exact_quantiles(hist, [(c, 0.5) for c in wide_med])
+        fills.update({c: q[(c, 0.5)] for c in wide_med})
+
+    # (3) the filled distribution: the null count moves onto the fill value.
+    # Percentile clip bounds and the filled minimum come from one job.
     filled = hist.withColumn("value", F.coalesce(F.col("value"), _map_expr(fills)[F.col("column")]))
     bounds: dict[str, tuple[float | None, float | None]] = {}
-    pct_req = []
     for c in cols:
-        cfg = config[c]
-        if "clip" in cfg:
-            lo, hi = cfg["clip"]
-            pct_req += [(c, lo / 100.0), (c, hi / 100.0)]
-        elif "clip_abs" in cfg:
-            bounds[c] = (float(cfg["clip_abs"][0]), float(cfg["clip_abs"][1]))
-    if pct_req:
-        filled_distinct = {c: distinct[c] + 1 for c in cols}
-        q = _quantiles(filled, pct_req, filled_distinct)
-        for c in cols:
-            if "clip" in config[c]:
-                lo, hi = config[c]["clip"]
-                bounds[c] = (q[(c, lo / 100.0)], q[(c, hi / 100.0)])
+        if "clip" not in config[c] and "clip_abs" in config[c]:
+            bounds[c] = (float(config[c]["clip_abs"][0]), float(config[c]["clip_abs"][1]))
+    pct_cols = [c for c in cols if "clip" in config[c]]
+    ps = sorted({p / 100.0 for c in pct_cols for p in config[c]["clip"]})
+    narrow_pct = [c for c in pct_cols if distinct[c] + 1 <= MAX_SINGLE_TASK_DISTINCT]
+    in_range_min = {}
+    agg3 = [F.min("value").alias("min_filled")]
+    if narrow_pct:
+        agg3.append(F.percentile(F.col("value"), F.array(*[F.lit(p) for p in ps]), F.col("cnt")).alias("q"))
+    abs_null = [c for c in bounds if config[c].get("clip_to_null", False)]
+    lo_map = _map_expr({c: bounds[c][0] for c in abs_null})
+    hi_map = _map_expr({c: bounds[c][1] for c in abs_null})
+    if abs_null:
+        agg3.append(F.min(F.when(F.col("value").between(lo_map[F.col("column")], hi_map[F.col("column")]),
+                                 F.col("value"))).alias("min_in_range"))
+    shape3 = {r["column"]: r for r in filled.where(F.col("value").isNotNull()).groupBy("column").agg(*agg3).collect()}
+    for c in narrow_pct:
+        qs = dict(zip(ps, shape3[c]["q"])) if c in shape3 and shape3[c]["q"] is not None else {}
+        lo, hi = config[c]["clip"]
+        bounds[c] = (qs.get(lo / 100.0), qs.get(hi / 100.0))
+    wide_pct = [c for c in pct_cols if c not in narrow_pct]
+    if wide_pct:
+        q = exact_quantiles(filled, [(c, p / 100.0) for c in wide_pct for p in config[c]["clip"]])
+        for c in wide_pct:
+            lo, hi = config[c]["clip"]
+            bounds[c] = (q[(c, lo / 100.0)], q[(c, hi / 100.0)])
+    for c in abs_null:
+        in_range_min[c] = shape3[c]["min_in_range"] if c in shape3 else None
 
     def clipped(c: str, v: Column) -> Column:
         if c not in bounds:
@@ -170,29 +196,72 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None) -> NumericM
     # (4) log offsets from the minimum of the clipped (or in-range) values
     offsets: dict[str, float] = {}
     log_cols = [c for c in cols if config[c].get("log1p", False)]
-    if log_cols:
-        mins_expr = [F.min(F.when(F.col("column") == c, clipped(c, F.col("value")))).alias(c) for c in log_cols]
-        row = filled.where(F.col("column").isin(log_cols)).agg(*mins_expr).collect()[0]
-        for c in log_cols:
-            m = row[c]
-            offsets[c] = (abs(m) + 1.0) if (m is not None and m <= 0) else 0.0
-
-    # (5) moments of the pre-scaling value, one pass over the data
-    def pre_scale(c: str) -> Column:
-        v = F.coalesce(to_double(c), F.lit(fills.get(c)).cast("double"))
+    late = [c for c in log_cols if c in pct_cols and config[c].get("clip_to_null", False)]
+    if late:  # in-range minimum under percentile bounds needs the bounds first
+        row = filled.where(F.col("column").isin(late)).agg(
+            *[F.min(F.when(F.col("column") == c, clipped(c, F.col("value")))).alias(c) for c in late]).collect()[0]
+        in_range_min.update({c: row[c] for c in late})
+    for c in log_cols:
+        m = shape3[c]["min_filled"] if c in shape3 else None
+        if c in in_range_min:
+            m = in_range_min[c]
+        elif c in bounds and m is not None:
+            lo, hi = bounds[c]
+            m = min(max(m, lo), hi)
+        offsets[c] = (abs(m) + 1.0) if (m is not None and m <= 0) else 0.0
+
+    # (5) moments of the pre-scaling value from the filled histogram (one job,
+    # counts as weights). Sums are taken around a shift K (the transformed
+    # fill value) so the variance does not cancel catastrophically.
+    def pre_scale(c: str, v: Column) -> Column:
         v = clipped(c, v)
         if c in offsets:
             v = log1p_offset(v, offsets[c])
         return v
 
+    def pre_scale_value(c: str, x: float | None) -> float:
+        if x is None:
+            return 0.0
+        if c in bounds:
+            lo, hi = bounds[c]
+            if config[c].get("clip_to_null", False):
+                if lo is None or hi is None or not (lo <= x <= hi):
+                    return 0.0
+            else:
+                x = min(max(x, lo), hi) if lo is not None and hi is not None else x
+        if c in offsets:
+            y = x + offsets[c]
+            return math.log1p(y) if y > -1 else 0.0
+        return x
+
     aggs = []
+    shift = {}
     for c in cols:
         sc = config[c].get("scale")
+        x = F.when(F.col("column") == c, pre_scale(c, F.col("value")))
         if sc == "zscore":
-            aggs += [F.avg(pre_scale(c)).alias(f"{c}__mean"), F.stddev_samp(pre_scale(c)).alias(f"{c}__std")]
+            shift[c] = pre_scale_value(c, fills.get(c))
+            d = x - F.lit(shift[c])
+            w = F.col("cnt").cast("double")
+            aggs += [F.sum(F.when(x.isNotNull(), F.col("cnt"))).alias(f"{c}__n"), F.sum(w * d).alias(f"{c}__s1"),
+                     F.sum(w * d * d).alias(f"{c}__s2"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
         elif sc == "minmax":
-            aggs += [F.min(pre_scale(c)).alias(f"{c}__min"), F.max(pre_scale(c)).alias(f"{c}__max")]
-    mom = df.agg(*aggs).collect()[0].asDict() if aggs else {}
+            aggs += [F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+    mom = filled.agg(*aggs).collect()[0].asDict() if aggs else {}
+    for c in cols:
+        if config[c].get("scale") == "zscore":
+            n = mom[f"{c}__n"] or 0
+            if n == 0:
+                mom[f"{c}__mean"], mom[f"{c}__std"] = None, None
+                continue
+            s1, s2 = mom[f"{c}__s1"], mom[f"{c}__s2"]
+            mom[f"{c}__mean"] = shift[c] + s1 / n
+            if n < 2:
+                mom[f"{c}__std"] = None
+            elif mom[f"{c}__min"] == mom[f"{c}__max"]:
+                mom[f"{c}__std"] = 0.0
+            else:
+                mom[f"{c}__std"] = math.sqrt(max(s2 - s1 * s1 / n, 0.0) / (n - 1))
 
     for c in cols:
         s: dict = {"fill_value": fills.get(c)}

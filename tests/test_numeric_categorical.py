@@ -43,6 +43,8 @@ def reference_numeric(col: pd.Series, cfg: dict) -> tuple[dict, pd.Series]:
         st["mean"], st["std"] = x.mean(), x.std()
         if st["std"] == 0:
             st["std"] = 1
+    elif cfg.get("scale") == "minmax":
+        st["min"], st["max"] = x.min(), x.max()
     # transform
     y = raw.fillna(st["fill"])
     if "lo" in st:
@@ -54,6 +56,8 @@ def reference_numeric(col: pd.Series, cfg: dict) -> tuple[dict, pd.Series]:
         y = np.log1p(y + st["off"])
     if cfg.get("scale") == "zscore":
         y = (y - st["mean"]) / st["std"]
+    elif cfg.get("scale") == "minmax":
+        y = (y - st["min"]) / (st["max"] - st["min"])
     return st, y.astype("float32")
 
 
@@ -62,6 +66,9 @@ CASES = {
     "mode_abs_to_null": {"fill": "mode", "clip_abs": [0.0, 50.0], "clip_to_null": True, "add_flag": True},
     "const_neg_log": {"fill": 0, "log1p": True, "scale": "zscore"},
     "other_fill_is_zero": {"fill": "mean", "clip_abs": [-5.0, 5.0]},
+    "median_pct_to_null_log_z": {"fill": "median", "clip": [10, 90], "clip_to_null": True, "log1p": True,
+                                 "scale": "zscore"},
+    "mode_minmax_log": {"fill": "mode", "clip": [1, 99], "log1p": True, "scale": "minmax"},
 }
 
 
