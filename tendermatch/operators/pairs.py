@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendermatch.operators.joins import join_small, key_coverage
+from tendermatch.operators.joins import join_small
 from tendermatch.operators.ranking import with_row_index
 
 
@@ -84,16 +84,24 @@ def pair_features(pairs: DataFrame, notice_store: DataFrame, company_store: Data
                   company_pk: Sequence[str], strict: bool = True) -> DataFrame:
     """Attach both sides' features to every pair.
 
-    strict: every pair key must be found (the key-coverage audit J6 must be
-    empty), otherwise raise; non-strict keeps only complete pairs (inner).
+    strict: a pair whose key is missing from a store fails the job (the check
+    is a ``raise_error`` inside the same join pass, no extra job);
+    non-strict keeps only complete pairs (inner joins).
     """
-    if strict:
-        for pk, store in ((notice_pk, notice_store), (company_pk, company_store)):
-            miss = key_coverage(pairs.select(*pk), store.select(*pk), pk).where("side = 'missing'")
-            if miss.limit(1).count():
-                raise KeyError(f"pairs reference keys {list(pk)} missing from the feature store")
-    out = pairs.join(notice_store, list(notice_pk), "inner")
-    return join_small(out, company_store, list(company_pk), "inner")
+    if not strict:
+        out = pairs.join(notice_store, list(notice_pk), "inner")
+        return join_small(out, company_store, list(company_pk), "inner")
+    ns = notice_store.withColumn("_tm_has_notice", F.lit(True))
+    cs = company_store.withColumn("_tm_has_company", F.lit(True))
+    out = pairs.join(ns, list(notice_pk), "left")
+    out = join_small(out, cs, list(company_pk), "left")
+    missing = F.col("_tm_has_notice").isNull() | F.col("_tm_has_company").isNull()
+    first = pairs.columns[0]
+    guarded = F.when(missing, F.raise_error(F.concat(F.lit("pair references a key missing from a feature store: "),
+                                                    F.col(first).cast("string")))).otherwise(F.col(first))
+    cols = [guarded.alias(first) if c == first else F.col(c) for c in out.columns
+            if c not in ("_tm_has_notice", "_tm_has_company")]
+    return out.select(*cols)
 
 
 def pair_subset_bundle(pairs: DataFrame, notice_store: DataFrame, company_store: DataFrame,

@@ -144,7 +144,7 @@ def test_pk_violations_and_strict_pairs(spark):
     pairs = spark.createDataFrame([(0, "n1", "c1"), (1, "n1", "c9")], "id long, notice_no string, bizno string")
     notices = spark.createDataFrame([("n1", 1.0)], "notice_no string, f double")
     comps = spark.createDataFrame([("c1", 2.0)], "bizno string, g double")
-    with pytest.raises(KeyError):
+    with pytest.raises(Exception, match="missing from a feature store"):
         pair_features(pairs, notices, comps, ["notice_no"], ["bizno"], strict=True).collect()
     assert pair_features(pairs, notices, comps, ["notice_no"], ["bizno"], strict=False).count() == 1
 
