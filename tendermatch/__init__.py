@@ -7,6 +7,15 @@ jobs (DataFrame / SQL / Structured Streaming, Arrow-batched pandas where NumPy
 maths is needed).
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from tendermatch.session import build_session, checkpoint_dir  # noqa: F401
 
+# Python code that runs inside tasks (pandas UDF bodies, mapInPandas /
+# applyInPandas functions) is shipped by value, so executors need no copy of
+# this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["build_session", "checkpoint_dir"]
