@@ -46,13 +46,21 @@ def seeded_weights(sizes: Sequence[int], seed: int, relu_hidden: bool = True) ->
     return layers
 
 
-def apply_layers(x: np.ndarray, layers: Sequence[Layer]) -> np.ndarray:
-    for layer in layers:
-        x = x @ layer.w + layer.b
-        if layer.relu:
+def _plain(layer: Layer | dict) -> dict:
+    """Layers travel to executors as plain dicts of arrays (broadcast values are pickled by reference)."""
+    if isinstance(layer, dict):
+        return layer
+    return {"w": np.asarray(layer.w, dtype=np.float64), "b": np.asarray(layer.b, dtype=np.float64),
+            "relu": bool(layer.relu), "bn": None if layer.bn is None else tuple(np.asarray(v) for v in layer.bn)}
+
+
+def apply_layers(x: np.ndarray, layers: Sequence[Layer | dict]) -> np.ndarray:
+    for layer in map(_plain, layers):
+        x = x @ layer["w"] + layer["b"]
+        if layer["relu"]:
             x = np.maximum(x, 0.0)
-        if layer.bn is not None:
-            g, beta, rm, rv, eps = layer.bn
+        if layer["bn"] is not None:
+            g, beta, rm, rv, eps = layer["bn"]
             x = (x - rm) / np.sqrt(rv + eps) * g + beta
     return x
 
@@ -68,8 +76,8 @@ def _stack(s: pd.Series, dim: int) -> np.ndarray:
 def project(df: DataFrame, keys: Sequence[str], col: str, layers: Sequence[Layer], out: str = "projected"
             ) -> DataFrame:
     """Linear -> ReLU -> Linear (any stack of layers) applied to an array column."""
-    bc = df.sparkSession.sparkContext.broadcast(list(layers))
-    dim_in = layers[0].w.shape[0]
+    bc = df.sparkSession.sparkContext.broadcast([_plain(x) for x in layers])
+    dim_in = _plain(layers[0])["w"].shape[0]
     keys = list(keys)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,27 +98,34 @@ def tower_scores(df: DataFrame, keys: Sequence[str], dense_col: str, cat_col: st
     Categorical indices are clamped into each table (V21); a missing index
     array embeds to zeros (B12).
     """
-    bc = df.sparkSession.sparkContext.broadcast(weights)
+    bc = df.sparkSession.sparkContext.broadcast({
+        "dense": _plain(weights.dense), "embeddings": [np.asarray(t) for t in weights.embeddings],
+        "mlp": [_plain(x) for x in weights.mlp], "final": None if weights.final is None else _plain(weights.final),
+        "normalize": bool(weights.normalize)})
     keys = list(keys)
-    dim_in = weights.dense.w.shape[0]
+    dim_in = _plain(weights.dense)["w"].shape[0]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = bc.value
         for pdf in it:
-            x = apply_layers(_stack(pdf[dense_col], dim_in), [w.dense])
+            x = apply_layers(_stack(pdf[dense_col], dim_in), [w["dense"]])
             parts = [x]
-            if cat_col is not None and w.embeddings:
-                n = len(pdf)
-                for k, table in enumerate(w.embeddings):
-                    emb = np.zeros((n, table.shape[1]))
-                    for r, v in enumerate(pdf[cat_col]):
-                        if v is not None and len(v) > k:
-                            emb[r] = table[min(max(int(v[k]), 0), table.shape[0] - 1)]
-                    parts.append(emb)
-            h = apply_layers(np.concatenate(parts, axis=1), w.mlp)
-            if w.final is not None:
-                h = apply_layers(h, [w.final])
-            if w.normalize:
+            if cat_col is not None and w["embeddings"]:
+                n_keys = len(w["embeddings"])
+                idx = np.full((len(pdf), n_keys), -1, dtype=np.int64)
+                present = np.zeros((len(pdf), n_keys), dtype=bool)
+                for r, v in enumerate(pdf[cat_col]):
+                    if v is not None:
+                        m = min(len(v), n_keys)
+                        idx[r, :m] = np.asarray(v[:m], dtype=np.int64)
+                        present[r, :m] = True
+                for k, table in enumerate(w["embeddings"]):
+                    emb = table[np.clip(idx[:, k], 0, table.shape[0] - 1)]      # clamp (V21)
+                    parts.append(np.where(present[:, k:k + 1], emb, 0.0))      # missing -> zeros
+            h = apply_layers(np.concatenate(parts, axis=1), w["mlp"])
+            if w["final"] is not None:
+                h = apply_layers(h, [w["final"]])
+            if w["normalize"]:
                 h = h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-12)
             res = pdf[keys].copy()
             res[out] = list(h.astype(np.float32))
@@ -131,14 +146,6 @@ def embed_categorical(df: DataFrame, id_cols: Sequence[str], cat_col: str, table
     return g.select(*id_cols, F.flatten(F.transform("_e", lambda s: s["vec"])).alias("cat_embedding"))
 
 
-def embedding_tables(spark, vocab_sizes: Sequence[int], dim: int, seed: int) -> tuple[DataFrame, list[np.ndarray]]:
-    """Deterministic embedding tables as a DataFrame and as NumPy arrays (same values)."""
-    rng = np.random.default_rng(seed)
-    arrays = [rng.normal(0, 1, (v, dim)).astype(np.float32) for v in vocab_sizes]
-    rows = [(k, i, [float(x) for x in arr[i]]) for k, arr in enumerate(arrays) for i in range(arr.shape[0])]
-    return spark.createDataFrame(rows, "key_pos int, idx long, vec array<float>"), arrays
-
-
 def pair_scores(pairs: DataFrame, notice_emb: DataFrame, company_emb: DataFrame, notice_pk: Sequence[str],
                 company_pk: Sequence[str], temperature: float = 1.0) -> DataFrame:
     """Score each pair by the dot product of its two tower embeddings."""
