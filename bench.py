@@ -54,10 +54,12 @@ def main() -> None:
         spark.catalog.clearCache()   # each query starts without the previous one's pinned intermediates
     rows = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("orders", "lineitem", "embeddings")}
     n_pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().count()
+    vec_pairs = rows["embeddings"] // 2
     throughput = {
-        "notice_transform_rows_per_s": round(rows["orders"] / times["features_merged"], 1),
+        "notice_preprocess_rows_per_s": round(rows["orders"] / times["features_merged"], 1),   # fit + transform
         "pair_feature_rows_per_s": round(n_pairs / times["pair_features"], 1),
-        "in_batch_similarity_pairs_per_s": round((rows["embeddings"] // 2) * 50 / times["eval_summary"], 1),
+        "eval_pairs_per_s": round(vec_pairs / times["eval_summary"], 1),                       # batch 50
+        "eval_similarity_cells_per_s": round(vec_pairs * 50 / times["eval_summary"], 1),
     }
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendermatch.functions.numeric import z_gap
@@ -103,33 +103,50 @@ def top_k(batches: DataFrame, k: int, temperature: float = 1.0) -> DataFrame:
     return batches.groupBy("batch_id").applyInPandas(fn, "batch_id long, i int, j int, sim double, rank int")
 
 
+def _ce_loss(e: float) -> Column:
+    row = (1 - e) * (F.col("row_lse") - F.col("diag")) + e * (F.col("row_lse") - F.col("row_mean"))
+    col = (1 - e) * (F.col("col_lse") - F.col("diag")) + e * (F.col("col_lse") - F.col("col_mean"))
+    return 0.5 * (F.avg(row) + F.avg(col))
+
+
+def _cos_loss() -> Column:
+    b = F.max("b")
+    return (F.sum("cos_pos") + F.sum("cos_neg")) / (b * b)
+
+
+def _metric_aggs() -> list[Column]:
+    b = F.max("b")
+    return [F.avg((F.col("row_argmax") == F.col("i")).cast("double")).alias("accuracy"),
+            F.avg("diag").alias("positive_similarity_mean"),
+            F.when(b > 1, F.sum("off_sum") / (b * b - b)).alias("negative_similarity_mean"), b.alias("b")]
+
+
+def _recall_aggs(ks: Sequence[int]) -> list[Column]:
+    return [*[F.avg((F.col("rank") <= F.least(F.lit(k), F.col("b"))).cast("double")).alias(f"recall_at_{k}")
+              for k in ks], F.avg(1.0 / F.col("rank")).alias("mrr")]
+
+
+def _with_gap(df: DataFrame) -> DataFrame:
+    return df.withColumn("similarity_gap", F.col("positive_similarity_mean") - F.col("negative_similarity_mean"))
+
+
 def batch_loss(stats: DataFrame, kind: str = "cross_entropy", label_smoothing: float = 0.0) -> DataFrame:
     """R2 / R3 per batch."""
-    e = float(label_smoothing)
     if kind == "cross_entropy":
-        row = (1 - e) * (F.col("row_lse") - F.col("diag")) + e * (F.col("row_lse") - F.col("row_mean"))
-        col = (1 - e) * (F.col("col_lse") - F.col("diag")) + e * (F.col("col_lse") - F.col("col_mean"))
-        return stats.groupBy("batch_id").agg((0.5 * (F.avg(row) + F.avg(col))).alias("loss"))
+        return stats.groupBy("batch_id").agg(_ce_loss(float(label_smoothing)).alias("loss"))
     if kind == "cosine_embedding":
-        return stats.groupBy("batch_id").agg(
-            ((F.sum("cos_pos") + F.sum("cos_neg")) / (F.first("b") * F.first("b"))).alias("loss"))
+        return stats.groupBy("batch_id").agg(_cos_loss().alias("loss"))
     raise ValueError(f"unknown loss {kind}")
 
 
 def batch_metrics(stats: DataFrame) -> DataFrame:
     """Top-1 accuracy, positive / negative mean, gap per batch."""
-    b = F.first("b")
-    neg = F.when(b > 1, F.sum("off_sum") / (b * b - b))
-    return (stats.groupBy("batch_id")
-            .agg(F.avg((F.col("row_argmax") == F.col("i")).cast("double")).alias("accuracy"),
-                 F.avg("diag").alias("positive_similarity_mean"), neg.alias("negative_similarity_mean"), b.alias("b"))
-            .withColumn("similarity_gap", F.col("positive_similarity_mean") - F.col("negative_similarity_mean")))
+    return _with_gap(stats.groupBy("batch_id").agg(*_metric_aggs()))
 
 
 def recall_mrr(stats: DataFrame, ks: Sequence[int] = (5, 10)) -> DataFrame:
     """R7 / R8 / W3 per batch; recall@k uses k = min(k, B)."""
-    aggs = [F.avg((F.col("rank") <= F.least(F.lit(k), F.col("b"))).cast("double")).alias(f"recall_at_{k}") for k in ks]
-    return stats.groupBy("batch_id").agg(*aggs, F.avg(1.0 / F.col("rank")).alias("mrr"))
+    return stats.groupBy("batch_id").agg(*_recall_aggs(ks))
 
 
 def alignment_check(stats: DataFrame) -> DataFrame:
@@ -144,9 +161,9 @@ def alignment_check(stats: DataFrame) -> DataFrame:
 
 
 def per_batch(stats: DataFrame, label_smoothing: float = 0.0, ks: Sequence[int] = (5, 10)) -> DataFrame:
-    """R10 for every batch: loss, accuracy, recalls, MRR, similarity means and gap."""
-    return (batch_loss(stats, "cross_entropy", label_smoothing)
-            .join(batch_metrics(stats), "batch_id").join(recall_mrr(stats, ks), "batch_id"))
+    """R10 for every batch in one aggregation: loss, accuracy, recalls, MRR, similarity means and gap."""
+    return _with_gap(stats.groupBy("batch_id").agg(_ce_loss(float(label_smoothing)).alias("loss"),
+                                                   *_metric_aggs(), *_recall_aggs(ks)))
 
 
 def evaluate(stats: DataFrame, label_smoothing: float = 0.0, ks: Sequence[int] = (5, 10)) -> DataFrame:
