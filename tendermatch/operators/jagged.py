@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from tendermatch.functions.numeric import clamp_index
 
-JAGGED_TYPE = "struct<keys:array<string>,values:array<bigint>,lengths:array<int>>"
-
-
 def _rows(batched: DataFrame, cols: Sequence[str], batch_col: str, pos_col: str) -> DataFrame:
     return batched.groupBy(batch_col).agg(
         F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("pos"), *[F.col(c) for c in cols]))).alias("_rows"))

@@ -33,8 +33,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermatch.functions.numeric import (clip, log1p_offset, minmax, null_flag, out_of_range_to_null, to_double,
-                                           zscore)
+from tendermatch.functions.numeric import (clip, clip_or_fill, log1p_offset, minmax, null_flag, out_of_range_to_null,
+                                           to_double, zscore)
 from tendermatch.operators.ranking import exact_quantiles
 from tendermatch.session import materialize
 
@@ -92,26 +92,6 @@ def _map_expr(values: dict) -> Column:
 MAX_SINGLE_TASK_DISTINCT = 1_000_000
 
 
-def _quantiles(hist: DataFrame, requests: list[tuple[str, float]], distinct: dict[str, int]
-               ) -> dict[tuple[str, float], float | None]:
-    """Exact quantiles of the histogram (non-null values), one job for all narrow columns."""
-    out: dict[tuple[str, float], float | None] = {}
-    narrow = [(c, p) for c, p in requests if distinct.get(c, 0) <= MAX_SINGLE_TASK_DISTINCT]
-    wide = [(c, p) for c, p in requests if distinct.get(c, 0) > MAX_SINGLE_TASK_DISTINCT]
-    if narrow:
-        cols = sorted({c for c, _ in narrow})
-        ps = sorted({p for _, p in narrow})
-        rows = (hist.where(F.col("value").isNotNull() & F.col("column").isin(cols)).groupBy("column")
-                .agg(F.percentile(F.col("value"), F.array(*[F.lit(p) for p in ps]), F.col("cnt")).alias("q"))
-                .collect())
-        got = {r["column"]: dict(zip(ps, r["q"])) for r in rows}
-        for c, p in narrow:
-            out[(c, p)] = got.get(c, {}).get(p)
-    if wide:
-        out.update(exact_quantiles(hist, wide))
-    return out
-
-
 def numeric_fit(df: DataFrame, config: dict, pk: list | None = None) -> NumericModel:
     cols = [c for c in df.columns if c in config]
     model = NumericModel(config={c: config[c] for c in cols}, pk=list(pk or []))
@@ -293,7 +273,7 @@ def numeric_columns(model: NumericModel, c: str) -> Column:
     if "clip_low" in s:
         lo, hi = s["clip_low"], s["clip_high"]
         if cfg.get("clip_to_null", False):
-            v = F.when(v.between(F.lit(lo), F.lit(hi)), v).otherwise(fill)
+            v = clip_or_fill(v, lo, hi, s.get("fill_value"))
         else:
             v = clip(v, lo, hi)
     if cfg.get("log1p", False):

@@ -36,16 +36,6 @@ class TowerWeights:
     normalize: bool = True
 
 
-def seeded_weights(sizes: Sequence[int], seed: int, relu_hidden: bool = True) -> list[Layer]:
-    """Deterministic weights for tests and examples: ``sizes`` = [in, h1, ..., out]."""
-    rng = np.random.default_rng(seed)
-    layers = []
-    for i, (a, b) in enumerate(zip(sizes[:-1], sizes[1:])):
-        layers.append(Layer(rng.normal(0, 1 / np.sqrt(a), (a, b)), rng.normal(0, 0.01, b),
-                            relu=relu_hidden and i < len(sizes) - 2))
-    return layers
-
-
 def _plain(layer: Layer | dict) -> dict:
     """Layers travel to executors as plain dicts of arrays (broadcast values are pickled by reference)."""
     if isinstance(layer, dict):

@@ -196,3 +196,21 @@ def key_difference_q(spark, sf_dir):
     n = roles.notice(spark, sf_dir).select(*roles.NOTICE_PK)
     b = roles.bids(spark, sf_dir).select(*roles.NOTICE_PK)
     return n.subtract(b)
+
+
+@query("normalized_keys", oracle=with_(NOTICE_CTE) + """
+SELECT coalesce(CAST(o_orderstatus AS VARCHAR), '') AS o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM notice
+GROUP BY 1""")
+def normalized_keys_q(spark, sf_dir):
+    """key values to text with NULL -> '' (the blanked statuses collapse into one '' key)."""
+    out = L.normalize_pk(roles.notice(spark, sf_dir).select("notice_no", "o_orderstatus"), ["o_orderstatus"])
+    return out.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pairs_loaded", oracle=with_(PAIR_CTE) + """
+SELECT CAST(id AS BIGINT) AS id, notice_no, notice_ord, bizno FROM pair ORDER BY id LIMIT 1000""")
+def pairs_loaded_q(spark, sf_dir):
+    """The positive pairs' key columns, first 1000 by id (the limit always has an order)."""
+    from tendermatch.operators.pairs import load_pairs
+    out = load_pairs(roles.pairs(spark, sf_dir), ["notice_no", "notice_ord", "bizno"], limit=1000)
+    return out.select(F.col("id").cast("long"), "notice_no", "notice_ord", "bizno")

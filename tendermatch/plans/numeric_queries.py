@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tendermatch.functions.numeric import round6
-from tendermatch.operators.numeric import STAT_KEYS, numeric_fit, numeric_transform
+from tendermatch.operators.numeric import STAT_KEYS, numeric_fit, numeric_fit_transform, numeric_transform
 from tendermatch.plans import roles
 from tendermatch.plans.registry import query
 from tendermatch.plans.sqlparts import COMPANY_CTE, NOTICE_CTE, f32, r6, with_
@@ -86,8 +86,7 @@ m AS (SELECT min(v) AS mn, CASE WHEN min(v) = max(v) THEN min(v) + 1 ELSE max(v)
 SELECT notice_no, {f32('(v - mn) / (mx - mn)')} AS o_totalprice FROM c, m""")
 def numeric_minmax_q(spark, sf_dir):
     notice = roles.notice(spark, sf_dir).select("notice_no", "o_totalprice")
-    model = numeric_fit(notice, _MINMAX_CFG, ["notice_no"])
-    out = numeric_transform(notice, model)
+    out, _ = numeric_fit_transform(notice, _MINMAX_CFG, ["notice_no"])
     return out.select("notice_no", round6("o_totalprice").alias("o_totalprice"))
 
 

@@ -40,7 +40,9 @@ COMPANY_CATEGORICAL = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from tendermatch.sources.readers import read_table
+
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def notice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,16 +104,18 @@ def csv_roundtrip_q(spark, sf_dir):
 
 
 @query("table_sink_roundtrip", oracle=with_(COMPANY_CTE) + f"""
-SELECT bizno, s_name, n_name, r_name, {r6('s_acctbal')} AS s_acctbal FROM company""")
+SELECT bizno, s_name, n_name, r_name, {r6('s_acctbal')} AS s_acctbal, TRUE AS vec_missing FROM company""")
 def table_sink_roundtrip_q(spark, sf_dir):
     comp = roles.company(spark, sf_dir)
     path = S.scratch_path(spark, "company-table")
     first = comp.where(F.col("r_name") < "EUROPE")
     rest = comp.where(~(F.col("r_name") < "EUROPE") | F.col("r_name").isNull())
-    S.write_table(first, path, ["bizno"], if_exists="replace")
-    S.write_table(rest, path, ["bizno"], if_exists="append")
+    S.write_table(S.ensure_vector_column(first, "vec"), path, ["bizno"], if_exists="replace")
+    S.write_table(S.ensure_vector_column(rest, "vec"), path, ["bizno"], if_exists="append")
     back = spark.read.parquet(path)
-    return back.select("bizno", "s_name", "n_name", "r_name", round6("s_acctbal").alias("s_acctbal"))
+    assert back.columns[0] == "bizno" and back.columns[-1] == "vec"    # S12: key first, vectors last
+    return back.select("bizno", "s_name", "n_name", "r_name", round6("s_acctbal").alias("s_acctbal"),
+                       F.col("vec").isNull().alias("vec_missing"))
 
 
 _PROFILE_COLS = ["notice_no", "notice_ord", "o_totalprice", "o_custkey", "o_orderstatus", "o_orderpriority",
@@ -200,3 +202,19 @@ def run_pipeline_q(spark, sf_dir):
     back = spark.read.parquet(path)
     return back.select(*roles.NOTICE_PK, *[round6(c).alias(c) for c in DENSE], *[F.col(c).cast("long") for c in CAT],
                        *[round6(f"{c}_is_null").alias(f"{c}_is_null") for c in CAT])
+
+
+@query("snapshot_reload", oracle="""
+SELECT 'orders' AS table_name, CAST(count(*) AS BIGINT) AS n_rows FROM orders
+UNION ALL SELECT 'lineitem', CAST(count(*) AS BIGINT) FROM lineitem
+UNION ALL SELECT 'all_files', (SELECT CAST(count(*) AS BIGINT) FROM orders) + (SELECT CAST(count(*) AS BIGINT) FROM lineitem)""")
+def snapshot_reload_q(spark, sf_dir):
+    """S10 + S19: a single-file snapshot and a chunked one, loaded back by name; records counted over a glob."""
+    base = S.scratch_path(spark, "snapshots")
+    S.snapshot(roles.table(spark, sf_dir, "orders"), f"{base}/orders.parquet", size_threshold=10 ** 12)
+    S.snapshot(roles.table(spark, sf_dir, "lineitem"), f"{base}/lineitem", chunk_size=5000, size_threshold=1000)
+    parts = [R.load_snapshot(spark, base, t).agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(t).alias("table_name"), "n_rows") for t in ("orders", "lineitem")]
+    total = spark.createDataFrame([("all_files", R.count_records(spark, f"{base}/*/*.parquet"))],
+                                  "table_name string, n_rows long")
+    return parts[0].unionByName(parts[1]).unionByName(total)

@@ -10,6 +10,7 @@ from tendermatch.functions.text import WHITESPACE, clean_text, hashed_pool
 from tendermatch.operators.text import refresh_vectors, text_transform, update_by_key
 from tendermatch.plans import roles
 from tendermatch.plans.registry import query
+from tendermatch.sources.sinks import scratch_path, write_versioned
 
 DIM = 8
 WS = WHITESPACE
@@ -141,6 +142,7 @@ def text_vector_refresh_q(spark, sf_dir):
     labels = roles.table(spark, sf_dir, "labels")
     target = labels.select("doc_id", "quality", F.lit(None).cast("array<float>").alias("vec"))
     source = docs.join(labels.where(F.col("quality") == 1).select("doc_id"), "doc_id", "left_semi")
-    out = refresh_vectors(target, source, ["doc_id"], "text", "vec", dim=DIM)
+    new = refresh_vectors(target, source, ["doc_id"], "text", "vec", dim=DIM)
+    out = spark.read.parquet(write_versioned(new, scratch_path(spark, "doc-vectors")))   # a new version folder
     total = F.aggregate(F.transform("vec", lambda x: x.cast("double")), F.lit(0.0), lambda a, b: a + b)
     return out.select("doc_id", (F.col("quality") == 1).alias("refreshed"), round6(total).alias("total"))

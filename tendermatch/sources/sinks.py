@@ -11,7 +11,6 @@
 from __future__ import annotations
 
 import json
-import math
 import os
 import uuid
 from collections.abc import Sequence
@@ -152,7 +151,3 @@ def load_state(spark: SparkSession, path: str, names: Sequence[str]) -> tuple[di
     tables = {n: spark.read.parquet(os.path.join(path, n)) for n in names}
     cfg = json.loads(spark.read.json(os.path.join(path, "config")).collect()[0]["config"])
     return tables, cfg
-
-
-def chunk_count(total: int, chunk: int) -> int:
-    return math.ceil(total / chunk) if total else 0
