@@ -95,28 +95,34 @@ def categorical_fit(df: DataFrame, config: dict, pk: list | None = None, rare_as
         # rare labels collapse into one [RARE] label (unless a literal "[RARE]" label already exists)
         n_mapped[c] = int(st["n_raw"]) - n_rare + (1 if n_rare > 0 and not st["raw_rare_label"] else 0)
 
-    labels = freq.groupBy("column", F.col("mapped").alias("label")).agg(F.sum("cnt").alias("cnt"))
-    if max(n_mapped.values(), default=0) <= MAX_WINDOW_LABELS:
+    n_raw_max = max((int(st["n_raw"]) for st in stats.values()), default=0)
+    if n_raw_max <= MAX_WINDOW_LABELS:
+        # one window over the raw labels of each column (bounded by the check):
+        # the dense rank of the mapped label is the index, rare labels share [RARE]'s
         from pyspark.sql import Window
-        indexed = labels.withColumn("idx", F.row_number().over(Window.partitionBy("column").orderBy("label")) - 1)
+        w = Window.partitionBy("column").orderBy("mapped")
+        raw_idx = freq.withColumn("idx", (F.dense_rank().over(w) - 1).cast("long"))
+        raw_idx = materialize(raw_idx.select("column", "label", "mapped", "idx", "cnt", "is_rare"))
+        indexed = (raw_idx.groupBy("column", F.col("mapped").alias("label"), "idx")
+                   .agg(F.sum("cnt").cast("long").alias("cnt")))
+        pairs_ = raw_idx
     else:
-        indexed = with_row_index(labels, ["label"], group_by=["column"], name="idx")
-    indexed = materialize(indexed.select("column", "label", F.col("idx").cast("long"), F.col("cnt").cast("long")))
+        labels = freq.groupBy("column", F.col("mapped").alias("label")).agg(F.sum("cnt").cast("long").alias("cnt"))
+        indexed = materialize(with_row_index(labels, ["label"], group_by=["column"], name="idx"))
+        pairs_ = freq.join(indexed.select("column", F.col("label").alias("mapped"), "idx"), ["column", "mapped"])
 
     unk_rows = [(c, UNKNOWN_TOKEN, n_mapped[c], 0) for c in cols if not (c in stats and stats[c]["has_unknown"])]
     unk = spark.createDataFrame(unk_rows, "column string, label string, idx long, cnt long")
     kind = (F.when(F.col("label") == UNKNOWN_TOKEN, "unknown").when(F.col("label") == RARE_TOKEN, "rare")
             .when(F.col("label") == NULL_TOKEN, "null").otherwise("label"))
-    vocab = indexed.unionByName(unk).withColumn("kind", kind)
+    vocab = indexed.select("column", "label", "idx", "cnt").unionByName(unk).withColumn("kind", kind)
     # raw label -> index; rare raw labels point at [RARE] unless reproducing the
     # original behaviour, where they fall through to [UNKNOWN].
-    raw = freq.where(~F.col("is_rare")) if rare_as_unknown else freq
-    lookup = (raw.select("column", "label", "mapped")
-              .join(indexed.select("column", F.col("label").alias("mapped"), "idx"), ["column", "mapped"])
-              .select("column", "label", "idx"))
+    raw = pairs_.where(~F.col("is_rare")) if rare_as_unknown else pairs_
+    lookup = raw.select("column", "label", "idx")
     if rare_as_unknown:
-        lookup = lookup.unionByName(indexed.where(F.col("label") == RARE_TOKEN).select("column", "label", "idx"))
-    lookup = materialize(lookup)
+        lookup = lookup.unionByName(pairs_.where(F.col("is_rare")).select(
+            "column", F.lit(RARE_TOKEN).alias("label"), "idx").distinct())
     info = {}
     for c in cols:
         has_unk = bool(c in stats and stats[c]["has_unknown"])
@@ -127,7 +133,7 @@ def categorical_fit(df: DataFrame, config: dict, pk: list | None = None, rare_as
                    "has_null": bool(c in stats and stats[c]["has_null"])}
     if any(v["unknown_idx"] is None for v in info.values()):
         # a literal "[UNKNOWN]" label was seen: its sorted position is the unknown index
-        for r in indexed.where(F.col("label") == UNKNOWN_TOKEN).collect():
+        for r in lookup.where(F.col("label") == UNKNOWN_TOKEN).collect():
             info[r["column"]]["unknown_idx"] = int(r["idx"])
     return CategoricalModel(config={c: config[c] for c in cols}, vocab=vocab, lookup=lookup, info=info,
                             pk=list(pk or []))
