@@ -31,8 +31,17 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _num_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def _max_partitions(df: DataFrame) -> int:
+    """Upper bound on the range partitions Spark will create (AQE only coalesces)."""
+    conf = df.sparkSession.conf
+    initial = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return int(initial or conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def _range(df: DataFrame, num_partitions: int | None, keys: list[Column]) -> DataFrame:
+    # Without an explicit count the cluster's shuffle sizing applies and AQE
+    # may coalesce small ranges; ranges stay contiguous and ordered either way.
+    return df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
 
 
 def with_running_total(df: DataFrame, order_by: Sequence[str | Column], weight: str | Column | None = None,
@@ -43,11 +52,11 @@ def with_running_total(df: DataFrame, order_by: Sequence[str | Column], weight:
     The order must be total inside each group (append a unique tiebreak key);
     the result is then deterministic under any partitioning and re-execution.
     """
-    n = num_partitions or _num_partitions(df)
+    n = num_partitions or _max_partitions(df)
     group_cols = list(group_by)
     order_cols = _as_cols(order_by)
     w_expr = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
-    ranged = (df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order_cols)
+    ranged = (_range(df, num_partitions, [*[F.col(g) for g in group_cols], *order_cols])
               .withColumn(_PID, F.spark_partition_id()))
     local_w = (Window.partitionBy(_PID, *group_cols).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -71,11 +80,11 @@ def with_row_index(df: DataFrame, order_by: Sequence[str | Column], group_by: Se
     window (and no second shuffle) is needed. Partition sizes (one row per
     partition and group) give the offsets.
     """
-    n = num_partitions or _num_partitions(df)
+    n = num_partitions or _max_partitions(df)
     group_cols = list(group_by)
     keys = [*[F.col(g) for g in group_cols], *_as_cols(order_by)]
     mid = F.monotonically_increasing_id()
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = (_range(df, num_partitions, keys).sortWithinPartitions(*keys)
               .withColumn("_tm_mid", mid)
               .withColumn(_PID, F.shiftright("_tm_mid", 33))
               .withColumn(_RUN, F.col("_tm_mid").bitwiseAND((1 << 33) - 1))
