@@ -10,6 +10,7 @@ a batch run and every micro-batch of a stream (T1).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -47,8 +48,14 @@ def fit_once(df: DataFrame, pk: list, numeric_cfg: dict, categorical_cfg: dict,
     text_cfg = text_cfg or {}
     base = df.select(*pk, *[c for c in df.columns if c in numeric_cfg or c in categorical_cfg])
     base = materialize(base)
-    num = numeric_fit(base.select(*pk, *[c for c in base.columns if c in numeric_cfg]), numeric_cfg, pk)
-    cat = categorical_fit(base.select(*pk, *[c for c in base.columns if c in categorical_cfg]), categorical_cfg, pk)
+    # The two fits are independent small-job chains: submit them concurrently
+    # so their stages share the cluster instead of queueing one after another.
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        num_f = pool.submit(numeric_fit, base.select(*pk, *[c for c in base.columns if c in numeric_cfg]),
+                            numeric_cfg, pk)
+        cat_f = pool.submit(categorical_fit, base.select(*pk, *[c for c in base.columns if c in categorical_cfg]),
+                            categorical_cfg, pk)
+        num, cat = num_f.result(), cat_f.result()
     return FittedPipeline(list(pk), num, cat, text_cfg)
 
 

@@ -178,3 +178,12 @@ def test_pandas_reference_percentile_interpolation():
     # the interpolation rule all quantile paths follow: v[lo] + (v[hi]-v[lo]) * frac
     v = pd.Series([1.0, 2.0, 4.0, 8.0])
     assert np.percentile(v, 50) == 3.0
+
+
+def test_deep_page_uses_row_index(spark, monkeypatch):
+    from tendermatch.operators import lookups as L
+    df = spark.range(300).withColumn("k", (F.col("id") * 7919) % 300)
+    shallow = [r.k for r in L.page(df, ["k"], 40, 25).collect()]
+    monkeypatch.setattr(L, "MAX_TOPN_PAGE", 10)
+    deep = sorted(r.k for r in L.page(df, ["k"], 40, 25).collect())
+    assert shallow == deep == list(range(40, 65))
