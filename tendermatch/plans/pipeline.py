@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tendermatch.functions.numeric import null_flag
 from tendermatch.operators.categorical import CategoricalModel, categorical_fit, encode_column
+from tendermatch.operators.joins import merge_one_to_one
 from tendermatch.operators.numeric import NumericModel, numeric_columns, numeric_fit
 from tendermatch.operators.text import text_transform
 from tendermatch.session import materialize
@@ -59,8 +60,12 @@ def fit_once(df: DataFrame, pk: list, numeric_cfg: dict, categorical_cfg: dict,
     return FittedPipeline(list(pk), num, cat, text_cfg)
 
 
-def preprocess(df: DataFrame, fitted: FittedPipeline) -> DataFrame:
-    """PK, numeric values, numeric flags, categorical indices, categorical flags, text vectors."""
+def preprocess(df: DataFrame, fitted: FittedPipeline, validate: bool = True) -> DataFrame:
+    """PK, numeric values, numeric flags, categorical indices, categorical flags, text vectors.
+
+    Text vectors pool over tokens per key, so they are merged back on the key;
+    ``validate`` checks that merge is one-to-one (J4).
+    """
     pk = fitted.pk
     num_cols = [c for c in fitted.numeric_cols if c in df.columns]
     cat_cols = [c for c in fitted.categorical_cols if c in df.columns]
@@ -77,7 +82,7 @@ def preprocess(df: DataFrame, fitted: FittedPipeline) -> DataFrame:
     )
     if text_cols:
         vecs = text_transform(df.select(*pk, *text_cols), pk, fitted.text_config)
-        out = out.join(vecs, pk, "left")
+        out = merge_one_to_one(out, vecs, pk) if validate else out.join(vecs, pk, "left")
     return out
 
 

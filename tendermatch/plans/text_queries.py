@@ -146,3 +146,38 @@ def text_vector_refresh_q(spark, sf_dir):
     out = spark.read.parquet(write_versioned(new, scratch_path(spark, "doc-vectors")))   # a new version folder
     total = F.aggregate(F.transform("vec", lambda x: x.cast("double")), F.lit(0.0), lambda a, b: a + b)
     return out.select("doc_id", (F.col("quality") == 1).alias("refreshed"), round6(total).alias("total"))
+
+
+# Fixed configuration of the document entity (same keys as the preprocessors' JSON configs).
+DOC_NUMERIC = {"n_chars": {"fill": "median", "clip": [1, 99], "log1p": True, "scale": "zscore", "add_flag": True}}
+DOC_CATEGORICAL = {"lang": {"encoding_method": "label"}, "source": {"encoding_method": "label"}}
+DOC_TEXT = {"text": {"max_length": None, "lowercase": True, "strip": True, "fillna": "", "l2_normalize": True}}
+
+
+@query("document_features", oracle=f"""WITH {TOKENS_CTE},
+nrm AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM pool GROUP BY doc_id),
+emb AS (SELECT doc_id, sum(CAST(CAST(v / greatest(n, 1e-12) AS FLOAT) AS DOUBLE)) AS total FROM pool JOIN nrm USING (doc_id)
+        GROUP BY doc_id),
+nc_fill AS (SELECT median(n_chars) AS f FROM documents),
+nc_filled AS (SELECT doc_id, coalesce(CAST(n_chars AS DOUBLE), f) AS v FROM documents, nc_fill),
+nc_b AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM nc_filled),
+nc_c AS (SELECT doc_id, least(greatest(v, lo), hi) AS v FROM nc_filled, nc_b),
+nc_off AS (SELECT CASE WHEN min(v) <= 0 THEN abs(min(v)) + 1 ELSE 0 END AS off FROM nc_c),
+nc_log AS (SELECT doc_id, ln(1 + (v + off)) AS v FROM nc_c, nc_off),
+nc_m AS (SELECT avg(v) AS mean, CASE WHEN stddev_samp(v) = 0 THEN 1 ELSE stddev_samp(v) END AS std FROM nc_log),
+nc_out AS (SELECT doc_id, (v - mean) / std AS v FROM nc_log, nc_m)
+SELECT d.doc_id, round(CAST(CAST(o.v AS FLOAT) AS DOUBLE), 6) + 0.0 AS n_chars,
+       CAST(d.n_chars IS NULL AS DOUBLE) AS n_chars_is_null,
+       CAST(dense_rank() OVER (ORDER BY coalesce(d.lang, '[NULL]')) - 1 AS BIGINT) AS lang,
+       CAST(dense_rank() OVER (ORDER BY coalesce(d.source, '[NULL]')) - 1 AS BIGINT) AS source,
+       round(e.total, 6) + 0.0 AS text_total
+FROM documents d JOIN nc_out o USING (doc_id) LEFT JOIN emb e USING (doc_id)""")
+def document_features_q(spark, sf_dir):
+    """P6 + P7 + J4 with text: numeric, categorical and text features of the documents, merged one-to-one."""
+    from tendermatch.plans.pipeline import fit_once, preprocess
+    docs = roles.table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source", "text")
+    fitted = fit_once(docs, ["doc_id"], DOC_NUMERIC, DOC_CATEGORICAL, DOC_TEXT)
+    out = preprocess(docs, fitted)
+    total = F.aggregate(F.transform("text", lambda x: x.cast("double")), F.lit(0.0), lambda a, b: a + b)
+    return out.select("doc_id", round6("n_chars").alias("n_chars"), round6("n_chars_is_null").alias("n_chars_is_null"),
+                      "lang", "source", round6(total).alias("text_total"))
