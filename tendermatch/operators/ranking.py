@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tendermatch.operators.joins import join_small
 from tendermatch.session import materialize
@@ -44,30 +45,63 @@ def _range(df: DataFrame, num_partitions: int | None, keys: list[Column]) -> Dat
     return df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
 
 
-def with_running_total(df: DataFrame, order_by: Sequence[str | Column], weight: str | Column | None = None,
+def _running_sums(weight: str, group_cols: list[str]):
+    """Per range partition: running sum of ``weight`` per group, in the partition's sorted order
+    (vectorised per Arrow batch; the sums carry over from one batch to the next)."""
+    def run(it):
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        carry = None
+        for pdf in it:
+            if pdf.empty:
+                continue
+            w = pdf[weight].astype("int64")
+            if group_cols:
+                idx = (pd.MultiIndex.from_frame(pdf[group_cols]) if len(group_cols) > 1
+                       else pd.Index(pdf[group_cols[0]]))
+                cs = w.groupby([pdf[c] for c in group_cols], sort=False, dropna=False).cumsum().to_numpy()
+                if carry is not None:
+                    cs = cs + carry.reindex(idx).fillna(0).to_numpy(dtype=np.int64)
+                last = pd.Series(cs, index=idx)
+                last = last[~last.index.duplicated(keep="last")]
+                carry = last if carry is None else last.combine_first(carry)
+            else:
+                cs = w.cumsum().to_numpy() + (carry or 0)
+                carry = int(cs[-1])
+            yield pdf.assign(**{_PID: np.int32(pid), _RUN: cs.astype(np.int64)})
+    return run
+
+
+def with_running_total(df: DataFrame, order_by: Sequence[str | Column], weight: str | None = None,
                        group_by: Sequence[str] = (), name: str = "running_total",
                        num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running sum of ``weight`` (1 when None) in global order.
+    """Inclusive running sum of the integer column ``weight`` (1 when None) in global order.
 
-    The order must be total inside each group (append a unique tiebreak key);
-    the result is then deterministic under any partitioning and re-execution.
+    One range shuffle; inside each sorted range partition an Arrow-batched
+    pass keeps the running sums (no window, so no second shuffle of the data);
+    then the per-partition totals give offsets as in ``with_row_index``. The
+    order must be total inside each group for a deterministic result.
     """
     n = num_partitions or _max_partitions(df)
     group_cols = list(group_by)
-    order_cols = _as_cols(order_by)
-    w_expr = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
-    ranged = (_range(df, num_partitions, [*[F.col(g) for g in group_cols], *order_cols])
-              .withColumn(_PID, F.spark_partition_id()))
-    local_w = (Window.partitionBy(_PID, *group_cols).orderBy(*order_cols)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = materialize(ranged.withColumn(_RUN, F.sum(w_expr).over(local_w)))
-    sizes = local.groupBy(_PID, *group_cols).agg(F.sum(w_expr).alias(_TOT))
+    keys = [*[F.col(g) for g in group_cols], *_as_cols(order_by)]
+    src = df if weight is not None else df.withColumn("_tm_w", F.lit(1).cast("long"))
+    wcol = weight or "_tm_w"
+    ranged = _range(src, num_partitions, keys).sortWithinPartitions(*keys)
+    schema = T.StructType(ranged.schema.fields + [T.StructField(_PID, T.IntegerType()),
+                                                   T.StructField(_RUN, T.LongType())])
+    local = materialize(ranged.mapInPandas(_running_sums(wcol, group_cols), schema))
+    sizes = local.groupBy(_PID, *group_cols).agg(F.sum(wcol).alias(_TOT))
     before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(_PID, *group_cols, F.coalesce(F.sum(_TOT).over(before), F.lit(0)).alias(_OFF))
     # One row per (range partition, group): at most partitions + groups rows.
     bound = n if not group_cols else None
     joined = join_small(local, offsets, on=[_PID, *group_cols], how="inner", known_max_rows=bound)
-    return joined.withColumn(name, F.col(_OFF) + F.col(_RUN)).drop(_PID, _RUN, _OFF)
+    out = joined.withColumn(name, F.col(_OFF) + F.col(_RUN)).drop(_PID, _RUN, _OFF)
+    return out if weight is not None else out.drop("_tm_w")
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str | Column], group_by: Sequence[str] = (),

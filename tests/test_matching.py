@@ -187,3 +187,23 @@ def test_deep_page_uses_row_index(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_TOPN_PAGE", 10)
     deep = sorted(r.k for r in L.page(df, ["k"], 40, 25).collect())
     assert shallow == deep == list(range(40, 65))
+
+
+def test_weighted_running_total_across_batches_and_groups(spark):
+    from tendermatch.operators.ranking import with_running_total
+    rng = np.random.default_rng(0)
+    rows = [(f"g{int(g)}", float(v), int(c))
+            for g, v, c in zip(rng.integers(0, 3, 300), rng.permutation(300), rng.integers(1, 5, 300))]
+    df = spark.createDataFrame(rows, "k string, v double, c long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")     # sums must carry across batches
+    try:
+        got = {(r.k, r.v): r.cum for r in with_running_total(df, ["v"], "c", group_by=["k"], name="cum").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    exp = {}
+    for k in ("g0", "g1", "g2"):
+        tot = 0
+        for kk, v, c in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            tot += c
+            exp[(kk, v)] = tot
+    assert got == exp
