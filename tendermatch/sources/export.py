@@ -93,16 +93,16 @@ def typed_features(df: DataFrame, exclude: tuple = ()) -> DataFrame:
 def typed_long(df: DataFrame, exclude: tuple = ()) -> DataFrame:
     """S16 in long form: one row per (record, present feature) with its typed value.
 
-    Built by exploding one struct per column and dropping absent features:
-    cheaper than exploding the per-row map when features are inspected in bulk.
+    One typed struct column per feature, then ``unpivot`` (codegen'd Expand)
+    and a filter on absent features: cheaper than exploding per-row maps or
+    arrays when features are inspected in bulk.
     """
     cols = [f for f in df.schema.fields if f.name not in exclude]
     df = parse_lists(df, [f.name for f in cols if isinstance(f.dataType, T.StringType)])
-    items = F.array(*[F.struct(F.lit(f.name).alias("feature"), typed_value(f.name, f.dataType).alias("v"))
-                      for f in cols])
-    ex = df.select(*[F.col(c) for c in exclude], F.explode(items).alias("_tm_f"))
-    return ex.where(F.col("_tm_f.v").isNotNull()).select(*exclude, F.col("_tm_f.feature").alias("feature"),
-                                                         "_tm_f.v.*")
+    wide = df.select(*[F.col(c) for c in exclude],
+                     *[typed_value(f.name, f.dataType).cast(FEATURE_TYPE).alias(f.name) for f in cols])
+    long = wide.unpivot(list(exclude), [f.name for f in cols], "feature", "v")
+    return long.where(F.col("v").isNotNull()).select(*exclude, "feature", "v.*")
 
 
 def untyped(feature: str | Column) -> Column:
