@@ -27,7 +27,7 @@ def incremental_transform_q(spark, sf_dir):
     base = scratch_path(spark, "incremental")
     out = transform_stream(
         spark, sf_dir, schema, glob="orders.parquet",
-        prepare=lambda b: roles.notice_from_orders(b).select(*roles.NOTICE_PK, *NUM, *CAT),
+        prepare=lambda s: roles.notice_from_orders(s).select(*roles.NOTICE_PK, *NUM, *CAT),
         transform=lambda d: preprocess(d, fitted), pk=roles.NOTICE_PK,
         sink=os.path.join(base, "sink"), checkpoint=os.path.join(base, "checkpoint"))
     return out.select(*roles.NOTICE_PK, *[round6(c).alias(c) for c in DENSE], *[F.col(c).cast("long") for c in CAT],

@@ -5,8 +5,16 @@ chunk after chunk and append". Here new input files arrive through a file
 stream source; every micro-batch is transformed with the *fixed* fitted state
 (the categorical lookups are stream-static broadcast joins) and written by
 ``foreachBatch`` into a folder named after the batch id, so a retried batch
-overwrites its own output (exactly-once with the checkpoint). Keys are checked
-inside the batch and against everything written before (PK across chunks).
+overwrites its own output (exactly-once with the checkpoint).
+
+Primary keys are enforced across chunks before a batch is written. The
+default (``key_check="sink"``) checks the batch's keys for duplicates and
+semi-joins them against the key columns already written. That is JVM-side,
+but it scans the sink's keys on every batch. ``key_check="state"`` keeps one
+"seen" flag per key in the streaming state store through
+``applyInPandasWithState``. It does not grow with the sink, but it calls Python
+once per key: about 65 s against 4 s for 150k new keys on local[8]. Use it
+only for streams with few keys per batch.
 """
 
 from __future__ import annotations
@@ -15,6 +23,9 @@ import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tendermatch.operators.contracts import assert_pk
 from tendermatch.operators.text import refresh_vectors
@@ -26,15 +37,52 @@ def _written(spark: SparkSession, sink: str) -> DataFrame | None:
     return spark.read.parquet(sink) if _exists(spark, sink) else None
 
 
+_DUP = "_tm_key_repeated"
+
+
+def _flag_repeated_keys(pk: Sequence[str]):
+    def fn(key, pdfs, state):
+        import pandas as pd
+
+        rows = pd.concat(list(pdfs), ignore_index=True)
+        seen = state.exists
+        if not seen:
+            state.update((True,))
+        yield rows.assign(**{_DUP: bool(seen or len(rows) > 1)})
+    return fn
+
+
+def with_key_state(stream: DataFrame, pk: Sequence[str]) -> DataFrame:
+    """Mark rows whose key repeats within the stream so far (state: one flag per key)."""
+    out_schema = T.StructType(stream.schema.fields + [T.StructField(_DUP, T.BooleanType())])
+    return stream.groupBy(*pk).applyInPandasWithState(
+        _flag_repeated_keys(pk), out_schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def transform_stream(spark: SparkSession, source: str, schema, prepare: Callable[[DataFrame], DataFrame],
                      transform: Callable[[DataFrame], DataFrame], pk: Sequence[str], sink: str, checkpoint: str,
-                     max_files_per_trigger: int = 1, check_keys: bool = True, glob: str | None = None) -> DataFrame:
+                     max_files_per_trigger: int = 1, check_keys: bool = True, glob: str | None = None,
+                     key_check: str = "sink") -> DataFrame:
     """Run the stream over the files of folder ``source`` (optionally matching ``glob``) to
     completion (availableNow) and return the sink contents."""
-    stream = _file_stream(spark, source, schema, glob).option("maxFilesPerTrigger", max_files_per_trigger).load()
+    stream = prepare(_file_stream(spark, source, schema, glob).option("maxFilesPerTrigger",
+                                                                      max_files_per_trigger).load())
+    stateful = check_keys and key_check == "state"
+    if stateful:
+        stream = with_key_state(stream, pk)
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        out = transform(prepare(batch))
+        if stateful:
+            batch = batch.persist()
+            try:
+                if batch.where(F.col(_DUP)).limit(1).count():
+                    raise ValueError(f"batch {epoch} repeats a primary key {list(pk)}")
+                out = transform(batch.drop(_DUP))
+                out.write.mode("overwrite").parquet(os.path.join(sink, f"batch={epoch}"))
+            finally:
+                batch.unpersist()
+            return
+        out = transform(batch)
         if check_keys:
             assert_pk(out, pk)
             before = _written(spark, sink)

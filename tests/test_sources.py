@@ -63,3 +63,15 @@ def test_run_log_row_fills_missing(spark):
     row = S.run_log_row(spark, vals).collect()[0].asDict()
     assert row["val_loss"] == "0.5" and row["test_batches"] == "3" and row["mrr"] == "N/A"
     assert list(row) == S.RUN_LOG_COLUMNS
+
+
+@pytest.mark.parametrize("mode", ["sink", "state"])
+def test_stream_rejects_keys_repeated_across_batches(spark, mode):
+    from tendermatch.streaming.incremental import transform_stream
+    src = S.scratch_path(spark, "stream-src")
+    spark.createDataFrame([(1, 1.0), (2, 2.0)], "k long, x double").coalesce(1).write.parquet(f"{src}/a")
+    spark.createDataFrame([(3, 3.0), (1, 4.0)], "k long, x double").coalesce(1).write.parquet(f"{src}/b")
+    base = S.scratch_path(spark, "stream-out")
+    with pytest.raises(Exception, match="repeat"):
+        transform_stream(spark, f"{src}/*", "k long, x double", prepare=lambda s: s, transform=lambda d: d,
+                         pk=["k"], sink=f"{base}/sink", checkpoint=f"{base}/ck", key_check=mode)
