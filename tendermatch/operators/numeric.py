@@ -92,7 +92,11 @@ def _map_expr(values: dict) -> Column:
 MAX_SINGLE_TASK_DISTINCT = 1_000_000
 
 
-def numeric_fit(df: DataFrame, config: dict, pk: list | None = None) -> NumericModel:
+def numeric_fit(df: DataFrame, config: dict, pk: list | None = None,
+                approx_accuracy: int | None = None) -> NumericModel:
+    """P1. ``approx_accuracy`` (opt-in) replaces the exact rank computation for
+    wide columns by ``percentile_approx`` over the data (fixed-size sketches,
+    rank error about 1/accuracy; results are data values, not interpolated)."""
     cols = [c for c in df.columns if c in config]
     model = NumericModel(config={c: config[c] for c in cols}, pk=list(pk or []))
     if not cols:
@@ -127,7 +131,10 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None) -> NumericM
         for c in mode_cols:
             fills[c] = got[c]["mode"] if c in got and got[c]["mode"] is not None else 0.0
     wide_med = [c for c in med_cols if c not in narrow_med]
-    if wide_med:
+    if wide_med and approx_accuracy:
+        row = df.agg(*[F.percentile_approx(to_double(c), 0.5, approx_accuracy).alias(c) for c in wide_med]).collect()[0]
+        fills.update({c: row[c] for c in wide_med})
+    elif wide_med:
         q = exact_quantiles(hist, [(c, 0.5) for c in wide_med])
         fills.update({c: q[(c, 0.5)] for c in wide_med})
 
@@ -157,6 +164,15 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None) -> NumericM
         lo, hi = config[c]["clip"]
         bounds[c] = (qs.get(lo / 100.0), qs.get(hi / 100.0))
     wide_pct = [c for c in pct_cols if c not in narrow_pct]
+    if wide_pct and approx_accuracy:
+        exprs = []
+        for c in wide_pct:
+            filled_c = F.coalesce(to_double(c), F.lit(fills.get(c)).cast("double"))
+            exprs.append(F.percentile_approx(filled_c, [p / 100.0 for p in config[c]["clip"]], approx_accuracy).alias(c))
+        row = df.agg(*exprs).collect()[0]
+        for c in wide_pct:
+            bounds[c] = (row[c][0], row[c][1]) if row[c] is not None else (None, None)
+        wide_pct = []
     if wide_pct:
         q = exact_quantiles(filled, [(c, p / 100.0) for c in wide_pct for p in config[c]["clip"]])
         for c in wide_pct:

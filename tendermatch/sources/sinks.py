@@ -58,11 +58,17 @@ def ensure_vector_column(df: DataFrame, col: str, dims: int | None = None) -> Da
 
 
 def write_table(df: DataFrame, path: str, pk: Sequence[str], if_exists: str = "fail", fmt: str = "parquet",
-                table: str | None = None) -> None:
-    """S11 + S12 + S13: checked keys, physical schema, mode fail / replace / append."""
+                table: str | None = None, buckets: int | None = None) -> None:
+    """S11 + S12 + S13: checked keys, physical schema, mode fail / replace / append.
+
+    With ``table`` and ``buckets`` the table is bucketed and sorted by its key,
+    so later joins and aggregations on the key read it without a shuffle.
+    """
     out = physical_schema(assert_pk(df, pk), pk)
     w = out.write.mode(MODES[if_exists]).format(fmt)
     if table:
+        if buckets:
+            w = w.bucketBy(buckets, *pk).sortBy(*pk)
         w.option("path", path).saveAsTable(table)
     else:
         w.save(path)

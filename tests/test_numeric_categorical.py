@@ -152,3 +152,16 @@ def test_categorical_unknown_null_rare_threshold(spark):
     assert out2[101] == 4                     # original behaviour: rare labels fall to [UNKNOWN]
     spec = {r.column: r for r in model.spec().collect()}
     assert spec["x"].input_dim == 5 and spec["x"].has_rare_token and spec["x"].has_null_token
+
+
+def test_approximate_quantiles_are_close(spark, monkeypatch):
+    monkeypatch.setattr(N, "MAX_SINGLE_TASK_DISTINCT", 3)
+    rng = np.random.default_rng(9)
+    vals = rng.normal(100, 20, 2000)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "id long, x double")
+    cfg = {"x": {"fill": "median", "clip": [5, 95]}}
+    model = numeric_fit(df, cfg, ["id"], approx_accuracy=10_000)
+    s = model.stats["x"]
+    rank = lambda q: np.searchsorted(np.sort(vals), q) / len(vals)
+    assert abs(rank(s["fill_value"]) - 0.5) < 0.01
+    assert abs(rank(s["clip_low"]) - 0.05) < 0.01 and abs(rank(s["clip_high"]) - 0.95) < 0.01

@@ -75,3 +75,24 @@ def test_stream_rejects_keys_repeated_across_batches(spark, mode):
     with pytest.raises(Exception, match="repeat"):
         transform_stream(spark, f"{src}/*", "k long, x double", prepare=lambda s: s, transform=lambda d: d,
                          pk=["k"], sink=f"{base}/sink", checkpoint=f"{base}/ck", key_check=mode)
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    import io
+    from contextlib import redirect_stdout
+    a = spark.range(200).select(F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("x"))
+    b = spark.range(200).select(F.col("id").cast("string").alias("k"), (F.col("id") * 3).alias("y"))
+    S.write_table(a, S.scratch_path(spark, "ta"), ["k"], if_exists="replace", table="tm_bucket_a", buckets=4)
+    S.write_table(b, S.scratch_path(spark, "tb"), ["k"], if_exists="replace", table="tm_bucket_b", buckets=4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        j = spark.table("tm_bucket_a").join(spark.table("tm_bucket_b"), "k")
+        buf = io.StringIO()
+        with redirect_stdout(buf):
+            j.explain()
+        assert "Exchange" not in buf.getvalue()
+        assert j.count() == 200
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sql("DROP TABLE IF EXISTS tm_bucket_a")
+        spark.sql("DROP TABLE IF EXISTS tm_bucket_b")
