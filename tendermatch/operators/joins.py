@@ -46,6 +46,12 @@ def key_coverage(requested: DataFrame, returned: DataFrame, keys: Sequence[str])
     """
     req = requested.select(*keys).distinct()
     ret = returned.select(*keys).distinct()
-    missing = req.join(ret, [req[k].eqNullSafe(ret[k]) for k in keys], "left_anti").withColumn("side", F.lit("missing"))
-    extra = ret.join(req, [ret[k].eqNullSafe(req[k]) for k in keys], "left_anti").withColumn("side", F.lit("extra"))
+
+    def anti(left: DataFrame, right: DataFrame) -> DataFrame:
+        # the right side is renamed so inputs of the same lineage cannot be confused
+        r = right.select(*[F.col(k).alias(f"_tm_r_{k}") for k in keys])
+        return left.join(r, [F.col(k).eqNullSafe(F.col(f"_tm_r_{k}")) for k in keys], "left_anti")
+
+    missing = anti(req, ret).withColumn("side", F.lit("missing"))
+    extra = anti(ret, req).withColumn("side", F.lit("extra"))
     return missing.unionByName(extra).select("side", *keys)

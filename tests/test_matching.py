@@ -207,3 +207,10 @@ def test_weighted_running_total_across_batches_and_groups(spark):
             tot += c
             exp[(kk, v)] = tot
     assert got == exp
+
+
+def test_key_coverage_same_lineage_and_nulls(spark):
+    from tendermatch.operators.joins import key_coverage
+    base = spark.createDataFrame([(1,), (2,), (None,)], "k long")
+    got = {(r.side, r.k) for r in key_coverage(base, base.where("k IS NULL OR k = 1"), ["k"]).collect()}
+    assert got == {("missing", 2)}
