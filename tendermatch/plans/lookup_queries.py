@@ -153,7 +153,7 @@ def page_scan_q(spark, sf_dir):
 SELECT notice_no, notice_ord, {r6('o_totalprice')} AS o_totalprice, o_custkey, o_orderstatus, o_orderpriority
 FROM notice""")
 def select_except_q(spark, sf_dir):
-    out = L.select_except(roles.notice(spark, sf_dir), ["registered_at", "o_clerk_bucket"])
+    out = L.select_except(roles.notice(spark, sf_dir), ["registered_at", "o_cust_bucket"])
     return out.withColumn("o_totalprice", round6("o_totalprice"))
 
 

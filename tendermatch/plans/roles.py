@@ -28,7 +28,7 @@ NOTICE_NUMERIC = {
 NOTICE_CATEGORICAL = {
     "o_orderstatus": {"encoding_method": "label"},
     "o_orderpriority": {"encoding_method": "label"},
-    "o_clerk_bucket": {"encoding_method": "label", "rare_threshold": 0.0065},
+    "o_cust_bucket": {"encoding_method": "label", "rare_threshold": 0.0065},
 }
 COMPANY_NUMERIC = {
     "s_acctbal": {"fill": "median", "log1p": False, "scale": "none", "add_flag": True, "clip_abs": [0.0, 1000000.0]},
@@ -60,7 +60,7 @@ def notice_from_orders(o: DataFrame) -> DataFrame:
         F.when(k % 17 != 0, F.col("o_orderstatus")).alias("o_orderstatus"),
         F.col("o_orderpriority"),
         # a high-cardinality label with a long tail: customer key bucket
-        F.concat(F.lit("C"), (F.col("o_custkey") % 150).cast("string")).alias("o_clerk_bucket"),
+        F.concat(F.lit("C"), (F.col("o_custkey") % 150).cast("string")).alias("o_cust_bucket"),
         F.col("o_orderdate").alias("registered_at"),
     )
 

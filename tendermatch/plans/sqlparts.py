@@ -6,7 +6,7 @@ NOTICE_CTE = """notice AS (
          CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS o_custkey,
          CASE WHEN o_orderkey % 17 <> 0 THEN o_orderstatus END AS o_orderstatus,
          o_orderpriority,
-         'C' || CAST(o_custkey % 150 AS VARCHAR) AS o_clerk_bucket,
+         'C' || CAST(o_custkey % 150 AS VARCHAR) AS o_cust_bucket,
          o_orderdate AS registered_at
   FROM orders)"""
 

@@ -181,7 +181,7 @@ SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(row AS INTEGER) AS row, CAST(k
        CASE WHEN k = 2 THEN least(greatest(v, 0), 49) ELSE v END AS idx FROM ({_CAT_ROWS})""")
 def jagged_unpack_q(spark, sf_dir):
     p = J.pack(_batched_store(spark, sf_dir), CAT, "categorical", "row_major")
-    u = J.unpack(p, {"o_clerk_bucket": 50})
+    u = J.unpack(p, {"o_cust_bucket": 50})
     return u.select("batch_id", "row", F.col("key_pos").cast("int"), F.col("idx").cast("long"))
 
 
@@ -230,7 +230,7 @@ cf AS (SELECT bizno, CAST(CAST(least(greatest(s_acctbal, 0.0), 1000000.0) AS FLO
 pair AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_suppkey) - 1 AS id,
                 CAST(l_orderkey AS VARCHAR) AS notice_no, '000' AS notice_ord, CAST(l_suppkey AS VARCHAR) AS bizno
          FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)),
-j AS (SELECT p.id, f.o_totalprice AS nd0, f.o_orderstatus + f.o_orderpriority + f.o_clerk_bucket AS ncat,
+j AS (SELECT p.id, f.o_totalprice AS nd0, f.o_orderstatus + f.o_orderpriority + f.o_cust_bucket AS ncat,
              c.n_idx + c.r_idx AS ccat, c.acct
       FROM pair p JOIN feat f USING (notice_no, notice_ord) JOIN cf c USING (bizno)),
 b AS (SELECT *, (row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '|' || '42'), id) - 1) // {BATCH} AS batch_id

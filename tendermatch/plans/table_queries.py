@@ -119,9 +119,9 @@ def table_sink_roundtrip_q(spark, sf_dir):
 
 
 _PROFILE_COLS = ["notice_no", "notice_ord", "o_totalprice", "o_custkey", "o_orderstatus", "o_orderpriority",
-                 "o_clerk_bucket", "registered_at"]
+                 "o_cust_bucket", "registered_at"]
 _ROLES = {"notice_no": "pk", "notice_ord": "pk", "o_totalprice": "numeric", "o_custkey": "numeric",
-          "o_orderstatus": "categorical", "o_orderpriority": "categorical", "o_clerk_bucket": "categorical",
+          "o_orderstatus": "categorical", "o_orderpriority": "categorical", "o_cust_bucket": "categorical",
           "registered_at": "dropped"}
 
 
@@ -137,7 +137,7 @@ def column_profile_q(spark, sf_dir):
 @query("vocab_sizes", oracle=with_(NOTICE_CTE) + """
 SELECT 'o_orderstatus' AS "column", CAST(count(DISTINCT o_orderstatus) + 10 AS BIGINT) AS vocab_size FROM notice
 UNION ALL SELECT 'o_orderpriority', CAST(count(DISTINCT o_orderpriority) + 10 AS BIGINT) FROM notice
-UNION ALL SELECT 'o_clerk_bucket', CAST(count(DISTINCT o_clerk_bucket) + 10 AS BIGINT) FROM notice
+UNION ALL SELECT 'o_cust_bucket', CAST(count(DISTINCT o_cust_bucket) + 10 AS BIGINT) FROM notice
 UNION ALL SELECT 'unprofiled_code', CAST(1000 AS BIGINT)""")
 def vocab_sizes_q(spark, sf_dir):
     p = column_profile(roles.notice(spark, sf_dir), roles.NOTICE_PK, categorical=list(roles.NOTICE_CATEGORICAL))
