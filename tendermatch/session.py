@@ -68,13 +68,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def materialize(df: DataFrame, mode: str = "persist") -> DataFrame:
+MATERIALIZE_CONF = "spark.tendermatch.materialize"
+
+
+def materialize(df: DataFrame, mode: str | None = None) -> DataFrame:
     """Pin an intermediate result that is read more than once.
 
-    ``persist`` keeps blocks in memory/disk; lost blocks are recomputed from a
-    deterministic lineage (all our pinned plans order by unique keys).
-    ``checkpoint`` writes to the shared checkpoint folder and cuts lineage.
+    ``persist`` (default) keeps blocks in memory/disk; lost blocks are
+    recomputed from a deterministic lineage (all our pinned plans order by
+    unique keys). ``checkpoint`` writes to the shared checkpoint folder
+    (``spark.checkpoint.dir``) and cuts lineage -- choose it for very long
+    pipelines or unreliable executors with ``spark.tendermatch.materialize``.
     """
+    mode = mode or df.sparkSession.conf.get(MATERIALIZE_CONF, "persist")
     if mode == "checkpoint":
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)

@@ -214,3 +214,13 @@ def test_key_coverage_same_lineage_and_nulls(spark):
     base = spark.createDataFrame([(1,), (2,), (None,)], "k long")
     got = {(r.side, r.k) for r in key_coverage(base, base.where("k IS NULL OR k = 1"), ["k"]).collect()}
     assert got == {("missing", 2)}
+
+
+def test_row_index_with_checkpointed_intermediates(spark):
+    spark.conf.set("spark.tendermatch.materialize", "checkpoint")
+    try:
+        df = spark.range(100).select((F.col("id") * 37 % 100).alias("k"))
+        idx = {r.k: r.row_idx for r in with_row_index(df, ["k"]).collect()}
+    finally:
+        spark.conf.unset("spark.tendermatch.materialize")
+    assert idx == {k: k for k in range(100)}
