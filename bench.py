@@ -31,6 +31,14 @@ HEADLINE = [
 ]
 
 
+def _sf_value(sf_dir: str):
+    tag = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        return float(tag)
+    except ValueError:
+        return tag
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -82,7 +90,7 @@ def main() -> None:
         "eval_similarity_cells_per_s": round(vec_pairs * 50 / times["eval_summary"], 1),
     }
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
+                      "queries": times, "sf": _sf_value(sf_dir),
                       "throughput": throughput}))
     spark.stop()
 
