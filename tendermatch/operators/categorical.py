@@ -153,11 +153,38 @@ def encode_column(df: DataFrame, c: str, model: CategoricalModel, out: str | Non
             .drop(key, f"_lab_{c}", f"_idx_{c}"))
 
 
+def encode_wide(df: DataFrame, cols: list[str], model: CategoricalModel, pk: list[str]) -> DataFrame:
+    """Encode several large-vocabulary columns with one shuffle join instead of one per column.
+
+    The columns are unpivoted to (key, column, label), joined once with the
+    lookup on (column, label) (AQE splits hot labels), and pivoted back by
+    the key. The key must be unique, as the table sink requires.
+    """
+    long = df.select(*pk, *[label_expr(c).alias(c) for c in cols]).unpivot(pk, cols, "column", "label")
+    lk = model.lookup.where(F.col("column").isin(cols))
+    unknown = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(model.info[c]["unknown_idx"]).cast("long"))])
+    j = long.join(lk, ["column", "label"], "left").select(
+        *pk, "column", F.coalesce(F.col("idx"), unknown[F.col("column")]).alias("idx"))
+    return j.groupBy(*pk).agg(*[F.max(F.when(F.col("column") == c, F.col("idx"))).alias(f"_enc_{c}") for c in cols])
+
+
 def categorical_transform(df: DataFrame, model: CategoricalModel, pk: list | None = None) -> DataFrame:
-    """PK, one index per column (input order), then ``*_is_null`` flags (always)."""
+    """PK, one index per column (input order), then ``*_is_null`` flags (always).
+
+    Vocabularies that fit the broadcast bound are broadcast lookups (no
+    shuffle). Two or more larger ones are encoded together by ``encode_wide``
+    (three shuffles in total, whatever their number).
+    """
     pk = list(pk if pk is not None else model.pk)
     cols = [c for c in df.columns if c in model.info and c not in pk]
     flagged = df.select(*pk, *cols, *[null_flag(c).alias(f"{c}_is_null") for c in cols])
+    large = [c for c in cols if model.info[c]["lookup_rows"] > MAX_BROADCAST_ROWS]
+    wide = large if (len(large) >= 2 and pk) else []
     for c in cols:
-        flagged = encode_column(flagged, c, model, out=f"_enc_{c}")
+        if c not in wide:
+            flagged = encode_column(flagged, c, model, out=f"_enc_{c}")
+    if wide:
+        enc = encode_wide(flagged, wide, model, pk)
+        keys = [flagged[k].eqNullSafe(enc[k]) for k in pk]
+        flagged = flagged.join(enc, keys, "left").select(flagged["*"], *[enc[f"_enc_{c}"] for c in wide])
     return flagged.select(*pk, *[F.col(f"_enc_{c}").alias(c) for c in cols], *[f"{c}_is_null" for c in cols])

@@ -165,3 +165,15 @@ def test_approximate_quantiles_are_close(spark, monkeypatch):
     rank = lambda q: np.searchsorted(np.sort(vals), q) / len(vals)
     assert abs(rank(s["fill_value"]) - 0.5) < 0.01
     assert abs(rank(s["clip_low"]) - 0.05) < 0.01 and abs(rank(s["clip_high"]) - 0.95) < 0.01
+
+
+def test_wide_encoding_matches_broadcast_encoding(spark, monkeypatch):
+    import tendermatch.operators.categorical as C
+    rows = [(i, f"a{i % 7}", None if i % 5 == 0 else f"b{i % 11}", f"c{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x string, y string, z string")
+    model = categorical_fit(df, {"x": {}, "y": {"rare_threshold": 0.05}, "z": {}}, ["id"])
+    new = df.union(spark.createDataFrame([(100, "zzz", "b1", None)], "id long, x string, y string, z string"))
+    expect = sorted(map(tuple, categorical_transform(new, model).collect()))
+    monkeypatch.setattr(C, "MAX_BROADCAST_ROWS", 1)        # every vocabulary is now "large"
+    got = sorted(map(tuple, categorical_transform(new, model).collect()))
+    assert got == expect
