@@ -178,13 +178,19 @@ def categorical_transform(df: DataFrame, model: CategoricalModel, pk: list | Non
     pk = list(pk if pk is not None else model.pk)
     cols = [c for c in df.columns if c in model.info and c not in pk]
     flagged = df.select(*pk, *cols, *[null_flag(c).alias(f"{c}_is_null") for c in cols])
+    flagged = encode_all(flagged, cols, model, pk)
+    return flagged.select(*pk, *[F.col(f"_enc_{c}").alias(c) for c in cols], *[f"{c}_is_null" for c in cols])
+
+
+def encode_all(df: DataFrame, cols: list[str], model: CategoricalModel, pk: list[str]) -> DataFrame:
+    """Add ``_enc_<column>`` indices for ``cols``: broadcast lookups, or ``encode_wide`` for 2+ large ones."""
     large = [c for c in cols if model.info[c]["lookup_rows"] > MAX_BROADCAST_ROWS]
     wide = large if (len(large) >= 2 and pk) else []
     for c in cols:
         if c not in wide:
-            flagged = encode_column(flagged, c, model, out=f"_enc_{c}")
+            df = encode_column(df, c, model, out=f"_enc_{c}")
     if wide:
-        enc = encode_wide(flagged, wide, model, pk)
-        keys = [flagged[k].eqNullSafe(enc[k]) for k in pk]
-        flagged = flagged.join(enc, keys, "left").select(flagged["*"], *[enc[f"_enc_{c}"] for c in wide])
-    return flagged.select(*pk, *[F.col(f"_enc_{c}").alias(c) for c in cols], *[f"{c}_is_null" for c in cols])
+        enc = encode_wide(df, wide, model, pk)
+        keys = [df[k].eqNullSafe(enc[k]) for k in pk]
+        df = df.join(enc, keys, "left").select(df["*"], *[enc[f"_enc_{c}"] for c in wide])
+    return df

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tendermatch.functions.numeric import null_flag
-from tendermatch.operators.categorical import CategoricalModel, categorical_fit, encode_column
+from tendermatch.operators.categorical import CategoricalModel, categorical_fit, encode_all
 from tendermatch.operators.joins import merge_one_to_one
 from tendermatch.operators.numeric import NumericModel, numeric_columns, numeric_fit
 from tendermatch.operators.text import text_transform
@@ -70,9 +70,7 @@ def preprocess(df: DataFrame, fitted: FittedPipeline, validate: bool = True) ->
     num_cols = [c for c in fitted.numeric_cols if c in df.columns]
     cat_cols = [c for c in fitted.categorical_cols if c in df.columns]
     text_cols = [c for c in fitted.text_config if c in df.columns]
-    cur = df
-    for c in cat_cols:
-        cur = encode_column(cur, c, fitted.categorical, out=f"_enc_{c}")
+    cur = encode_all(df, cat_cols, fitted.categorical, pk)
     out = cur.select(
         *pk,
         *[numeric_columns(fitted.numeric, c).alias(c) for c in num_cols],
