@@ -224,3 +224,19 @@ def test_row_index_with_checkpointed_intermediates(spark):
     finally:
         spark.conf.unset("spark.tendermatch.materialize")
     assert idx == {k: k for k in range(100)}
+
+
+def test_join_small_checks_bytes_not_only_rows(spark):
+    import io
+    from contextlib import redirect_stdout
+    from tendermatch.operators import joins
+    big = spark.range(50).withColumnRenamed("id", "k")
+    wide = spark.range(10).select(F.col("id").alias("k"), F.array_repeat(F.lit(1.0), 1000).alias("v"))
+
+    def plan(df):
+        buf = io.StringIO()
+        with redirect_stdout(buf):
+            df.explain()
+        return buf.getvalue()
+    assert "BroadcastHashJoin" in plan(joins.join_small(big, wide, ["k"]))
+    assert "BroadcastHashJoin" not in plan(joins.join_small(big, wide, ["k"], max_broadcast_bytes=10_000))
