@@ -12,9 +12,13 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from tendermatch.session import build_session
 
-    s = build_session("local[4]", shuffle_partitions=4)
+    # catalog tables of the tests live in a scratch warehouse, not in the repository
+    s = build_session("local[4]", shuffle_partitions=4,
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tm-warehouse-")})
     yield s
     s.stop()
 
