@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,29 +40,29 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared file system folder and is read
-    as is. Only when it is unset (local tests) do we create a scratch folder.
+    It is read from the session. Where it is unset a single-machine session
+    (``local[...]``) gets a folder under its warehouse; on a cluster an unset
+    folder is an error, because executors could not read each other's files.
     """
     sc = spark.sparkContext
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if conf_dir:
-        if not current:
-            sc.setCheckpointDir(conf_dir)
-        return conf_dir
-    if current:
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if not named and current:
         return current
-    local = tempfile.mkdtemp(prefix="tendermatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        spark.conf.set("spark.checkpoint.dir", named)
+    if not current:
+        sc.setCheckpointDir(named)
+    return named
 
 
 MATERIALIZE_CONF = "spark.tendermatch.materialize"
