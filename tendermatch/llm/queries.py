@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tendermatch.llm import bpe, exact_dedup, line_dedup, url_filter
-from tendermatch.llm.common import read
+from tendermatch.llm import bpe, embedding_dedup, exact_dedup, html_extract, line_dedup, minhash_dedup, mixing, quality_mil, url_filter
+from tendermatch.llm.common import read, remainder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,6 +19,23 @@ def rank_file(name: str = VOCABULARY) -> bytes:
         return f.read()
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_mil.Model | None:
+    """Fitted on labelled rows that are not held out (crc32 of the id modulo 3 is not 1)."""
+    labels = read(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1).select("doc_id", "quality")
+    labels = labels.dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(quality_mil.TRAIN_DOCS)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_mil.train(docs.join(F.broadcast(labels), "doc_id"))      # at most TRAIN_DOCS rows
+
+
+def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 3) == 1).alias("held_out"))
+    return quality_mil.score(docs, quality_model(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read(spark, sf_dir, "documents"))
 
@@ -26,6 +44,19 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mix(read(spark, sf_dir, "documents"))
+    return drawn.select("own.doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.classes(read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -34,11 +65,66 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_url_filter, op9_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_mil, op3_line_dedup, op4_url_filter, op5_mixing, op7_pivot_index, op8_bag_minhash, op9_exact_dedup, op10_byte_bpe)}
 
 #: White space of the contracts, for string literals of DuckDB.
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _mixing_sql() -> str:
+    """Budgets level by level, then the seeded prefix of every leaf."""
+    def level(depth: int) -> str:
+        names = mixing.LEVELS[:depth + 1]
+        parent, by, name = names[:-1], ", ".join(names), names[-1]
+        known = {k: v for k, v in mixing.WEIGHTS[name].items() if k != "*"}
+        cases = " ".join(f"when {name} = '{k}' then {v}" for k, v in known.items())
+        rest = mixing.WEIGHTS[name]["*"]
+        weight = f"(case {cases} else {rest} end)" if cases else str(rest)
+        part = f"partition by {', '.join(parent)}" if parent else ""
+        full = f"partition by {', '.join([*parent, 'is_full'])}"
+        given = f"join share{depth - 1} using ({', '.join(parent)})" if parent else (
+            f"cross join (select least(sum(cap), sum(tokens) * {mixing.SHARE[0]} // {mixing.SHARE[1]}) as given from leaves)")
+        return f"""
+node{depth} as (
+  select n.*, given from (select {by}, sum(cap)::hugeint as cap, {weight}::hugeint as weight from leaves group by {by}) n {given}),
+laid{depth} as (
+  select *, given - (sum(cap) over upto - cap) as remains, sum(weight) over (upto rows between current row and unbounded following) as others
+  from node{depth} window upto as ({part} order by cap::double / weight::double, {name})),
+fill{depth} as (
+  select *, min((remains * weight >= cap * others)::int) over ({part} order by cap::double / weight::double, {name}) = 1 as is_full
+  from laid{depth}),
+pool{depth} as (
+  select *, max(remains) over ({full}) as pool, (max(remains) over ({full}) * weight) // sum(weight) over ({full}) as part,
+         row_number() over ({full} order by {name}) as nth from fill{depth}),
+share{depth} as (
+  select {by}, case when is_full then cap else least(cap, part + (nth <= pool - sum(part) over ({full}))::int) end as given
+  from pool{depth})"""
+    curated = ", ".join(f"'{s}'" for s in mixing.CURATED)
+    by = ", ".join(mixing.LEVELS)
+    return f"""
+with own as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         case when coalesce(source, '') = 'src0' then 'bulk' when source in ({curated}) then 'curated' else 'other' end as domain,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as n_tokens from documents),
+leaves as (
+  select {by}, sum(n_tokens) as tokens, sum(n_tokens) * {mixing.EPOCHS} as cap from own group by {by}),
+{",".join(level(k) for k in range(3)).strip()},
+plan as (
+  select {by}, given // greatest(tokens, 1) as whole, given - tokens * (given // greatest(tokens, 1)) as rest
+  from leaves join share2 using ({by})),
+keyed as (
+  select own.*, whole, rest, md5('{mixing.SEED}:' || (whole + 1)::bigint || ':' || coalesce(doc_id::varchar, '')) as key
+  from own join plan using ({by})),
+ahead as (
+  select *, coalesce(sum(n_tokens) over (partition by {by} order by key range between unbounded preceding and current row)
+                     - sum(n_tokens) over (partition by {by}, key), 0) as before from keyed),
+times as (
+  select *, whole + (rest > 0 and before < rest)::int as n from ahead)
+select doc_id, domain, lang, source, n_tokens, u.epoch::int as epoch
+from times, lateral (select unnest(range(1, n::bigint + 1)) as epoch) u"""
+
+
 ORACLES = {
     "op3_line_dedup": f"""
 with lines as (
@@ -67,6 +153,7 @@ best as (
          arg_max(r_verdict, length(r_host || r_path)) as verdict
   from parts join rules on (host = r_host or ends_with(host, '.' || r_host)) and starts_with(path, r_path) group by page_id)
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join best using (page_id)""",
+    "op5_mixing": _mixing_sql(),
     "op9_exact_dedup": """
 with own as (
   select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents)
