@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermatch.llm import bpe, embedding_dedup, exact_dedup, html_extract, line_dedup, minhash_dedup, mixing, quality_mil, url_filter
+from tendermatch.llm import bpe, embedding_dedup, exact_dedup, html_extract, line_dedup, lm_score, minhash_dedup, mixing, quality_mil, url_filter
 from tendermatch.llm.common import read, remainder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -49,6 +49,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("own.doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose crc32 of the id modulo 10 is not 0."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_score.score(docs, remainder("doc_id", 10) != 0, rank_file(), public_tokenizers.PATTERN)
+    return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -65,7 +73,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_mil, op3_line_dedup, op4_url_filter, op5_mixing, op7_pivot_index, op8_bag_minhash, op9_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_mil, op3_line_dedup, op4_url_filter, op5_mixing, op6_lm_score, op7_pivot_index, op8_bag_minhash, op9_exact_dedup, op10_byte_bpe)}
 
 #: White space of the contracts, for string literals of DuckDB.
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
