@@ -28,6 +28,8 @@ THRESHOLD = 0.95
 NEAREST = 8               # pivots that describe a vector
 MIN_SHARED = 1            # pivots that a pair must share
 MIN_PIVOTS, MAX_PIVOTS = 16, 4096
+SAMPLE = 4                # vectors looked at per pivot
+APART = 0.6               # pivots have a cosine below this, so that a dense group does not hold many of them
 BLOCK = 2048              # vectors of a list that one task compares with as many others
 STRIPE = 256              # rows of a block compared at once
 
@@ -37,6 +39,19 @@ def n_pivots(n: int) -> int:
     return int(np.clip(2 ** np.ceil(np.log2(2 * max(1, n) ** 0.5)), MIN_PIVOTS, MAX_PIVOTS))
 
 
+def choose_pivots(unit: np.ndarray, most: int, apart: float = APART) -> np.ndarray:
+    """The first ``most`` rows that are not near a row chosen before."""
+    chosen = np.zeros((min(most, len(unit)), unit.shape[1] if unit.ndim == 2 else 1))
+    n = 0
+    for row in unit:
+        if n == len(chosen):
+            break
+        if not n or (chosen[:n] @ row).max() < apart:
+            chosen[n] = row
+            n += 1
+    return chosen[:n]
+
+
 def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     """Numbers of the nearest pivots of each row, nearest first; of equally near ones the smaller number."""
     k = min(nearest, len(pivots))
@@ -125,8 +140,9 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
                .dropDuplicates(["k1", "k2"]))
     vectors = pin(vectors, "vec-vectors")
     count = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("k1", "k2"), "k1", "k2").limit(n_pivots(count)).select("vec").toPandas()   # bounded
-    pivots = spark.sparkContext.broadcast(_unit(_matrix(sample["vec"])) if len(sample) else np.zeros((0, 1)))
+    wanted = n_pivots(count)
+    sample = vectors.orderBy(F.xxhash64("k1", "k2"), "k1", "k2").limit(SAMPLE * wanted).select("vec").toPandas()   # bounded
+    pivots = spark.sparkContext.broadcast(choose_pivots(_unit(_matrix(sample["vec"])), wanted) if len(sample) else np.zeros((0, 1)))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
