@@ -82,19 +82,16 @@ def _share(nodes: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
                            ).drop("before", "others", "full", "pool", "pool_weight", "part", "spare")
 
 
-def budgets(leaves: DataFrame, total: Column, epochs: int, weights: dict[str, dict[str, int]],
+def budgets(leaves: DataFrame, total: int, epochs: int, weights: dict[str, dict[str, int]],
             levels: Sequence[str] = LEVELS) -> DataFrame:
-    """``levels..., tokens, budget`` of every leaf. ``leaves``: levels and their ``tokens``."""
+    """``levels..., budget`` added to every leaf. ``leaves``: levels and their ``tokens``; ``total``: tokens wanted."""
     tree = leaves.withColumn("cap", F.col("tokens") * epochs)
     given: DataFrame | None = None
     for depth, name in enumerate(levels):
         parent = list(levels[:depth])
         nodes = (tree.groupBy(*levels[:depth + 1]).agg(F.sum("cap").cast("bigint").alias("cap"))
                  .withColumn("weight", weight_of(name, weights)))
-        if given is None:
-            nodes = nodes.join(F.broadcast(tree.agg(F.least(F.sum("cap"), total).cast("bigint").alias("given"))))      # one row
-        else:
-            nodes = nodes.join(given, parent)
+        nodes = nodes.withColumn("given", F.lit(total).cast("bigint")) if given is None else nodes.join(given, parent)
         given = _share(nodes, parent, name).select(*levels[:depth + 1], F.col("budget").alias("given"))
     return leaves.join(given.withColumnRenamed("given", "budget"), list(levels))
 
@@ -156,7 +153,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     light = pin(own.drop("own"), "mix-light")
     leaves = light.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     leaves = pin(leaves, "mix-leaves")
-    total = F.expr(f"sum(tokens) * {share[0]} div {share[1]}")
+    tokens = leaves.agg(F.sum("tokens")).collect()[0][0] or 0
+    total = min(tokens * epochs, tokens * share[0] // share[1])
     filled = pin(budgets(leaves, total, epochs, weights), "mix-budgets")
     drawn = pin(cuts(light, filled, seed).where("full > 0 or cut is not null"), "mix-cuts")
 

@@ -56,16 +56,15 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
              .select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), "verdict",
                      _digest(F.col("host"), F.col("path")).alias("full")))
     known = known.withColumn("prefix", F.substring("full", 1, PREFIX_HEX))
-    # paths are cut where some rule's path ends; there are few such lengths
-    lengths = known.agg(F.collect_set(F.length("r_path")).alias("lengths"))
+    # paths are cut where some rule's path ends: there are no more such lengths than a path has characters
+    lengths = F.array(*[F.lit(r[0]) for r in known.select(F.length("r_path")).distinct().collect()]).cast("array<int>")
 
     parts = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(parts)),
                         lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    paths = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n))
+    paths = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n))
     distinct = own.select("host", "path").where("host <> ''").distinct()
-    expressions = (distinct.join(F.broadcast(lengths))          # one row
-                   .select("host", "path", F.explode(hosts).alias("e_host"), paths.alias("paths"))
+    expressions = (distinct.select("host", "path", F.explode(hosts).alias("e_host"), paths.alias("paths"))
                    .select("host", "path", "e_host", F.explode("paths").alias("e_path"))
                    .withColumn("e_full", _digest(F.col("e_host"), F.col("e_path")))
                    .withColumn("prefix", F.substring("e_full", 1, PREFIX_HEX)))

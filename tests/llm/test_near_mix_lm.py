@@ -206,7 +206,7 @@ def test_budgets_move_shortages_to_siblings_first(spark):
     weights = {"domain": {"a": 3, "b": 1}, "lang": {"en": 2, "*": 1}, "source": {"*": 1}}
     leaves = [("a", "en", "s1", 100), ("a", "en", "s2", 900), ("a", "de", "s1", 50), ("b", "en", "s1", 5000), ("b", "fr", "s9", 10), ("a", "en", "s3", 0)]
     table = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
-    got = {tuple(r[:3]): r.budget for r in mixing.budgets(table, F.lit(2000), 1, weights).collect()}
+    got = {tuple(r[:3]): r.budget for r in mixing.budgets(table, 2000, 1, weights).collect()}
     tree = defaultdict(int)
     for d, g, s, n in leaves:
         tree[d] += n
