@@ -23,9 +23,10 @@ def null_flag(c: str | Column) -> Column:
     return (col.isNull() | nan).cast("float")
 
 
-def clip(c: str | Column, lo: float, hi: float) -> Column:
+def clip(c: str | Column, lo: float | Column, hi: float | Column) -> Column:
     """V3: least(greatest(c, lo), hi); NULL stays NULL."""
-    return F.least(F.greatest(_c(c), F.lit(lo)), F.lit(hi))
+    col = _c(c)
+    return F.when(col.isNotNull(), F.least(F.greatest(col, F.lit(lo)), F.lit(hi)))
 
 
 def clip_or_fill(c: str | Column, lo: float, hi: float, fill: float | None) -> Column:
@@ -34,7 +35,7 @@ def clip_or_fill(c: str | Column, lo: float, hi: float, fill: float | None) -> C
     return F.when(col.between(F.lit(lo), F.lit(hi)) | col.isNull(), col).otherwise(F.lit(fill).cast("double"))
 
 
-def out_of_range_to_null(c: str | Column, lo: float, hi: float) -> Column:
+def out_of_range_to_null(c: str | Column, lo: float | Column, hi: float | Column) -> Column:
     col = _c(c)
     return F.when(col.between(F.lit(lo), F.lit(hi)), col)
 

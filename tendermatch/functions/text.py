@@ -31,33 +31,37 @@ def clean_text(c: str | Column, strip: bool = True, lowercase: bool = True, fill
 def tokens(c: str | Column) -> Column:
     """Whole-text white-space tokenisation (no truncation): every white-space
     character becomes a space (``translate``), then split on runs of spaces.
-    May yield empty tokens at the ends; ``hashed_pool`` drops them."""
+    May yield empty tokens at the ends; ``hashed_embedding`` drops them."""
     return F.split(F.translate(_c(c), WHITESPACE, " " * len(WHITESPACE)), " +")
 
 
-def token_hash(tok: Column) -> Column:
-    """First 32 bits of md5(token) as a long (computed once per token)."""
-    return F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long")
+def token_hash(tok: Column, block: int = 0) -> Column:
+    """32 bits for dimensions 8 * block to 8 * block + 7: a quarter of the token's md5, from
+    dimension 32 on of the md5 of the token and a running number."""
+    text = F.md5(tok) if block < 4 else F.md5(F.concat(tok, F.lit(f"#{block // 4}")))
+    return F.conv(F.substring(text, 8 * (block % 4) + 1, 8), 16, 10).cast("long")
 
 
-def hashed_pool(df: DataFrame, keys: list[str], col: str, dim: int = 8, out: str | None = None) -> DataFrame:
-    """Offline encoder: masked mean pooling (V10) of hashed token vectors over the whole text.
+def hashed_embedding(df: DataFrame, col: str, dim: int = 8, out: str | None = None) -> DataFrame:
+    """Offline encoder: mean of hashed token vectors over the whole text, row by row.
 
-    Tokens are exploded and pooled by a grouped sum that Spark combines
-    map-side: all tokens of a row live in one task, so each task emits one
-    partial row per text and the shuffle carries ``dim + 1`` numbers per text.
-    Every expression is codegen'd. An empty text pools to zeros
-    (0 / max(count, 1e-6)). ``keys`` must identify rows uniquely.
+    ``df`` with the vector in ``out`` (default: in place of the text). No key,
+    no shuffle: rows stay one to one. A NULL or empty text pools to zeros.
     """
-    if not 0 < dim <= 8:
-        raise ValueError("the hashed encoder supports 1..8 dimensions")
     out = out or col
-    ex = df.select(*keys, F.explode_outer(tokens(col)).alias("_tm_tok"))
-    tok = F.when(F.length("_tm_tok") > 0, F.col("_tm_tok"))
-    h = ex.select(*keys, token_hash(tok).alias("_tm_h"))
-    comps = [F.sum((F.shiftright("_tm_h", 4 * (7 - k)).bitwiseAND(15).cast("double") - 7.5) / 7.5).alias(f"_tm_d{k}")
-             for k in range(dim)]
-    agg = h.groupBy(*keys).agg(*comps, F.count("_tm_h").alias("_tm_n"))
-    n = F.greatest(F.col("_tm_n").cast("double"), F.lit(1e-6))
-    vec = F.array(*[F.coalesce(F.col(f"_tm_d{k}"), F.lit(0.0)) / n for k in range(dim)])
-    return agg.select(*keys, vec.alias(out))
+    blocks = range(-(-dim // 8))
+    toks = df.withColumn("_tm_tok", F.filter(tokens(F.coalesce(F.col(col), F.lit(""))), lambda t: F.length(t) > 0))
+    def hashes(block: int) -> Column:
+        return F.transform("_tm_tok", lambda t: token_hash(t, block))
+
+    # a column for each block, so that a token is hashed once
+    toks = toks.withColumns({f"_tm_h{b}": hashes(b) for b in blocks})
+    n = F.greatest(F.size("_tm_tok").cast("double"), F.lit(1e-6))
+
+    def component(k: int) -> Column:
+        digits = F.aggregate(f"_tm_h{k // 8}", F.lit(0).cast("long"),
+                             lambda acc, h: acc + F.shiftright(h, 4 * (7 - k % 8)).bitwiseAND(15))
+        return (digits.cast("double") - F.size("_tm_tok") * 7.5) / 7.5 / n
+
+    vec = toks.withColumn(out, F.array(*[component(k) for k in range(dim)]))
+    return vec.drop("_tm_tok", *[f"_tm_h{b}" for b in blocks])

@@ -5,13 +5,12 @@ with one ``groupBy`` (map-side combined, so a label holding a third of the rows
 is one partial count per task). Rare labels (relative frequency strictly
 below ``rare_threshold``, denominator = all rows) collapse into ``[RARE]``;
 missing values are the ``[NULL]`` label. The vocabulary (distinct labels, not
-rows) is numbered in code point order -- a window per column when the label
-count is checked to be bounded, the distributed running index otherwise --
-and ``[UNKNOWN]`` is appended last.
+rows) is numbered in code point order by the distributed running index, and
+``[UNKNOWN]`` is appended last.
 
 Transform: one left join per column against that column's lookup table.
-Vocabulary sizes are known from the fit, so the broadcast decision needs no
-extra job; larger vocabularies use a shuffle join (AQE splits hot labels).
+The bytes of the lookups are known from the fit, so the broadcast decision needs
+no extra job; what exceeds the bound is a shuffle join (AQE splits hot labels).
 Unknown labels take the ``[UNKNOWN]`` index.
 """
 
@@ -23,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tendermatch.functions.numeric import null_flag
-from tendermatch.operators.joins import MAX_BROADCAST_ROWS
 from tendermatch.operators.ranking import with_row_index
 from tendermatch.session import materialize
 
@@ -60,9 +58,10 @@ def label_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.groupBy("column", "label").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-# Vocabularies up to this size are numbered with a window per column (one task
-# per column, bounded by this check); larger ones with the distributed index.
-MAX_WINDOW_LABELS = 1_000_000
+# Lookups are broadcast while all of them together stay below this many bytes
+# (known from the fit: labels and a row's overhead); the others are shuffle joins.
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+ROW_BYTES = 96
 
 
 def categorical_fit(df: DataFrame, config: dict, pk: list | None = None, rare_as_unknown: bool = False
@@ -82,6 +81,7 @@ def categorical_fit(df: DataFrame, config: dict, pk: list | None = None, rare_as
     stats = {r["column"]: r for r in freq.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_raw"),
         F.sum(F.col("is_rare").cast("long")).alias("n_rare"),
+        F.sum(F.octet_length("label") + ROW_BYTES).alias("bytes"),
         F.max(((F.col("mapped") == UNKNOWN_TOKEN)).cast("int")).alias("has_unknown"),
         F.max(((F.col("mapped") == NULL_TOKEN)).cast("int")).alias("has_null"),
         F.max(((F.col("mapped") == RARE_TOKEN) & ~F.col("is_rare")).cast("int")).alias("raw_rare_label")).collect()}
@@ -95,21 +95,10 @@ def categorical_fit(df: DataFrame, config: dict, pk: list | None = None, rare_as
         # rare labels collapse into one [RARE] label (unless a literal "[RARE]" label already exists)
         n_mapped[c] = int(st["n_raw"]) - n_rare + (1 if n_rare > 0 and not st["raw_rare_label"] else 0)
 
-    n_raw_max = max((int(st["n_raw"]) for st in stats.values()), default=0)
-    if n_raw_max <= MAX_WINDOW_LABELS:
-        # one window over the raw labels of each column (bounded by the check):
-        # the dense rank of the mapped label is the index, rare labels share [RARE]'s
-        from pyspark.sql import Window
-        w = Window.partitionBy("column").orderBy("mapped")
-        raw_idx = freq.withColumn("idx", (F.dense_rank().over(w) - 1).cast("long"))
-        raw_idx = materialize(raw_idx.select("column", "label", "mapped", "idx", "cnt", "is_rare"))
-        indexed = (raw_idx.groupBy("column", F.col("mapped").alias("label"), "idx")
-                   .agg(F.sum("cnt").cast("long").alias("cnt")))
-        pairs_ = raw_idx
-    else:
-        labels = freq.groupBy("column", F.col("mapped").alias("label")).agg(F.sum("cnt").cast("long").alias("cnt"))
-        indexed = materialize(with_row_index(labels, ["label"], group_by=["column"], name="idx"))
-        pairs_ = freq.join(indexed.select("column", F.col("label").alias("mapped"), "idx"), ["column", "mapped"])
+    # the vocabulary in code point order, numbered by the distributed index whatever its size
+    labels = freq.groupBy("column", F.col("mapped").alias("label")).agg(F.sum("cnt").cast("long").alias("cnt"))
+    indexed = with_row_index(labels, ["label"], group_by=["column"], name="idx")
+    pairs_ = freq.join(indexed.select("column", F.col("label").alias("mapped"), "idx"), ["column", "mapped"])
 
     unk_rows = [(c, UNKNOWN_TOKEN, n_mapped[c], 0) for c in cols if not (c in stats and stats[c]["has_unknown"])]
     unk = spark.createDataFrame(unk_rows, "column string, label string, idx long, cnt long")
@@ -128,7 +117,7 @@ def categorical_fit(df: DataFrame, config: dict, pk: list | None = None, rare_as
         has_unk = bool(c in stats and stats[c]["has_unknown"])
         info[c] = {"vocab_size": n_mapped[c] if has_unk else n_mapped[c] + 1,
                    "unknown_idx": None if has_unk else n_mapped[c],
-                   "lookup_rows": (int(stats[c]["n_raw"]) if c in stats else 0) + 1,
+                   "lookup_bytes": int(stats[c]["bytes"]) + 2 * ROW_BYTES if c in stats else 0,
                    "has_rare": bool(c in stats and int(stats[c]["n_rare"]) > 0),
                    "has_null": bool(c in stats and stats[c]["has_null"])}
     if any(v["unknown_idx"] is None for v in info.values()):
@@ -139,13 +128,13 @@ def categorical_fit(df: DataFrame, config: dict, pk: list | None = None, rare_as
                             pk=list(pk or []))
 
 
-def encode_column(df: DataFrame, c: str, model: CategoricalModel, out: str | None = None) -> DataFrame:
-    """Vocabulary lookup for one column -> long index (unknown -> [UNKNOWN])."""
+def encode_column(df: DataFrame, c: str, model: CategoricalModel, out: str | None = None, broadcast: bool | None = None) -> DataFrame:
+    """Vocabulary lookup for one column -> long index (unknown -> [UNKNOWN]). Rows are kept one to one."""
     out = out or c
     info = model.info[c]
     lk = model.lookup.where(F.col("column") == c).select(F.col("label").alias(f"_lab_{c}"),
                                                          F.col("idx").alias(f"_idx_{c}"))
-    if info["lookup_rows"] <= MAX_BROADCAST_ROWS:
+    if info["lookup_bytes"] <= MAX_BROADCAST_BYTES if broadcast is None else broadcast:
         lk = F.broadcast(lk)
     key = f"_key_{c}"
     joined = df.withColumn(key, label_expr(c)).join(lk, F.col(key) == F.col(f"_lab_{c}"), "left")
@@ -153,44 +142,23 @@ def encode_column(df: DataFrame, c: str, model: CategoricalModel, out: str | Non
             .drop(key, f"_lab_{c}", f"_idx_{c}"))
 
 
-def encode_wide(df: DataFrame, cols: list[str], model: CategoricalModel, pk: list[str]) -> DataFrame:
-    """Encode several large-vocabulary columns with one shuffle join instead of one per column.
-
-    The columns are unpivoted to (key, column, label), joined once with the
-    lookup on (column, label) (AQE splits hot labels), and pivoted back by
-    the key. The key must be unique, as the table sink requires.
-    """
-    long = df.select(*pk, *[label_expr(c).alias(c) for c in cols]).unpivot(pk, cols, "column", "label")
-    lk = model.lookup.where(F.col("column").isin(cols))
-    unknown = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(model.info[c]["unknown_idx"]).cast("long"))])
-    j = long.join(lk, ["column", "label"], "left").select(
-        *pk, "column", F.coalesce(F.col("idx"), unknown[F.col("column")]).alias("idx"))
-    return j.groupBy(*pk).agg(*[F.max(F.when(F.col("column") == c, F.col("idx"))).alias(f"_enc_{c}") for c in cols])
-
-
 def categorical_transform(df: DataFrame, model: CategoricalModel, pk: list | None = None) -> DataFrame:
     """PK, one index per column (input order), then ``*_is_null`` flags (always).
 
-    Vocabularies that fit the broadcast bound are broadcast lookups (no
-    shuffle). Two or more larger ones are encoded together by ``encode_wide``
-    (three shuffles in total, whatever their number).
+    One lookup join per column, on the rows themselves, so that keys may repeat
+    or be null.
     """
     pk = list(pk if pk is not None else model.pk)
     cols = [c for c in df.columns if c in model.info and c not in pk]
     flagged = df.select(*pk, *cols, *[null_flag(c).alias(f"{c}_is_null") for c in cols])
-    flagged = encode_all(flagged, cols, model, pk)
+    flagged = encode_all(flagged, cols, model)
     return flagged.select(*pk, *[F.col(f"_enc_{c}").alias(c) for c in cols], *[f"{c}_is_null" for c in cols])
 
 
-def encode_all(df: DataFrame, cols: list[str], model: CategoricalModel, pk: list[str]) -> DataFrame:
-    """Add ``_enc_<column>`` indices for ``cols``: broadcast lookups, or ``encode_wide`` for 2+ large ones."""
-    large = [c for c in cols if model.info[c]["lookup_rows"] > MAX_BROADCAST_ROWS]
-    wide = large if (len(large) >= 2 and pk) else []
-    for c in cols:
-        if c not in wide:
-            df = encode_column(df, c, model, out=f"_enc_{c}")
-    if wide:
-        enc = encode_wide(df, wide, model, pk)
-        keys = [df[k].eqNullSafe(enc[k]) for k in pk]
-        df = df.join(enc, keys, "left").select(df["*"], *[enc[f"_enc_{c}"] for c in wide])
+def encode_all(df: DataFrame, cols: list[str], model: CategoricalModel) -> DataFrame:
+    """Add ``_enc_<column>`` indices for ``cols``; the smallest lookups are broadcast up to the bytes allowed in all."""
+    used = 0
+    for c in sorted(cols, key=lambda c: model.info[c]["lookup_bytes"]):
+        used += model.info[c]["lookup_bytes"]
+        df = encode_column(df, c, model, out=f"_enc_{c}", broadcast=used <= MAX_BROADCAST_BYTES)
     return df

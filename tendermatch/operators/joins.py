@@ -1,56 +1,17 @@
-"""Join helpers: broadcast only behind a proven size bound.
+"""Checked joins.
 
-``join_small`` broadcasts the right side when its row count is bounded by a
-caller-supplied constant (a literal key list, a per-column stats table) or,
-failing that, when one capped pass over it measures both its rows and its
-bytes (strings by length, arrays by size) under the limits. Otherwise it
-falls back to a regular shuffle join, where AQE may still pick a broadcast
-from runtime statistics and split skewed partitions.
+Joins here carry no size guess: Spark broadcasts a side whose size it knows to
+be small and adaptive execution decides the rest from the sizes of finished
+stages. A ``broadcast`` hint stands only where a structural bound holds (a
+row per configured column, per range partition, per request).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Limits for broadcasting a side that has no structural bound.
-MAX_BROADCAST_ROWS = 2_000_000
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-
-
-def _row_bytes(df: DataFrame) -> Column:
-    """Approximate in-memory bytes of a row: strings by length, arrays / maps by size."""
-    total = F.lit(16).cast("long")
-    for f in df.schema.fields:
-        c, t = F.col(f"`{f.name}`"), f.dataType
-        if isinstance(t, (T.StringType, T.BinaryType)):
-            part = F.coalesce(F.octet_length(c), F.lit(0))
-        elif isinstance(t, T.ArrayType):
-            el = 32 if isinstance(t.elementType, (T.StringType, T.StructType, T.ArrayType)) else 8
-            part = F.greatest(F.size(c), F.lit(0)) * el
-        elif isinstance(t, T.MapType):
-            part = F.greatest(F.size(c), F.lit(0)) * 48
-        elif isinstance(t, T.StructType):
-            part = F.lit(16 * max(len(t.fields), 1))
-        else:
-            part = F.lit(8)                      # numbers, dates, timestamps, booleans
-        total = total + part.cast("long")
-    return total
-
-
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | Column, how: str = "inner",
-               known_max_rows: int | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-               max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    if known_max_rows is not None and known_max_rows <= max_broadcast_rows:
-        return big.join(F.broadcast(small), on, how)
-    m = (small.limit(max_broadcast_rows + 1)
-         .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_row_bytes(small)), F.lit(0)).alias("b")).collect()[0])
-    if m["n"] <= max_broadcast_rows and m["b"] <= max_broadcast_bytes:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
 
 
 def merge_one_to_one(left: DataFrame, right: DataFrame, pk: Sequence[str]) -> DataFrame:

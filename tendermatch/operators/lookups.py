@@ -1,8 +1,7 @@
 """Key lookups, joins, listings and paging.
 
 Lookups by a list of keys are semi joins against a key DataFrame (never SQL
-strings with OR lists). Keys lists are usually small -> size-checked
-broadcast; large lists shuffle-join. Listings with a limit become
+strings with OR lists); Spark picks the join from the sizes. Listings with a limit become
 ``TakeOrderedAndProject`` (per-task top-n, then a merge of n rows per task).
 """
 
@@ -13,13 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendermatch.operators.joins import join_small
 from tendermatch.operators.ranking import with_row_index
 
-# Above this many rows an offset page is cut with a distributed row index
-# instead of a top-(offset+limit) sort.
-MAX_TOPN_PAGE = 100_000
-
 
 def select_except(df: DataFrame, exclude: Sequence[str]) -> DataFrame:
     """every column except the given ones."""
@@ -32,10 +26,13 @@ def select_pk_and_text(df: DataFrame, pk: Sequence[str], text_col: str) -> DataF
 
 
 def use_columns(df: DataFrame, use: Sequence[str] | None) -> DataFrame:
-    """M5: project to the configured use columns; all columns when none are configured."""
+    """M5: project to the configured use columns; all columns when none are configured. Unknown columns are an error."""
     if not use:
         return df
-    return df.select(*[c for c in use if c in df.columns])
+    unknown = [c for c in use if c not in df.columns]
+    if unknown:
+        raise ValueError(f"configured columns that the table lacks: {unknown}")
+    return df.select(*use)
 
 
 def _check_keys(keys: DataFrame, pk: Sequence[str]) -> None:
@@ -48,7 +45,7 @@ def rows_by_keys(df: DataFrame, keys: DataFrame, pk: Sequence[str], columns: Seq
                  ) -> DataFrame:
     """rows whose (composite) key is in ``keys``; set semantics on the keys."""
     _check_keys(keys, pk)
-    out = join_small(df, keys.select(*pk).distinct(), list(pk), "left_semi")
+    out = df.join(keys.select(*pk).distinct(), list(pk), "left_semi")
     return out.select(*columns) if columns else out
 
 
@@ -62,7 +59,7 @@ def rows_by_keys_numeric(df: DataFrame, keys: DataFrame, pk: Sequence[str], nume
     k = norm(keys.select(*pk).distinct(), "__k").select(*[f"{c}__k" for c in pk]).distinct()
     d = norm(df, "__d")
     cond = [F.col(f"{c}__d") == F.col(f"{c}__k") for c in pk]
-    out = join_small(d, k, cond, "left_semi")
+    out = d.join(k, cond, "left_semi")
     return out.drop(*[f"{c}__d" for c in pk])
 
 
@@ -119,7 +116,7 @@ def bid_history(bids: DataFrame, notices: DataFrame, companies_wanted: DataFrame
     """
     from pyspark.sql import Window
 
-    b = join_small(bids, companies_wanted.select(company_key).distinct(), [company_key], "left_semi")
+    b = bids.join(companies_wanted.select(company_key).distinct(), company_key, "left_semi")
     j = b.join(notices, list(notice_pk), "left")
     w = Window.partitionBy(company_key).orderBy(F.col(order_col).desc_nulls_first(), *notice_pk, *tiebreak)
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
@@ -142,11 +139,13 @@ def recent(df: DataFrame, ts_col: str, pk: Sequence[str], limit: int = 100) -> D
 
 
 def page(df: DataFrame, order_by: Sequence[str], offset: int, limit: int) -> DataFrame:
-    """One page in a total order (order keys must be unique)."""
-    if offset + limit <= MAX_TOPN_PAGE:
-        return df.orderBy(*order_by).offset(offset).limit(limit)
+    """One page, in a total order (order keys must be unique).
+
+    Rows are numbered by the distributed row index, so that a deep page costs
+    what the first one does; the page's rows come in order.
+    """
     idx = with_row_index(df, order_by, name="_tm_page_idx")
-    return idx.where(F.col("_tm_page_idx").between(offset, offset + limit - 1)).drop("_tm_page_idx")
+    return idx.where(F.col("_tm_page_idx").between(offset, offset + limit - 1)).orderBy("_tm_page_idx").drop("_tm_page_idx")
 
 
 def row_count(df: DataFrame) -> int:

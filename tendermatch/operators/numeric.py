@@ -8,19 +8,16 @@ Config per column (same keys as the reference's JSON configs):
 Fit runs as a handful of jobs that each cover *all* configured columns:
 
 1. one scan builds a value histogram ``(column, value, cnt)`` by unpivot +
-   ``groupBy`` (map-side combined; a hot value is one row, not a hot task),
-   and one small aggregate reads its shape (distinct values per column);
-2. fill values: exact median -- Spark's ``percentile`` with the count as
-   frequency for columns whose distinct count is checked to be bounded, the
-   range-partitioned running count otherwise -- and mode via ``max_by``
-   (lowest value on ties);
-3. percentile clip bounds and the minimum over the *filled* distribution
-   (the histogram with the null count moved onto the fill value);
-4. the log offset from the clipped minimum (same job as 3 unless the bounds
-   are percentiles *and* out-of-range values become NULL);
-5. mean / sample std / min / max of the pre-scaling value from the filled
-   histogram (counts as weights, sums around a shift to keep precision).
-
+   ``groupBy`` (map-side combined; a hot value is one row, not a hot task);
+2. fill values: exact median by the range-partitioned running count, mode via
+   ``max_by`` (lowest value on ties);
+3. percentile bounds over the *filled* distribution (the histogram with the
+   null count moved onto the fill value), by the same running count;
+4. the log offset from the clipped minimum;
+5. mean / sample std / min / max of the pre-scaling value in one grouped
+   aggregate (counts as weights, sums around a shift to keep precision).
+
+There is one way through for any number of distinct values.
 Only per-column scalars travel to the driver. Transform is one ``select``.
 """
 
@@ -85,179 +82,86 @@ def _map_expr(values: dict) -> Column:
     return F.create_map(*items) if items else F.create_map().cast("map<string,double>")
 
 
-# Columns with at most this many distinct values are summarised by one
-# aggregate per column (Spark's exact ``percentile`` with a frequency argument
-# keeps a value->count map of the column in one task); wider columns use the
-# range-partitioned running count of ``ranking.exact_quantiles``.
-MAX_SINGLE_TASK_DISTINCT = 1_000_000
+def _quantiles(df: DataFrame, hist: DataFrame, wanted: list[tuple[str, float]], fills: dict[str, float | None],
+               accuracy: int | None) -> dict[tuple[str, float], float | None]:
+    """Quantiles of columns: exact ranks over the histogram, or sketches over the rows when an accuracy is given."""
+    if not wanted or not accuracy:
+        return exact_quantiles(hist, wanted)
+    row = df.agg(*[F.percentile_approx(F.coalesce(to_double(c), F.lit(fills.get(c)).cast("double")), p, accuracy).alias(f"q{k}")
+                   for k, (c, p) in enumerate(wanted)]).collect()[0]
+    return {w: row[f"q{k}"] for k, w in enumerate(wanted)}
 
 
 def numeric_fit(df: DataFrame, config: dict, pk: list | None = None,
                 approx_accuracy: int | None = None) -> NumericModel:
-    """P1. ``approx_accuracy`` (opt-in) replaces the exact rank computation for
-    wide columns by ``percentile_approx`` over the data (fixed-size sketches,
-    rank error about 1/accuracy; results are data values, not interpolated)."""
+    """P1. ``approx_accuracy`` (opt-in) replaces the exact ranks of medians and
+    percentile bounds by ``percentile_approx`` (fixed-size sketches, rank error
+    about 1/accuracy; results are data values, not interpolated), whatever the
+    number of rows or distinct values."""
     cols = [c for c in df.columns if c in config]
     model = NumericModel(config={c: config[c] for c in cols}, pk=list(pk or []))
     if not cols:
         return model
     hist = materialize(value_histogram(df, cols))
+    column = F.col("column")
 
-    # (1) per-column shape of the histogram: distinct values, nulls, extremes
-    shape = {r["column"]: r for r in hist.groupBy("column").agg(
-        F.count(F.col("value")).alias("n_distinct"),
-        F.sum(F.when(F.col("value").isNull(), F.col("cnt")).otherwise(0)).alias("n_null")).collect()}
-    distinct = {c: int(shape[c]["n_distinct"]) if c in shape else 0 for c in cols}
-
-    # (2) fill values in one job: exact median (percentile with the count as
-    # frequency; range-partitioned ranks for wide columns) and mode (most
-    # frequent, lowest value on ties); constants need no job
+    # (1) fill values: median by rank, mode by count (lowest value on ties), constants as they are
     kinds = {c: _fill_kind(config[c]) for c in cols}
     fills: dict[str, float | None] = {c: k for c, k in kinds.items() if isinstance(k, float)}
-    med_cols = [c for c, k in kinds.items() if k == "median"]
-    mode_cols = [c for c, k in kinds.items() if k == "mode"]
-    narrow_med = [c for c in med_cols if distinct[c] <= MAX_SINGLE_TASK_DISTINCT]
-    if narrow_med or mode_cols:
-        want = sorted(set(narrow_med) | set(mode_cols))
-        rows = (hist.where(F.col("value").isNotNull() & F.col("column").isin(want)).groupBy("column")
-                .agg(F.percentile(F.col("value"), F.lit(0.5), F.col("cnt")).alias("median"),
-                     F.max_by("value", F.struct(F.col("cnt"), -F.col("value"))).alias("mode"))
-                .collect()) if narrow_med else (
-                hist.where(F.col("value").isNotNull() & F.col("column").isin(want)).groupBy("column")
-                .agg(F.max_by("value", F.struct(F.col("cnt"), -F.col("value"))).alias("mode")).collect())
-        got = {r["column"]: r for r in rows}
-        for c in narrow_med:
-            fills[c] = got[c]["median"] if c in got else None
-        for c in mode_cols:
-            fills[c] = got[c]["mode"] if c in got and got[c]["mode"] is not None else 0.0
-    wide_med = [c for c in med_cols if c not in narrow_med]
-    if wide_med and approx_accuracy:
-        row = df.agg(*[F.percentile_approx(to_double(c), 0.5, approx_accuracy).alias(c) for c in wide_med]).collect()[0]
-        fills.update({c: row[c] for c in wide_med})
-    elif wide_med:
-        q = exact_quantiles(hist, [(c, 0.5) for c in wide_med])
-        fills.update({c: q[(c, 0.5)] for c in wide_med})
-
-    # (3) the filled distribution: the null count moves onto the fill value.
-    # Percentile clip bounds and the filled minimum come from one job.
-    filled = hist.withColumn("value", F.coalesce(F.col("value"), _map_expr(fills)[F.col("column")]))
-    bounds: dict[str, tuple[float | None, float | None]] = {}
-    for c in cols:
-        if "clip" not in config[c] and "clip_abs" in config[c]:
-            bounds[c] = (float(config[c]["clip_abs"][0]), float(config[c]["clip_abs"][1]))
-    pct_cols = [c for c in cols if "clip" in config[c]]
-    ps = sorted({p / 100.0 for c in pct_cols for p in config[c]["clip"]})
-    narrow_pct = [c for c in pct_cols if distinct[c] + 1 <= MAX_SINGLE_TASK_DISTINCT]
-    in_range_min = {}
-    agg3 = [F.min("value").alias("min_filled")]
-    if narrow_pct:
-        agg3.append(F.percentile(F.col("value"), F.array(*[F.lit(p) for p in ps]), F.col("cnt")).alias("q"))
-    abs_null = [c for c in bounds if config[c].get("clip_to_null", False)]
-    lo_map = _map_expr({c: bounds[c][0] for c in abs_null})
-    hi_map = _map_expr({c: bounds[c][1] for c in abs_null})
-    if abs_null:
-        agg3.append(F.min(F.when(F.col("value").between(lo_map[F.col("column")], hi_map[F.col("column")]),
-                                 F.col("value"))).alias("min_in_range"))
-    shape3 = {r["column"]: r for r in filled.where(F.col("value").isNotNull()).groupBy("column").agg(*agg3).collect()}
-    for c in narrow_pct:
-        qs = dict(zip(ps, shape3[c]["q"])) if c in shape3 and shape3[c]["q"] is not None else {}
-        lo, hi = config[c]["clip"]
-        bounds[c] = (qs.get(lo / 100.0), qs.get(hi / 100.0))
-    wide_pct = [c for c in pct_cols if c not in narrow_pct]
-    if wide_pct and approx_accuracy:
-        exprs = []
-        for c in wide_pct:
-            filled_c = F.coalesce(to_double(c), F.lit(fills.get(c)).cast("double"))
-            exprs.append(F.percentile_approx(filled_c, [p / 100.0 for p in config[c]["clip"]], approx_accuracy).alias(c))
-        row = df.agg(*exprs).collect()[0]
-        for c in wide_pct:
-            bounds[c] = (row[c][0], row[c][1]) if row[c] is not None else (None, None)
-        wide_pct = []
-    if wide_pct:
-        q = exact_quantiles(filled, [(c, p / 100.0) for c in wide_pct for p in config[c]["clip"]])
-        for c in wide_pct:
-            lo, hi = config[c]["clip"]
-            bounds[c] = (q[(c, lo / 100.0)], q[(c, hi / 100.0)])
-    for c in abs_null:
-        in_range_min[c] = shape3[c]["min_in_range"] if c in shape3 else None
-
-    def clipped(c: str, v: Column) -> Column:
-        if c not in bounds:
-            return v
-        lo, hi = bounds[c]
-        if config[c].get("clip_to_null", False):
-            return out_of_range_to_null(v, lo, hi)
-        return clip(v, lo, hi)
-
-    # (4) log offsets from the minimum of the clipped (or in-range) values
+    medians = [(c, 0.5) for c, k in kinds.items() if k == "median"]
+    fills.update({c: v for (c, _), v in _quantiles(df, hist, medians, {}, approx_accuracy).items()})
+    modes = [c for c, k in kinds.items() if k == "mode"]
+    if modes:
+        got = {r["column"]: r["mode"] for r in hist.where(F.col("value").isNotNull() & column.isin(modes)).groupBy("column")
+               .agg(F.max_by("value", F.struct(F.col("cnt"), -F.col("value"))).alias("mode")).collect()}
+        fills.update({c: got.get(c, 0.0) for c in modes})
+
+    # (2) bounds: given ones, and percentiles of the filled distribution (the null count moves onto the fill value)
+    filled = hist.withColumn("value", F.coalesce(F.col("value"), _map_expr(fills)[column])).where(F.col("value").isNotNull())
+    bounds = {c: tuple(map(float, config[c]["clip_abs"])) for c in cols if "clip" not in config[c] and "clip_abs" in config[c]}
+    by_rank = [c for c in cols if "clip" in config[c]]
+    found = _quantiles(df, filled, [(c, q / 100.0) for c in by_rank for q in config[c]["clip"]], fills, approx_accuracy)
+    bounds.update({c: tuple(found[(c, q / 100.0)] for q in config[c]["clip"]) for c in by_rank})
+    known = {c: b for c, b in bounds.items() if None not in b}
+    low, high = (_map_expr({c: b[k] for c, b in known.items()})[column] for k in (0, 1))
+    outside_null = column.isin([c for c in cols if config[c].get("clip_to_null", False)])
+    value = F.col("value")
+    clipped = (F.when(low.isNull(), value).when(outside_null, out_of_range_to_null(value, low, high)).otherwise(clip(value, low, high)))
+
+    # (3) log offsets from the smallest clipped value
+    logs = [c for c in cols if config[c].get("log1p", False)]
     offsets: dict[str, float] = {}
-    log_cols = [c for c in cols if config[c].get("log1p", False)]
-    late = [c for c in log_cols if c in pct_cols and config[c].get("clip_to_null", False)]
-    if late:  # in-range minimum under percentile bounds needs the bounds first
-        row = filled.where(F.col("column").isin(late)).agg(
-            *[F.min(F.when(F.col("column") == c, clipped(c, F.col("value")))).alias(c) for c in late]).collect()[0]
-        in_range_min.update({c: row[c] for c in late})
-    for c in log_cols:
-        m = shape3[c]["min_filled"] if c in shape3 else None
-        if c in in_range_min:
-            m = in_range_min[c]
-        elif c in bounds and m is not None:
-            lo, hi = bounds[c]
-            m = min(max(m, lo), hi)
-        offsets[c] = (abs(m) + 1.0) if (m is not None and m <= 0) else 0.0
-
-    # (5) moments of the pre-scaling value from the filled histogram (one job,
-    # counts as weights). Sums are taken around a shift K (the transformed
-    # fill value) so the variance does not cancel catastrophically.
-    def pre_scale(c: str, v: Column) -> Column:
-        v = clipped(c, v)
-        if c in offsets:
-            v = log1p_offset(v, offsets[c])
-        return v
-
-    def pre_scale_value(c: str, x: float | None) -> float:
+    if logs:
+        least = {r["column"]: r["m"] for r in filled.where(column.isin(logs)).groupBy("column").agg(F.min(clipped).alias("m")).collect()}
+        for c in logs:
+            m = least.get(c)
+            offsets[c] = abs(m) + 1.0 if m is not None and m <= 0 else 0.0
+
+    # (4) moments of the value before scaling: one grouped aggregate, linear in the histogram. Counts are weights;
+    # sums are taken around a shift (the fill value's own result) so that the variance does not cancel.
+    def before_scale(x: float | None, c: str) -> float:
         if x is None:
             return 0.0
-        if c in bounds:
-            lo, hi = bounds[c]
-            if config[c].get("clip_to_null", False):
-                if lo is None or hi is None or not (lo <= x <= hi):
-                    return 0.0
-            else:
-                x = min(max(x, lo), hi) if lo is not None and hi is not None else x
+        if c in known:
+            lo, hi = known[c]
+            if config[c].get("clip_to_null", False) and not lo <= x <= hi:
+                return 0.0
+            x = min(max(x, lo), hi)
         if c in offsets:
-            y = x + offsets[c]
-            return math.log1p(y) if y > -1 else 0.0
+            return math.log1p(x + offsets[c]) if x + offsets[c] > -1 else 0.0
         return x
 
-    aggs = []
-    shift = {}
-    for c in cols:
-        sc = config[c].get("scale")
-        x = F.when(F.col("column") == c, pre_scale(c, F.col("value")))
-        if sc == "zscore":
-            shift[c] = pre_scale_value(c, fills.get(c))
-            d = x - F.lit(shift[c])
-            w = F.col("cnt").cast("double")
-            aggs += [F.sum(F.when(x.isNotNull(), F.col("cnt"))).alias(f"{c}__n"), F.sum(w * d).alias(f"{c}__s1"),
-                     F.sum(w * d * d).alias(f"{c}__s2"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-        elif sc == "minmax":
-            aggs += [F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-    mom = filled.agg(*aggs).collect()[0].asDict() if aggs else {}
-    for c in cols:
-        if config[c].get("scale") == "zscore":
-            n = mom[f"{c}__n"] or 0
-            if n == 0:
-                mom[f"{c}__mean"], mom[f"{c}__std"] = None, None
-                continue
-            s1, s2 = mom[f"{c}__s1"], mom[f"{c}__s2"]
-            mom[f"{c}__mean"] = shift[c] + s1 / n
-            if n < 2:
-                mom[f"{c}__std"] = None
-            elif mom[f"{c}__min"] == mom[f"{c}__max"]:
-                mom[f"{c}__std"] = 0.0
-            else:
-                mom[f"{c}__std"] = math.sqrt(max(s2 - s1 * s1 / n, 0.0) / (n - 1))
+    scaled = [c for c in cols if config[c].get("scale") in ("zscore", "minmax")]
+    moments = {}
+    if scaled:
+        shifts = {c: before_scale(fills.get(c), c) for c in scaled}
+        offset = _map_expr(offsets)[column]
+        x = F.when(offset.isNull(), clipped).otherwise(F.log1p(clipped + offset))
+        rows = filled.where(column.isin(scaled)).select("column", F.col("cnt").alias("n"), x.alias("x")).where("x is not null")
+        d, w = F.col("x") - _map_expr(shifts)[column], F.col("n").cast("double")
+        moments = {r["column"]: r for r in rows.groupBy("column").agg(
+            F.sum("n").alias("n"), F.sum(w * d).alias("s1"), F.sum(w * d * d).alias("s2"), F.min("x").alias("min"),
+            F.max("x").alias("max")).collect()}
 
     for c in cols:
         s: dict = {"fill_value": fills.get(c)}
@@ -265,17 +169,17 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None,
             s["clip_low"], s["clip_high"] = bounds[c]
         if c in offsets:
             s["log1p_offset"] = offsets[c]
-        sc = config[c].get("scale")
-        if sc == "zscore":
-            mean, std = mom[f"{c}__mean"], mom[f"{c}__std"]
-            if std is not None and (std == 0 or math.isnan(std)):
-                std = 1.0 if std == 0 else None
-            s["mean"], s["std"] = mean, std
-        elif sc == "minmax":
-            lo, hi = mom[f"{c}__min"], mom[f"{c}__max"]
-            if lo is not None and lo == hi:
-                hi = lo + 1.0
-            s["min"], s["max"] = lo, hi
+        m = moments.get(c)
+        if config[c].get("scale") == "zscore":
+            s["mean"] = s["std"] = None
+            if m:
+                s["mean"] = shifts[c] + m["s1"] / m["n"]
+                if m["n"] > 1:
+                    variance = 0.0 if m["min"] == m["max"] else max(m["s2"] - m["s1"] ** 2 / m["n"], 0.0) / (m["n"] - 1)
+                    s["std"] = math.sqrt(variance) or 1.0
+        elif config[c].get("scale") == "minmax":
+            lo, hi = (m["min"], m["max"]) if m else (None, None)
+            s["min"], s["max"] = lo, lo + 1.0 if lo is not None and lo == hi else hi
         model.stats[c] = s
     hist.unpersist()
     return model

@@ -17,7 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendermatch.operators.joins import join_small
 from tendermatch.operators.ranking import with_row_index
 
 
@@ -33,8 +32,8 @@ def load_pairs(pairs: DataFrame, cols: Sequence[str], id_col: str = "id", limit:
 
 
 def pair_keys(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct key tuples of one side."""
-    return pairs.select(*keys).where(F.coalesce(*[F.col(k).isNotNull() for k in keys])).distinct()
+    """Distinct key tuples of one side; a tuple with a NULL part is no key."""
+    return pairs.select(*keys).dropna("any").distinct()
 
 
 def split(pairs: DataFrame, test_split: float, id_col: str = "id", seed: int | None = None, mode: str = "head",
@@ -77,31 +76,27 @@ def selective_features(store: DataFrame, pairs: DataFrame, keys: Sequence[str],
     """only the store rows whose key occurs in the pairs (distinct keys + semi join)."""
     pk = list(pair_keys_ or keys)
     wanted = pairs.select(*[F.col(a).alias(b) for a, b in zip(pk, keys)]).distinct()
-    return join_small(store, wanted, list(keys), "left_semi")
+    return store.join(wanted, list(keys), "left_semi")
 
 
 def pair_features(pairs: DataFrame, notice_store: DataFrame, company_store: DataFrame, notice_pk: Sequence[str],
                   company_pk: Sequence[str], strict: bool = True) -> DataFrame:
     """Attach both sides' features to every pair.
 
-    strict: a pair whose key is missing from a store fails the job (the check
-    is a ``raise_error`` inside the same join pass, no extra job);
-    non-strict keeps only complete pairs (inner joins).
+    strict: a pair whose key is missing from a store fails the job, whatever is
+    read of the result (the check is a filter above the joins, so that neither a
+    count nor a projection prunes it); non-strict keeps only complete pairs.
     """
-    if not strict:
-        out = pairs.join(notice_store, list(notice_pk), "inner")
-        return join_small(out, company_store, list(company_pk), "inner")
-    ns = notice_store.withColumn("_tm_has_notice", F.lit(True))
-    cs = company_store.withColumn("_tm_has_company", F.lit(True))
-    out = pairs.join(ns, list(notice_pk), "left")
-    out = join_small(out, cs, list(company_pk), "left")
-    missing = F.col("_tm_has_notice").isNull() | F.col("_tm_has_company").isNull()
-    first = pairs.columns[0]
-    guarded = F.when(missing, F.raise_error(F.concat(F.lit("pair references a key missing from a feature store: "),
-                                                    F.col(first).cast("string")))).otherwise(F.col(first))
-    cols = [guarded.alias(first) if c == first else F.col(c) for c in out.columns
-            if c not in ("_tm_has_notice", "_tm_has_company")]
-    return out.select(*cols)
+    how = "left" if strict else "inner"
+    out = (pairs.join(notice_store.withColumn("_tm_has_notice", F.lit(True)), list(notice_pk), how)
+           .join(company_store.withColumn("_tm_has_company", F.lit(True)), list(company_pk), how))
+    marks = ["_tm_has_notice", "_tm_has_company"]
+    if strict:
+        complete = F.col(marks[0]).isNotNull() & F.col(marks[1]).isNotNull()
+        key = F.concat_ws(", ", *[F.col(c).cast("string") for c in dict.fromkeys([*notice_pk, *company_pk])])
+        problem = F.raise_error(F.concat(F.lit("pair references a key missing from a feature store: "), key))
+        out = out.where(F.when(complete, F.lit(True)).otherwise(problem.cast("boolean")))
+    return out.drop(*marks)
 
 
 def pair_subset_bundle(pairs: DataFrame, notice_store: DataFrame, company_store: DataFrame,

@@ -2,7 +2,7 @@
 
 The reference keeps a hand-written profile (type, null count, category count,
 flags) per column and classifies columns from it. Here the profile is computed
-from the table in one aggregation (exact or approximate distinct counts) and
+from the table (exact value counts, or approximate ones on request) and
 the classification rules are applied to it:
 
 * PK columns -> ``pk``; numeric types -> ``numeric``;
@@ -25,12 +25,20 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 def column_profile(df: DataFrame, pk: Sequence[str] = (), categorical: Sequence[str] | None = None,
                    max_categories: int = 1000, exact: bool = True, use: Sequence[str] | None = None) -> DataFrame:
     cols = [f for f in df.schema.fields if use is None or f.name in use]
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    aggs = []
-    for f in cols:
-        aggs += [F.count(F.when(F.col(f.name).isNull(), 1)).alias(f"{f.name}__null"),
-                 distinct(F.col(f.name)).alias(f"{f.name}__dist")]
-    row = df.agg(F.count(F.lit(1)).alias("__rows"), *aggs)
+    names = [f.name for f in cols]
+    if exact:
+        # values are counted map-side per column, so that a row is not multiplied for a distinct aggregate each
+        long = df.select(*[F.col(c).cast("string").alias(c) for c in names]).unpivot([], names, "column", "value")
+        counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        stacked = counts.groupBy("column").agg(
+            F.sum("n").alias("__rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_null"),
+            F.count("value").alias("n_distinct"))
+    else:
+        row = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(c).alias(f"{c}__n") for c in names],
+                     *[F.approx_count_distinct(c).alias(f"{c}__d") for c in names])
+        stacked = row.select("__rows", F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), (F.col("__rows") - F.col(f"{c}__n")).alias("n_null"),
+                     F.col(f"{c}__d").alias("n_distinct")) for c in names])))
     spark = df.sparkSession
     meta = []
     for i, f in enumerate(cols):
@@ -45,9 +53,8 @@ def column_profile(df: DataFrame, pk: Sequence[str] = (), categorical: Sequence[
             role = "dropped"
         meta.append((i, f.name, f.dataType.simpleString(), role))
     m = spark.createDataFrame(meta, "ord int, column string, dtype string, role string")
-    stacked = row.select("__rows", F.explode(F.array(*[
-        F.struct(F.lit(f.name).alias("column"), F.col(f"{f.name}__null").alias("n_null"),
-                 F.col(f"{f.name}__dist").alias("n_distinct")) for f in cols])).alias("s")).select("__rows", "s.*")
+    # an empty table has no counted value: its columns are added with zeros
+    stacked = m.select("column").join(stacked, "column", "left").na.fill(0)
     out = stacked.join(F.broadcast(m), "column")
     out = out.withColumn("role", F.coalesce(F.col("role"), F.when(F.col("n_distinct") <= max_categories,
                                                                  "categorical").otherwise("text")))

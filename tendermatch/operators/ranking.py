@@ -3,9 +3,8 @@
 ``row_number()`` over an unpartitioned window moves every row into a single
 task. Instead we range-partition on the ordering keys, number rows inside each
 range partition, and add the size of all earlier partitions. The per-partition
-size table has one row per (partition, group) so it is bounded by the number
-of partitions plus the number of groups; it is broadcast only when that bound
-is checked to be small.
+size table has one row per (partition, group), so it is bounded by the number
+of partitions plus the number of groups; without groups it is broadcast.
 
 The same scheme gives weighted running totals, which drive exact quantiles
 over pre-aggregated value histograms (``exact_quantiles``).
@@ -17,12 +16,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tendermatch.operators.joins import join_small
 from tendermatch.session import materialize
 
 _PID = "_tm_pid"
+_PID_R = "_tm_pid_r"
 _RUN = "_tm_run"
 _OFF = "_tm_off"
 _TOT = "_tm_tot"
@@ -32,47 +30,27 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _max_partitions(df: DataFrame) -> int:
-    """Upper bound on the range partitions Spark will create (AQE only coalesces)."""
-    conf = df.sparkSession.conf
-    initial = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
-    return int(initial or conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def _range(df: DataFrame, num_partitions: int | None, keys: list[Column]) -> DataFrame:
     # Without an explicit count the cluster's shuffle sizing applies and AQE
     # may coalesce small ranges; ranges stay contiguous and ordered either way.
     return df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
 
 
-def _running_sums(weight: str, group_cols: list[str]):
-    """Per range partition: running sum of ``weight`` per group, in the partition's sorted order
-    (vectorised per Arrow batch; the sums carry over from one batch to the next)."""
-    def run(it):
-        import numpy as np
-        import pandas as pd
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry = None
-        for pdf in it:
-            if pdf.empty:
-                continue
-            w = pdf[weight].astype("int64")
-            if group_cols:
-                idx = (pd.MultiIndex.from_frame(pdf[group_cols]) if len(group_cols) > 1
-                       else pd.Index(pdf[group_cols[0]]))
-                cs = w.groupby([pdf[c] for c in group_cols], sort=False, dropna=False).cumsum().to_numpy()
-                if carry is not None:
-                    cs = cs + carry.reindex(idx).fillna(0).to_numpy(dtype=np.int64)
-                last = pd.Series(cs, index=idx)
-                last = last[~last.index.duplicated(keep="last")]
-                carry = last if carry is None else last.combine_first(carry)
-            else:
-                cs = w.cumsum().to_numpy() + (carry or 0)
-                carry = int(cs[-1])
-            yield pdf.assign(**{_PID: np.int32(pid), _RUN: cs.astype(np.int64)})
-    return run
+def _offsets(sizes: DataFrame, group_cols: list[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Totals of all earlier range partitions, per partition and group (one small row each)."""
+    before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(F.col(_PID).alias(_PID_R), *[F.col(g).alias(f"_tm_r_{g}") for g in group_cols], *extra,
+                        F.coalesce(F.sum(_TOT).over(before), F.lit(0)).alias(_OFF))
+
+
+def _join_offsets(local: DataFrame, offsets: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Null-safe on the groups: a null group value is a group like any other. Without groups the offsets are one
+    row per range partition, which is what bounds the broadcast."""
+    on = F.col(_PID) == F.col(_PID_R)
+    for g in group_cols:
+        on = on & F.col(g).eqNullSafe(F.col(f"_tm_r_{g}"))
+    side = offsets if group_cols else F.broadcast(offsets)
+    return local.join(side, on).drop(_PID_R, *[f"_tm_r_{g}" for g in group_cols])
 
 
 def with_running_total(df: DataFrame, order_by: Sequence[str | Column], weight: str | None = None,
@@ -80,28 +58,21 @@ def with_running_total(df: DataFrame, order_by: Sequence[str | Column], weight:
                        num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sum of the integer column ``weight`` (1 when None) in global order.
 
-    One range shuffle; inside each sorted range partition an Arrow-batched
-    pass keeps the running sums (no window, so no second shuffle of the data);
-    then the per-partition totals give offsets as in ``with_row_index``. The
-    order must be total inside each group for a deterministic result.
+    Rows are range-partitioned; a window over (range partition, group) sums
+    inside each, so that no window partition exceeds a range; the totals of the
+    earlier partitions are added. The order must be total inside each group for
+    a deterministic result. A null group value is a group of its own.
     """
-    n = num_partitions or _max_partitions(df)
     group_cols = list(group_by)
-    keys = [*[F.col(g) for g in group_cols], *_as_cols(order_by)]
-    src = df if weight is not None else df.withColumn("_tm_w", F.lit(1).cast("long"))
-    wcol = weight or "_tm_w"
-    ranged = _range(src, num_partitions, keys).sortWithinPartitions(*keys)
-    schema = T.StructType(ranged.schema.fields + [T.StructField(_PID, T.IntegerType()),
-                                                   T.StructField(_RUN, T.LongType())])
-    local = materialize(ranged.mapInPandas(_running_sums(wcol, group_cols), schema))
-    sizes = local.groupBy(_PID, *group_cols).agg(F.sum(wcol).alias(_TOT))
-    before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(_PID, *group_cols, F.coalesce(F.sum(_TOT).over(before), F.lit(0)).alias(_OFF))
-    # One row per (range partition, group): at most partitions + groups rows.
-    bound = n if not group_cols else None
-    joined = join_small(local, offsets, on=[_PID, *group_cols], how="inner", known_max_rows=bound)
-    out = joined.withColumn(name, F.col(_OFF) + F.col(_RUN)).drop(_PID, _RUN, _OFF)
-    return out if weight is not None else out.drop("_tm_w")
+    order = _as_cols(order_by)
+    keys = [*[F.col(g) for g in group_cols], *order]
+    w = F.col(weight) if weight is not None else F.lit(1).cast("long")
+    local = materialize(_range(df.withColumn(_RUN, w), num_partitions, keys).withColumn(_PID, F.spark_partition_id()))
+    inside = Window.partitionBy(_PID, *group_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = local.groupBy(_PID, *group_cols).agg(F.sum(_RUN).alias(_TOT))
+    summed = local.withColumn(_RUN, F.sum(_RUN).over(inside))
+    joined = _join_offsets(summed, _offsets(sizes, group_cols), group_cols)
+    return joined.withColumn(name, F.col(_OFF) + F.col(_RUN)).drop(_PID, _RUN, _OFF)
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str | Column], group_by: Sequence[str] = (),
@@ -114,7 +85,6 @@ def with_row_index(df: DataFrame, order_by: Sequence[str | Column], group_by: Se
     window (and no second shuffle) is needed. Partition sizes (one row per
     partition and group) give the offsets.
     """
-    n = num_partitions or _max_partitions(df)
     group_cols = list(group_by)
     keys = [*[F.col(g) for g in group_cols], *_as_cols(order_by)]
     mid = F.monotonically_increasing_id()
@@ -125,11 +95,7 @@ def with_row_index(df: DataFrame, order_by: Sequence[str | Column], group_by: Se
               .drop("_tm_mid"))
     local = materialize(ranged)
     sizes = local.groupBy(_PID, *group_cols).agg(F.min(_RUN).alias("_tm_first"), F.count(F.lit(1)).alias(_TOT))
-    before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(_PID, *group_cols, "_tm_first",
-                           F.coalesce(F.sum(_TOT).over(before), F.lit(0)).alias(_OFF))
-    bound = n if not group_cols else None
-    joined = join_small(local, offsets, on=[_PID, *group_cols], how="inner", known_max_rows=bound)
+    joined = _join_offsets(local, _offsets(sizes, group_cols, ["_tm_first"]), group_cols)
     return (joined.withColumn(name, (F.col(_OFF) + F.col(_RUN) - F.col("_tm_first")).cast("long"))
             .drop(_PID, _RUN, _OFF, "_tm_first"))
 
@@ -166,7 +132,7 @@ def exact_quantiles(hist: DataFrame, requests: Sequence[tuple[str, float]], key:
         return {req: None for req in requests}
     ranks = spark.createDataFrame(sorted(set(wanted)), "k string, r long")
     cum = with_running_total(h, ["v"], "c", group_by=["k"], name="cum_end")
-    hits = join_small(cum, ranks, on=["k"], how="inner", known_max_rows=len(wanted))
+    hits = cum.join(F.broadcast(ranks), "k")          # two rows per request
     hits = hits.where((F.col("cum_end") - F.col("c") <= F.col("r")) & (F.col("r") < F.col("cum_end")))
     at = {(r["k"], int(r["r"])): float(r["v"]) for r in hits.select("k", "r", "v").collect()}
     out: dict[tuple[str, float], float | None] = {}

@@ -16,8 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendermatch.operators.joins import join_small
-
 
 @dataclass
 class Layer:
@@ -55,12 +53,22 @@ def apply_layers(x: np.ndarray, layers: Sequence[Layer | dict]) -> np.ndarray:
     return x
 
 
+def _matrix(s: pd.Series, width: int, missing: float, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Array column as a matrix, and which rows have one; another width is an error."""
+    present = s.notna().to_numpy()
+    out = np.full((len(s), width), missing, dtype=dtype)
+    if present.any():
+        rows = s[present].to_numpy()
+        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        if (sizes != width).any():
+            raise ValueError(f"vectors of width {sorted(set(sizes.tolist()))} where {width} is needed")
+        out[present] = np.concatenate(rows).reshape(-1, width)
+    return out, present
+
+
 def _stack(s: pd.Series, dim: int) -> np.ndarray:
-    out = np.zeros((len(s), dim), dtype=np.float64)
-    for i, v in enumerate(s):
-        if v is not None:
-            out[i, :len(v)] = np.asarray(v, dtype=np.float64)
-    return out
+    """Rows without a vector score as zeros."""
+    return _matrix(s, dim, 0.0, np.float64)[0]
 
 
 def project(df: DataFrame, keys: Sequence[str], col: str, layers: Sequence[Layer], out: str = "projected"
@@ -102,16 +110,10 @@ def tower_scores(df: DataFrame, keys: Sequence[str], dense_col: str, cat_col: st
             parts = [x]
             if cat_col is not None and w["embeddings"]:
                 n_keys = len(w["embeddings"])
-                idx = np.full((len(pdf), n_keys), -1, dtype=np.int64)
-                present = np.zeros((len(pdf), n_keys), dtype=bool)
-                for r, v in enumerate(pdf[cat_col]):
-                    if v is not None:
-                        m = min(len(v), n_keys)
-                        idx[r, :m] = np.asarray(v[:m], dtype=np.int64)
-                        present[r, :m] = True
+                idx, present = _matrix(pdf[cat_col], n_keys, 0, np.int64)
                 for k, table in enumerate(w["embeddings"]):
                     emb = table[np.clip(idx[:, k], 0, table.shape[0] - 1)]      # clamp (V21)
-                    parts.append(np.where(present[:, k:k + 1], emb, 0.0))      # missing -> zeros
+                    parts.append(np.where(present[:, None], emb, 0.0))      # missing -> zeros
             h = apply_layers(np.concatenate(parts, axis=1), w["mlp"])
             if w["final"] is not None:
                 h = apply_layers(h, [w["final"]])
@@ -126,14 +128,18 @@ def tower_scores(df: DataFrame, keys: Sequence[str], dense_col: str, cat_col: st
 
 
 def embed_categorical(df: DataFrame, id_cols: Sequence[str], cat_col: str, tables: DataFrame, dim: int,
-                      table_rows: int | None = None) -> DataFrame:
-    """J10 / B12 as a join: (key_pos, idx) -> vec, concatenated over keys in order; unknown -> zeros."""
-    ex = df.select(*id_cols, F.posexplode(cat_col).alias("key_pos", "idx"))
-    j = join_small(ex, tables.select("key_pos", "idx", "vec"), ["key_pos", "idx"], "left", known_max_rows=table_rows)
+                      n_keys: int) -> DataFrame:
+    """J10 / B12 as joins: (key_pos, idx) -> vec, one lookup per key, concatenated in key order.
+
+    A row is kept whatever it lacks: a missing array, a NULL or unknown index
+    and a short array give zeros in their places.
+    """
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    j = j.select(*id_cols, "key_pos", F.coalesce(F.col("vec").cast("array<float>"), zeros).alias("vec"))
-    g = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("key_pos", "vec"))).alias("_e"))
-    return g.select(*id_cols, F.flatten(F.transform("_e", lambda s: s["vec"])).alias("cat_embedding"))
+    out = df.select(*id_cols, F.col(cat_col).alias("_tm_cat"))
+    for k in range(n_keys):
+        own = tables.where(F.col("key_pos") == k).select(F.col("idx").alias(f"_tm_i{k}"), F.col("vec").cast("array<float>").alias(f"_tm_v{k}"))
+        out = out.join(own, F.get("_tm_cat", F.lit(k)) == F.col(f"_tm_i{k}"), "left").drop(f"_tm_i{k}")
+    return out.select(*id_cols, F.concat(*[F.coalesce(f"_tm_v{k}", zeros) for k in range(n_keys)]).alias("cat_embedding"))
 
 
 def pair_scores(pairs: DataFrame, notice_emb: DataFrame, company_emb: DataFrame, notice_pk: Sequence[str],
@@ -144,5 +150,5 @@ def pair_scores(pairs: DataFrame, notice_emb: DataFrame, company_emb: DataFrame,
     n = notice_emb.withColumnRenamed("embedding", "notice_embedding")
     c = company_emb.withColumnRenamed("embedding", "company_embedding")
     j = pairs.join(n, list(notice_pk), "inner")
-    j = join_small(j, c, list(company_pk), "inner")
+    j = j.join(c, list(company_pk), "inner")
     return j.withColumn("score", dot("notice_embedding", "company_embedding") / F.lit(float(temperature)))

@@ -1,73 +1,64 @@
 """Text transform (P5), vector refresh (P9 / T2 batch form) and update-by-key.
 
-The encoder is pluggable. The default is the offline hashed-token encoder
-(``functions.text.hashed_mean_embedding``): JVM-side, whole texts, no model
-files. ``pandas_encoder`` wraps any batch encoder ``list[str] -> ndarray``
-(e.g. a transformer loaded once per Python worker) as an Arrow-batched
-pandas UDF.
+The encoder is pluggable: a function that replaces a text column of a frame by
+vectors, row by row. The default is the offline hashed-token encoder
+(``functions.text.hashed_embedding``): JVM-side, whole texts, no model files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendermatch.functions.text import clean_text, hashed_pool
+from tendermatch.functions.text import clean_text, hashed_embedding
 from tendermatch.functions.vectors import l2_normalize
 
 TEXT_DEFAULTS = {"lowercase": True, "strip": True, "fillna": "", "l2_normalize": True, "drop_if_empty": False}
 
+Encoder = Callable[[DataFrame, str], DataFrame]
 
-Encoder = Callable[[DataFrame, list, str], DataFrame]
 
+def encode_texts(df: DataFrame, config: dict, encoder: Encoder | None = None, dim: int = 8) -> DataFrame:
+    """``df`` with every configured text column replaced by its vector (clean -> encode -> normalise).
 
-def pandas_encoder(encode: Callable[[list[str]], np.ndarray], batch_size: int = 64) -> Encoder:
-    """Wrap a batch encoder ``list[str] -> ndarray`` (Arrow batches; load the model once per worker)."""
-    @F.pandas_udf("array<float>")
-    def enc(texts: pd.Series) -> pd.Series:
-        out = []
-        vals = texts.fillna("").tolist()
-        for i in range(0, len(vals), batch_size):
-            out.extend(np.asarray(encode(vals[i:i + batch_size]), dtype=np.float32))
-        return pd.Series(out)
-
-    def run(df: DataFrame, keys: list, col: str) -> DataFrame:
-        return df.select(*keys, enc(F.col(col)).alias(col))
-    return run
+    A projection: no key is needed, no row merges with another. Only
+    ``drop_if_empty`` removes rows.
+    """
+    cols = [c for c in df.columns if c in config]
+    encode = encoder or (lambda frame, c: hashed_embedding(frame, c, dim))
+    for c in cols:
+        cfg = config[c]
+        df = df.withColumn(c, clean_text(c, cfg.get("strip", True), cfg.get("lowercase", True), cfg.get("fillna", "")))
+        if cfg.get("drop_if_empty", False):
+            df = df.where(F.length(c) > 0)
+    for c in cols:
+        df = encode(df, c)
+        vec = l2_normalize(c) if config[c].get("l2_normalize", True) else F.col(c)
+        df = df.withColumn(c, vec.cast("array<float>"))
+    return df
 
 
 def text_transform(df: DataFrame, pk: Sequence[str], config: dict, encoder: Encoder | None = None,
                    dim: int = 8) -> DataFrame:
-    """P5: PK + one vector column per configured text column (clean -> encode -> pool -> normalise)."""
+    """P5: PK + one vector column per configured text column."""
     cols = [c for c in df.columns if c in config and c not in pk]
-    enc = encoder or (lambda frame, keys, c: hashed_pool(frame, keys, c, dim))
-    cleaned = df.select(*pk, *[clean_text(c, config[c].get("strip", True), config[c].get("lowercase", True),
-                                          config[c].get("fillna", "")).alias(c) for c in cols])
-    drop_empty = [c for c in cols if config[c].get("drop_if_empty", False)]
-    for c in drop_empty:
-        cleaned = cleaned.where(F.length(c) > 0)
-    result = None
-    for c in cols:
-        enc_c = enc(cleaned.select(*pk, c), list(pk), c)
-        v = (l2_normalize(c) if config[c].get("l2_normalize", True) else F.col(c)).cast("array<float>").alias(c)
-        enc_c = enc_c.select(*pk, v)
-        result = enc_c if result is None else result.join(enc_c, list(pk), "inner")
-    return result if result is not None else cleaned.select(*pk)
+    return encode_texts(df.select(*pk, *cols), {c: config[c] for c in cols}, encoder, dim)
 
 
 def update_by_key(target: DataFrame, updates: DataFrame, pk: Sequence[str], col: str) -> DataFrame:
     """Replace ``col`` of target rows whose key has an update; others keep their value.
 
-    Unmatched update rows are ignored. Updates must be unique per key.
+    Unmatched updates are ignored and an update of NULL sets NULL. Two updates
+    for one key are an error (they would multiply the target's rows).
     """
-    u = updates.select(*pk, F.col(col).alias("_tm_new"))
+    repeated = updates.groupBy(*pk).count().where("count > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"more than one update for a key: {repeated[0].asDict()}")
+    u = updates.select(*pk, F.col(col).alias("_tm_new"), F.lit(True).alias("_tm_hit"))
     j = target.join(u, list(pk), "left")
-    return j.withColumn(col, F.when(F.col("_tm_new").isNotNull(), F.col("_tm_new")).otherwise(F.col(col))
-                        ).drop("_tm_new").select(*target.columns)
+    return j.withColumn(col, F.when(F.col("_tm_hit"), F.col("_tm_new")).otherwise(F.col(col))).select(*target.columns)
 
 
 def refresh_vectors(target: DataFrame, source: DataFrame, pk: Sequence[str], text_col: str, vec_col: str,

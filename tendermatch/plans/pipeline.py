@@ -2,10 +2,9 @@
 
 ``fit_once`` fits numeric and categorical state on the table without its text
 columns (pruned at the scan); ``preprocess`` applies everything in one plan:
-categorical lookups are broadcast/shuffle joins on the same rows and numeric
-transforms one projection, so no merge by key is needed (text vectors, which
-pool over tokens, are merged one-to-one on the key). The same function serves
-a batch run and every micro-batch of a stream (T1).
+categorical lookups are broadcast/shuffle joins on the same rows, numeric
+transforms and text vectors projections, so no merge by key is needed. The same
+function serves a batch run and every micro-batch of a stream (T1).
 """
 
 from __future__ import annotations
@@ -18,9 +17,9 @@ from pyspark.sql import functions as F
 
 from tendermatch.functions.numeric import null_flag
 from tendermatch.operators.categorical import CategoricalModel, categorical_fit, encode_all
-from tendermatch.operators.joins import merge_one_to_one
+from tendermatch.operators.contracts import assert_pk
 from tendermatch.operators.numeric import NumericModel, numeric_columns, numeric_fit
-from tendermatch.operators.text import text_transform
+from tendermatch.operators.text import encode_texts
 from tendermatch.session import materialize
 
 
@@ -48,7 +47,7 @@ def fit_once(df: DataFrame, pk: list, numeric_cfg: dict, categorical_cfg: dict,
     """Fit numeric + categorical state once; text columns are not read."""
     text_cfg = text_cfg or {}
     base = df.select(*pk, *[c for c in df.columns if c in numeric_cfg or c in categorical_cfg])
-    base = materialize(base)
+    base = materialize(base)     # read by both fits
     # The two fits are independent small-job chains: submit them concurrently
     # so their stages share the cluster instead of queueing one after another.
     with ThreadPoolExecutor(max_workers=2) as pool:
@@ -57,31 +56,31 @@ def fit_once(df: DataFrame, pk: list, numeric_cfg: dict, categorical_cfg: dict,
         cat_f = pool.submit(categorical_fit, base.select(*pk, *[c for c in base.columns if c in categorical_cfg]),
                             categorical_cfg, pk)
         num, cat = num_f.result(), cat_f.result()
+    base.unpersist()
     return FittedPipeline(list(pk), num, cat, text_cfg)
 
 
 def preprocess(df: DataFrame, fitted: FittedPipeline, validate: bool = True) -> DataFrame:
     """PK, numeric values, numeric flags, categorical indices, categorical flags, text vectors.
 
-    Text vectors pool over tokens per key, so they are merged back on the key;
-    ``validate`` checks that merge is one-to-one (J4).
+    Everything happens on the rows themselves (lookup joins and projections), so
+    there is nothing to merge by key; ``validate`` checks that the key is a key.
     """
     pk = fitted.pk
     num_cols = [c for c in fitted.numeric_cols if c in df.columns]
     cat_cols = [c for c in fitted.categorical_cols if c in df.columns]
     text_cols = [c for c in fitted.text_config if c in df.columns]
-    cur = encode_all(df, cat_cols, fitted.categorical, pk)
-    out = cur.select(
+    if text_cols and validate:
+        assert_pk(df.select(*pk), pk)
+    out = encode_all(df, cat_cols, fitted.categorical).select(
         *pk,
         *[numeric_columns(fitted.numeric, c).alias(c) for c in num_cols],
         *[null_flag(c).alias(f"{c}_is_null") for c in num_cols if fitted.numeric.config[c].get("add_flag", False)],
         *[F.col(f"_enc_{c}").alias(c) for c in cat_cols],
         *[null_flag(c).alias(f"{c}_is_null") for c in cat_cols],
+        *text_cols,
     )
-    if text_cols:
-        vecs = text_transform(df.select(*pk, *text_cols), pk, fitted.text_config)
-        out = merge_one_to_one(out, vecs, pk) if validate else out.join(vecs, pk, "left")
-    return out
+    return encode_texts(out, {c: fitted.text_config[c] for c in text_cols})
 
 
 def run_pipeline(df: DataFrame, pk: list, numeric_cfg: dict, categorical_cfg: dict, text_cfg: dict | None,

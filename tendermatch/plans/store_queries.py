@@ -106,21 +106,79 @@ def projected_store_q(spark, sf_dir):
         "notice_no", F.col("pos").cast("int"), round6("value").alias("value"))
 
 
-@query("tower_scores")
+# Towers of the scoring queries: weights by rule in small integers, so that the
+# oracle can spell every layer as sums.
+TOWER_EMB = 2
+
+
+def _weight(rows: int, cols: int, shift: int) -> list[list[int]]:
+    return [[(3 * i + 5 * j + shift) % 5 - 2 for j in range(cols)] for i in range(rows)]
+
+
+def _tower_layers(dense: int, cats: int) -> tuple:
+    """Dense projection, one hidden layer, final layer."""
+    return (_weight(dense, 3, 1), _weight(3 + TOWER_EMB * cats, 4, 2), _weight(4, 3, 3))
+
+
+def _tower(dense: int, sizes: list[int]) -> TowerWeights:
+    d, h, o = (np.array(w, float) for w in _tower_layers(dense, len(sizes)))
+    tables = [np.array([[((i * 31 + k * 7 + e * 3) % 11 - 5) / 5.0 for e in range(TOWER_EMB)] for i in range(v)]) for k, v in enumerate(sizes)]
+    return TowerWeights(dense=Layer(d, np.full(3, 0.5)), embeddings=tables, mlp=[Layer(h, np.full(4, 0.25), relu=True)],
+                        final=Layer(o, np.zeros(3)))
+
+
+def _tower_sql(name: str, source: str, key: str, dense: list[str], cats: list[str]) -> str:
+    """CTE ``name`` with ``key`` and the unit vector e0 to e2 (before the cast to float)."""
+    d, h, o = _tower_layers(len(dense), len(cats))
+    layer = lambda ins, w, b: [" + ".join(f"({w[i][j]}) * {x}" for i, x in enumerate(ins)) + f" + {b}" for j in range(len(w[0]))]
+    emb = [f"(((({c} * 31 + {k} * 7 + {e} * 3) % 11) - 5) / 5.0)" for k, c in enumerate(cats) for e in range(TOWER_EMB)]
+    as_ = lambda exprs, p: ", ".join(f"{x} AS {p}{i}" for i, x in enumerate(exprs))
+    hidden = [f"greatest({x}, 0.0)" for x in layer([*[f"p{i}" for i in range(3)], *[f"c{i}" for i in range(len(emb))]], h, 0.25)]
+    return f"""{name}_in AS (SELECT {key}, {as_(layer(dense, d, 0.5), 'p')}, {as_(emb, 'c')} FROM {source}),
+{name}_hid AS (SELECT {key}, {as_(hidden, 'h')} FROM {name}_in),
+{name}_out AS (SELECT {key}, {as_(layer([f"h{i}" for i in range(4)], o, 0.0), 'o')} FROM {name}_hid),
+{name} AS (SELECT {key}, {as_([f"CAST(o{i} / greatest(sqrt(o0 * o0 + o1 * o1 + o2 * o2), 1e-12) AS FLOAT)" for i in range(3)], 'e')} FROM {name}_out)"""
+
+
+_NOTICE_TOWER = FEATURES_SQL + ", " + _tower_sql("nt", "feat", "notice_no", DENSE, CAT)
+_COMPANY_CTE = """company AS (SELECT CAST(s.s_suppkey AS VARCHAR) AS bizno, s.s_acctbal, n.n_name, r.r_name
+            FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey),
+cfeat AS (SELECT bizno, CAST(CAST(least(greatest(s_acctbal, 0.0), 1000000.0) AS FLOAT) AS DOUBLE) AS acct, 0.0 AS acct_null,
+                 dense_rank() OVER (ORDER BY n_name) - 1 AS n_idx, dense_rank() OVER (ORDER BY r_name) - 1 AS r_idx FROM company)"""
+_COMPANY_TOWER = _COMPANY_CTE + ", " + _tower_sql("ct", "cfeat", "bizno", ["acct", "acct_null"], ["n_idx", "r_idx"])
+
+
+def _vector_sql(name: str, key: str) -> str:
+    return " UNION ALL ".join(f"SELECT {key}, CAST({i} AS INTEGER) AS pos, round(CAST(e{i} AS DOUBLE), 6) + 0.0 AS value FROM {name}"
+                              for i in range(3))
+
+
+def _vector_rows(t, key):
+    return t.select(key, F.posexplode("embedding").alias("pos", "value")).select(key, F.col("pos").cast("int"), round6("value").alias("value"))
+
+
+def _notice_embeddings(spark, sf_dir):
+    f, fitted = features(spark, sf_dir)
+    weights = _tower(len(DENSE), [fitted.categorical.info[c]["vocab_size"] for c in CAT])
+    return tower_scores(build_store(f, roles.NOTICE_PK, DENSE, CAT), roles.NOTICE_PK, "numeric", "categorical", weights)
+
+
+def _company_embeddings(spark, sf_dir):
+    store, fitted = _company_store(spark, sf_dir)
+    weights = _tower(2, [fitted.categorical.info[c]["vocab_size"] for c in roles.COMPANY_CATEGORICAL])
+    return tower_scores(store, ["bizno"], "numeric", "categorical", weights)
+
+
+@query("tower_scores", oracle=_NOTICE_TOWER + _vector_sql("nt", "notice_no"))
 def tower_scores_q(spark, sf_dir):
-    """B13 notice tower with seeded weights; no SQL twin (checked against NumPy in tests)."""
-    s = _store(spark, sf_dir)
-    _, fitted = features(spark, sf_dir)
-    sizes = [fitted.categorical.info[c]["vocab_size"] for c in CAT]
-    rng = np.random.default_rng(11)
-    weights = TowerWeights(dense=Layer(rng.normal(0, 0.5, (4, 4)), np.zeros(4)),
-                           embeddings=[rng.normal(0, 1, (v, 2)) for v in sizes],
-                           mlp=[Layer(rng.normal(0, 0.3, (10, 8)), np.zeros(8), relu=True,
-                                      bn=(np.ones(8), np.zeros(8), np.zeros(8), np.ones(8), 1e-5))],
-                           final=Layer(rng.normal(0, 0.3, (8, 4)), np.zeros(4)))
-    t = tower_scores(s, ["notice_no"], "numeric", "categorical", weights)
-    return t.select("notice_no", F.posexplode("embedding").alias("pos", "value")).select(
-        "notice_no", F.col("pos").cast("int"), round6("value").alias("value"))
+    """The notice tower."""
+    return _vector_rows(_notice_embeddings(spark, sf_dir), "notice_no")
+
+
+@query("company_embeddings", oracle="WITH " + _COMPANY_TOWER + _vector_sql("ct", "bizno"))
+def company_embeddings_q(spark, sf_dir):
+    """B14, one side alone: the company tower."""
+    return _vector_rows(_company_embeddings(spark, sf_dir), "bizno")
 
 
 EMB_DIM = 4
@@ -145,8 +203,7 @@ def embed_categorical_q(spark, sf_dir):
                                   F.array(*[((((F.col("id") * 31 + k * 7 + d * 3) % 11) - 5) / 5.0).cast("float")
                                             for d in range(EMB_DIM)]).alias("vec"))
         tables = t if tables is None else tables.unionByName(t)
-    rows = sum(fitted.categorical.info[c]["vocab_size"] for c in CAT)
-    e = embed_categorical(s, ["notice_no"], "categorical", tables, EMB_DIM, table_rows=rows)
+    e = embed_categorical(s, ["notice_no"], "categorical", tables, EMB_DIM, len(CAT))
     return e.select("notice_no", F.posexplode("cat_embedding").alias("pos", "value")).select(
         "notice_no", F.col("pos").cast("int"), (F.col("value").cast("double") + F.lit(0.0)).alias("value"))
 
@@ -299,23 +356,14 @@ def jagged_combine_q(spark, sf_dir):
         "batch_id", F.col("p").cast("int"), "value")
 
 
-@query("pair_scores")
+@query("pair_scores", oracle=_NOTICE_TOWER + ", " + _COMPANY_TOWER + """,
+pair AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_suppkey) - 1 AS id, CAST(l_orderkey AS VARCHAR) AS notice_no,
+                CAST(l_suppkey AS VARCHAR) AS bizno FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem))
+SELECT CAST(id AS BIGINT) AS id, round(CAST(nt.e0 AS DOUBLE) * ct.e0 + CAST(nt.e1 AS DOUBLE) * ct.e1 + CAST(nt.e2 AS DOUBLE) * ct.e2, 6)
+       + 0.0 AS score FROM pair JOIN nt USING (notice_no) JOIN ct USING (bizno)""")
 def pair_scores_q(spark, sf_dir):
-    """Both towers with seeded weights, pair score = dot product (no SQL twin)."""
+    """Both towers, pair score = dot product."""
     from tendermatch.operators.scoring import pair_scores
-    nstore = _store(spark, sf_dir)
-    _, nfit = features(spark, sf_dir)
-    cstore, cfit = _company_store(spark, sf_dir)
-    rng = np.random.default_rng(21)
-
-    def tower(dense_dim, sizes):
-        return TowerWeights(dense=Layer(rng.normal(0, 0.5, (dense_dim, 4)), np.zeros(4)),
-                            embeddings=[rng.normal(0, 1, (v, 2)) for v in sizes],
-                            mlp=[Layer(rng.normal(0, 0.3, (4 + 2 * len(sizes), 8)), np.zeros(8), relu=True)],
-                            final=Layer(rng.normal(0, 0.3, (8, 4)), np.zeros(4)))
-    nt = tower(4, [nfit.categorical.info[c]["vocab_size"] for c in CAT])
-    ct = tower(2, [cfit.categorical.info[c]["vocab_size"] for c in roles.COMPANY_CATEGORICAL])
-    ne = tower_scores(nstore, roles.NOTICE_PK, "numeric", "categorical", nt)
-    ce = tower_scores(cstore, ["bizno"], "numeric", "categorical", ct)
-    s = pair_scores(roles.pairs(spark, sf_dir), ne, ce, roles.NOTICE_PK, roles.COMPANY_PK)
+    s = pair_scores(roles.pairs(spark, sf_dir), _notice_embeddings(spark, sf_dir), _company_embeddings(spark, sf_dir),
+                    roles.NOTICE_PK, roles.COMPANY_PK)
     return s.select(F.col("id").cast("long"), round6("score").alias("score"))

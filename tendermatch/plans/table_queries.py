@@ -56,7 +56,10 @@ UNION ALL SELECT event_id, 'broken', 'bytes', 1, 4 FROM events"""
 SELECT CAST(rec_no AS BIGINT) AS rec_no, feature, kind, CAST(n_values AS INTEGER) AS n_values, {r6('num')} AS num
 FROM ({_TYPED_ROWS})""")
 def typed_features_q(spark, sf_dir):
-    ex = _long(spark, sf_dir)
+    """The export is written as gzip and read back."""
+    path = S.scratch_path(spark, "typed")
+    X.write_typed(_events(spark, sf_dir).withColumn("rec_no", F.col("event_id")), path, exclude=("rec_no",))
+    ex = X.long_form(spark.read.parquet(path), ("rec_no",))
     total = lambda a: F.aggregate(a.cast("array<double>"), F.lit(0.0), lambda x, y: x + y)
     num = F.coalesce(total(F.col("ints")), total(F.col("floats")), F.length(F.col("bytes")).cast("double"))
     # size() of a NULL array is -1 in Spark: pick by kind instead
@@ -81,17 +84,18 @@ def typed_search_q(spark, sf_dir):
 
 
 @query("snapshot_manifest", oracle="""
-SELECT 'orders' AS table_name, CAST(count(*) AS BIGINT) AS total_rows, 'gzip' AS compression,
-       CAST(4000 AS BIGINT) AS chunk_size FROM orders""")
+SELECT 'orders' AS table_name, CAST(count(*) AS BIGINT) AS total_rows, CAST(4000 AS BIGINT) AS chunk_size,
+       TRUE AS files_within_chunk, TRUE AS all_gzip, TRUE AS files_differ FROM orders""")
 def snapshot_manifest_q(spark, sf_dir):
     orders = roles.table(spark, sf_dir, "orders")
     path = S.scratch_path(spark, "orders-snapshot")
-    man = S.snapshot(orders, path, chunk_size=4000, compression="gzip", size_threshold=1000)
-    # the manifest comes from the written files; re-read them to return its row
-    back = spark.read.parquet(man["path"])
-    return back.agg(F.count(F.lit(1)).alias("total_rows")).select(
-        F.lit("orders").alias("table_name"), F.col("total_rows").cast("long"), F.lit(man["compression"]).alias("compression"),
-        F.lit(man["chunk_size"]).cast("long").alias("chunk_size"))
+    S.snapshot(orders, path, chunk_size=4000, compression="gzip")
+    files = S.read_manifest(spark, path)             # as written beside the files
+    gzip = F.regexp_like("file", F.lit(r"\.gz\.parquet$")) & (F.col("compression") == "gzip")
+    return files.agg(F.sum("rows").alias("total_rows"), F.max("chunk_size").alias("chunk_size"),
+                     (F.max("rows") <= F.max("chunk_size")).alias("files_within_chunk"), F.bool_and(gzip).alias("all_gzip"),
+                     (F.count_distinct("file") == F.count("file")).alias("files_differ")
+                     ).select(F.lit("orders").alias("table_name"), "*")
 
 
 @query("csv_roundtrip", oracle=f"""
@@ -118,6 +122,29 @@ def table_sink_roundtrip_q(spark, sf_dir):
                        F.col("vec").isNull().alias("vec_missing"))
 
 
+@query("table_append_conflicts", oracle=with_(COMPANY_CTE) + """
+SELECT bizno FROM company WHERE r_name = 'EUROPE'""")
+def table_append_conflicts_q(spark, sf_dir):
+    """Of the suppliers to append, those that the stored table has."""
+    comp = roles.company(spark, sf_dir)
+    path = S.scratch_path(spark, "company-stored")
+    S.write_table(comp.where(F.col("r_name") <= "EUROPE"), path, ["bizno"], if_exists="replace")
+    return S.append_conflicts(comp.where(F.col("r_name") >= "EUROPE"), spark.read.parquet(path), ["bizno"])
+
+
+@query("typed_inspect", oracle="""
+SELECT event_id AS rec_no, 'event_type' AS feature, 'bytes' AS kind,
+       CASE WHEN length(event_type) > 4 THEN substr(event_type, 1, 4) || '...' ELSE event_type END AS shown
+FROM (SELECT * FROM events ORDER BY event_id LIMIT 7)
+UNION ALL SELECT event_id, 'user_id', 'int64',
+       CASE WHEN length(CAST(user_id AS VARCHAR)) > 4 THEN substr(CAST(user_id AS VARCHAR), 1, 4) || '...' ELSE CAST(user_id AS VARCHAR) END
+FROM (SELECT * FROM events ORDER BY event_id LIMIT 7)""")
+def typed_inspect_q(spark, sf_dir):
+    """The first records with clipped values."""
+    shown = X.inspect_records(_records(spark, sf_dir), 7, 4)
+    return shown.where(F.col("feature").isin("event_type", "user_id")).withColumn("rec_no", F.col("rec_no").cast("long"))
+
+
 _PROFILE_COLS = ["notice_no", "notice_ord", "o_totalprice", "o_custkey", "o_orderstatus", "o_orderpriority",
                  "o_cust_bucket", "registered_at"]
 _ROLES = {"notice_no": "pk", "notice_ord": "pk", "o_totalprice": "numeric", "o_custkey": "numeric",
@@ -157,9 +184,26 @@ def numeric_state_roundtrip_q(spark, sf_dir):
     return out.select(*roles.NOTICE_PK, *[round6(c).alias(c) for c in out.columns if c not in roles.NOTICE_PK])
 
 
+def _log_row(table, value):
+    """One log row whose recorded number is an aggregate of a table."""
+    return table.agg(value.cast("string").alias("val_loss"), F.count(F.lit(1)).cast("string").alias("train_batches"))
+
+
+@query("run_log", oracle="""
+SELECT '1' AS timestamp, CAST(count(*) AS VARCHAR) AS train_batches, CAST(max(o_orderkey) AS VARCHAR) AS val_loss, 'N/A' AS mrr FROM orders
+UNION ALL SELECT '2', CAST(count(*) AS VARCHAR), CAST(max(s_suppkey) AS VARCHAR), 'N/A' FROM supplier""")
+def run_log_q(spark, sf_dir):
+    """Two rows appended to a stored log, one after the other; columns without a value read N/A."""
+    path = S.scratch_path(spark, "run-log")
+    for k, (name, col) in enumerate([("orders", "o_orderkey"), ("supplier", "s_suppkey")], 1):
+        row = _log_row(roles.table(spark, sf_dir, name), F.max(col)).withColumn("timestamp", F.lit(str(k)))
+        log = S.append_run_log(spark, path, S.run_log_row(spark, row))
+    return log.select("timestamp", "train_batches", "val_loss", "mrr")
+
+
 @query("run_log_append")
 def run_log_append_q(spark, sf_dir):
-    """The evaluation of the embedding pairs appended to an (empty) experiment log."""
+    """The evaluation of the embedding pairs appended to a new experiment log."""
     from tendermatch.operators import metrics as M
     from tendermatch.plans.matching_queries import BATCH, SMOOTHING, _stats
 
@@ -170,24 +214,21 @@ def run_log_append_q(spark, sf_dir):
                        round6("recall_at_10").alias("recall_at_10"), round6("mrr").alias("mrr"),
                        round6("similarity_gap").alias("similarity_gap"), F.col("num_batches").alias("test_batches"))
     row = S.run_log_row(spark, values)
-    return S.append_run_log(None, row)
-
-
+    return S.append_run_log(spark, S.scratch_path(spark, "run-log"), row)
 
 
 @query("snapshot_many", oracle="""
-SELECT 'orders' AS table_name, CAST(count(*) AS BIGINT) AS n_rows FROM orders
-UNION ALL SELECT 'supplier', CAST(count(*) AS BIGINT) FROM supplier
-UNION ALL SELECT 'nation', CAST(count(*) AS BIGINT) FROM nation""")
+SELECT 'orders' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, FALSE AS failed FROM orders
+UNION ALL SELECT 'supplier', CAST(count(*) AS BIGINT), FALSE FROM supplier
+UNION ALL SELECT 'nation', CAST(count(*) AS BIGINT), FALSE FROM nation
+UNION ALL SELECT 'broken', NULL, TRUE""")
 def snapshot_many_q(spark, sf_dir):
-    """Three snapshots as concurrent jobs (per-table error isolation), read back."""
-    from functools import reduce
+    """Snapshots as concurrent jobs; one of them fails on its first row, which its result says."""
     base = S.scratch_path(spark, "multi")
     jobs = {t: (roles.table(spark, sf_dir, t), f"{base}/{t}") for t in ("orders", "supplier", "nation")}
-    done = S.snapshot_many(spark, jobs, max_workers=3, chunk_size=5000, size_threshold=10_000)
-    parts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
-             for t, p in sorted(done.items()) if p is not None]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    bad = roles.table(spark, sf_dir, "region").select(F.raise_error(F.lit("unreadable")).cast("string").alias("x"))
+    done = S.snapshot_many(spark, {**jobs, "broken": (bad, f"{base}/broken")}, max_workers=3, chunk_size=5000)
+    return done.select(F.col("table").alias("table_name"), F.col("rows").alias("n_rows"), F.col("error").isNotNull().alias("failed"))
 
 
 @query("run_pipeline", oracle=ORACLES["features_merged"])
@@ -211,8 +252,8 @@ UNION ALL SELECT 'all_files', (SELECT CAST(count(*) AS BIGINT) FROM orders) + (S
 def snapshot_reload_q(spark, sf_dir):
     """S10 + S19: a single-file snapshot and a chunked one, loaded back by name; records counted over a glob."""
     base = S.scratch_path(spark, "snapshots")
-    S.snapshot(roles.table(spark, sf_dir, "orders"), f"{base}/orders.parquet", size_threshold=10 ** 12)
-    S.snapshot(roles.table(spark, sf_dir, "lineitem"), f"{base}/lineitem", chunk_size=5000, size_threshold=1000)
+    S.snapshot(roles.table(spark, sf_dir, "orders"), f"{base}/orders.parquet", single_file=True)
+    S.snapshot(roles.table(spark, sf_dir, "lineitem"), f"{base}/lineitem", chunk_size=5000)
     parts = [R.load_snapshot(spark, base, t).agg(F.count(F.lit(1)).alias("n_rows"))
              .select(F.lit(t).alias("table_name"), "n_rows") for t in ("orders", "lineitem")]
     total = spark.createDataFrame([("all_files", R.count_records(spark, f"{base}/*/*.parquet"))],

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tendermatch.functions import vectors as V
 from tendermatch.functions.numeric import round6
-from tendermatch.functions.text import WHITESPACE, clean_text, hashed_pool
+from tendermatch.functions.text import WHITESPACE, clean_text, hashed_embedding
 from tendermatch.operators.text import refresh_vectors, text_transform, update_by_key
 from tendermatch.plans import roles
 from tendermatch.plans.registry import query
@@ -38,11 +38,21 @@ def text_clean_q(spark, sf_dir):
     return docs.select("doc_id", F.md5(c).alias("text_md5"), F.length(c).cast("long").alias("n_chars"))
 
 
-@query("masked_mean_pool", oracle=f"""WITH {TOKENS_CTE}
-SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(v, 6) + 0.0 AS value FROM pool""")
+@query("masked_mean_pool", oracle="""
+WITH h AS (SELECT label, CAST(vec_id % 3 <> 0 AS INTEGER) AS m, generate_subscripts(embedding, 1) - 1 AS pos,
+                  CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT label, CAST(pos AS INTEGER) AS pos, round(sum(v * m) / greatest(sum(m), 1e-6), 6) + 0.0 AS value FROM h GROUP BY label, pos""")
 def masked_mean_pool_q(spark, sf_dir):
+    """Vectors as the hidden states of their label's sequence; every third one is masked."""
+    e = roles.table(spark, sf_dir, "embeddings").withColumn("mask", (F.col("vec_id") % 3 != 0).cast("int"))
+    return _explode(V.mean_pool(e, "label", "embedding", "mask"), "label", "pooled")
+
+
+@query("hashed_mean_pool", oracle=f"""WITH {TOKENS_CTE}
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(v, 6) + 0.0 AS value FROM pool""")
+def hashed_mean_pool_q(spark, sf_dir):
     docs = roles.table(spark, sf_dir, "documents")
-    pooled = hashed_pool(docs.select("doc_id", clean_text("text").alias("text")), ["doc_id"], "text", DIM, out="v")
+    pooled = hashed_embedding(docs.select("doc_id", clean_text("text").alias("text")), "text", DIM, out="v")
     return _explode(pooled, "doc_id", "v")
 
 
@@ -181,3 +191,39 @@ def document_features_q(spark, sf_dir):
     total = F.aggregate(F.transform("text", lambda x: x.cast("double")), F.lit(0.0), lambda a, b: a + b)
     return out.select("doc_id", round6("n_chars").alias("n_chars"), round6("n_chars_is_null").alias("n_chars_is_null"),
                       "lang", "source", round6(total).alias("text_total"))
+
+
+_DOC_STORE = f"""WITH {TOKENS_CTE},
+nrm AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM pool GROUP BY doc_id),
+emb AS (SELECT doc_id, pos, round(CAST(CAST(v / greatest(n, 1e-12) AS FLOAT) AS DOUBLE), 6) + 0.0 AS value FROM pool JOIN nrm USING (doc_id)),
+num AS (SELECT doc_id, round(CAST(CAST(n_chars AS FLOAT) AS DOUBLE), 6) + 0.0 AS value FROM documents)
+"""
+
+
+def _doc_store(spark, sf_dir):
+    from tendermatch.operators.store import build_store
+    docs = roles.table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.lit(1).alias("one"), "text")
+    vec = text_transform(docs.select("doc_id", "n_chars", "one", "text"), ["doc_id", "n_chars", "one"], DOC_TEXT, dim=DIM)
+    return build_store(vec, ["doc_id"], ["n_chars"], ["one"], text=["text"], text_dim=DIM)
+
+
+@query("document_store", oracle=_DOC_STORE + """
+SELECT doc_id, CAST(0 AS INTEGER) AS pos, value FROM num
+UNION ALL SELECT doc_id, CAST(pos + 1 AS INTEGER), value FROM emb""")
+def document_store_q(spark, sf_dir):
+    """B1 + B3 + V17: the store with a text vector; all rows, numeric and vector fused into one dense input."""
+    from tendermatch.operators.store import slice_store
+    return _explode(slice_store(_doc_store(spark, sf_dir), None, ["doc_id"], ["text"]), "doc_id", "dense")
+
+
+@query("document_store_separate", oracle=_DOC_STORE + """,
+wanted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0)
+SELECT doc_id, 'dense' AS part, CAST(0 AS INTEGER) AS pos, value FROM num JOIN wanted USING (doc_id)
+UNION ALL SELECT doc_id, 'text', CAST(pos AS INTEGER), value FROM emb JOIN wanted USING (doc_id)""")
+def document_store_separate_q(spark, sf_dir):
+    """B3 + B15: the rows of given ids, with dense input and text vector apart."""
+    from tendermatch.operators.store import slice_store
+    ids = roles.table(spark, sf_dir, "labels").where("quality = 0")
+    s = slice_store(_doc_store(spark, sf_dir), ids, ["doc_id"], ["text"], fused=False)
+    parts = [_explode(s, "doc_id", c).select("doc_id", F.lit(c).alias("part"), "pos", "value") for c in ("dense", "text")]
+    return parts[0].unionByName(parts[1])

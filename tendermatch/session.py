@@ -16,12 +16,10 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
-    # Broadcasts happen only behind a checked size: explicitly in
-    # tendermatch.operators.joins.join_small (structural bound or a capped
-    # count), or by AQE from the *measured* size of a finished shuffle stage.
-    # The plan-time estimate (file sizes before decompression and filters) is
-    # not used.
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # A side is broadcast when its size is known to be small (literal key lists,
+    # small files), when a structural bound holds (hints in the operators), or
+    # by AQE from the *measured* size of a finished shuffle stage.
+    "spark.sql.autoBroadcastJoinThreshold": str(4 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
 }
@@ -81,4 +79,16 @@ def materialize(df: DataFrame, mode: str | None = None) -> DataFrame:
     if mode == "checkpoint":
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    pinned = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PINNED.append(pinned)
+    return pinned
+
+
+_PINNED: list[DataFrame] = []
+
+
+def release_pinned() -> None:
+    """Give up every frame that :func:`materialize` persisted so far. Results that
+    are read later still come out right: their blocks are computed again."""
+    while _PINNED:
+        _PINNED.pop().unpersist()

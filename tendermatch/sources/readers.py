@@ -50,11 +50,13 @@ def load_snapshot(spark: SparkSession, base: str, name: str) -> DataFrame:
     raise FileNotFoundError(f"no snapshot for {name} under {base}")
 
 
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+    hpath = _path(spark, path)
+    return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath))
 
 
 def count_records(spark: SparkSession, pattern: str, fmt: str = "parquet") -> int:

@@ -2,8 +2,8 @@
 
 * table sink with fail / replace / append modes, PK checked before the write;
 * physical schema: PK first (string, NOT NULL), regular columns, vectors last;
-* Parquet snapshots with codec and records per file, and a manifest derived
-  from the files actually written;
+* Parquet snapshots with codec and records per file, and a manifest beside the
+  files, derived from what was written;
 * versioned rewrite for update-by-key: a new directory per version, never an
   overwrite of the path being read.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tendermatch.operators.contracts import assert_pk
 from tendermatch.session import checkpoint_dir
+from tendermatch.sources.readers import _exists, _path
 
 MODES = {"fail": "errorifexists", "replace": "overwrite", "append": "append"}
 
@@ -57,14 +58,27 @@ def ensure_vector_column(df: DataFrame, col: str, dims: int | None = None) -> Da
     return df.withColumn(col, F.lit(None).cast("array<float>"))
 
 
+def append_conflicts(df: DataFrame, stored: DataFrame, pk: Sequence[str]) -> DataFrame:
+    """Keys of ``df`` that the stored table has already (as text, the way the table keeps them)."""
+    keys = df.select(*[F.col(k).cast("string").alias(k) for k in pk])
+    return keys.join(stored.select(*[F.col(k).cast("string").alias(k) for k in pk]), list(pk), "left_semi")
+
+
 def write_table(df: DataFrame, path: str, pk: Sequence[str], if_exists: str = "fail", fmt: str = "parquet",
                 table: str | None = None, buckets: int | None = None) -> None:
     """S11 + S12 + S13: checked keys, physical schema, mode fail / replace / append.
 
-    With ``table`` and ``buckets`` the table is bucketed and sorted by its key,
-    so later joins and aggregations on the key read it without a shuffle.
+    An append is checked against the keys stored already, so the key holds for
+    the table and not only for the call. With ``table`` and ``buckets`` the
+    table is bucketed and sorted by its key, so later joins and aggregations on
+    the key read it without a shuffle.
     """
+    spark = df.sparkSession
     out = physical_schema(assert_pk(df, pk), pk)
+    if if_exists == "append" and _exists(spark, path):
+        clash = append_conflicts(out, spark.read.format(fmt).load(path), pk).limit(1).collect()
+        if clash:
+            raise ValueError(f"primary key {list(pk)} is stored already: {clash[0].asDict()}")
     w = out.write.mode(MODES[if_exists]).format(fmt)
     if table:
         if buckets:
@@ -80,41 +94,51 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def snapshot(df: DataFrame, path: str, chunk_size: int = 100_000, compression: str = "snappy",
-             size_threshold: int = 1_000_000, n_rows: int | None = None) -> dict | None:
-    """S7 + S8: Parquet snapshot; files hold at most ``chunk_size`` rows above the
-    threshold (one file per task below it). Empty table -> no output (None).
-    Returns the manifest built from the files that were written."""
-    n = df.count() if n_rows is None else n_rows
-    if n == 0:
+             single_file: bool = False) -> dict | None:
+    """S7 + S8: Parquet snapshot with its manifest; an empty table gives no output (None).
+
+    Files hold at most ``chunk_size`` rows. ``single_file`` writes one file
+    instead (one task writes it all: for tables that the caller knows to be small).
+    """
+    if df.isEmpty():
         return None
-    w = df.write.mode("overwrite").option("compression", compression)
-    if n > size_threshold:
+    w = (df.coalesce(1) if single_file else df).write.mode("overwrite").option("compression", compression)
+    if not single_file:
         w = w.option("maxRecordsPerFile", chunk_size)
     w.parquet(path)
-    return manifest(df.sparkSession, path, compression, chunk_size)
+    return write_manifest(df.sparkSession, path, compression, None if single_file else chunk_size)
 
 
-def manifest(spark: SparkSession, path: str, compression: str, chunk_size: int) -> dict:
-    """Table, total rows, chunk size, chunk count, codec, files (from a re-read of the output)."""
-    files = (spark.read.parquet(path).groupBy(F.input_file_name().alias("file"))
-             .agg(F.count(F.lit(1)).alias("rows")).collect())
-    return {"path": path, "total_rows": int(sum(r["rows"] for r in files)), "chunk_size": chunk_size,
-            "chunk_count": len(files), "compression": compression,
-            "files": sorted(os.path.basename(r["file"]) for r in files)}
+def write_manifest(spark: SparkSession, path: str, compression: str, chunk_size: int | None) -> dict:
+    """One JSON row per written file beside the files (``_manifest``, which readers of the snapshot skip) and a
+    summary. Row counts come from the file footers (no column is read); the list of files stays distributed."""
+    files = (spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+             .withColumn("compression", F.lit(compression)).withColumn("chunk_size", F.lit(chunk_size).cast("long")))
+    files.write.mode("overwrite").json(os.path.join(path, "_manifest"))
+    r = read_manifest(spark, path).agg(F.sum("rows"), F.count(F.lit(1)), F.max("rows")).collect()[0]
+    return {"path": path, "total_rows": r[0], "chunk_count": r[1], "largest": r[2], "chunk_size": chunk_size, "compression": compression}
 
 
-def snapshot_many(spark: SparkSession, jobs: dict[str, tuple[DataFrame, str]], max_workers: int = 4, **kw
-                  ) -> dict[str, str | None]:
-    """Several snapshots as concurrent Spark jobs; one failure does not stop the others."""
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``file, rows, compression, chunk_size`` of a snapshot's files. The listing is explicit: readers hide names with ``_``."""
+    folder = _path(spark, os.path.join(path, "_manifest"))
+    names = [str(f.getPath()) for f in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+             if f.getPath().getName().startswith("part-")]
+    return spark.read.schema("file string, rows long, compression string, chunk_size long").json(names)
+
+
+def snapshot_many(spark: SparkSession, jobs: dict[str, tuple[DataFrame, str]], max_workers: int = 4, **kw) -> DataFrame:
+    """Several snapshots as concurrent Spark jobs: ``table, path, rows, error``, a row per table. One failure does
+    not stop the others; its cause is in ``error``. An empty table has neither path nor error."""
     def one(item):
         name, (df, path) = item
         try:
-            snapshot(df, path, **kw)
-            return name, path
-        except Exception:  # noqa: BLE001 - isolation per table is the contract
-            return name, None
+            done = snapshot(df, path, **kw)
+            return name, done and path, done["total_rows"] if done else 0, None
+        except Exception as e:  # noqa: BLE001 - isolation per table is the contract
+            return name, None, None, f"{type(e).__name__}: {e}"[:500]
     with ThreadPoolExecutor(max_workers=max_workers) as pool:
-        return dict(pool.map(one, jobs.items()))
+        return spark.createDataFrame(list(pool.map(one, jobs.items())), "table string, path string, rows long, error string")
 
 
 def write_versioned(df: DataFrame, base: str) -> str:
@@ -124,6 +148,7 @@ def write_versioned(df: DataFrame, base: str) -> str:
     return path
 
 
+# Fixed format: the columns of the experiment log, in order.
 RUN_LOG_COLUMNS = ["timestamp", "batch_size", "model_params", "embedding_dim", "final_embedding_dim", "hidden_dims",
                    "learning_rate", "epochs", "train_loss", "train_acc", "val_loss", "val_acc", "recall_at_5",
                    "recall_at_10", "mrr", "similarity_gap", "train_batches", "test_batches", "gpu_optimization"]
@@ -138,11 +163,16 @@ def run_log_row(spark: SparkSession, values: DataFrame) -> DataFrame:
     return values.select(*cols)
 
 
-def append_run_log(existing: DataFrame | None, row: DataFrame) -> DataFrame:
-    """Append (unionByName with missing columns filled)."""
-    if existing is None:
-        return row
-    return existing.unionByName(row, allowMissingColumns=True).fillna("N/A")
+def append_run_log(spark: SparkSession, path: str, row: DataFrame) -> DataFrame:
+    """Append a row to the stored log (created when missing) and read the log back in order of its timestamps.
+
+    Rows of an older log that lack a column read ``N/A`` there."""
+    row.write.mode("append").option("header", True).csv(path)
+    log = spark.read.option("header", True).csv(path)
+    for c in RUN_LOG_COLUMNS:
+        if c not in log.columns:
+            log = log.withColumn(c, F.lit(None).cast("string"))
+    return log.select(*RUN_LOG_COLUMNS).fillna("N/A").orderBy("timestamp")
 
 
 def save_state(spark: SparkSession, path: str, tables: dict[str, DataFrame], config: dict) -> None:

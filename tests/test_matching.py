@@ -180,26 +180,22 @@ def test_pandas_reference_percentile_interpolation():
     assert np.percentile(v, 50) == 3.0
 
 
-def test_deep_page_uses_row_index(spark, monkeypatch):
+def test_pages_come_in_order_at_any_depth(spark):
     from tendermatch.operators import lookups as L
-    df = spark.range(300).withColumn("k", (F.col("id") * 7919) % 300)
-    shallow = [r.k for r in L.page(df, ["k"], 40, 25).collect()]
-    monkeypatch.setattr(L, "MAX_TOPN_PAGE", 10)
-    deep = sorted(r.k for r in L.page(df, ["k"], 40, 25).collect())
-    assert shallow == deep == list(range(40, 65))
+    df = spark.range(300).withColumn("k", (F.col("id") * 7919) % 300).repartition(7)
+    assert [r.k for r in L.page(df, ["k"], 40, 25).collect()] == list(range(40, 65))
+    assert [r.k for r in L.page(df, ["k"], 295, 25).collect()] == list(range(295, 300))
+    with pytest.raises(ValueError, match="lacks"):
+        L.use_columns(df, ["k", "nothing"])
 
 
-def test_weighted_running_total_across_batches_and_groups(spark):
+def test_weighted_running_total_of_groups(spark):
     from tendermatch.operators.ranking import with_running_total
     rng = np.random.default_rng(0)
     rows = [(f"g{int(g)}", float(v), int(c))
             for g, v, c in zip(rng.integers(0, 3, 300), rng.permutation(300), rng.integers(1, 5, 300))]
     df = spark.createDataFrame(rows, "k string, v double, c long")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")     # sums must carry across batches
-    try:
-        got = {(r.k, r.v): r.cum for r in with_running_total(df, ["v"], "c", group_by=["k"], name="cum").collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(r.k, r.v): r.cum for r in with_running_total(df, ["v"], "c", group_by=["k"], name="cum").collect()}
     exp = {}
     for k in ("g0", "g1", "g2"):
         tot = 0
@@ -226,17 +222,60 @@ def test_row_index_with_checkpointed_intermediates(spark):
     assert idx == {k: k for k in range(100)}
 
 
-def test_join_small_checks_bytes_not_only_rows(spark):
-    import io
-    from contextlib import redirect_stdout
-    from tendermatch.operators import joins
-    big = spark.range(50).withColumnRenamed("id", "k")
-    wide = spark.range(10).select(F.col("id").alias("k"), F.array_repeat(F.lit(1.0), 1000).alias("v"))
-
-    def plan(df):
-        buf = io.StringIO()
-        with redirect_stdout(buf):
-            df.explain()
-        return buf.getvalue()
-    assert "BroadcastHashJoin" in plan(joins.join_small(big, wide, ["k"]))
-    assert "BroadcastHashJoin" not in plan(joins.join_small(big, wide, ["k"], max_broadcast_bytes=10_000))
+def test_null_groups_keep_their_rows(spark):
+    from tendermatch.operators.ranking import with_running_total
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4)], "g string, v long")
+    assert {(r.g, r.v): r.row_idx for r in with_row_index(df, ["v"], group_by=["g"]).collect()} == {
+        (None, 1): 0, (None, 2): 1, ("a", 3): 0, ("a", 4): 1}
+    assert {(r.g, r.v): r.t for r in with_running_total(df, ["v"], "v", group_by=["g"], name="t").collect()} == {
+        (None, 1): 1, (None, 2): 3, ("a", 3): 3, ("a", 4): 7}
+
+
+def test_strict_pairs_fail_however_little_is_read(spark):
+    pairs = spark.createDataFrame([(0, "n1", "c1"), (1, "n9", "c1")], "id long, notice_no string, bizno string")
+    notices = spark.createDataFrame([("n1", 1.0)], "notice_no string, f double")
+    comps = spark.createDataFrame([("c1", 2.0)], "bizno string, g double")
+    out = pair_features(pairs, notices, comps, ["notice_no"], ["bizno"], strict=True)
+    for read in (lambda: out.count(), lambda: out.select("g").collect(), lambda: out.select(F.lit(1)).collect()):
+        with pytest.raises(Exception, match="missing from a feature store"):
+            read()
+    assert pair_features(pairs.where("id = 0"), notices, comps, ["notice_no"], ["bizno"]).count() == 1
+
+
+def test_pair_keys_need_every_part(spark):
+    from tendermatch.operators.pairs import pair_keys
+    df = spark.createDataFrame([("a", None), (None, "d"), ("a", "b"), ("a", "b")], "x string, y string")
+    assert [tuple(r) for r in pair_keys(df, ["x", "y"]).collect()] == [("a", "b")]
+
+
+def test_missing_categories_embed_to_zeros(spark):
+    from tendermatch.operators.scoring import embed_categorical
+    df = spark.createDataFrame([(1, [0, 1]), (2, None), (3, []), (4, [None, 7]), (4, [1, 0])], "id long, c array<long>")
+    tables = spark.createDataFrame([(0, 0, [1.0]), (0, 1, [2.0]), (1, 0, [3.0]), (1, 1, [4.0])], "key_pos int, idx long, vec array<double>")
+    got = sorted((r.id, r.cat_embedding) for r in embed_categorical(df, ["id"], "c", tables, 1, 2).collect())
+    assert got == [(1, [1.0, 4.0]), (2, [0.0, 0.0]), (3, [0.0, 0.0]), (4, [0.0, 0.0]), (4, [2.0, 3.0])]
+
+
+def test_vectors_of_another_width_are_an_error(spark):
+    from tendermatch.operators.scoring import project
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id long, v array<double>")
+    with pytest.raises(Exception, match="width"):
+        project(df, ["id"], "v", [Layer(np.eye(2), np.zeros(2))]).collect()
+
+
+def test_typed_values_stay_exact(spark):
+    from decimal import Decimal
+    df = spark.createDataFrame([("[9007199254740993]", "[1, true]", "[false]", '["true", 1]', Decimal("1.50"), [True, False])],
+                               "a string, b string, c string, d string, e decimal(10,2), f array<boolean>")
+    feats = typed_features(df).collect()[0].features
+    assert feats["a"]["ints"] == [9007199254740993] and feats["b"]["ints"] == [1, 1] and feats["c"]["ints"] == [0]
+    assert feats["d"]["bytes"] == '["true", 1]' and feats["e"]["kind"] == "bytes" and feats["e"]["bytes"] == "1.50"
+    assert feats["f"]["ints"] == [1, 0]
+
+
+def test_search_compares_typed_values(spark):
+    from tendermatch.sources.export import search
+    df = spark.createDataFrame([(1, 5, "5"), (2, 6, "5")], "rec_no long, n long, s string")
+    recs = typed_features(df, ("rec_no",))
+    assert [r.rec_no for r in search(recs, "n", 5).collect()] == [1] and search(recs, "n", "5").count() == 0
+    assert [r.rec_no for r in search(recs, "s", "5").collect()] == [1, 2] and search(recs, "s", 5).count() == 0

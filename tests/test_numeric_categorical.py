@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tendermatch.operators.categorical import RARE_TOKEN, UNKNOWN_TOKEN, categorical_fit, categorical_transform
 from tendermatch.operators import numeric as N
@@ -100,8 +101,7 @@ def test_numeric_matches_pandas(spark, case):
                                           for v in vals]
 
 
-def test_wide_quantile_path_matches(spark, monkeypatch):
-    monkeypatch.setattr(N, "MAX_SINGLE_TASK_DISTINCT", 3)
+def test_quantiles_match(spark):
     cfg = {"x": CASES["median_pct_log_z"]}
     vals = _values()
     df = spark.createDataFrame([(i, None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v))
@@ -154,8 +154,7 @@ def test_categorical_unknown_null_rare_threshold(spark):
     assert spec["x"].input_dim == 5 and spec["x"].has_rare_token and spec["x"].has_null_token
 
 
-def test_approximate_quantiles_are_close(spark, monkeypatch):
-    monkeypatch.setattr(N, "MAX_SINGLE_TASK_DISTINCT", 3)
+def test_approximate_quantiles_are_close(spark):
     rng = np.random.default_rng(9)
     vals = rng.normal(100, 20, 2000)
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "id long, x double")
@@ -167,13 +166,16 @@ def test_approximate_quantiles_are_close(spark, monkeypatch):
     assert abs(rank(s["clip_low"]) - 0.05) < 0.01 and abs(rank(s["clip_high"]) - 0.95) < 0.01
 
 
-def test_wide_encoding_matches_broadcast_encoding(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [0, 250, 1 << 30])
+def test_encoding_does_not_depend_on_the_join(spark, monkeypatch, limit):
     import tendermatch.operators.categorical as C
+    monkeypatch.setattr(C, "MAX_BROADCAST_BYTES", limit)
     rows = [(i, f"a{i % 7}", None if i % 5 == 0 else f"b{i % 11}", f"c{i % 3}") for i in range(60)]
     df = spark.createDataFrame(rows, "id long, x string, y string, z string")
-    model = categorical_fit(df, {"x": {}, "y": {"rare_threshold": 0.05}, "z": {}}, ["id"])
-    new = df.union(spark.createDataFrame([(100, "zzz", "b1", None)], "id long, x string, y string, z string"))
-    expect = sorted(map(tuple, categorical_transform(new, model).collect()))
-    monkeypatch.setattr(C, "MAX_BROADCAST_ROWS", 1)        # every vocabulary is now "large"
-    got = sorted(map(tuple, categorical_transform(new, model).collect()))
-    assert got == expect
+    model = categorical_fit(df, {"x": {}, "y": {}, "z": {}}, ["id"])
+    index = {c: {r.label: r.idx for r in model.vocab.where(F.col("column") == c).collect()} for c in "xyz"}
+    new = [(0, "a0", "b1", "c1"), (0, "a1", "b2", "c2"), (None, "zzz", None, None), (None, "a6", "b1", "new")]
+    out = categorical_transform(spark.createDataFrame(new, "id long, x string, y string, z string"), model)
+    code = lambda c, v: index[c].get("[NULL]" if v is None else v, index[c][UNKNOWN_TOKEN])
+    got = sorted(((r.id, r.x, r.y, r.z) for r in out.collect()), key=repr)
+    assert got == sorted(((k, code("x", x), code("y", y), code("z", z)) for k, x, y, z in new), key=repr)
