@@ -157,13 +157,13 @@ def _vector_rows(t, key):
     return t.select(key, F.posexplode("embedding").alias("pos", "value")).select(key, F.col("pos").cast("int"), round6("value").alias("value"))
 
 
-def _notice_embeddings(spark, sf_dir):
+def notice_embeddings(spark, sf_dir):
     f, fitted = features(spark, sf_dir)
     weights = _tower(len(DENSE), [fitted.categorical.info[c]["vocab_size"] for c in CAT])
     return tower_scores(build_store(f, roles.NOTICE_PK, DENSE, CAT), roles.NOTICE_PK, "numeric", "categorical", weights)
 
 
-def _company_embeddings(spark, sf_dir):
+def company_embeddings(spark, sf_dir):
     store, fitted = _company_store(spark, sf_dir)
     weights = _tower(2, [fitted.categorical.info[c]["vocab_size"] for c in roles.COMPANY_CATEGORICAL])
     return tower_scores(store, ["bizno"], "numeric", "categorical", weights)
@@ -172,13 +172,13 @@ def _company_embeddings(spark, sf_dir):
 @query("tower_scores", oracle=_NOTICE_TOWER + _vector_sql("nt", "notice_no"))
 def tower_scores_q(spark, sf_dir):
     """The notice tower."""
-    return _vector_rows(_notice_embeddings(spark, sf_dir), "notice_no")
+    return _vector_rows(notice_embeddings(spark, sf_dir), "notice_no")
 
 
 @query("company_embeddings", oracle="WITH " + _COMPANY_TOWER + _vector_sql("ct", "bizno"))
 def company_embeddings_q(spark, sf_dir):
     """B14, one side alone: the company tower."""
-    return _vector_rows(_company_embeddings(spark, sf_dir), "bizno")
+    return _vector_rows(company_embeddings(spark, sf_dir), "bizno")
 
 
 EMB_DIM = 4
@@ -364,6 +364,6 @@ SELECT CAST(id AS BIGINT) AS id, round(CAST(nt.e0 AS DOUBLE) * ct.e0 + CAST(nt.e
 def pair_scores_q(spark, sf_dir):
     """Both towers, pair score = dot product."""
     from tendermatch.operators.scoring import pair_scores
-    s = pair_scores(roles.pairs(spark, sf_dir), _notice_embeddings(spark, sf_dir), _company_embeddings(spark, sf_dir),
+    s = pair_scores(roles.pairs(spark, sf_dir), notice_embeddings(spark, sf_dir), company_embeddings(spark, sf_dir),
                     roles.NOTICE_PK, roles.COMPANY_PK)
     return s.select(F.col("id").cast("long"), round6("score").alias("score"))
