@@ -18,19 +18,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tendermatch.llm.common import held, ship
+
 MAX_STATES = 250_000     # states a worker keeps
 FEW = 24                 # tokens below a trie node that are looked at one by one
 LOOKAHEAD = 1 << 10      # bytes after which a piece's ids are emitted as soon as they are final
-MAX_PIECES = 200_000     # pieces whose ids a worker remembers
+MAX_PAIRS = 500_000      # token pairs of which a worker knows whether the merges leave them alone
+MAX_PIECES = 300_000     # pieces whose ids a worker remembers
 LONG_PIECE = 48          # longer pieces go through the transducer every time
 LONG_TEXT = 1 << 20      # code points from which pieces are streamed
 NEVER = 1 << 60          # rank of what is never merged
@@ -42,6 +46,20 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x.strip())}
 
 
+class State(dict):
+    """Transitions of a state by byte, made when first needed."""
+
+    __slots__ = ("machine", "key")
+
+    def __init__(self, machine: Transducer, key: tuple[int, ...]):
+        super().__init__()
+        self.machine, self.key = machine, key
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        step = self[byte] = self.machine.move(self.key, byte)
+        return step
+
+
 class Transducer:
     """Merges compiled into byte transitions. A state holds a (trie node, last
     token) pair for every start of a token that may still grow; a transition
@@ -80,18 +98,16 @@ class Transducer:
         self.edges: dict[int, tuple[list, list] | None] = {}
         self._empty()
 
-    def _empty(self, key: tuple[int, ...] = (0, -1)) -> None:
+    def _empty(self, key: tuple[int, ...] = (0, -1)) -> State:
         """Forget all states but ``key``."""
-        self.keys: list[tuple[int, ...]] = [(0, -1)]
-        self.ids: dict[tuple[int, ...], int] = {(0, -1): 0}
-        self.moves: dict[int, tuple[int, int]] = {}      # state * 256 + byte -> state, token
-        self._state(key)
+        self.states: dict[tuple[int, ...], State] = {}
+        self.start = self._state((0, -1))
+        return self._state(key)
 
-    def _state(self, key: tuple[int, ...]) -> int:
-        state = self.ids.get(key)
+    def _state(self, key: tuple[int, ...]) -> State:
+        state = self.states.get(key)
         if state is None:
-            state = self.ids[key] = len(self.keys)
-            self.keys.append(key)
+            state = self.states[key] = State(self, key)
         return state
 
     def merged(self, data: bytes, trace: list | None = None) -> list[bytes]:
@@ -125,7 +141,7 @@ class Transducer:
         """Whether the merges leave ``right`` after ``left`` as they are (left -1: the start)."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= 20 * self.max_states:
+            if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._untouched(left, right)
         return known
@@ -159,14 +175,15 @@ class Transducer:
             return tokens is None
         known = self.hopes.get((last, node))
         if known is None:
-            if len(self.hopes) >= 20 * self.max_states:
+            if len(self.hopes) >= MAX_PAIRS:
                 self.hopes.clear()
             known = self.hopes[last, node] = any(self.follows(last, t) for t in tokens)
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
+    def move(self, key: tuple[int, ...], byte: int) -> tuple[State, int]:
+        """State after a byte, and the last token of the prefix that it ends."""
         reached, found = [], -1
-        live = iter(self.keys[state])
+        live = iter(key)
         for node, last in zip(live, live):
             nxt = self.child.get(node << 8 | byte)
             if nxt is None:
@@ -177,8 +194,7 @@ class Transducer:
                 reached += (nxt, last)
         if found < 0:
             raise ValueError("the ranks are not those of a byte-pair encoding")
-        move = self.moves[state << 8 | byte] = (self._state((*reached, 0, found)), found)
-        return move
+        return self._state((*reached, 0, found)), found
 
     def encode(self, data: bytes) -> list[int]:
         """Token ids of one piece. ``ends`` has the last token of each prefix
@@ -186,19 +202,19 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.keys) > self.max_states:
+        if len(self.states) > self.max_states:
             self._empty()
-        state, moves, ends, out = 0, self.moves, [], []
-        for byte in data:
-            state, token = moves.get(state << 8 | byte) or self._move(state, byte)
-            ends.append(token)
-            if len(ends) >= LOOKAHEAD and len(self.keys[state]) == 2:    # no earlier start is open
-                out += self._walk(ends)
-                ends.clear()
-                if len(self.keys) > self.max_states:
-                    key = self.keys[state]
-                    self._empty(key)
-                    state, moves = self.ids[key], self.moves
+        state, out = self.start, []
+        for begin in range(0, len(data), LOOKAHEAD):
+            ends: list[int] = [] if not begin else ends
+            for byte in data[begin:begin + LOOKAHEAD]:
+                state, token = state[byte]
+                ends.append(token)
+                if len(ends) > LOOKAHEAD and len(state.key) == 2:       # no earlier start is open
+                    out += self._walk(ends)
+                    ends.clear()
+            if len(self.states) > self.max_states:
+                state = self._empty(state.key)
         return out + self._walk(ends)
 
     def _walk(self, ends: list[int]) -> list[int]:
@@ -210,6 +226,10 @@ class Transducer:
         return found
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Pieces(dict):
     """Ids of pieces met before, as little-endian bytes; the pieces of the last
     full table stay at hand in ``old``."""
@@ -222,7 +242,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = np.array(self.transducer.encode(piece.encode("utf-8")), dtype="<u4").tobytes()
+            ids = _packed(self.transducer.encode(piece.encode("utf-8")))
         if len(piece) <= LONG_PIECE:
             if len(self) >= MAX_PIECES:
                 self.old = dict(self)
@@ -259,6 +279,10 @@ class Codec:
         yield machine.end()
 
 
+def codec(data: bytes, pattern: str) -> Codec:
+    return Codec(parse_ranks(data), pattern)
+
+
 class Utf8Machine:
     """Incremental UTF-8: states count the continuation bytes that a character
     still needs, with the narrower ranges of the byte after E0, ED, F0 and F4."""
@@ -300,17 +324,6 @@ class Utf8Machine:
         return rest
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
-def codec(data: bytes, pattern: str) -> Codec:
-    """One codec per worker process and vocabulary."""
-    key = (hashlib.sha256(data).hexdigest(), pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(parse_ranks(data), pattern)
-    return _CODECS[key]
-
-
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                      keep_ids: bool = True) -> DataFrame:
     """``<id_col>, n_tokens long, ids_sha256, decoded_sha256`` and, unless
@@ -319,14 +332,13 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str =
     Rows are mapped one to one without a shuffle: repeated rows stay repeated,
     null ids stay null, a null or empty text has no ids, other columns are
     left out, and an empty table gives an empty one. ``ranks`` (the bytes of
-    a rank file) goes to the workers as a broadcast variable; it has the
-    size of a vocabulary, whatever the data.
+    a rank file) goes to the workers as a broadcast variable; a worker compiles
+    it once.
     """
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = ship(docs.sparkSession, ranks, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(shared.value, pattern)
+        own = held(shared, "codec", codec)
         for batch in batches:
             counts, hashes, back, packed = [], [], [], []
             for text in batch.column(1):
@@ -355,11 +367,11 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str =
 def decode_ids(table: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """``table`` with the text of its ids in ``out_col`` (an existing column of
     that name is replaced); null ids give null."""
-    shared = table.sparkSession.sparkContext.broadcast(ranks)
+    shared = ship(table.sparkSession, ranks, pattern)
 
     @F.pandas_udf("string")
     def text(ids):
-        own = codec(shared.value, pattern)
+        own = held(shared, "codec", codec)
         return ids.map(lambda x: None if x is None else "".join(own.decode(x.tolist())))
 
     return table.withColumn(out_col, text(F.col(ids_col)))

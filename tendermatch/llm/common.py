@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
+from collections.abc import Callable
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,24 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession, *objects) -> Broadcast:
+    """Objects for the workers of a job, as a broadcast variable (of a size that does not grow with the data).
+
+    Code goes to workers by value, so a task's module globals are its own; a
+    broadcast value is read once by a worker process and stays there for the
+    tasks that follow. :func:`held` keeps what is made from it in the same place.
+    """
+    return spark.sparkContext.broadcast({"objects": cloudpickle.dumps(objects)})
+
+
+def held(store: Broadcast, key: str, make: Callable):
+    """What ``make(*objects)`` gave the first time in this worker process."""
+    kept = store.value
+    if key not in kept:
+        kept[key] = make(*pickle.loads(kept["objects"]))
+    return kept[key]
+
+
 def remainder(id_col: str | Column, divisor: int) -> Column:
     """crc32 of an id's decimal text, modulo ``divisor``; null ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col) if isinstance(id_col, str) else id_col, F.lit("")).cast("string")

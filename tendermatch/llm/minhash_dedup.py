@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendermatch.llm.common import pin
+from tendermatch.llm.common import held, pin, ship
 from tendermatch.llm.graph import components
 
 SHINGLE = 5               # words
@@ -60,16 +60,14 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
-
-
-def multisets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def multisets(texts: list[str | None], size: int = SHINGLE, known: _Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every text, their counts, and where each
     text's begin (n + 1 places). Words are parts between white space, A-Z
     lower-cased; a text of fewer words is a single shingle, one without words has none."""
+    known = _Words() if known is None else known
     words = [(t or "").encode("utf-8").lower().split() for t in texts]
     counts = np.array([len(w) for w in words], dtype=np.int64)
-    flat = np.fromiter((h for w in words for h in map(_WORDS.__getitem__, w)), dtype=np.uint64, count=int(counts.sum()))
+    flat = np.fromiter((h for w in words for h in map(known.__getitem__, w)), dtype=np.uint64, count=int(counts.sum()))
     of = np.repeat(np.arange(len(texts)), counts)
     left = np.repeat(np.cumsum(counts), counts) - np.arange(len(flat))       # words up to the text's end, own included
     begins = (left >= size) | (left == np.repeat(counts, counts)) & (np.repeat(counts, counts) < size)
@@ -173,11 +171,12 @@ def _identity(id_col: str) -> Column:
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``did, m1, m2, size, bands``: hash of the multiset, number of shingles and band keys per row."""
+    store = ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in _chunks(batch.column(1)):
-                value, weight, starts = multisets(texts, shingle)
+                value, weight, starts = multisets(texts, shingle, held(store, "words", _Words))
                 keys = band_keys(signatures(value, weight, starts))
                 digest = [xxhash.xxh3_128_digest(value[a:b].tobytes() + weight[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:])]
                 halves = np.frombuffer(b"".join(digest), dtype="<i8").reshape(-1, 2)
@@ -194,11 +193,12 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
 def _with_multisets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """``did, m1, m2, value, weight`` of the wanted entries (did, m1, m2)."""
+    store = ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in _chunks(batch.column(1)):
-                value, weight, starts = multisets(texts, shingle)
+                value, weight, starts = multisets(texts, shingle, held(store, "words", _Words))
                 digest = [xxhash.xxh3_128_digest(value[a:b].tobytes() + weight[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:])]
                 halves = np.frombuffer(b"".join(digest), dtype="<i8").reshape(-1, 2)
                 ends = pa.array(starts.astype(np.int32))
