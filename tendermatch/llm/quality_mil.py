@@ -16,11 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 256            # bytes of a passage
 SEGMENT = 1 << 20       # bytes looked at at once; a multiple of WINDOW
+SCORED = 1 << 22        # bytes of text scored at once
 MAX_PERIOD = 24         # longest repetition period looked for
 TRAIN_DOCS = 4000       # labelled rows that the model is fitted on, at most
 TRAIN_WINDOWS = 128     # passages of one of those rows, at most, evenly spread
@@ -99,6 +101,17 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
+def parts(texts: pa.Array, size: int = SCORED) -> Iterator[pa.Array]:
+    """A batch in parts of about ``size`` bytes (a longer text is a part of its own)."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
+    begin = 0
+    while begin < len(texts):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield texts.slice(begin, end - begin)
+        begin = end
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -203,7 +216,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     def scored(texts: pd.Series) -> pd.Series:
         if model is None:
             return pd.Series(np.full(len(texts), 0.5))
-        return pd.Series(model.score(*passages(pa.Array.from_pandas(texts, type=pa.string()))))
+        values = pa.Array.from_pandas(texts, type=pa.string())
+        return pd.Series(np.concatenate([model.score(*passages(part)) for part in parts(values)] or [np.zeros(0)]))
 
     return (docs.withColumn("score", scored(F.col(f"`{text_col}`")))
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
