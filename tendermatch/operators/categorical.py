@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendermatch.functions.numeric import null_flag
@@ -49,6 +49,19 @@ class CategoricalModel:
         )
 
 
+    def save(self, path: str) -> None:
+        """The fitted state as tables, with the configuration beside them."""
+        from tendermatch.sources.sinks import save_state
+        save_state(self.vocab.sparkSession, path, {"vocab": self.vocab, "lookup": self.lookup},
+                   {"config": self.config, "info": self.info, "pk": self.pk})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "CategoricalModel":
+        from tendermatch.sources.sinks import load_state
+        tables, state = load_state(spark, path, ["vocab", "lookup"])
+        return cls(state["config"], tables["vocab"], tables["lookup"], state["info"], state["pk"])
+
+
 def label_expr(c: str):
     return F.coalesce(F.col(c).cast("string"), F.lit(NULL_TOKEN))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tendermatch.operators.categorical import categorical_fit, categorical_transform
+from tendermatch.operators.categorical import CategoricalModel, categorical_fit, categorical_transform
 from tendermatch.plans import roles
-from tendermatch.plans.registry import query
+from tendermatch.plans.registry import ORACLES, query
 from tendermatch.plans.sqlparts import NOTICE_CTE, with_
 
 CAT_COLS = list(roles.NOTICE_CATEGORICAL)
@@ -56,6 +56,30 @@ def categorical_encode_q(spark, sf_dir):
                                                      for c in CAT_COLS])
 
 
+@query("categorical_state_roundtrip", oracle=ORACLES["categorical_encode"])
+def categorical_state_roundtrip_q(spark, sf_dir):
+    """The fitted categorical state saved, loaded again, then applied."""
+    from tendermatch.sources.sinks import scratch_path
+    notice = roles.notice(spark, sf_dir).select(*roles.NOTICE_PK, *CAT_COLS)
+    path = scratch_path(spark, "categorical-state")
+    categorical_fit(notice, roles.NOTICE_CATEGORICAL, roles.NOTICE_PK).save(path)
+    out = categorical_transform(notice, CategoricalModel.load(spark, path))
+    return out.select(*roles.NOTICE_PK, *CAT_COLS, *[F.col(f"{c}_is_null").cast("double").alias(f"{c}_is_null")
+                                                     for c in CAT_COLS])
+
+
+@query("categorical_unknown", oracle=with_(NOTICE_CTE) + """,
+seen AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx
+         FROM (SELECT DISTINCT o_cust_bucket AS label FROM notice WHERE o_cust_bucket < 'C5'))
+SELECT notice_no, notice_ord, CAST(coalesce(idx, (SELECT count(*) FROM seen)) AS BIGINT) AS o_cust_bucket
+FROM notice LEFT JOIN seen ON o_cust_bucket = label""")
+def categorical_unknown_q(spark, sf_dir):
+    """V8: labels that the fit has not seen take the index of [UNKNOWN]."""
+    notice = roles.notice(spark, sf_dir).select(*roles.NOTICE_PK, "o_cust_bucket")
+    model = categorical_fit(notice.where(F.col("o_cust_bucket") < "C5"), {"o_cust_bucket": {}}, roles.NOTICE_PK)
+    return categorical_transform(notice, model).select(*roles.NOTICE_PK, "o_cust_bucket")
+
+
 @query("categorical_rare", oracle=with_(NOTICE_CTE, VOCAB_CTES) + """
 SELECT col AS "column", CAST(count(*) AS BIGINT) AS n_labels,
        CAST(sum(CASE WHEN label = '[RARE]' THEN 1 ELSE 0 END) AS BIGINT) AS n_rare_labels,

@@ -14,7 +14,7 @@ from tendermatch.plans import roles
 from tendermatch.plans.categorical_queries import VOCAB_CTES
 from tendermatch.plans.numeric_queries import _TP
 from tendermatch.plans.pipeline import fit_once, preprocess
-from tendermatch.plans.registry import query
+from tendermatch.plans.registry import ORACLES, query
 from tendermatch.plans.sqlparts import BID_CTE, NOTICE_CTE, f32, r6, with_
 
 NUM = list(roles.NOTICE_NUMERIC)
@@ -298,15 +298,16 @@ SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(count(*) AS INTEGER) AS batch_
        round(sum(acct), 2) + 0.0 AS sum_company_dense0
 FROM b GROUP BY batch_id""")
 def training_batches_q(spark, sf_dir):
-    from tendermatch.operators.pairs import pair_features, shuffle_key
-    nstore = _store(spark, sf_dir).select(*roles.NOTICE_PK, F.col("numeric").alias("notice_dense"),
-                                          F.col("categorical").alias("notice_cat"))
-    cstore, _ = _company_store(spark, sf_dir)
-    cstore = cstore.select("bizno", F.col("numeric").alias("company_dense"), F.col("categorical").alias("company_cat"))
-    joined = pair_features(roles.pairs(spark, sf_dir), nstore, cstore, roles.NOTICE_PK, roles.COMPANY_PK)
-    batched = with_batches(joined, [shuffle_key("id", 42), F.col("id")], BATCH)
-    coll = J.collate(batched, "notice_dense", "notice_cat", "company_dense", "company_cat", CAT,
-                     list(roles.COMPANY_CATEGORICAL))
+    return _batch_summary(_training_batches(spark, sf_dir, selective=False))
+
+
+def _training_batches(spark, sf_dir, selective):
+    from tendermatch.operators.pairs import training_batches
+    return training_batches(roles.pairs(spark, sf_dir), _store(spark, sf_dir), _company_store(spark, sf_dir)[0], roles.NOTICE_PK,
+                            roles.COMPANY_PK, CAT, list(roles.COMPANY_CATEGORICAL), BATCH, selective=selective)
+
+
+def _batch_summary(coll):
     total = lambda a: F.aggregate(a.cast("array<double>"), F.lit(0.0), lambda x, y: x + y)
     return coll.select(
         "batch_id", F.col("batch_rows").cast("int"), F.size("notice.kjt.values").cast("int").alias("n_notice_values"),
@@ -316,6 +317,12 @@ def training_batches_q(spark, sf_dir):
         (F.round(total(F.transform("company.dense", lambda d: d[0])), 2) + 0.0).alias("sum_company_dense0"))
 
 
+@query("training_batches_selective", oracle=ORACLES["training_batches"])
+def training_batches_selective_q(spark, sf_dir):
+    """B10 with the stores narrowed to the pairs' keys: the same batches."""
+    return _batch_summary(_training_batches(spark, sf_dir, selective=True))
+
+
 @query("store_slice", oracle=FEATURES_SQL + f""",
 company AS (SELECT CAST(s.s_suppkey AS VARCHAR) AS bizno, r.r_name FROM supplier s
             LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey),

@@ -170,3 +170,11 @@ def test_bucketed_tables_join_without_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.sql("DROP TABLE IF EXISTS tm_bucket_a")
         spark.sql("DROP TABLE IF EXISTS tm_bucket_b")
+
+
+def test_csv_with_byte_order_mark(spark):
+    path = S.scratch_path(spark, "bom")
+    os.makedirs(path)
+    with open(f"{path}/a.csv", "wb") as f:
+        f.write(b"\xef\xbb\xbfkey,name\n1,a\n2,b\n")
+    assert sorted(tuple(r) for r in R.read_csv(spark, path).select("key", "name").collect()) == [("1", "a"), ("2", "b")]
