@@ -249,8 +249,6 @@ def test_attention_gradients():
     target, used = rng.integers(0, lm_score.CLASSES + 1, (2, lm_score.FRESH)), rng.random((2, lm_score.FRESH)) < 0.7
     _, grads = net.gradients(vec, starts, target, used)
     for name, weight in net.weights.items():
-        if name == "finish":
-            continue
         at = tuple(rng.integers(0, s) for s in weight.shape)
         kept, step = weight[at], 1e-4
         weight[at] = kept + step
@@ -260,6 +258,18 @@ def test_attention_gradients():
         weight[at] = kept
 
 
+def test_fast_scores_are_those_of_the_forward_pass():
+    rng = np.random.default_rng(3)
+    net = lm_score.Attention(rng, np.full(lm_score.CLASSES + 1, 1 / (lm_score.CLASSES + 1)))
+    net.weights["start"] = rng.normal(size=lm_score.WIDTH).astype(np.float32)
+    counts = np.array([1, 60, 130, 48])
+    vec, cls = rng.normal(size=(counts.sum(), lm_score.SHAPE)).astype(np.float32), rng.integers(0, lm_score.CLASSES + 1, counts.sum())
+    before, fresh, used, of = lm_score.windows(counts)
+    logp = net.forward(vec[before], before < 0)["logp"]
+    value = np.where(used, np.take_along_axis(logp, cls[fresh][:, :, None], axis=2)[:, :, 0], 0).sum(axis=1)
+    assert np.allclose(net.classes(net.enter(vec), cls, counts), np.bincount(of, value, 4), rtol=1e-4)
+
+
 def test_windows_score_each_token_once_and_look_back_only():
     counts = np.array([1, 48, 49, 200, 3])
     before, fresh, used, of = lm_score.windows(counts)

@@ -7,9 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-
 from tendermatch.llm.common import pin
-from tendermatch.llm.queries import ORACLES, QUERIES
 
 from .test_lines_urls_exact import _key
 from .test_near_mix_lm import multiset, roots, similarity
@@ -72,20 +70,7 @@ def test_run_is_the_stages(spark, steps):
     assert key(corpus_pipeline.run(spark, SF)) == key(steps[-1])
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
-def test_sql(spark, duck, name):
-    got = QUERIES[name](spark, SF).toPandas()
-    truth = duck.sql(ORACLES[name]).df()
-    assert sorted(got.columns) == sorted(truth.columns) and len(got) == len(truth)
-    cols = sorted(got.columns)
-    plain = lambda t: sorted(repr(tuple(None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in r))
-                             for r in t[cols].astype(object).itertuples(index=False, name=None))
-    assert plain(got) == plain(truth)
-
-
 def test_stages_take_an_empty_table(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
-
-
