@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 
 
 def merge_one_to_one(left: DataFrame, right: DataFrame, pk: Sequence[str]) -> DataFrame:
-    """Left join validated one-to-one (J4): keys must be unique on both sides."""
+    """Left join validated one-to-one (J4): keys must be unique on both sides.
+
+    Only the key columns are read for the check (what else the sides compute is
+    pruned from it). A null key is a key like any other.
+    """
     for side, df in (("left", left), ("right", right)):
-        dup = df.groupBy(*pk).count().where("count > 1").limit(1).count()
-        if dup:
+        if not df.select(*pk).groupBy(*pk).count().where("count > 1").isEmpty():
             raise ValueError(f"merge_one_to_one: duplicate keys on the {side} side")
-    return left.join(right, list(pk), "left")
+    own = right.select(*[F.col(k).alias(f"_tm_r_{k}") for k in pk], *[c for c in right.columns if c not in pk])
+    on = [F.col(k).eqNullSafe(F.col(f"_tm_r_{k}")) for k in pk]
+    return left.join(own, on, "left").drop(*[f"_tm_r_{k}" for k in pk])
 
 
 def key_coverage(requested: DataFrame, returned: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -53,6 +53,21 @@ def features_merged_q(spark, sf_dir):
                     *[round6(f"{c}_is_null").alias(f"{c}_is_null") for c in CAT])
 
 
+@query("features_merged_by_key", oracle=ORACLES["features_merged"])
+def features_merged_by_key_q(spark, sf_dir):
+    """Numeric and categorical features made apart and merged one-to-one on the key."""
+    from tendermatch.operators.categorical import categorical_fit, categorical_transform
+    from tendermatch.operators.joins import merge_one_to_one
+    from tendermatch.operators.numeric import numeric_fit_transform
+    notice = roles.notice(spark, sf_dir)
+    num, _ = numeric_fit_transform(notice.select(*roles.NOTICE_PK, *NUM), roles.NOTICE_NUMERIC, roles.NOTICE_PK)
+    labels = notice.select(*roles.NOTICE_PK, *CAT)
+    cat = categorical_transform(labels, categorical_fit(labels, roles.NOTICE_CATEGORICAL, roles.NOTICE_PK))
+    f = merge_one_to_one(num, cat, roles.NOTICE_PK)
+    return f.select(*roles.NOTICE_PK, *[round6(c).alias(c) for c in DENSE], *[F.col(c).cast("long") for c in CAT],
+                    *[round6(f"{c}_is_null").alias(f"{c}_is_null") for c in CAT])
+
+
 def _store(spark, sf_dir):
     f, _ = features(spark, sf_dir)
     return build_store(f, roles.NOTICE_PK, DENSE, CAT)

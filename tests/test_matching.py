@@ -279,3 +279,13 @@ def test_search_compares_typed_values(spark):
     recs = typed_features(df, ("rec_no",))
     assert [r.rec_no for r in search(recs, "n", 5).collect()] == [1] and search(recs, "n", "5").count() == 0
     assert [r.rec_no for r in search(recs, "s", "5").collect()] == [1, 2] and search(recs, "s", 5).count() == 0
+
+
+def test_merge_one_to_one(spark):
+    from tendermatch.operators.joins import merge_one_to_one
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k long, v string")
+    b = spark.createDataFrame([(1, 1.0), (None, 3.0), (5, 9.0)], "k long, w double")
+    assert sorted(map(tuple, merge_one_to_one(a, b, ["k"]).collect()), key=repr) == [(1, "x", 1.0), (2, "y", None), (None, "z", 3.0)]
+    for left, right, side in ((a.union(a), b, "left"), (a, b.union(b), "right")):
+        with pytest.raises(ValueError, match=f"{side} side"):
+            merge_one_to_one(left, right, ["k"])
