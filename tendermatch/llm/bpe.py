@@ -33,11 +33,12 @@ from tendermatch.llm.common import held, ship
 MAX_STATES = 250_000     # states a worker keeps
 FEW = 24                 # tokens below a trie node that are looked at one by one
 LOOKAHEAD = 1 << 10      # bytes after which a piece's ids are emitted as soon as they are final
-MAX_PAIRS = 500_000      # token pairs of which a worker knows whether the merges leave them alone
+MAX_PAIRS = 100_000      # token pairs of which a worker knows whether the merges leave them alone
 MAX_PIECES = 300_000     # pieces whose ids a worker remembers
 LONG_PIECE = 48          # longer pieces go through the transducer every time
 LONG_TEXT = 1 << 20      # code points from which pieces are streamed
 NEVER = 1 << 60          # rank of what is never merged
+OUT_IDS = 1 << 20        # ids after which a worker hands on its rows
 CHUNK = 1 << 14          # pieces encoded, or ids decoded, at a time
 
 
@@ -234,9 +235,9 @@ class _Pieces(dict):
     """Ids of pieces met before, as little-endian bytes; the pieces of the last
     full table stay at hand in ``old``."""
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self, transducer: Transducer, most: int):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.most = transducer, most
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -244,7 +245,7 @@ class _Pieces(dict):
         if ids is None:
             ids = _packed(self.transducer.encode(piece.encode("utf-8")))
         if len(piece) <= LONG_PIECE:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[piece] = ids
@@ -254,10 +255,10 @@ class _Pieces(dict):
 class Codec:
     """Text to ids and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES):
+        self.transducer = Transducer(ranks, max_states)
         self.pattern = regex.compile(pattern)
-        self.pieces = _Pieces(self.transducer)
+        self.pieces = _Pieces(self.transducer, max_pieces)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -279,8 +280,8 @@ class Codec:
         yield machine.end()
 
 
-def codec(data: bytes, pattern: str) -> Codec:
-    return Codec(parse_ranks(data), pattern)
+def codec(data: bytes, pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> Codec:
+    return Codec(parse_ranks(data), pattern, max_pieces, max_states)
 
 
 class Utf8Machine:
@@ -325,7 +326,7 @@ class Utf8Machine:
 
 
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                     keep_ids: bool = True) -> DataFrame:
+                     keep_ids: bool = True, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> DataFrame:
     """``<id_col>, n_tokens long, ids_sha256, decoded_sha256`` and, unless
     ``keep_ids`` is off, ``ids array<int>`` for every row of ``docs``.
 
@@ -333,15 +334,16 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str =
     null ids stay null, a null or empty text has no ids, other columns are
     left out, and an empty table gives an empty one. ``ranks`` (the bytes of
     a rank file) goes to the workers as a broadcast variable; a worker compiles
-    it once.
+    it once. ``max_pieces`` and ``max_states`` bound a worker's tables and change
+    its memory and time only.
     """
-    shared = ship(docs.sparkSession, ranks, pattern)
+    shared = ship(docs.sparkSession, ranks, pattern, max_pieces, max_states)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held(shared, "codec", codec)
+        own = held(shared, codec)
         for batch in batches:
-            counts, hashes, back, packed = [], [], [], []
-            for text in batch.column(1):
+            counts, hashes, back, packed, begin, held_ids = [], [], [], [], 0, 0
+            for row, text in enumerate(batch.column(1), 1):
                 ids = own.encode(text.as_py() or "")
                 counts.append(len(ids) // 4)
                 hashes.append(hashlib.sha256(ids).hexdigest())
@@ -349,15 +351,19 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str =
                 for part in own.decode(np.frombuffer(ids, dtype="<u4").tolist()):
                     digest.update(part.encode("utf-8"))
                 back.append(digest.hexdigest())
+                packed.append(ids if keep_ids else b"")
+                held_ids += counts[-1]
+                if row < batch.num_rows and (held_ids < OUT_IDS or not keep_ids):
+                    continue
+                out = [batch.column(0).slice(begin, row - begin), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()),
+                       pa.array(back, pa.string())]
+                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    packed.append(ids)
-            out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(out, names=names)
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(out, names=names)
+                counts, hashes, back, packed, begin, held_ids = [], [], [], [], row, 0
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -371,7 +377,7 @@ def decode_ids(table: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids
 
     @F.pandas_udf("string")
     def text(ids):
-        own = held(shared, "codec", codec)
+        own = held(shared, codec)
         return ids.map(lambda x: None if x is None else "".join(own.decode(x.tolist())))
 
     return table.withColumn(out_col, text(F.col(ids_col)))

@@ -36,17 +36,17 @@ def ship(spark: SparkSession, *objects) -> Broadcast:
 
     Code goes to workers by value, so a task's module globals are its own; a
     broadcast value is read once by a worker process and stays there for the
-    tasks that follow. :func:`held` keeps what is made from it in the same place.
+    tasks that follow. :func:`held` puts what is made from it in its place.
     """
     return spark.sparkContext.broadcast({"objects": cloudpickle.dumps(objects)})
 
 
-def held(store: Broadcast, key: str, make: Callable):
-    """What ``make(*objects)`` gave the first time in this worker process."""
+def held(store: Broadcast, make: Callable):
+    """What ``make(*objects)`` gave the first time in this worker process; a store serves one maker."""
     kept = store.value
-    if key not in kept:
-        kept[key] = make(*pickle.loads(kept["objects"]))
-    return kept[key]
+    if "made" not in kept:
+        kept["made"] = make(*pickle.loads(kept.pop("objects")))
+    return kept["made"]
 
 
 def remainder(id_col: str | Column, divisor: int) -> Column:

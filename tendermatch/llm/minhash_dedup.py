@@ -176,7 +176,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in _chunks(batch.column(1)):
-                value, weight, starts = multisets(texts, shingle, held(store, "words", _Words))
+                value, weight, starts = multisets(texts, shingle, held(store, _Words))
                 keys = band_keys(signatures(value, weight, starts))
                 digest = [xxhash.xxh3_128_digest(value[a:b].tobytes() + weight[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:])]
                 halves = np.frombuffer(b"".join(digest), dtype="<i8").reshape(-1, 2)
@@ -198,7 +198,7 @@ def _with_multisets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in _chunks(batch.column(1)):
-                value, weight, starts = multisets(texts, shingle, held(store, "words", _Words))
+                value, weight, starts = multisets(texts, shingle, held(store, _Words))
                 digest = [xxhash.xxh3_128_digest(value[a:b].tobytes() + weight[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:])]
                 halves = np.frombuffer(b"".join(digest), dtype="<i8").reshape(-1, 2)
                 ends = pa.array(starts.astype(np.int32))

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 256            # bytes of a passage
 SEGMENT = 1 << 20       # bytes looked at at once; a multiple of WINDOW
-SCORED = 1 << 22        # bytes of text scored at once
+SCORED = 1 << 21        # bytes of text scored at once
 MAX_PERIOD = 24         # longest repetition period looked for
 TRAIN_DOCS = 4000       # labelled rows that the model is fitted on, at most
 TRAIN_WINDOWS = 128     # passages of one of those rows, at most, evenly spread
@@ -212,12 +211,11 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     passage; without a model (no labelled row) every score is 0.5.
     """
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         if model is None:
-            return pd.Series(np.full(len(texts), 0.5))
-        values = pa.Array.from_pandas(texts, type=pa.string())
-        return pd.Series(np.concatenate([model.score(*passages(part)) for part in parts(values)] or [np.zeros(0)]))
+            return pa.array(np.full(len(texts), 0.5))
+        return pa.array(np.concatenate([model.score(*passages(part)) for part in parts(texts)] or [np.zeros(0)]))
 
     return (docs.withColumn("score", scored(F.col(f"`{text_col}`")))
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))

@@ -90,10 +90,8 @@ def test_transducer_is_the_merges(codec, reference):
         assert "".join(codec.decode(ids(codec, text))) == text
 
 
-def test_small_tables_change_nothing(reference, monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_PIECES", 3)
-    small = bpe.Codec(bpe.parse_ranks(rank_file()), public_tokenizers.PATTERN)
-    small.transducer.max_states = 5
+def test_small_tables_change_nothing(reference):
+    small = bpe.codec(rank_file(), public_tokenizers.PATTERN, 3, 5)
     rng = random.Random(4)
     for _ in range(300):
         text = "".join(rng.choices("theandingion er", k=80))
@@ -122,7 +120,8 @@ def test_utf8_machine_is_a_decoder(data, cuts):
     assert out == data.decode("utf-8", "replace")
 
 
-def test_bpe_rows(docs, empty_docs, reference):
+def test_bpe_rows(docs, empty_docs, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "OUT_IDS", 50)
     out = bpe.encode_documents(docs.withColumn("ids", F.lit("clash")), rank_file(), public_tokenizers.PATTERN)
     truth = []
     for r in docs.collect():
