@@ -270,6 +270,21 @@ def test_fast_scores_are_those_of_the_forward_pass():
     assert np.allclose(net.classes(net.enter(vec), cls, counts), np.bincount(of, value, 4), rtol=1e-4)
 
 
+def test_fast_scores_with_long_vectors_in_the_batch():
+    """A window's scores are those of the forward pass, however long the vectors of it and of its neighbours are."""
+    rng = np.random.default_rng(6)
+    net = lm_score.Attention(rng, np.full(lm_score.CLASSES + 1, 1 / (lm_score.CLASSES + 1)))
+    counts = np.array([40, 40, 90])
+    vec, cls = rng.normal(size=(counts.sum(), lm_score.SHAPE)).astype(np.float32), rng.integers(0, lm_score.CLASSES + 1, counts.sum())
+    vec[60:] *= 30
+    before, fresh, used, of = lm_score.windows(counts)
+    logp = net.forward(vec[before], before < 0)["logp"]
+    value = np.where(used, np.take_along_axis(logp, cls[fresh][:, :, None], axis=2)[:, :, 0], 0).sum(axis=1)
+    got = net.classes(net.enter(vec), cls, counts)
+    assert np.allclose(got, np.bincount(of, value, 3), rtol=1e-4)
+    assert np.allclose(got[:1], net.classes(net.enter(vec[:40]), cls[:40], counts[:1]), rtol=1e-5)
+
+
 def test_windows_score_each_token_once_and_look_back_only():
     counts = np.array([1, 48, 49, 200, 3])
     before, fresh, used, of = lm_score.windows(counts)
