@@ -343,6 +343,18 @@ def test_lm_rows(docs, empty_docs, top, monkeypatch):
         assert all(np.isfinite(r.score) and r.train_tokens == 0 for r in nothing)
 
 
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    """A distinct word counts once in the spelling, in however many partitions and dictionaries it stands."""
+    import public_tokenizers
+    monkeypatch.setattr(lm_score, "MAX_WORDS", 20)
+    rng = np.random.default_rng(4)
+    data = [(k, " ".join(f"w{n}ords" for n in rng.zipf(1.4, 60) % 5000)) for k in range(40)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    one, many = (sorted((r.doc_id, r.score) for r in lm_score.score(
+        frame.repartition(n, "doc_id"), F.col("doc_id") % 2 == 0, rank_file(), public_tokenizers.PATTERN).collect()) for n in (1, 9))
+    assert np.allclose([s for _, s in one], [s for _, s in many], rtol=1e-5)
+
+
 def test_lm_on_held_out_rows(spark):
     got = op6_lm_score(spark, SF).collect()
     data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
