@@ -355,6 +355,20 @@ def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
     assert np.allclose([s for _, s in one], [s for _, s in many], rtol=1e-5)
 
 
+def test_lm_pairs_beyond_the_broadcast(spark, monkeypatch):
+    """Scores do not depend on how many counts of pairs are broadcast: the others are joined."""
+    import public_tokenizers
+    rng = np.random.default_rng(5)
+    data = [(k, " ".join(f"w{n}ords{n % 7}ly" for n in rng.zipf(1.4, 60) % 5000)) for k in range(30)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    got = []
+    for most in (500_000, 20, 0):
+        monkeypatch.setattr(lm_score, "TOP_PAIRS", most)
+        got.append([s for _, s in sorted((r.doc_id, r.score) for r in lm_score.score(
+            frame, F.col("doc_id") % 2 == 0, rank_file(), public_tokenizers.PATTERN).collect())])
+    assert np.allclose(got[0], got[1], rtol=1e-5) and np.allclose(got[0], got[2], rtol=1e-5)
+
+
 def test_lm_on_held_out_rows(spark):
     got = op6_lm_score(spark, SF).collect()
     data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
