@@ -369,6 +369,36 @@ def test_lm_pairs_beyond_the_broadcast(spark, monkeypatch):
     assert np.allclose(got[0], got[1], rtol=1e-5) and np.allclose(got[0], got[2], rtol=1e-5)
 
 
+def test_lm_learns_from_all_rows(spark, monkeypatch):
+    """Vectors and classes come from all training rows, the windows from whole and distinct texts."""
+    import public_tokenizers
+    seen = {}
+    fit = lm_score.fit
+
+    def spy(*args, **kw):
+        seen["args"] = args
+        return fit(*args, **kw)
+
+    monkeypatch.setattr(lm_score, "fit", spy)
+    vocabulary = lm_score.Vocabulary(rank_file(), public_tokenizers.PATTERN)
+    greek = ["αβγδ", "κλμν", "πρστ"]
+    copies = [(k, "the same words again") for k in range(1200)]
+    long = " ".join(["start here"] * 1500 + ["and the other end"] * 1500 + greek)
+    frame = spark.createDataFrame([*copies, (5000, long), (5001, " ".join(greek * 9))], "doc_id long, text string")
+    lm_score.score(frame, F.lit(True), rank_file(), public_tokenizers.PATTERN).count()
+    shapes, ids = seen["args"][0], seen["args"][2]
+    for word in greek:
+        own, _ = vocabulary.encode([word.encode()])
+        assert np.abs(shapes.vectors[own]).sum(axis=1).all() and np.isin(own, ids).all()
+    counts = seen["args"][4]
+    assert len(counts) == 1 + -(-(3000 + 6000 + 4) // lm_score.FRESH) + 1
+
+
+def test_window_draw_grows_with_the_rows():
+    got = [sum(len(lm_score.drawn(t * 7919 - 50_000, 40, 0.05)) for t in range(n)) for n in (500, 5000)]
+    assert 800 < got[0] < 1200 and 9000 < got[1] < 11_000
+
+
 def test_lm_on_held_out_rows(spark):
     got = op6_lm_score(spark, SF).collect()
     data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
