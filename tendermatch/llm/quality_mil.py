@@ -10,6 +10,7 @@ labelled rows; scoring reads every text whole and needs no shuffle.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,12 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tendermatch.llm.common import pin
+
 WINDOW = 256            # bytes of a passage
 SEGMENT = 1 << 20       # bytes looked at at once; a multiple of WINDOW
 SCORED = 1 << 21        # bytes of text scored at once
 MAX_PERIOD = 24         # longest repetition period looked for
 TRAIN_DOCS = 4000       # labelled rows that the model is fitted on, at most
-TRAIN_WINDOWS = 128     # passages of one of those rows, at most, evenly spread
+PIECE = 1 << 12         # passages of a training row handed to the driver at once
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 12, 30, 64, 0.01, 1e-4, 7
 
 #: Classes of ASCII bytes; the rest are lead or continuation bytes of UTF-8.
@@ -149,10 +152,20 @@ class Model:
         return self.forward(x, counts)["p"] if len(counts) else np.zeros(0)
 
 
+def _moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the columns, read in parts."""
+    mean, square = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for k in range(0, len(x), PIECE):
+        mean += x[k:k + PIECE].sum(axis=0, dtype=np.float64) / len(x)
+    for k in range(0, len(x), PIECE):
+        square += ((x[k:k + PIECE] - mean) ** 2).sum(axis=0) / len(x)
+    return mean.astype(np.float32), np.sqrt(square).astype(np.float32)
+
+
 def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Adam on the cross-entropy of the documents' labels."""
     rng = np.random.default_rng(seed)
-    mean, spread = x.mean(axis=0), x.std(axis=0)
+    mean, spread = _moments(x)
     small = lambda *shape: rng.normal(0, 0.1, shape)
     model = Model(mean, 1 / (spread + 0.01),
                   {"encode": small(x.shape[1], HIDDEN), "encode_0": np.zeros(HIDDEN), "value": small(HIDDEN, GATE),
@@ -166,7 +179,7 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = EPOCHS,
         for k in range(0, len(order), BATCH):
             bags = order[k:k + BATCH]
             rows = np.concatenate([np.arange(starts[b], starts[b + 1]) for b in bags])
-            grads = model.gradients(x[rows], counts[bags], y[bags])
+            grads = model.gradients(np.asarray(x[rows], dtype=np.float32), counts[bags], y[bags])
             step += 1
             rate = RATE * (1 - epoch / epochs)
             for name, g in grads.items():
@@ -178,29 +191,39 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = EPOCHS,
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          max_docs: int = TRAIN_DOCS, max_windows: int = TRAIN_WINDOWS) -> Model | None:
-    """Fit on at most ``max_docs`` rows (those with the smallest id hash) and
-    ``max_windows`` passages of each; None where no row has a label."""
+          max_docs: int = TRAIN_DOCS) -> Model | None:
+    """Fit on at most ``max_docs`` rows (those with the smallest id hash) and all their passages, which the driver
+    keeps in a file of its own; None where no row has a label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, counts = passages(batch.column(1))
-            packed, kept, at = [], [], 0
-            for n in counts:
-                rows = at + np.unique(np.linspace(0, n - 1, min(n, max_windows)).astype(int))
-                packed.append(x[rows].astype(np.float16).tobytes())
-                kept.append(len(rows))
-                at += n
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.int32()), pa.array(packed, pa.binary())],
-                                             names=["label", "n", "x"])
-
-    sample = labelled.where(F.col(label_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col, text_col).limit(max_docs)
-    rows = (sample.select(F.col(label_col).cast("double").alias("label"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "label double, n int, x binary").toArrow())
-    if rows.num_rows == 0:
-        return None
-    x = np.concatenate([np.frombuffer(v.as_py(), dtype=np.float16) for v in rows["x"]]).reshape(-1, WIDTH).astype(np.float32)
-    return fit(x, rows["n"].to_numpy().astype(np.int64), rows["label"].to_numpy())
+            at = 0
+            for texts in parts(batch.column(1)):
+                x, counts = passages(texts)
+                for begin, n in zip((np.cumsum(counts) - counts).tolist(), counts.tolist()):
+                    for k in range(0, n, PIECE):
+                        piece = x[begin + k:begin + min(n, k + PIECE)].astype(np.float16).tobytes()
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([k == 0]), pa.array([piece], pa.binary())],
+                                                         names=["label", "first", "x"])
+                    at += 1
+
+    key = [F.xxhash64(id_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")]
+    sample = (labelled.where(F.col(label_col).isNotNull()).select(*key, F.col(label_col).cast("double").alias("label"))
+              .orderBy("key", "id", "text").limit(max_docs))
+    rows = (pin(sample, "quality-sample").repartitionByRange(16, "key", "id", "text").sortWithinPartitions("key", "id", "text")
+            .select("label", "text").mapInArrow(run, "label double, first boolean, x binary"))
+    labels, counts = [], []
+    with tempfile.TemporaryFile() as file:
+        for label, first, x in rows.toLocalIterator():
+            file.write(x)
+            if first:
+                labels.append(label)
+                counts.append(0)
+            counts[-1] += len(x) // (2 * WIDTH)
+        if not labels:
+            return None
+        file.flush()
+        return fit(np.memmap(file, dtype=np.float16, mode="r", shape=(sum(counts), WIDTH)), np.array(counts, dtype=np.int64), np.array(labels))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

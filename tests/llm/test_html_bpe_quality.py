@@ -177,3 +177,22 @@ def test_quality_rows(docs, empty_docs):
     assert quality_mil.train(empty_docs.withColumn("quality", F.lit(1))) is None
     assert {r.score for r in quality_mil.score(docs, None).collect()} == {0.5}
     assert quality_mil.score(empty_docs, model).count() == 0
+
+
+def test_quality_trains_on_all_passages(spark, monkeypatch):
+    seen = {}
+    fit = quality_mil.fit
+
+    def spy(x, counts, y, **kw):
+        seen["x"], seen["counts"], seen["y"] = np.array(x, dtype=np.float32), counts, y
+        return fit(x, counts, y, epochs=1)
+
+    monkeypatch.setattr(quality_mil, "fit", spy)
+    long = "plain words. " * 8000 + "|*#" * 100 + "plain words. " * 100_000
+    data = [(1, long, 0), (2, "short", 1), (3, None, 1)]
+    quality_mil.train(spark.createDataFrame(data, "doc_id long, text string, quality int"))
+    x, counts = quality_mil.passages(pa.array([long]))
+    assert sorted(seen["counts"]) == [1, 1, counts[0]]
+    begin = int(seen["counts"][:list(seen["counts"]).index(counts[0])].sum())
+    assert seen["y"][list(seen["counts"]).index(counts[0])] == 0
+    assert np.allclose(seen["x"][begin:begin + counts[0]], x, atol=1e-2)
