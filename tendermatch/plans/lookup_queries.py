@@ -214,3 +214,12 @@ def pairs_loaded_q(spark, sf_dir):
     from tendermatch.operators.pairs import load_pairs
     out = load_pairs(roles.pairs(spark, sf_dir), ["notice_no", "notice_ord", "bizno"], limit=1000)
     return out.select(F.col("id").cast("long"), "notice_no", "notice_ord", "bizno")
+
+
+@query("pairs_loaded_all", oracle=with_(PAIR_CTE) + """
+SELECT CAST(id AS BIGINT) AS id, notice_no, notice_ord, bizno FROM pair""")
+def pairs_loaded_all_q(spark, sf_dir):
+    """The key columns of all positive pairs."""
+    from tendermatch.operators.pairs import load_pairs
+    out = load_pairs(roles.pairs(spark, sf_dir), ["notice_no", "notice_ord", "bizno"])
+    return out.select(F.col("id").cast("long"), "notice_no", "notice_ord", "bizno")

@@ -178,3 +178,11 @@ def test_csv_with_byte_order_mark(spark):
     with open(f"{path}/a.csv", "wb") as f:
         f.write(b"\xef\xbb\xbfkey,name\n1,a\n2,b\n")
     assert sorted(tuple(r) for r in R.read_csv(spark, path).select("key", "name").collect()) == [("1", "a"), ("2", "b")]
+
+
+def test_all_pairs_are_loaded(spark):
+    import __spark_entry__ as E
+    from tendermatch.plans import roles
+    from tests.conftest import SMALL
+    n = roles.pairs(spark, SMALL).count()
+    assert n > 1000 and E.queries()["pairs_loaded_all"](spark, SMALL).count() == n
