@@ -186,3 +186,12 @@ def test_all_pairs_are_loaded(spark):
     from tests.conftest import SMALL
     n = roles.pairs(spark, SMALL).count()
     assert n > 1000 and E.queries()["pairs_loaded_all"](spark, SMALL).count() == n
+
+
+def test_growing_tables_are_not_written_by_one_task(spark, monkeypatch):
+    import __spark_entry__ as E
+    from tests.conftest import SMALL
+    calls, snapshot = [], S.snapshot
+    monkeypatch.setattr(S, "snapshot", lambda df, path, **kw: calls.append(kw) or snapshot(df, path, **kw))
+    assert E.queries()["snapshot_reload"](spark, SMALL).count() == 3
+    assert len(calls) == 2 and not any(kw.get("single_file") for kw in calls)
