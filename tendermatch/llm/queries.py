@@ -7,10 +7,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermatch.llm import bpe, embedding_dedup, exact_dedup, html_extract, line_dedup, lm_score, minhash_dedup, mixing, quality_mil, url_filter
+from tendermatch.llm import (bpe, embedding_dedup, exact_dedup, html_extract, line_dedup, lm_score, minhash_dedup, mixing,
+                             quality_mil, url_filter, word_bpe)
 from tendermatch.llm.common import read, remainder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def rank_file(name: str = VOCABULARY) -> bytes:
@@ -73,7 +75,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_mil, op3_line_dedup, op4_url_filter, op5_mixing, op6_lm_score, op7_pivot_index, op8_bag_minhash, op9_exact_dedup, op10_byte_bpe)}
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode_documents(read(spark, sf_dir, "documents"), rank_file(WORD_VOCABULARY), keep_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_mil, op3_line_dedup, op4_url_filter, op5_mixing, op6_lm_score,
+                                   op7_pivot_index, op8_bag_minhash, op9_exact_dedup, op10_byte_bpe, op12_word_bpe)}
 
 #: White space of the contracts, for string literals of DuckDB.
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
