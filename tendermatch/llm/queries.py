@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermatch.llm import (bpe, embedding_dedup, exact_dedup, html_extract, line_dedup, lm_score, minhash_dedup, mixing,
-                             quality_mil, url_filter, word_bpe)
+from tendermatch.llm import (bpe, collocations, embedding_dedup, exact_dedup, html_extract, line_dedup, lm_score, minhash_dedup,
+                             mixing, quality_mil, url_filter, word_bpe)
 from tendermatch.llm.common import read, remainder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -75,12 +75,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_documents(read(spark, sf_dir, "documents"), rank_file(WORD_VOCABULARY), keep_ids=False)
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_mil, op3_line_dedup, op4_url_filter, op5_mixing, op6_lm_score,
-                                   op7_pivot_index, op8_bag_minhash, op9_exact_dedup, op10_byte_bpe, op12_word_bpe)}
+                                   op7_pivot_index, op8_bag_minhash, op9_exact_dedup, op10_byte_bpe, op11_collocations, op12_word_bpe)}
 
 #: White space of the contracts, for string literals of DuckDB.
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -140,6 +144,9 @@ select doc_id, domain, lang, source, n_tokens, u.epoch::int as epoch
 from times, lateral (select unnest(range(1, n::bigint + 1)) as epoch) u"""
 
 
+#: A-Z to a-z, for DuckDB.
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 ORACLES = {
     "op3_line_dedup": f"""
 with lines as (
@@ -175,4 +182,38 @@ with own as (
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept,
        sha256(norm) as text_sha256
 from own window w as (partition by norm)""",
+    "op11_collocations": f"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(p, '[^\\x20\\x09]+') as ws
+  from (select lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\\x0A-\\x0D]')) as p from documents)),
+f1 as (
+  select lang, w, count(*) as f from (select lang, unnest(ws) as w from pieces) group by all),
+f2 as (
+  select lang, g.a as w1, g.b as w2, count(*) as f
+  from (select lang, unnest(list_transform(range(1, len(ws)), lambda i: {{'a': ws[i], 'b': ws[i + 1]}})) as g from pieces) group by all),
+f3 as (
+  select lang, g.a as w1, g.b as w2, g.c as w3, count(*) as f
+  from (select lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: {{'a': ws[i], 'b': ws[i + 1], 'c': ws[i + 2]}})) as g from pieces)
+  group by all),
+total as (select lang, sum(f)::bigint as n from f1 group by lang),
+cuts as (
+  select f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 as phrase, f3.f as a, 1 as k, x.f as l, y.f as r
+  from f3 join f1 x on x.lang = f3.lang and x.w = f3.w1 join f2 y on y.lang = f3.lang and y.w1 = f3.w2 and y.w2 = f3.w3
+  where f3.f >= 10
+  union all
+  select f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 2, x.f, y.f
+  from f3 join f2 x on x.lang = f3.lang and x.w1 = f3.w1 and x.w2 = f3.w2 join f1 y on y.lang = f3.lang and y.w = f3.w3
+  where f3.f >= 10
+  union all
+  select f2.lang, f2.w1 || ' ' || f2.w2, f2.f, 1, x.f, y.f
+  from f2 join f1 x on x.lang = f2.lang and x.w = f2.w1 join f1 y on y.lang = f2.lang and y.w = f2.w2
+  where f2.f >= 10
+    and not exists (select 1 from f3 where f3.lang = f2.lang and f3.w1 = f2.w1 and f3.w2 = f2.w2 and f3.f >= 10 and 100 * f3.f >= 50 * f2.f)
+    and not exists (select 1 from f3 where f3.lang = f2.lang and f3.w2 = f2.w1 and f3.w3 = f2.w2 and f3.f >= 10 and 100 * f3.f >= 50 * f2.f)),
+scored as (
+  select *, (1000000::hugeint * a * a // (l::hugeint * r))::bigint as score from cuts),
+lowest as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from lowest join total using (lang) qualify rank <= 2000""",
 }
