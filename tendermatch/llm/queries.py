@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermatch.llm import (bpe, collocations, embedding_dedup, exact_dedup, html_extract, line_dedup, lm_score, minhash_dedup,
+from tendermatch.llm import (bpe, collocations, embedding_dedup, exact_dedup, html_extract, lexical_search, line_dedup, lm_score, minhash_dedup,
                              mixing, quality_mil, url_filter, word_bpe)
 from tendermatch.llm.common import read, remainder
 
@@ -83,8 +83,13 @@ def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_documents(read(spark, sf_dir, "documents"), rank_file(WORD_VOCABULARY), keep_ids=False)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_mil, op3_line_dedup, op4_url_filter, op5_mixing, op6_lm_score,
-                                   op7_pivot_index, op8_bag_minhash, op9_exact_dedup, op10_byte_bpe, op11_collocations, op12_word_bpe)}
+                                   op7_pivot_index, op8_bag_minhash, op9_exact_dedup, op10_byte_bpe, op11_collocations, op12_word_bpe,
+                                   op13_lexical_search)}
 
 #: White space of the contracts, for string literals of DuckDB.
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -216,4 +221,24 @@ lowest as (
   select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
 select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
 from lowest join total using (lang) qualify rank <= 2000""",
+    "op13_lexical_search": f"""
+with own as (
+  select doc_id, t.term from (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+                                             '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from documents) t),
+items as (
+  select distinct item_id, t.term from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+                                              '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark) t),
+sizes as (select doc_id, count(*) as n from own group by doc_id),
+all_docs as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from sizes),
+tfs as (select doc_id, term, count(*) as tf from own group by all),
+weights as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from tfs, all_docs group by term, n_docs),
+scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::bigint as score
+  from items join tfs using (term) join weights using (term) join sizes using (doc_id), all_docs group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 50""",
 }
