@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tendermatch.functions.vectors import bind
+
 # The characters pandas' .str.strip() removes: every code point for which
 # Python's str.isspace() holds (29 characters, all below U+3001).
 WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
@@ -48,20 +50,18 @@ def hashed_embedding(df: DataFrame, col: str, dim: int = 8, out: str | None = No
     ``df`` with the vector in ``out`` (default: in place of the text). No key,
     no shuffle: rows stay one to one. A NULL or empty text pools to zeros.
     """
-    out = out or col
     blocks = range(-(-dim // 8))
-    toks = df.withColumn("_tm_tok", F.filter(tokens(F.coalesce(F.col(col), F.lit(""))), lambda t: F.length(t) > 0))
-    def hashes(block: int) -> Column:
-        return F.transform("_tm_tok", lambda t: token_hash(t, block))
 
-    # a column for each block, so that a token is hashed once
-    toks = toks.withColumns({f"_tm_h{b}": hashes(b) for b in blocks})
-    n = F.greatest(F.size("_tm_tok").cast("double"), F.lit(1e-6))
+    def add(sums: Column, token: Column) -> Column:
+        """The sums with the token's digits, each block of the token hashed once."""
+        return bind(F.array(*[token_hash(token, b) for b in blocks]), lambda h: F.struct(*[
+            (sums[f"s{k}"] + F.shiftright(h[k // 8], 4 * (7 - k % 8)).bitwiseAND(15)).alias(f"s{k}") for k in range(dim)]))
 
-    def component(k: int) -> Column:
-        digits = F.aggregate(f"_tm_h{k // 8}", F.lit(0).cast("long"),
-                             lambda acc, h: acc + F.shiftright(h, 4 * (7 - k % 8)).bitwiseAND(15))
-        return (digits.cast("double") - F.size("_tm_tok") * 7.5) / 7.5 / n
+    def pooled(toks: Column) -> Column:
+        zero = F.struct(*[F.lit(0).cast("long").alias(f"s{k}") for k in range(dim)])
+        n = F.greatest(F.size(toks).cast("double"), F.lit(1e-6))
+        return bind(F.aggregate(toks, zero, add), lambda sums: F.array(*[
+            (sums[f"s{k}"].cast("double") - F.size(toks) * 7.5) / 7.5 / n for k in range(dim)]))
 
-    vec = toks.withColumn(out, F.array(*[component(k) for k in range(dim)]))
-    return vec.drop("_tm_tok", *[f"_tm_h{b}" for b in blocks])
+    toks = F.filter(tokens(F.coalesce(F.col(col), F.lit(""))), lambda t: F.length(t) > 0)
+    return df.withColumn(out or col, bind(toks, pooled))

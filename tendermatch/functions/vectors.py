@@ -6,6 +6,7 @@ All are higher-order functions evaluated inside the JVM row by row.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,24 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, however often ``use`` names it.
+
+    The value becomes the variable of a lambda. An expression that is written out twice, or inside another lambda, is
+    evaluated as often as it stands there; projections do not help, because the optimiser may inline them.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
+def explode_vector(df: DataFrame, keys: Sequence[str], col: str, pos: str = "pos", value: str = "value") -> DataFrame:
+    """One row per element: ``keys, pos, value``; rows without a vector or with an empty one are left out.
+
+    ``posexplode`` lets the optimiser infer ``size(col) > 0`` and push it below the projection that makes the vector,
+    which then is made twice; the outer form with a filter on the position does not.
+    """
+    return df.select(*keys, F.posexplode_outer(col).alias(pos, value)).where(F.col(pos).isNotNull())
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     """sum_i a_i * b_i (double)."""
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
@@ -27,8 +46,10 @@ def norm(a: str | Column) -> Column:
 
 def l2_normalize(a: str | Column, eps: float = 1e-12) -> Column:
     """X / max(||x||, eps)."""
-    n = F.greatest(norm(a), F.lit(eps))
-    return F.transform(_c(a), lambda x: x.cast("double") / n)
+    def scaled(v: Column) -> Column:
+        return bind(F.greatest(norm(v), F.lit(eps)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+
+    return bind(_c(a), scaled)
 
 
 def unit_norm_check(a: str | Column, atol: float = 1e-4, rtol: float = 1e-5) -> Column:

@@ -18,16 +18,16 @@ CLEAN_SQL = f"lower(trim(coalesce(text, ''), '{WS}'))"
 TOKENS_CTE = f"""d AS (SELECT doc_id, {CLEAN_SQL} AS t FROM documents),
 tk AS (SELECT doc_id, unnest(regexp_split_to_array(translate(t, '{WS}', '{" " * len(WS)}'), ' +')) AS tok FROM d),
 th AS (SELECT doc_id, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) AS h FROM tk WHERE length(tok) > 0),
-tv AS (SELECT doc_id, k, (CAST((h >> (4 * (7 - k))) & 15 AS DOUBLE) - 7.5) / 7.5 AS v FROM th, range({DIM}) r(k)),
+tv AS (SELECT doc_id, k, CAST((h >> (4 * (7 - k))) & 15 AS BIGINT) AS digit FROM th, range({DIM}) r(k)),
 pool AS (SELECT d.doc_id, r.k AS pos,
-                coalesce(sum(tv.v), 0) / greatest(CAST(count(tv.v) AS DOUBLE), 1e-6) AS v
+                (CAST(coalesce(sum(digit), 0) AS DOUBLE) - count(digit) * CAST(7.5 AS DOUBLE)) / CAST(7.5 AS DOUBLE)
+                / greatest(CAST(count(digit) AS DOUBLE), 1e-6) AS v
          FROM d CROSS JOIN range({DIM}) r(k) LEFT JOIN tv ON tv.doc_id = d.doc_id AND tv.k = r.k
          GROUP BY d.doc_id, r.k)"""
 
 
 def _explode(df, id_col, vec):
-    return df.select(id_col, F.posexplode(vec).alias("pos", "value")).select(
-        id_col, F.col("pos").cast("int"), round6("value").alias("value"))
+    return V.explode_vector(df, [id_col], vec).select(id_col, F.col("pos").cast("int"), round6("value").alias("value"))
 
 
 @query("text_clean", oracle=f"""
