@@ -154,3 +154,17 @@ def best_epoch_q(spark, sf_dir):
     _, st = _stats(spark, sf_dir)
     best = M.best_epoch(M.batch_loss(st, "cross_entropy", SMOOTHING), "loss", "batch_id")
     return best.select("batch_id", round6("loss").alias("loss"))
+
+
+@query("corpus_topk", oracle=with_(VPAIR_CTE) + f"""
+, sc AS (SELECT q.pair_id, i.pair_id AS match_id, list_inner_product(CAST(q.left_vec AS DOUBLE[]), CAST(i.right_vec AS DOUBLE[])) AS s
+         FROM vpair q CROSS JOIN vpair i),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY s DESC, match_id) AS rank FROM sc)
+SELECT pair_id, match_id, CAST(rank AS INTEGER) AS rank, {r6('s')} AS score FROM ranked WHERE rank <= 10""")
+def corpus_topk_q(spark, sf_dir):
+    """The ten right vectors of the highest inner product for every left vector, over all of them."""
+    from tendermatch.operators.retrieval import corpus_topk
+    p = roles.vector_pairs(spark, sf_dir)
+    t = corpus_topk(p.select("pair_id", "left_vec"), p.select(F.col("pair_id").alias("match_id"), "right_vec"), ["pair_id"], ["match_id"],
+                    "left_vec", "right_vec", 10)
+    return t.select("pair_id", "match_id", "rank", round6("score").alias("score"))

@@ -389,3 +389,17 @@ def pair_scores_q(spark, sf_dir):
     s = pair_scores(roles.pairs(spark, sf_dir), notice_embeddings(spark, sf_dir), company_embeddings(spark, sf_dir),
                     roles.NOTICE_PK, roles.COMPANY_PK)
     return s.select(F.col("id").cast("long"), round6("score").alias("score"))
+
+
+@query("company_topk", oracle=_NOTICE_TOWER + ", " + _COMPANY_TOWER + """,
+sc AS (SELECT nt.notice_no, ct.bizno, round(CAST(nt.e0 AS DOUBLE) * ct.e0 + CAST(nt.e1 AS DOUBLE) * ct.e1 + CAST(nt.e2 AS DOUBLE) * ct.e2, 6)
+              + 0.0 AS score FROM nt CROSS JOIN ct)
+SELECT notice_no, CAST(count(*) AS BIGINT) AS n, min(score) AS worst, max(score) AS best FROM
+(SELECT *, row_number() OVER (PARTITION BY notice_no ORDER BY score DESC) AS rk FROM sc) WHERE rk <= 5 GROUP BY notice_no""")
+def company_topk_q(spark, sf_dir):
+    """The five best companies of the whole corpus for every notice, by their tower embeddings; best and fifth score
+    (companies of one place share an embedding, so that their order inside the five says nothing)."""
+    from tendermatch.operators.retrieval import corpus_topk
+    t = corpus_topk(notice_embeddings(spark, sf_dir), company_embeddings(spark, sf_dir), roles.NOTICE_PK, roles.COMPANY_PK, "embedding",
+                    "embedding", 5)
+    return t.groupBy("notice_no").agg(F.count("*").alias("n"), round6(F.min("score")).alias("worst"), round6(F.max("score")).alias("best"))
