@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 from tendermatch.llm.common import pin
 from tendermatch.operators.ranking import with_row_index
 
-TOKENS = 1 << 20         # tokens of a chunk
-WORD_BYTES = 1 << 24     # bytes of the words of a chunk
-SLICE = 1 << 20          # bytes of a text that are tokenised at a time
+TOKENS = 1 << 18         # tokens of a chunk
+WORD_BYTES = 1 << 23     # bytes of the words of a chunk
+SLICE = 1 << 19          # bytes of a text that are tokenised at a time
+ROWS = 1 << 16           # rows that a task hands on at a time
 TILE = 512               # items along a side of a tile
 DENSE = 16               # a tile is dense if it has an occurrence for so many cells
 LANG_UNKNOWN = "und"
-CHUNKS = "chunk bigint, lang string, lead int, codes binary, words array<string>, counts array<bigint>"
+CHUNKS = "chunk bigint, lang string, lead int, codes binary, words array<string>, counts binary"
+PAIR_CHUNKS = "chunk bigint, lead int, codes binary, xs binary, ys binary, counts binary"
 
 #: A-Z to a-z, the ends of pieces to line feeds, tabs to blanks. Fixed values.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
@@ -111,7 +113,7 @@ def _tokenise(overlap: int):
                 [pa.array([base + made], pa.int64()), pa.array([lang], pa.string()), pa.array([chunk.lead], pa.int32()),
                  pa.array([codes], pa.binary()),
                  pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.binary()).cast(pa.string())),
-                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(counts, pa.int64()))],
+                 pa.array([counts.astype("<i8").tobytes()], pa.binary())],
                 names=["chunk", "lang", "lead", "codes", "words", "counts"])
 
         for batch in batches:
@@ -179,9 +181,9 @@ def tile_counts(x: np.ndarray, y: np.ndarray, counted: np.ndarray, tile: int = T
 def _count_pairs(length: int, last: bool, tile: int, dense: int):
     """Pairs of neighbouring items of a chunk: phrases of ``length`` words."""
     def run(chunks: pa.Table, known: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("chunk", "lang", "lead", "codes", "xs", "ys", "counts")}
+        out = {k: [] for k in ("chunk", "lead", "codes", "xs", "ys", "counts")}
         known_chunk, known_code, known_id = (known.column(c).to_numpy() for c in ("owner", "code", "id"))
-        for chunk, lang, lead, packed in zip(*(chunks.column(c).to_pylist() for c in ("chunk", "lang", "lead", "codes"))):
+        for chunk, lead, packed in zip(*(chunks.column(c).to_pylist() for c in ("chunk", "lead", "codes"))):
             codes = np.frombuffer(packed, dtype="<i4")
             ids = np.full(int(codes.max(initial=-1)) + 2, -1, dtype=np.int64)       # the last place is for breaks
             own = known_chunk == chunk
@@ -192,14 +194,38 @@ def _count_pairs(length: int, last: bool, tile: int, dense: int):
             xs, ys, counts, code = tile_counts(first[pairs], second[pairs], pairs + length - 1 >= lead, tile, dense)
             stream = np.full(len(first), BREAK, dtype="<i4")
             stream[pairs] = code
-            for name, value in zip(out, (chunk, lang, lead, b"" if last else stream.tobytes(), xs, ys, counts)):
+            packed = [x.astype("<i8").tobytes() for x in (xs, ys, counts)]
+            for name, value in zip(out, (chunk, lead, b"" if last else stream.tobytes(), *packed)):
                 out[name].append(value)
-        return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "lang": pa.array(out["lang"], pa.string()),
-                         "lead": pa.array(out["lead"], pa.int32()), "codes": pa.array(out["codes"], pa.binary()),
-                         **{k: pa.array(out[k], pa.list_(pa.int64())) for k in ("xs", "ys", "counts")}})
+        return pa.table({k: pa.array(v, {"chunk": pa.int64(), "lead": pa.int32()}.get(k, pa.binary())) for k, v in out.items()})
     return run
 
 
+def _listed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of a chunk."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            chunk, lang, words, counts = (batch.column(k)[row] for k in range(4))
+            words, counts = words.values, np.frombuffer(counts.as_py(), dtype="<i8")
+            for at in range(0, len(words), ROWS):
+                part = words.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(chunk, len(part)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.repeat(lang, len(part)),
+                     part, pa.array(counts[at:at + ROWS])], names=["owner", "code", "lang", "word", "c"])
+
+
+def _listed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct pair of a chunk."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            chunk = batch.column(0)[row]
+            xs, ys, counts = (np.frombuffer(batch.column(k)[row].as_py(), dtype="<i8") for k in (1, 2, 3))
+            for at in range(0, len(xs), ROWS):
+                part = [pa.array(x[at:at + ROWS]) for x in (xs, ys, counts)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(chunk, len(part[0])), pa.array(np.arange(at, at + len(part[0]), dtype=np.int32)),
+                                                  *part], names=["owner", "code", "x", "y", "c"])
+
+
 def phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, lang_col: str = "lang", text_col: str = "text",
             tile: int = TILE, dense: int = DENSE) -> list[DataFrame]:
     """For each length up to ``max_words`` the phrases that occur at least ``min_count`` times.
@@ -213,8 +239,8 @@ def phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, lang_col:
         raise ValueError("max_words and min_count must be at least 1")
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(LANG_UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
     chunks = pin(source.mapInArrow(_tokenise(max_words - 1), CHUNKS), "phrase-chunks")
-    listed = (chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "own"))
-              .select("chunk", "lang", "code", F.col("own.words").alias("word"), F.col("own.counts").alias("c")))
+    listed = (chunks.select("chunk", "lang", "words", "counts")
+              .mapInArrow(_listed_words, "owner bigint, code int, lang string, word string, c bigint"))
     words = pin(listed.groupBy("lang", "word").agg(F.sum("c").alias("f")).where("f > 0"), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     items = with_row_index(words.where(F.col("f") >= min_count), ["lang", F.desc("f"), "word"], name="id")
@@ -223,25 +249,24 @@ def phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, lang_col:
                 .select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", "n",
                         empty.alias("pre"), empty.alias("suf")), "phrase-items")
     found = [items]
-    known = listed.join(items.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select(F.col("chunk").alias("owner"), "code", "id")
+    known = listed.join(items.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("owner", "code", "id")
     for length in range(2, max_words + 1):
         last = length == max_words
-        schema = "chunk bigint, lang string, lead int, codes binary, xs array<bigint>, ys array<bigint>, counts array<bigint>"
-        streams = chunks.select("chunk", "lang", "lead", "codes")
-        chunks = pin(streams.groupBy("chunk").cogroup(known.groupBy("owner"))
-                     .applyInArrow(_count_pairs(length, last, tile, dense), schema), f"phrase-chunks-{length}")
-        listed = (chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("xs", "ys", "counts")).alias("code", "own"))
-                  .select("chunk", "lang", "code", F.col("own.xs").alias("x"), F.col("own.ys").alias("y"), F.col("own.counts").alias("c")))
-        pairs = listed.groupBy("lang", "x", "y").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
-        numbered = pin(with_row_index(pairs, ["lang", F.desc("f"), "x", "y"], name="id"), f"phrase-pairs-{length}")
-        head = items.select(F.col("id").alias("x"), F.col("phrase").alias("head"), F.col("pre").alias("head_pre"), F.col("f").alias("head_f"), "n")
+        chunks = pin(chunks.select("chunk", "lead", "codes").groupBy("chunk").cogroup(known.groupBy("owner"))
+                     .applyInArrow(_count_pairs(length, last, tile, dense), PAIR_CHUNKS), f"phrase-chunks-{length}")
+        listed = (chunks.select("chunk", "xs", "ys", "counts")
+                  .mapInArrow(_listed_pairs, "owner bigint, code int, x bigint, y bigint, c bigint"))
+        # the numbers of the first part tell the language
+        pairs = listed.groupBy("x", "y").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
+        head = items.select(F.col("id").alias("x"), "lang", F.col("phrase").alias("head"), F.col("pre").alias("head_pre"), F.col("f").alias("head_f"), "n")
         tail = items.select(F.col("id").alias("y"), "last", F.col("suf").alias("tail_suf"), F.col("f").alias("tail_f"))
-        items = pin(numbered.join(head, "x").join(tail, "y")
-                    .select("id", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f", "n",
-                            F.concat("head_pre", F.array("head_f")).alias("pre"), F.concat(F.array("tail_f"), "tail_suf").alias("suf"),
-                            "x", "y"), f"phrase-items-{length}")
+        joined = (pairs.join(head, "x").join(tail, "y")
+                  .select("lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f", "n",
+                          F.concat("head_pre", F.array("head_f")).alias("pre"), F.concat(F.array("tail_f"), "tail_suf").alias("suf"),
+                          "x", "y"))
+        items = pin(with_row_index(joined, ["lang", F.desc("f"), "x", "y"], name="id"), f"phrase-items-{length}")
         found.append(items)
-        known = listed.join(numbered.select("x", "y", "id"), ["x", "y"]).select(F.col("chunk").alias("owner"), "code", "id")
+        known = listed.join(items.select("x", "y", "id"), ["x", "y"]).select("owner", "code", "id")
     return found
 
 
