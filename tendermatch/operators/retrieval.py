@@ -32,7 +32,6 @@ MAX_BLOCKS = 1 << 16     # blocks grow beyond BLOCK_ROWS items when there would
 PACK_ROWS = 4096         # queries of a pack
 PIVOTS = 64
 HELD_ROWS = 1 << 16      # (query, block) visits a task collects before it hands on its packs
-SLACK = 1e-9             # relative error allowed to bounds and matrix products
 
 
 def ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -44,6 +43,12 @@ def ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def rounding(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of ``a``, more than the rounding error of its products with the rows of ``b``, summed in any order."""
+    longest = np.linalg.norm(b, axis=1).max(initial=0.0)
+    return 1e-15 * (a.shape[1] + 1) * np.linalg.norm(a, axis=1) * longest
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """An array column without nulls as a float64 matrix."""
     n = len(column)
@@ -115,7 +120,8 @@ def _route(shared, first: bool, pack_rows: int):
                 if first:
                     rows, blocks = np.arange(len(best)), best
                 else:
-                    reach = bound + SLACK * (1 + np.abs(bound)) >= floor[some][:, None]
+                    slack = 1e-14 * (q.shape[1] + 1) * length * top_norm.max()
+                    reach = bound + slack >= floor[some][:, None]
                     reach[np.arange(len(best)), best] = False
                     rows, blocks = np.nonzero(reach)
                 order = np.argsort(blocks, kind="stable")
@@ -140,13 +146,13 @@ def _visit(k: int):
                 qid, ids = (np.frombuffer(batch.column(c)[row].as_py(), dtype="<i8") for c in ("qids", "ids"))
                 q, floor, x = (np.frombuffer(batch.column(c)[row].as_py(), dtype=np.float64) for c in ("queries", "floors", "vectors"))
                 q, x = q.reshape(len(qid), -1), x.reshape(len(ids), -1)
-                step = max(1, (1 << 20) // len(ids))
+                step, slack = max(1, (1 << 20) // len(ids)), rounding(q, x)
                 for at in range(0, len(qid), step):
                     near = q[at:at + step] @ x.T
                     least = np.partition(near, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(near), -np.inf)
                     least = np.maximum(least, floor[at:at + step])
                     with np.errstate(invalid="ignore"):
-                        own, col = np.nonzero(near >= (least - SLACK * (1 + np.abs(least)))[:, None])
+                        own, col = np.nonzero(near >= (least - 2 * slack[at:at + step])[:, None])
                     score = ordered_dot(q[at + own], x[col])
                     order = np.lexsort((ids[col], -score, own))
                     own, col, score = own[order], col[order], score[order]

@@ -49,7 +49,7 @@ bm AS (SELECT batch_id, avg(CASE WHEN row_argmax = i THEN 1.0 ELSE 0.0 END) AS a
 
 def _stats(spark, sf_dir):
     b = M.vector_batches(roles.vector_pairs(spark, sf_dir), "left_vec", "right_vec", ["pair_id"], BATCH)
-    return b, M.row_stats(b, TEMPERATURE)
+    return b, M.row_stats(b, TEMPERATURE, BATCH)
 
 
 @query("batch_similarity", oracle=with_(VPAIR_CTE, STATS_CTE) + """
@@ -57,7 +57,7 @@ SELECT CAST(batch_id AS BIGINT) AS batch_id, i, list(round(s, 6) + 0.0 ORDER BY
 FROM sim GROUP BY batch_id, i""")
 def batch_similarity_q(spark, sf_dir):
     b, _ = _stats(spark, sf_dir)
-    s = M.batch_similarity(b, TEMPERATURE)
+    s = M.batch_similarity(b, TEMPERATURE, BATCH)
     return s.select("batch_id", "i", F.transform("sims", lambda x: F.round(x, 6) + F.lit(0.0)).alias("sims"))
 
 
@@ -116,7 +116,7 @@ SELECT CAST(batch_id AS BIGINT) AS batch_id, i, j, {r6('s')} AS sim, CAST(rank A
 FROM ranked WHERE rank <= 5""")
 def batch_topk_q(spark, sf_dir):
     b, _ = _stats(spark, sf_dir)
-    t = M.top_k(b, 5, TEMPERATURE)
+    t = M.top_k(b, 5, TEMPERATURE, BATCH)
     return t.select("batch_id", "i", "j", round6("sim").alias("sim"), "rank")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tendermatch.functions.text import clean_text
 from tendermatch.functions.vectors import collapse_vectors, expand_vector
+from tendermatch.functions.vectors import l2_normalize as V_l2
 from tendermatch.operators import jagged as J
 from tendermatch.operators import metrics as M
 from tendermatch.operators.contracts import pk_violations
@@ -97,6 +98,49 @@ def test_batch_metrics_match_numpy(spark):
     assert top == 7 * 7                        # k larger than the batch is clamped
 
 
+@pytest.mark.parametrize("tile", [1, 3, 4096])
+def test_cells_of_any_size_give_the_whole_matrix(spark, tile):
+    """Batches cut into cells, with copies (ties across cells), a short batch and states merged by key."""
+    rng = np.random.default_rng(5)
+    left, right = rng.integers(-2, 3, size=(19, 4)) * 0.37, rng.integers(-2, 3, size=(19, 4)) * 0.11
+    right[3], right[9], right[6], left[9] = right[0], right[0], right[2], left[0]
+    rows = [(i, left[i].tolist(), right[i].tolist()) for i in range(19)]
+    batches = M.vector_batches(spark.createDataFrame(rows, "pid long, l array<double>, r array<double>"), "l", "r", ["pid"], 12)
+    st = {(r.batch_id, r.i): r for r in M.row_stats(batches, 0.5, tile=tile).collect()}
+    sims = {(r.batch_id, r.i): r.sims for r in M.batch_similarity(batches, 0.5, tile=tile).collect()}
+    top = {(r.batch_id, r.i, r["rank"]): (r.j, r.sim) for r in M.top_k(batches, 4, 0.5, tile=tile).collect()}
+    for b, (lo, hi) in enumerate(((0, 12), (12, 19))):
+        l, r = left[lo:hi], right[lo:hi]
+        s = np.zeros((hi - lo, hi - lo))
+        for k in range(4):                     # summed in the order of the dimensions
+            s += np.outer(l[:, k], r[:, k])
+        s /= 0.5
+        for i in range(hi - lo):
+            got, d = st[b, i], s[i, i]
+            assert got.b == hi - lo and got.diag == d and got.row_max == s[i].max()
+            assert got["rank"] == 1 + (s[i] > d).sum() + (s[i, :i] == d).sum()
+            assert got.row_argmax == s[i].argmax() and got.col_argmax == s[:, i].argmax()
+            want = [np.log(np.exp(s[i]).sum()), np.log(np.exp(s[:, i]).sum()), s[i].mean(), s[:, i].mean(), s[i].sum() - d, 1 - np.sign(d),
+                    sum(s[i, j] > 0 for j in range(hi - lo) if j != i)]
+            own = [got.row_lse, got.col_lse, got.row_mean, got.col_mean, got.off_sum, got.cos_pos, got.cos_neg]
+            np.testing.assert_allclose(own, want, rtol=1e-9, atol=1e-12)
+            np.testing.assert_allclose(sims[b, i], s[i], rtol=1e-9, atol=1e-12)
+            order = sorted(range(hi - lo), key=lambda j: (-s[i, j], j))[:4]
+            assert [top[b, i, k][0] for k in range(1, 5)] == order
+    assert len(st) == len(sims) == 19 and len(top) == 19 * 4
+
+
+def test_a_batch_beyond_one_cell(spark):
+    """3,000 pairs in cells of 512: the identity matrix has every diagonal on top."""
+    n = 3000
+    v = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.cos(F.col("id") * (k + 1) / 100.0))
+    unit = spark.range(n).select("id", V_l2(v).alias("l")).withColumn("r", F.col("l"))
+    batches = M.vector_batches(unit, "l", "r", ["id"], n)
+    st = M.row_stats(batches, 0.1, n, tile=512)
+    out = M.alignment_check(st).first()
+    assert out.diag_is_max > 0.9 and st.agg(F.min("b"), F.max("b"), F.count("*")).first() == (n, n, n)
+
+
 def test_batch_of_one_has_null_negative_mean(spark):
     pairs = spark.createDataFrame([(0, [1.0, 0.0], [0.5, 0.5])], "pid long, l array<double>, r array<double>")
     st = M.row_stats(M.vector_batches(pairs, "l", "r", ["pid"], 4))
