@@ -5,17 +5,18 @@ Config per column (same keys as the reference's JSON configs):
 ([low_pct, high_pct]) or ``clip_abs`` ([low, high]), ``clip_to_null``,
 ``log1p``, ``scale`` (``zscore`` | ``minmax`` | ``none``), ``add_flag``.
 
-Fit runs as a handful of jobs that each cover *all* configured columns:
-
-1. one scan builds a value histogram ``(column, value, cnt)`` by unpivot +
-   ``groupBy`` (map-side combined; a hot value is one row, not a hot task);
-2. fill values: exact median by the range-partitioned running count, mode via
-   ``max_by`` (lowest value on ties);
-3. percentile bounds over the *filled* distribution (the histogram with the
-   null count moved onto the fill value), by the same running count;
+Fit runs as a handful of scans of the numeric columns (pinned once) that each
+cover *all* configured columns; no value is shuffled or sorted:
+
+1. counts of values and nulls, in one aggregate;
+2. the ranks of medians and percentile bounds by radix selection
+   (``selection``), exact for any number of distinct values; the null count
+   shifts the ranks of the *filled* distribution, so that medians and bounds
+   come from the same passes;
+3. modes, where configured, by counting the values of those columns;
 4. the log offset from the clipped minimum;
-5. mean / sample std / min / max of the pre-scaling value in one grouped
-   aggregate (counts as weights, sums around a shift to keep precision).
+5. mean / sample std / min / max of the pre-scaling value in one aggregate
+   (sums around a shift to keep precision).
 
 There is one way through for any number of distinct values.
 Only per-column scalars travel to the driver. Transform is one ``select``.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tendermatch.functions.numeric import (clip, clip_or_fill, log1p_offset, minmax, null_flag, out_of_range_to_null,
                                            to_double, zscore)
-from tendermatch.operators.ranking import exact_quantiles
+from tendermatch.operators.selection import rank_pair, select_ranks
 from tendermatch.session import materialize
 
 STAT_KEYS = ("fill_value", "clip_low", "clip_high", "log1p_offset", "mean", "std", "min", "max")
@@ -74,22 +75,59 @@ def value_histogram(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _map_expr(values: dict) -> Column:
-    """Literal map column -> value (bounded by the number of configured columns)."""
-    items = []
-    for k, v in values.items():
-        items += [F.lit(k), F.lit(v).cast("double")]
-    return F.create_map(*items) if items else F.create_map().cast("map<string,double>")
+def _approximate(typed: DataFrame, wanted: list[tuple[str, float]], fills: dict[str, float | None], accuracy: int
+                 ) -> dict[tuple[str, float], float | None]:
+    """Quantiles of the filled columns from sketches."""
+    if not wanted:
+        return {}
+    row = typed.agg(*[F.percentile_approx(F.coalesce(F.col(c), F.lit(fills.get(c)).cast("double")), p, accuracy).alias(f"q{k}")
+                      for k, (c, p) in enumerate(wanted)]).first()
+    return {w: row[f"q{k}"] for k, w in enumerate(wanted)}
 
 
-def _quantiles(df: DataFrame, hist: DataFrame, wanted: list[tuple[str, float]], fills: dict[str, float | None],
-               accuracy: int | None) -> dict[tuple[str, float], float | None]:
-    """Quantiles of columns: exact ranks over the histogram, or sketches over the rows when an accuracy is given."""
-    if not wanted or not accuracy:
-        return exact_quantiles(hist, wanted)
-    row = df.agg(*[F.percentile_approx(F.coalesce(to_double(c), F.lit(fills.get(c)).cast("double")), p, accuracy).alias(f"q{k}")
-                   for k, (c, p) in enumerate(wanted)]).collect()[0]
-    return {w: row[f"q{k}"] for k, w in enumerate(wanted)}
+def _between(values: dict, low: int, high: int, part: float) -> float:
+    return values[low] + (values[high] - values[low]) * part
+
+
+def _exact_fills_and_bounds(typed: DataFrame, config: dict, fills: dict[str, float | None], medians: list[str], by_rank: list[str]
+                            ) -> dict[tuple[str, float], float | None]:
+    """Adds the medians to ``fills`` and returns the percentile bounds of the filled columns.
+
+    A filled column has its n values and, at the fill value f, its z nulls: the rank r of the filled column is the rank r
+    of the values below f, f itself, or the rank r - z of the values above. Both ranks are selected together with the
+    medians, and one count of the values below and up to f tells which one holds.
+    """
+    names = sorted({*medians, *by_rank})
+    if not names:
+        return {}
+    row = typed.agg(F.count(F.lit(1)).alias("_tm_n"), *[F.count(F.col(c)).alias(c) for c in names]).first()
+    n = {c: row[c] for c in names}
+    nulls = {c: row["_tm_n"] - n[c] if c in medians and n[c] or fills.get(c) is not None else 0 for c in by_rank}
+    wanted: dict[str, set[int]] = {c: set() for c in names}
+    for c in medians:
+        if n[c]:
+            wanted[c].update(rank_pair(n[c], 0.5)[:2])
+    asked = {(c, q / 100.0): rank_pair(n[c] + nulls[c], q / 100.0) for c in by_rank for q in config[c]["clip"] if n[c] + nulls[c]}
+    for (c, _), (low, high, _) in asked.items():
+        wanted[c].update(r for x in (low, high) for r in (x, x - nulls[c]) if 0 <= r < n[c])
+    found = select_ranks(typed, wanted)
+    of = {c: {r: found[c, r] for r in wanted[c]} for c in names}
+    for c in medians:
+        fills[c] = _between(of[c], *rank_pair(n[c], 0.5)) if n[c] else None
+    shifted = [c for c in by_rank if nulls[c]]
+    place = typed.agg(*[F.count(F.when(F.col(c) < fills[c], 1)).alias(f"below_{k}") for k, c in enumerate(shifted)],
+                      *[F.count(F.when(F.col(c) <= fills[c], 1)).alias(f"upto_{k}") for k, c in enumerate(shifted)]).first() if shifted else {}
+    out: dict[tuple[str, float], float | None] = {(c, q / 100.0): None for c in by_rank for q in config[c]["clip"]}
+    for (c, p), (low, high, part) in asked.items():
+        def value(r: int, c: str = c) -> float:
+            if not nulls[c]:
+                return of[c][r]
+            k = shifted.index(c)
+            if r < place[f"below_{k}"]:
+                return of[c][r]
+            return fills[c] if r < place[f"upto_{k}"] + nulls[c] else of[c][r - nulls[c]]
+        out[c, p] = _between({low: value(low), high: value(high)}, low, high, part)
+    return out
 
 
 def numeric_fit(df: DataFrame, config: dict, pk: list | None = None,
@@ -102,43 +140,48 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None,
     model = NumericModel(config={c: config[c] for c in cols}, pk=list(pk or []))
     if not cols:
         return model
-    hist = materialize(value_histogram(df, cols))
-    column = F.col("column")
+    typed = materialize(df.select(*[to_double(c).alias(c) for c in cols]))
 
-    # (1) fill values: median by rank, mode by count (lowest value on ties), constants as they are
+    # (1) fill values: constants as they are, mode by count (lowest value on ties), median by rank
     kinds = {c: _fill_kind(config[c]) for c in cols}
     fills: dict[str, float | None] = {c: k for c, k in kinds.items() if isinstance(k, float)}
-    medians = [(c, 0.5) for c, k in kinds.items() if k == "median"]
-    fills.update({c: v for (c, _), v in _quantiles(df, hist, medians, {}, approx_accuracy).items()})
+    medians = [c for c, k in kinds.items() if k == "median"]
     modes = [c for c, k in kinds.items() if k == "mode"]
     if modes:
-        got = {r["column"]: r["mode"] for r in hist.where(F.col("value").isNotNull() & column.isin(modes)).groupBy("column")
+        hist = value_histogram(typed, modes).where("value is not null")
+        got = {r["column"]: r["mode"] for r in hist.groupBy("column")
                .agg(F.max_by("value", F.struct(F.col("cnt"), -F.col("value"))).alias("mode")).collect()}
         fills.update({c: got.get(c, 0.0) for c in modes})
 
     # (2) bounds: given ones, and percentiles of the filled distribution (the null count moves onto the fill value)
-    filled = hist.withColumn("value", F.coalesce(F.col("value"), _map_expr(fills)[column])).where(F.col("value").isNotNull())
     bounds = {c: tuple(map(float, config[c]["clip_abs"])) for c in cols if "clip" not in config[c] and "clip_abs" in config[c]}
     by_rank = [c for c in cols if "clip" in config[c]]
-    found = _quantiles(df, filled, [(c, q / 100.0) for c in by_rank for q in config[c]["clip"]], fills, approx_accuracy)
+    if approx_accuracy:
+        fills.update({c: v for (c, _), v in _approximate(typed, [(c, 0.5) for c in medians], {}, approx_accuracy).items()})
+        found = _approximate(typed, [(c, q / 100.0) for c in by_rank for q in config[c]["clip"]], fills, approx_accuracy)
+    else:
+        found = _exact_fills_and_bounds(typed, config, fills, medians, by_rank)
     bounds.update({c: tuple(found[(c, q / 100.0)] for q in config[c]["clip"]) for c in by_rank})
     known = {c: b for c, b in bounds.items() if None not in b}
-    low, high = (_map_expr({c: b[k] for c, b in known.items()})[column] for k in (0, 1))
-    outside_null = column.isin([c for c in cols if config[c].get("clip_to_null", False)])
-    value = F.col("value")
-    clipped = (F.when(low.isNull(), value).when(outside_null, out_of_range_to_null(value, low, high)).otherwise(clip(value, low, high)))
+
+    def clipped(c: str) -> Column:
+        x = F.coalesce(F.col(c), F.lit(fills.get(c)).cast("double"))
+        if c not in known:
+            return x
+        low, high = map(F.lit, known[c])
+        return out_of_range_to_null(x, low, high) if config[c].get("clip_to_null", False) else clip(x, low, high)
 
     # (3) log offsets from the smallest clipped value
     logs = [c for c in cols if config[c].get("log1p", False)]
     offsets: dict[str, float] = {}
     if logs:
-        least = {r["column"]: r["m"] for r in filled.where(column.isin(logs)).groupBy("column").agg(F.min(clipped).alias("m")).collect()}
+        least = typed.agg(*[F.min(clipped(c)).alias(c) for c in logs]).first()
         for c in logs:
-            m = least.get(c)
+            m = least[c]
             offsets[c] = abs(m) + 1.0 if m is not None and m <= 0 else 0.0
 
-    # (4) moments of the value before scaling: one grouped aggregate, linear in the histogram. Counts are weights;
-    # sums are taken around a shift (the fill value's own result) so that the variance does not cancel.
+    # (4) moments of the value before scaling in one aggregate; sums are taken around a shift (the fill value's own
+    # result) so that the variance does not cancel
     def before_scale(x: float | None, c: str) -> float:
         if x is None:
             return 0.0
@@ -152,16 +195,19 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None,
         return x
 
     scaled = [c for c in cols if config[c].get("scale") in ("zscore", "minmax")]
+    shifts = {c: before_scale(fills.get(c), c) for c in scaled}
     moments = {}
     if scaled:
-        shifts = {c: before_scale(fills.get(c), c) for c in scaled}
-        offset = _map_expr(offsets)[column]
-        x = F.when(offset.isNull(), clipped).otherwise(F.log1p(clipped + offset))
-        rows = filled.where(column.isin(scaled)).select("column", F.col("cnt").alias("n"), x.alias("x")).where("x is not null")
-        d, w = F.col("x") - _map_expr(shifts)[column], F.col("n").cast("double")
-        moments = {r["column"]: r for r in rows.groupBy("column").agg(
-            F.sum("n").alias("n"), F.sum(w * d).alias("s1"), F.sum(w * d * d).alias("s2"), F.min("x").alias("min"),
-            F.max("x").alias("max")).collect()}
+        values = typed.select(*[(F.log1p(clipped(c) + offsets[c]) if c in offsets else clipped(c)).alias(f"x{k}") for k, c in enumerate(scaled)])
+        aggs = []
+        for k, c in enumerate(scaled):
+            x = F.col(f"x{k}")
+            d = x - F.lit(shifts[c])
+            aggs += [F.count(x).alias(f"n{k}"), F.sum(d).alias(f"s{k}"), F.sum(d * d).alias(f"q{k}"), F.min(x).alias(f"min{k}"),
+                     F.max(x).alias(f"max{k}")]
+        row = values.agg(*aggs).first()
+        moments = {c: {"n": row[f"n{k}"], "s1": row[f"s{k}"], "s2": row[f"q{k}"], "min": row[f"min{k}"], "max": row[f"max{k}"]}
+                   for k, c in enumerate(scaled) if row[f"n{k}"]}
 
     for c in cols:
         s: dict = {"fill_value": fills.get(c)}
@@ -181,7 +227,7 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None,
             lo, hi = (m["min"], m["max"]) if m else (None, None)
             s["min"], s["max"] = lo, lo + 1.0 if lo is not None and lo == hi else hi
         model.stats[c] = s
-    hist.unpersist()
+    typed.unpersist()
     return model
 
 
