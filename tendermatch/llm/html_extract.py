@@ -104,6 +104,25 @@ def blocks(html: str) -> list[Block]:
     linked = 0
     stack = [_Open("", PLAIN, False, False, False, 0, 0)]
     here = stack[0]
+    # where the open elements of each tag stand, the open blocks, and those of them that hold short blocks: an end tag
+    # finds its element, or that there is none, at once
+    places: dict[str, list[int]] = {}
+    containers, holders = [0], [0]
+
+    def open_(element: _Open) -> None:
+        places.setdefault(element.tag, [0]).append(len(stack))
+        if element.tag in BLOCK:
+            containers.append(len(stack))
+            if element.tag not in SHORT:
+                holders.append(len(stack))
+        stack.append(element)
+
+    def close() -> None:
+        tag, at = stack.pop().tag, len(stack)
+        places[tag].pop()
+        for own in (containers, holders):
+            if own[-1] == at:
+                own.pop()
 
     def add(text: str) -> None:
         nonlocal linked
@@ -155,12 +174,11 @@ def blocks(html: str) -> list[Block]:
         elif closing:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK or tag in SHORT and stack[k].tag not in SHORT and stack[k].tag in BLOCK:
-                    break                           # an end tag does not reach out of its container
+            k = places.get(tag, (0,))[-1]
+            # an end tag does not reach out of its container
+            if k and (tag in BLOCK or k >= containers[-1]) and (tag not in SHORT or k >= holders[-1]):
+                while len(stack) > k:
+                    close()
             here = stack[-1]
             if tag == "a" and here.tag != "a":
                 here.link = False
@@ -177,7 +195,7 @@ def blocks(html: str) -> list[Block]:
                 flush()
                 if tag in SHORT or here.tag == "p":
                     while stack[-1].tag == "p" or stack[-1].tag in SHORT.get(tag, ()):
-                        stack.pop()
+                        close()
                     here = stack[-1]
             if tag in BLOCK or tag in NO_PROSE or rest.strip(" /"):
                 zone, sealed, title_only = _zone(tag, rest, here)
@@ -187,7 +205,7 @@ def blocks(html: str) -> list[Block]:
                     level = 1 if tag == "h1" else 2 if tag in ("h2", "h3", "h4", "h5", "h6") else 0
                     here = _Open(tag, zone, sealed, title_only, here.link and tag not in BLOCK, level or here.heading,
                                  int(tag == "li" or here.item and tag not in ("ul", "ol")))
-                    stack.append(here)
+                    open_(here)
         if closing and tag not in BLOCK and len(stack) and pieces and stack[-1].zone != here.zone:
             flush()
     flush()
