@@ -59,9 +59,11 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     # paths are cut where some rule's path ends: there are no more such lengths than a path has characters
     lengths = F.array(*[F.lit(r[0]) for r in known.select(F.length("r_path")).distinct().collect()]).cast("array<int>")
 
-    parts = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(parts)),
-                        lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    # and hosts where some rule's host begins: suffixes of as many labels as a rule has
+    labels = 1 + F.length("host") - F.length(F.translate("host", ".", ""))
+    rule_labels = 1 + F.length("r_host") - F.length(F.translate("r_host", ".", ""))
+    counts = [r[0] for r in known.select(rule_labels).distinct().collect()]
+    hosts = F.array_compact(F.array(*[F.when(labels >= n, F.substring_index("host", ".", -n)) for n in counts]).cast("array<string>"))
     paths = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n))
     distinct = own.select("host", "path").where("host <> ''").distinct()
     expressions = (distinct.select("host", "path", F.explode(hosts).alias("e_host"), paths.alias("paths"))
