@@ -342,17 +342,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                          threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the documents that :func:`classes` keeps; all columns stay."""
-    found = pin(classes(docs, id_col, text_col, shingle, threshold), "minhash-found").withColumnRenamed(id_col, "dropped")
-    gone = found.where("not kept and dropped <> class_id").select("dropped").distinct()
+    found = pin(classes(docs, id_col, text_col, shingle, threshold), "minhash-found").withColumnRenamed(id_col, "did")
+    # the rows travel as one column, so that no name of theirs meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(f"`{id_col}`").cast("bigint").alias("did"))
+    gone = found.where("not kept and did <> class_id").select("did").distinct()
     if gone.count() <= MAX_BROADCAST_IDS:
         gone = F.broadcast(gone)
-    rows = docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("dropped"), "left_anti")
+    rows = rows.join(gone, "did", "left_anti")
     # documents in several rows of one multiset: found by id, thinned by text
-    again = found.where("not kept and dropped = class_id").select("dropped").distinct()
+    again = found.where("not kept and did = class_id").select("did").distinct()
     if again.isEmpty():
-        return rows
-    same = F.col(f"`{id_col}`").cast("bigint") == F.col("dropped")
-    repeated = rows.join(again, same, "left_semi")
+        return rows.select("own.*")
 
     @F.pandas_udf("binary")
     def multiset(texts: pd.Series) -> pd.Series:
@@ -360,5 +360,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pd.Series([xxhash.xxh3_128_digest(value[a:b].tobytes() + weight[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:])],
                          dtype=object)
 
-    thin = (repeated.withColumn("_multiset", multiset(F.col(f"`{text_col}`"))).dropDuplicates([id_col, "_multiset"]).drop("_multiset"))
-    return rows.join(again, same, "left_anti").unionByName(thin)
+    thin = rows.join(again, "did", "left_semi").withColumn("multiset", multiset(F.col(f"own.`{text_col}`"))).dropDuplicates(["did", "multiset"])
+    return rows.join(again, "did", "left_anti").select("own").unionByName(thin.select("own")).select("own.*")
