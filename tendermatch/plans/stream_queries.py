@@ -11,8 +11,9 @@ from tendermatch.plans import roles
 from tendermatch.plans.pipeline import fit_once, preprocess
 from tendermatch.plans.registry import ORACLES, query
 from tendermatch.plans.store_queries import CAT, DENSE, NUM
+from tendermatch.sources import keyed
 from tendermatch.sources.sinks import scratch_path
-from tendermatch.streaming.incremental import refresh_vectors_stream, transform_stream
+from tendermatch.streaming.incremental import refresh_vectors_log, transform_stream
 
 from tendermatch.plans import store_queries as _sq  # noqa: F401  (registers the batch twins first)
 from tendermatch.plans import text_queries as _tq  # noqa: F401
@@ -36,17 +37,15 @@ def incremental_transform_q(spark, sf_dir):
 
 @query("stream_vector_refresh", oracle=ORACLES["text_vector_refresh"])
 def stream_vector_refresh_q(spark, sf_dir):
-    """Documents stream in; vectors of quality-1 labelled documents are refreshed by key."""
+    """Documents stream in; the vectors of quality-1 labelled documents are appended as deltas and merged on read."""
     labels = roles.table(spark, sf_dir, "labels")
     base = scratch_path(spark, "vector-refresh")
-    target = labels.select("doc_id", "quality", F.lit(None).cast("array<float>").alias("vec"))
-    target.write.parquet(os.path.join(base, "target", "v=000000000"))
+    keyed.create(labels.select("doc_id", "quality", F.lit(None).cast("array<float>").alias("vec")), os.path.join(base, "target"), ["doc_id"])
     schema = roles.table(spark, sf_dir, "documents").schema
     wanted = labels.where(F.col("quality") == 1).select("doc_id")
-    latest = refresh_vectors_stream(
+    out = refresh_vectors_log(
         spark, sf_dir, schema, os.path.join(base, "target"), ["doc_id"], "text", "vec",
         checkpoint=os.path.join(base, "checkpoint"), dim=8,
         prepare=lambda s: s.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), glob="documents.parquet")
-    out = spark.read.parquet(latest)
     total = F.aggregate(F.transform("vec", lambda x: x.cast("double")), F.lit(0.0), lambda a, b: a + b)
     return out.select("doc_id", (F.col("quality") == 1).alias("refreshed"), round6(total).alias("total"))

@@ -9,7 +9,8 @@ from tendermatch.functions.numeric import round6
 from tendermatch.functions.text import WHITESPACE, clean_text, hashed_embedding
 from tendermatch.operators.text import refresh_vectors, text_transform, update_by_key
 from tendermatch.plans import roles
-from tendermatch.plans.registry import query
+from tendermatch.plans.registry import ORACLES, query
+from tendermatch.sources import keyed
 from tendermatch.sources.sinks import scratch_path, write_versioned
 
 DIM = 8
@@ -116,6 +117,23 @@ def vector_update_by_key_q(spark, sf_dir):
     return out.select("vec_id", (F.col("label") == 3).alias("updated"), round6(total).alias("total"))
 
 
+@query("vector_update_in_place", oracle=ORACLES["vector_update_by_key"])
+def vector_update_in_place_q(spark, sf_dir):
+    """S15 / J8 over a keyed table: one update is copied into the buckets it touches, two further ones stay deltas (the
+    newer one holds) until they are compacted."""
+    e = roles.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    base = scratch_path(spark, "keyed-vectors")
+    keyed.create(e, base, ["vec_id"])
+    of = lambda n, by: e.where(F.col("label") == n).select("vec_id", F.transform("embedding", lambda x: x * by).alias("embedding"))
+    keyed.update(spark, base, of(2, 1), ["vec_id"], "embedding", number=1)
+    keyed.append_delta(of(3, 5), base, ["vec_id"], "embedding", 1)
+    keyed.append_delta(of(3, 2), base, ["vec_id"], "embedding", 2)
+    keyed.compact(spark, base, ["vec_id"], "embedding")
+    out = keyed.read_merged(spark, base, ["vec_id"], "embedding")
+    total = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, b: a + b)
+    return out.select("vec_id", (F.col("label") == 3).alias("updated"), round6(total).alias("total"))
+
+
 @query("unit_norm_check", oracle="""
 WITH s AS (SELECT vec_id, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]),
                                                        lambda x: (x * (1 + label * 0.00002)) * (x * (1 + label * 0.00002)))))

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendermatch.operators.contracts import assert_pk
-from tendermatch.operators.text import refresh_vectors
+from tendermatch.operators.text import TEXT_DEFAULTS, refresh_vectors, text_transform
+from tendermatch.sources import keyed
 from tendermatch.sources.readers import _exists, _path
 
 KEY_PARTITIONS = 64
@@ -87,6 +88,27 @@ def refresh_vectors_stream(spark: SparkSession, source: str, schema, target_base
     return _version_before(spark, target_base)
 
 
+def refresh_vectors_log(spark: SparkSession, source: str, schema, base: str, pk: Sequence[str], text_col: str, vec_col: str,
+                        checkpoint: str, dim: int = 8, prepare: Callable[[DataFrame], DataFrame] | None = None,
+                        glob: str | None = None) -> DataFrame:
+    """T2 over a keyed table (``sources.keyed``): each micro-batch of (pk, text) appends the new vectors of its own keys as
+    a delta named after the batch, so what it writes is in proportion to itself and a replayed batch replaces its own
+    delta. Returns the table with the deltas laid over it; ``keyed.compact`` moves them into the table."""
+    cfg = {text_col: dict(TEXT_DEFAULTS)}
+
+    def per_batch(batch: DataFrame, epoch: int) -> None:
+        vectors = text_transform(batch.select(*pk, text_col), pk, cfg, dim=dim).withColumnRenamed(text_col, vec_col)
+        keyed.append_delta(vectors, base, pk, vec_col, epoch + 1)
+
+    stream = _file_stream(spark, source, schema, glob).load()
+    if prepare is not None:
+        stream = prepare(stream)
+    q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return keyed.read_merged(spark, base, pk, vec_col)
+
+
 def _file_stream(spark: SparkSession, folder: str, schema, glob: str | None):
     r = spark.readStream.format("parquet").schema(schema).option("path", folder)
     return r.option("pathGlobFilter", glob) if glob else r
