@@ -104,6 +104,12 @@ def _schema(spark: SparkSession, base: str):
     return StructType.fromJson(json.loads(spark.read.json(os.path.join(base, "schema")).first()[0]))
 
 
+def _typed(spark: SparkSession, base: str, updates: DataFrame, pk: Sequence[str], col: str) -> DataFrame:
+    """Keys and changed column in the types of the table."""
+    schema = _schema(spark, base)
+    return updates.select(*[F.col(c).cast(schema[c].dataType).alias(c) for c in [*pk, col]])
+
+
 def _files(spark: SparkSession, base: str, rows: list) -> DataFrame:
     paths = [os.path.join(_folder(base, "data", r.source), f"{BUCKET}={r.bucket}") for r in rows if r.bucket is not None]
     schema = _schema(spark, base)
@@ -122,6 +128,7 @@ def update(spark: SparkSession, base: str, updates: DataFrame, pk: Sequence[str]
     Only the buckets that the keys fall into are read and written; returns their numbers. ``number`` names the version,
     by default the next one.
     """
+    updates = _typed(spark, base, updates, pk, col)
     before = _newest(spark, base, number)
     number = before + 1 if number is None else number
     rows = _manifest(spark, base, before)
@@ -136,12 +143,13 @@ def update(spark: SparkSession, base: str, updates: DataFrame, pk: Sequence[str]
 def append_delta(updates: DataFrame, base: str, pk: Sequence[str], col: str, number: int) -> None:
     """Store the changes ``pk, col`` under a number (of a batch, say); no row of the table is read or written."""
     spark = updates.sparkSession
+    updates = _typed(spark, base, updates, pk, col)
     repeated = updates.groupBy(*pk).count().where("count > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"more than one update for a key: {repeated[0].asDict()}")
     if number <= _manifest(spark, base, _newest(spark, base))[0].merged and number not in versions(spark, base, "deltas"):
         raise ValueError(f"change {number} comes after later ones were merged")
-    updates.select(*pk, col).write.mode("overwrite").parquet(_folder(base, "deltas", number))
+    updates.write.mode("overwrite").parquet(_folder(base, "deltas", number))
 
 
 def _changes(spark: SparkSession, base: str, pk: Sequence[str], col: str, after: int, upto: int | None) -> tuple[DataFrame | None, int]:

@@ -66,7 +66,7 @@ def test_deltas_are_as_large_as_their_batch_and_the_newest_holds(spark):
     base = scratch_path(spark, "keyed")
     K.create(table(spark, 100), base, ["k"], buckets=8)
     before = digests(base)
-    K.append_delta(changes(spark, [(1, 100), (2, 200)]), base, ["k"], "v", 1)
+    K.append_delta(spark.createDataFrame([(1, 100), (2, 200)], "k int, v short"), base, ["k"], "v", 1)
     K.append_delta(changes(spark, [(2, None), (500, 1)]), base, ["k"], "v", 2)
     K.append_delta(changes(spark, [(2, None), (500, 1)]), base, ["k"], "v", 2)    # a replay
     assert digests(base) == before
