@@ -27,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,13 +38,13 @@ BLOCK_POSTINGS = 1 << 20     # postings after which a block is closed
 GROUP_TERMS = 1 << 19        # terms of the items that go through the blocks together
 LEAF = 16                    # documents of a leaf
 FAN = 4                      # children of a node
-SEED_BLOCKS = 8              # blocks of the first pass
+SEED_BLOCKS = 8              # blocks of the first pass: the first one of each of so many tasks
 SLICE = 1 << 22              # bytes of a text that are tokenised at a time
 
 #: ASCII letters lower-cased, ASCII digits kept, other ASCII to blanks; the rest belongs to terms. Fixed values.
 FOLD = bytes((c + 32 if 0x41 <= c <= 0x5A else c) if 0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
              for c in range(256))
-BLOCKS = ("ids array<bigint>, sizes array<bigint>, starts array<int>, terms array<int>, tfs array<int>, "
+BLOCKS = ("task int, nth int, ids array<bigint>, sizes array<bigint>, starts array<int>, terms array<int>, tfs array<int>, "
           "df_terms array<int>, dfs array<int>")
 NO_ID = (1 << 63) - 1        # stands for a null document id: last among equal scores
 
@@ -73,16 +74,19 @@ def _numbered(terms: list[bytes]) -> dict[bytes, int]:
 def _blocks(shared):
     """Blocks of documents with their postings of known terms."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = held(shared, _numbered).get
+        get, task, made = held(shared, _numbered).get, TaskContext.get().partitionId(), 0
         ids, sizes, starts, terms, tfs = [], [], [0], [], []
 
         def block() -> pa.RecordBatch:
+            nonlocal made
             own = np.concatenate(terms)
             seen, df = np.unique(own, return_counts=True)
             arrays = [(ids, pa.int64()), (sizes, pa.int64()), (starts, pa.int32()), (own, pa.int32()), (np.concatenate(tfs), pa.int32()),
                       (seen, pa.int32()), (df, pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array([a], pa.list_(t)) for a, t in arrays],
-                                              names=["ids", "sizes", "starts", "terms", "tfs", "df_terms", "dfs"])
+            made += 1
+            return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([made - 1], pa.int32()),
+                                               *[pa.array([a], pa.list_(t)) for a, t in arrays]],
+                                              names=["task", "nth", "ids", "sizes", "starts", "terms", "tfs", "df_terms", "dfs"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -294,7 +298,7 @@ def _search_group(docs: DataFrame, items: list[tuple[int, list[bytes]]], top: in
                      .mapInArrow(_search(shared, top, leaf, fan), "item bigint, doc bigint, score bigint"), top)
 
     floor = np.zeros(len(items), dtype=np.int64)
-    for r in search(blocks.limit(SEED_BLOCKS), floor).where(F.col("rank") == top).collect():     # a row for each item at most
+    for r in search(blocks.where((F.col("nth") == 0) & (F.col("task") < SEED_BLOCKS)), floor).where(F.col("rank") == top).collect():     # a row for each item at most
         floor[r.item] = r.score
     rows = spark.createDataFrame([(k, row) for k, (row, _) in enumerate(items)], "item bigint, row bigint")
     return pin(search(blocks, floor).join(rows, "item").select("row", "rank", "doc", "score"), "search-found")
