@@ -114,18 +114,20 @@ def pair_subset_bundle(pairs: DataFrame, notice_store: DataFrame, company_store:
 def training_batches(pairs: DataFrame, notice_store: DataFrame, company_store: DataFrame, notice_pk: Sequence[str],
                      company_pk: Sequence[str], notice_keys: Sequence[str], company_keys: Sequence[str], batch_size: int,
                      seed: int = 42, selective: bool = False, id_col: str = "id") -> DataFrame:
-    """Pairs -> both sides' features (``dense`` and ``categorical`` columns of the stores) -> seeded shuffle ->
-    batches -> collated rows, one per batch. ``selective`` first narrows the stores to the keys of the pairs, for few
-    pairs against large stores; the batches are the same."""
+    """Pairs -> seeded shuffle -> batches -> both sides' features (``dense`` and ``categorical`` columns of the
+    stores) -> collated rows, one per batch. Ids and keys alone are shuffled and numbered; the features join them once
+    their batch is known. ``selective`` first narrows the stores to the keys of the pairs, for few pairs against large
+    stores; the batches are the same."""
     from tendermatch.operators.jagged import collate
 
     if selective:
         notice_store, company_store = rows_of(notice_store, pairs, notice_pk), rows_of(company_store, pairs, company_pk)
     sides = [s.select(*pk, F.col("numeric").alias(f"{name}_dense"), F.col("categorical").alias(f"{name}_cat"))
              for s, pk, name in ((notice_store, notice_pk, "notice"), (company_store, company_pk, "company"))]
-    joined = pair_features(pairs, *sides, notice_pk, company_pk)
-    batched = with_batches(joined, [shuffle_key(id_col, seed), F.col(id_col)], batch_size)
-    return collate(batched, "notice_dense", "notice_cat", "company_dense", "company_cat", notice_keys, company_keys)
+    keys = list(dict.fromkeys([id_col, *notice_pk, *company_pk]))
+    batched = with_batches(pairs.select(*keys), [shuffle_key(id_col, seed), F.col(id_col)], batch_size)
+    joined = pair_features(batched, *sides, notice_pk, company_pk)
+    return collate(joined, "notice_dense", "notice_cat", "company_dense", "company_cat", notice_keys, company_keys)
 
 
 def rows_of(store: DataFrame, pairs: DataFrame, pk: Sequence[str]) -> DataFrame:
