@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from tendermatch.functions.numeric import round6
 from tendermatch.operators import lookups as L
 from tendermatch.plans import roles
-from tendermatch.plans.registry import query
+from tendermatch.plans.registry import ORACLES, query
 from tendermatch.plans.sqlparts import BID_CTE, COMPANY_CTE, NOTICE_CTE, PAIR_CTE, r6, with_
+from tendermatch.sources.keyfilter import KeyLog
+from tendermatch.sources.paging import build_page_index, read_page
+from tendermatch.sources.sinks import scratch_path
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
@@ -149,6 +152,32 @@ def page_scan_q(spark, sf_dir):
     return pg.unionByName(nth).select("kind", F.col("id").cast("long"), "notice_no", "bizno")
 
 
+@query("page_index", oracle=ORACLES["page_scan"])
+def page_index_q(spark, sf_dir):
+    """The same pages from a stored index, each of which opens the files that it covers."""
+    base = scratch_path(spark, "page-index")
+    build_page_index(roles.pairs(spark, sf_dir).select("id", "notice_no", "bizno"), base, ["id"], rows_per_file=1000)
+    pg = read_page(spark, base, 1000, 500).select(F.lit("page").alias("kind"), "*")
+    nth = read_page(spark, base, 2500, 1).select(F.lit("nth").alias("kind"), "*")
+    return pg.unionByName(nth).select("kind", F.col("id").cast("long"), "notice_no", "bizno")
+
+
+@query("append_key_filter", oracle=with_(PAIR_CTE) + """
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(min(id) AS BIGINT) AS first, CAST(max(id) AS BIGINT) AS last FROM pair WHERE id % 7 = 0""")
+def append_key_filter_q(spark, sf_dir):
+    """All pairs are stored in two batches; an append of a seventh of them and as many new ones clashes in the
+    former alone (the Bloom filters say which stored keys are read)."""
+    pairs = roles.pairs(spark, sf_dir)
+    log = KeyLog(spark, scratch_path(spark, "key-log"), ["notice_no", "bizno"])
+    for batch in range(2):
+        log.add(pairs.where(F.col("id") % 2 == batch), batch)
+    old = pairs.where(F.col("id") % 7 == 0).select("id", "notice_no", "bizno")
+    new = old.select(F.col("id"), F.concat(F.lit("new-"), "notice_no").alias("notice_no"), "bizno")
+    found = log.clashes(old.unionByName(new))
+    hits = found.join(pairs.select("id", "notice_no", "bizno"), ["notice_no", "bizno"], "left")
+    return hits.agg(F.count(F.lit(1)).alias("n"), F.min("id").cast("long").alias("first"), F.max("id").cast("long").alias("last"))
+
+
 @query("select_except", oracle=with_(NOTICE_CTE) + f"""
 SELECT notice_no, notice_ord, {r6('o_totalprice')} AS o_totalprice, o_custkey, o_orderstatus, o_orderpriority
 FROM notice""")

@@ -8,9 +8,10 @@ stream source; every micro-batch is transformed with the *fixed* fitted state
 replayed overwrites its own folders and is compared with those of other
 batches only, so a replay gives what one clean run gives.
 
-Primary keys are enforced across chunks before a batch is written: a key table
-beside the sink, partitioned by a hash of the key, keeps the keys of each batch.
-A batch reads the hash partitions that its own keys fall into.
+Primary keys are enforced across chunks before a batch is written: a key log
+beside the sink (``sources.keyfilter``) keeps the keys of each batch, by a hash
+of the key, and a Bloom filter of them. A batch whose keys the filters rule out
+reads no stored key; otherwise it reads the partitions of its possible hits.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from tendermatch.operators.contracts import assert_pk
 from tendermatch.operators.text import TEXT_DEFAULTS, refresh_vectors, text_transform
 from tendermatch.sources import keyed
+from tendermatch.sources.keyfilter import KeyLog
 from tendermatch.sources.readers import _exists, _path
 
 KEY_PARTITIONS = 64
@@ -32,14 +34,11 @@ KEY_PARTITIONS = 64
 def _check_keys(spark: SparkSession, out: DataFrame, pk: Sequence[str], keys: str, epoch: int, partitions: int) -> None:
     """Fail on keys that repeat in the batch or that another batch wrote; else note them under the batch's name."""
     assert_pk(out, pk)
-    own = out.select(*pk, F.pmod(F.xxhash64(*pk), F.lit(partitions)).cast("int").alias("part"))
-    if _exists(spark, keys):
-        parts = [r["part"] for r in own.select("part").distinct().collect()]        # at most ``partitions`` numbers
-        others = spark.read.parquet(keys).where((F.col("batch") != epoch) & F.col("part").isin(parts))
-        if not own.join(others.select(*pk), list(pk), "left_semi").isEmpty():
-            raise ValueError(f"batch {epoch} repeats keys already written")
-    own.withColumn("batch", F.lit(epoch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("batch", "part").parquet(keys)
+    log = KeyLog(spark, keys, pk, partitions)
+    clash = log.clashes(out, epoch)
+    if clash is not None and not clash.isEmpty():
+        raise ValueError(f"batch {epoch} repeats keys already written")
+    log.add(out, epoch)
 
 
 def transform_stream(spark: SparkSession, source: str, schema, prepare: Callable[[DataFrame], DataFrame],
