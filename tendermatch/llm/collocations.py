@@ -1,19 +1,20 @@
 """Operator 11: phrase collocations by direct-address tiling.
 
-The items of a language (words first) are numbered by falling frequency, so
-that adjacent pairs of them crowd in one corner of the square of all pairs.
-The square is cut into tiles. A tile with many occurrences is a dense array of
+The items of a language (words first) are ranked by falling frequency, so that
+adjacent pairs of them crowd in one corner of the square of all pairs. The
+square is cut into tiles. A tile with many occurrences is a dense array of
 counters addressed by the pair itself (numpy ``bincount``); the occurrences of
 the others are sorted once and counted as coordinates. Pairs that occur often
-enough are numbered by frequency in their turn and become the items of the
-next round: two neighbouring phrases of m words that overlap in m - 1 of them
-are a phrase of m + 1 words.
+enough in all texts are ranked by frequency in their turn and become the items
+of the next round: two neighbouring phrases of m words that overlap in m - 1
+of them are a phrase of m + 1 words.
 
 Texts are tokenised once, into chunks of one language of a bounded number of
-tokens; a chunk carries the code of each token in its own list of words.
-Numbers of items come to a chunk through a join with that list, so a frequent
-word is one row for each chunk and no vocabulary is broadcast. The tiles of a
-chunk are counted in its task, their cells are added up by Spark.
+tokens; a chunk carries the code of each token in its own list of words. The
+counts of all texts come back to a chunk as rows for its list, so a frequent
+word is one row for each chunk. The tiles of a chunk are counted in its task,
+with the chunk's items ranked by their counts in all texts; the cells are added
+up by Spark under the numbers of their words.
 """
 
 from __future__ import annotations
@@ -23,27 +24,59 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendermatch.llm.common import pin
 from tendermatch.operators.ranking import with_row_index
 
-TOKENS = 1 << 18         # tokens of a chunk
-WORD_BYTES = 1 << 23     # bytes of the words of a chunk
+TOKENS = 1 << 20         # tokens of a chunk
+WORD_BYTES = 1 << 25     # bytes of the words of a chunk
 SLICE = 1 << 19          # bytes of a text that are tokenised at a time
+BROADCAST_BYTES = 1 << 25        # words with their numbers are broadcast up to this many bytes, joined by a shuffle beyond
 ROWS = 1 << 16           # rows that a task hands on at a time
 TILE = 512               # items along a side of a tile
 DENSE = 16               # a tile is dense if it has an occurrence for so many cells
 LANG_UNKNOWN = "und"
 CHUNKS = "chunk bigint, lang string, lead int, codes binary, words array<string>, counts binary"
-PAIR_CHUNKS = "chunk bigint, lead int, codes binary, xs binary, ys binary, counts binary"
+PAIR_CHUNKS = "chunk bigint, lead int, codes binary, words binary, counts binary"
 
 #: A-Z to a-z, the ends of pieces to line feeds, tabs to blanks. Fixed values.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 BREAK, NOTHING = -1, -2
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """An array's bytes, the first bytes of all values before the second ones, compressed, behind their number."""
+    raw = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(data: bytes, kind: str) -> np.ndarray:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def key_names(length: int) -> list[str]:
+    """Columns for the numbers of a phrase's words, two of them in each bigint."""
+    return [f"k{j}" for j in range((length + 1) // 2)]
+
+
+def pack_words(words: np.ndarray) -> list[np.ndarray]:
+    """Word numbers (a row for each word of the phrase) in pairs, the first of a pair in the upper 32 bits. Rows that are
+    shuffled stay short so."""
+    if words.size and int(words.max()) >= 1 << 31:
+        raise ValueError("more than 2**31 words occur often enough; raise min_count")
+    return [words[j] << 32 | words[j + 1] if j + 1 < len(words) else words[j] for j in range(0, len(words), 2)]
+
+
+def unpack_words(keys: list[np.ndarray], length: int) -> np.ndarray:
+    out = []
+    for k, key in enumerate(keys):
+        out += [key >> 32, key & 0xFFFFFFFF] if 2 * k + 1 < length else [key]
+    return np.stack(out)
+
+
 class _Codes(dict):
     """Codes of words in the order in which they come."""
 
@@ -77,7 +110,7 @@ class _Chunk:
         codes = np.concatenate(self.parts)
         words = [w for w, c in self.codes.items() if c >= 0]
         own = codes[self.lead:]
-        return codes.astype("<i4").tobytes(), words, np.bincount(own[own >= 0], minlength=len(words))
+        return squeeze(codes.astype("<i4")), words, np.bincount(own[own >= 0], minlength=len(words))
 
     def tail(self, length: int) -> list[bytes]:
         """The last words, back to a break."""
@@ -103,7 +136,7 @@ def slices(data: bytes) -> Iterator[list[bytes]]:
 def _tokenise(overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, open_chunks = 0, {}
-        base = TaskContext.get().partitionId() << 32
+        base = TaskContext.get().partitionId() << 20       # a task makes fewer chunks than that
 
         def row(lang: str, chunk: _Chunk) -> pa.RecordBatch:
             nonlocal made
@@ -113,7 +146,7 @@ def _tokenise(overlap: int):
                 [pa.array([base + made], pa.int64()), pa.array([lang], pa.string()), pa.array([chunk.lead], pa.int32()),
                  pa.array([codes], pa.binary()),
                  pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.binary()).cast(pa.string())),
-                 pa.array([counts.astype("<i8").tobytes()], pa.binary())],
+                 pa.array([squeeze(counts.astype("<i8"))], pa.binary())],
                 names=["chunk", "lang", "lead", "codes", "words", "counts"])
 
         for batch in batches:
@@ -179,23 +212,27 @@ def tile_counts(x: np.ndarray, y: np.ndarray, counted: np.ndarray, tile: int = T
 
 
 def _count_pairs(length: int, last: bool, tile: int, dense: int):
-    """Pairs of neighbouring items of a chunk: phrases of ``length`` words."""
+    """Pairs of neighbouring items of a chunk: phrases of ``length`` words. ``known`` has the items that occur often
+    enough: their codes, their counts in all texts (for words their numbers tell the rank) and the numbers of their
+    words."""
     def run(chunks: pa.Table, known: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("chunk", "lead", "codes", "xs", "ys", "counts")}
-        known_chunk, known_code, known_id = (known.column(c).to_numpy() for c in ("owner", "code", "id"))
+        out = {k: [] for k in ("chunk", "lead", "codes", "words", "counts")}
+        own_code, f = known.column("code").to_numpy(), known.column("f").to_numpy()
+        words = unpack_words([known.column(k).to_numpy() for k in key_names(length - 1)], length - 1)
+        ranked = np.lexsort((words[0], -f))
+        words = words[:, ranked]
         for chunk, lead, packed in zip(*(chunks.column(c).to_pylist() for c in ("chunk", "lead", "codes"))):
-            codes = np.frombuffer(packed, dtype="<i4")
-            ids = np.full(int(codes.max(initial=-1)) + 2, -1, dtype=np.int64)       # the last place is for breaks
-            own = known_chunk == chunk
-            ids[known_code[own]] = known_id[own]
-            items = ids[codes]
+            codes = expand(packed, "<i4")
+            rank = np.full(int(codes.max(initial=-1)) + 2, -1, dtype=np.int64)      # the last place is for breaks
+            rank[own_code[ranked]] = np.arange(len(ranked))
+            items = rank[codes]
             first, second = items[:-1], items[1:]
             pairs = np.flatnonzero((first >= 0) & (second >= 0))
             xs, ys, counts, code = tile_counts(first[pairs], second[pairs], pairs + length - 1 >= lead, tile, dense)
             stream = np.full(len(first), BREAK, dtype="<i4")
             stream[pairs] = code
-            packed = [x.astype("<i8").tobytes() for x in (xs, ys, counts)]
-            for name, value in zip(out, (chunk, lead, b"" if last else stream.tobytes(), *packed)):
+            numbers = np.concatenate([*words[:, xs], words[-1, ys]]).astype("<i8")
+            for name, value in zip(out, (chunk, lead, b"" if last else squeeze(stream), squeeze(numbers), squeeze(counts.astype("<i8")))):
                 out[name].append(value)
         return pa.table({k: pa.array(v, {"chunk": pa.int64(), "lead": pa.int32()}.get(k, pa.binary())) for k, v in out.items()})
     return run
@@ -206,7 +243,7 @@ def _listed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for row in range(batch.num_rows):
             chunk, lang, words, counts = (batch.column(k)[row] for k in range(4))
-            words, counts = words.values, np.frombuffer(counts.as_py(), dtype="<i8")
+            words, counts = words.values, expand(counts.as_py(), "<i8")
             for at in range(0, len(words), ROWS):
                 part = words.slice(at, ROWS)
                 yield pa.RecordBatch.from_arrays(
@@ -214,26 +251,28 @@ def _listed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                      part, pa.array(counts[at:at + ROWS])], names=["owner", "code", "lang", "word", "c"])
 
 
-def _listed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct pair of a chunk."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            chunk = batch.column(0)[row]
-            xs, ys, counts = (np.frombuffer(batch.column(k)[row].as_py(), dtype="<i8") for k in (1, 2, 3))
-            for at in range(0, len(xs), ROWS):
-                part = [pa.array(x[at:at + ROWS]) for x in (xs, ys, counts)]
-                yield pa.RecordBatch.from_arrays([pa.repeat(chunk, len(part[0])), pa.array(np.arange(at, at + len(part[0]), dtype=np.int32)),
-                                                  *part], names=["owner", "code", "x", "y", "c"])
+def _listed_phrases(length: int):
+    """A row for each distinct phrase of a chunk; ``place`` is its code and its count there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                chunk = batch.column(0)[row]
+                words, counts = (expand(batch.column(k)[row].as_py(), "<i8") for k in (1, 2))
+                keys = pack_words(words.reshape(length, -1))
+                place = np.arange(len(counts)) << 32 | counts
+                for at in range(0, len(counts), ROWS):
+                    part = [pa.array(x[at:at + ROWS]) for x in (place, *keys)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(chunk, len(part[0])), *part], names=["owner", "place", *key_names(length)])
+    return run
 
 
 def phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, lang_col: str = "lang", text_col: str = "text",
             tile: int = TILE, dense: int = DENSE) -> list[DataFrame]:
     """For each length up to ``max_words`` the phrases that occur at least ``min_count`` times.
 
-    Columns: ``id`` (dense number by language and falling frequency), ``lang, phrase, last`` (its last word), ``f``
-    (occurrences), ``n`` (words of the language, with repeats), ``pre`` and ``suf`` (occurrences of the first 1, 2, ...
-    and of all but the first 1, 2, ... words) and, beyond words, ``x, y`` (the numbers of the phrase without its last and
-    without its first word).
+    Columns: ``k0, k1, ...`` (numbers of the words, dense by language and falling frequency, two in a column), ``lang, phrase, last`` (its
+    last word), ``f`` (occurrences), ``n`` (words of the language, with repeats), ``pre`` and ``suf`` (occurrences of the
+    first 1, 2, ... and of all but the first 1, 2, ... words).
     """
     if max_words < 1 or min_count < 1:
         raise ValueError("max_words and min_count must be at least 1")
@@ -243,33 +282,60 @@ def phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, lang_col:
               .mapInArrow(_listed_words, "owner bigint, code int, lang string, word string, c bigint"))
     words = pin(listed.groupBy("lang", "word").agg(F.sum("c").alias("f")).where("f > 0"), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    items = with_row_index(words.where(F.col("f") >= min_count), ["lang", F.desc("f"), "word"], name="id")
+    items = with_row_index(words.where(F.col("f") >= min_count), ["lang", F.desc("f"), "word"], name="k0")
     empty = F.array().cast("array<bigint>")
     items = pin(items.join(totals, "lang")
-                .select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", "n",
+                .select("k0", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", "n",
                         empty.alias("pre"), empty.alias("suf")), "phrase-items")
     found = [items]
-    known = listed.join(items.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("owner", "code", "id")
+    numbers = pin(items.select("lang", F.col("phrase").alias("word"), "k0"), "phrase-numbers")
+    size = numbers.agg(F.sum(F.octet_length("lang") + F.octet_length("word") + 64)).first()[0] or 0
+    known = (listed.drop("c").join(F.broadcast(numbers) if size <= BROADCAST_BYTES else numbers, ["lang", "word"])
+             .select("owner", "code", F.lit(0).cast("bigint").alias("f"), "k0"))
     for length in range(2, max_words + 1):
-        last = length == max_words
-        chunks = pin(chunks.select("chunk", "lead", "codes").groupBy("chunk").cogroup(known.groupBy("owner"))
-                     .applyInArrow(_count_pairs(length, last, tile, dense), PAIR_CHUNKS), f"phrase-chunks-{length}")
-        listed = (chunks.select("chunk", "xs", "ys", "counts")
-                  .mapInArrow(_listed_pairs, "owner bigint, code int, x bigint, y bigint, c bigint"))
-        # the numbers of the first part tell the language
-        pairs = listed.groupBy("x", "y").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
-        head = items.select(F.col("id").alias("x"), "lang", F.col("phrase").alias("head"), F.col("pre").alias("head_pre"), F.col("f").alias("head_f"), "n")
-        tail = items.select(F.col("id").alias("y"), "last", F.col("suf").alias("tail_suf"), F.col("f").alias("tail_f"))
-        joined = (pairs.join(head, "x").join(tail, "y")
-                  .select("lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f", "n",
-                          F.concat("head_pre", F.array("head_f")).alias("pre"), F.concat(F.array("tail_f"), "tail_suf").alias("suf"),
-                          "x", "y"))
-        items = pin(with_row_index(joined, ["lang", F.desc("f"), "x", "y"], name="id"), f"phrase-items-{length}")
+        last, keys = length == max_words, key_names(length)
+        chunks = (chunks.select("chunk", "lead", "codes").groupBy("chunk").cogroup(known.groupBy("owner"))
+                  .applyInArrow(_count_pairs(length, last, tile, dense), PAIR_CHUNKS))
+        chunks = chunks if last else pin(chunks, f"phrase-chunks-{length}")
+        listed = chunks.select("chunk", "words", "counts").mapInArrow(
+            _listed_phrases(length), f"owner bigint, place bigint, {', '.join(f'{k} bigint' for k in keys)}")
+        count = F.col("place").bitwiseAND(0xFFFFFFFF)
+        if last:
+            often = listed.groupBy(*keys).agg(F.sum(count).alias("f")).where(F.col("f") >= min_count)
+        else:
+            # one shuffle counts the phrases and keeps the chunks that hold them, of which each has a phrase once
+            known = pin(listed.withColumn("f", F.sum(count).over(Window.partitionBy(*keys))).where(F.col("f") >= min_count)
+                        .select("owner", F.shiftright("place", 32).cast("int").alias("code"), "f", *keys), f"phrase-known-{length}")
+            often = known.groupBy(*keys).agg(F.max("f").alias("f"))
+        words = _words(length)
+        first, second = _keys(words[:-1]), _keys(words[1:])
+        head = items.select(*[F.col(k).alias(f"h{j}") for j, k in enumerate(key_names(length - 1))], "lang", F.col("phrase").alias("head"),
+                            F.col("pre").alias("head_pre"), F.col("f").alias("head_f"), "n")
+        tail = items.select(*[F.col(k).alias(f"t{j}") for j, k in enumerate(key_names(length - 1))], "last", F.col("suf").alias("tail_suf"),
+                            F.col("f").alias("tail_f"))
+        often = often.select("*", *[c.alias(f"h{j}") for j, c in enumerate(first)], *[c.alias(f"t{j}") for j, c in enumerate(second)])
+        items = pin(often.join(head, [f"h{j}" for j in range(len(first))]).join(tail, [f"t{j}" for j in range(len(second))])
+                    .select(*keys, "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f", "n",
+                            F.concat("head_pre", F.array("head_f")).alias("pre"), F.concat(F.array("tail_f"), "tail_suf").alias("suf")),
+                    f"phrase-items-{length}")
         found.append(items)
-        known = listed.join(items.select("x", "y", "id"), ["x", "y"]).select("owner", "code", "id")
     return found
 
 
+def _words(length: int) -> list[Column]:
+    """The word numbers of a phrase from its key columns."""
+    out = []
+    for j in range(length):
+        key = F.col(f"k{j // 2}")
+        out.append(key if j % 2 == 0 and j + 1 == length else F.shiftright(key, 32) if j % 2 == 0 else key.bitwiseAND(0xFFFFFFFF))
+    return out
+
+
+def _keys(words: list[Column]) -> list[Column]:
+    """Key columns of word numbers."""
+    return [F.shiftleft(words[j], 32).bitwiseOR(words[j + 1]) if j + 1 < len(words) else words[j] for j in range(0, len(words), 2)]
+
+
 def best_cut(items: DataFrame) -> DataFrame:
     """``items`` with ``cut``, the lowest (score, place, l, r) of a phrase's cuts, in decimals of 38 digits."""
     score = ("cast(1000000 as decimal(7, 0)) * cast(f as decimal(15, 0)) * cast(f as decimal(15, 0)) "
@@ -302,10 +368,10 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, share
     for k, items in enumerate(by_length[1:], 1):
         if k + 1 < len(by_length):
             # every longer phrase around this one has a phrase of one word more in between that occurs as often
-            longer = by_length[k + 1]
-            most = (longer.select(F.col("x").alias("id"), "f").unionByName(longer.select(F.col("y").alias("id"), "f"))
-                    .groupBy("id").agg(F.max("f").alias("longest")))
-            items = (items.join(most, "id", "left")
+            longer, keys, words = by_length[k + 1], key_names(k + 1), _words(k + 2)
+            parts = [longer.select(*[c.alias(n) for n, c in zip(keys, _keys(own))], "f") for own in (words[:-1], words[1:])]
+            most = parts[0].unionByName(parts[1]).groupBy(*keys).agg(F.max("f").alias("longest"))
+            items = (items.join(most, keys, "left")
                      .where(F.expr(f"longest is null or longest * 100 < f * {int(share)}")))
         kept.append(items.select("lang", "phrase", "f", "n", "pre", "suf"))
     all_kept = kept[0]
