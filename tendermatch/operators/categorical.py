@@ -10,7 +10,9 @@ rows) is numbered in code point order by the distributed running index, and
 
 Transform: one left join per column against that column's lookup table.
 The bytes of the lookups are known from the fit, so the broadcast decision needs
-no extra job; what exceeds the bound is a shuffle join (AQE splits hot labels).
+no extra job. What exceeds the bound is a shuffle join of the cold labels: the
+hot ones (at least ``HOT_SHARE`` of the rows, so a bounded number) are known from
+the fit and broadcast, and their rows are dealt evenly instead of by label.
 Unknown labels take the ``[UNKNOWN]`` index.
 """
 
@@ -75,6 +77,7 @@ def label_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 # (known from the fit: labels and a row's overhead); the others are shuffle joins.
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 ROW_BYTES = 96
+HOT_SHARE = 1e-3         # of a column's rows; 1,000 labels at most have as many
 
 
 def categorical_fit(df: DataFrame, config: dict, pk: list | None = None, rare_as_unknown: bool = False
@@ -133,6 +136,10 @@ def categorical_fit(df: DataFrame, config: dict, pk: list | None = None, rare_as
                    "lookup_bytes": int(stats[c]["bytes"]) + 2 * ROW_BYTES if c in stats else 0,
                    "has_rare": bool(c in stats and int(stats[c]["n_rare"]) > 0),
                    "has_null": bool(c in stats and stats[c]["has_null"])}
+    large = [c for c in cols if sum(v["lookup_bytes"] for v in info.values()) > MAX_BROADCAST_BYTES and info[c]["lookup_bytes"]]
+    if large:
+        for r in raw.where(F.col("column").isin(large) & (F.col("freq") >= HOT_SHARE)).select("column", "label", "idx").collect():
+            info[r["column"]].setdefault("hot", []).append([r["label"], int(r["idx"])])
     if any(v["unknown_idx"] is None for v in info.values()):
         # a literal "[UNKNOWN]" label was seen: its sorted position is the unknown index
         for r in lookup.where(F.col("label") == UNKNOWN_TOKEN).collect():
@@ -147,12 +154,21 @@ def encode_column(df: DataFrame, c: str, model: CategoricalModel, out: str | Non
     info = model.info[c]
     lk = model.lookup.where(F.col("column") == c).select(F.col("label").alias(f"_lab_{c}"),
                                                          F.col("idx").alias(f"_idx_{c}"))
+    key, unknown = f"_key_{c}", F.lit(info["unknown_idx"]).cast("long")
+    keyed = df.withColumn(key, label_expr(c))
     if info["lookup_bytes"] <= MAX_BROADCAST_BYTES if broadcast is None else broadcast:
-        lk = F.broadcast(lk)
-    key = f"_key_{c}"
-    joined = df.withColumn(key, label_expr(c)).join(lk, F.col(key) == F.col(f"_lab_{c}"), "left")
-    return (joined.withColumn(out, F.coalesce(F.col(f"_idx_{c}"), F.lit(info["unknown_idx"]).cast("long")))
-            .drop(key, f"_lab_{c}", f"_idx_{c}"))
+        joined = keyed.join(F.broadcast(lk), F.col(key) == F.col(f"_lab_{c}"), "left")
+        return joined.withColumn(out, F.coalesce(F.col(f"_idx_{c}"), unknown)).drop(key, f"_lab_{c}", f"_idx_{c}")
+    # rows of hot labels have their index before the shuffle; a running number spreads them over the join's tasks, where
+    # they match nothing
+    hot = df.sparkSession.createDataFrame(info.get("hot", []), f"`_hot_{c}` string, `_hidx_{c}` long")
+    keyed = keyed.join(F.broadcast(hot), F.col(key) == F.col(f"_hot_{c}"), "left")
+    keyed = keyed.withColumn(f"_deal_{c}", F.when(F.col(f"_hidx_{c}").isNotNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    # -1 in every row, but no constant: a constant would leave the join's keys
+    cold = lk.withColumn(f"_at_{c}", F.least(F.col(f"_idx_{c}"), F.lit(-1).cast("long")))
+    joined = keyed.join(cold, (F.col(key) == F.col(f"_lab_{c}")) & (F.col(f"_deal_{c}") == F.col(f"_at_{c}")), "left")
+    return (joined.withColumn(out, F.coalesce(F.col(f"_hidx_{c}"), F.col(f"_idx_{c}"), unknown))
+            .drop(key, f"_lab_{c}", f"_idx_{c}", f"_hot_{c}", f"_hidx_{c}", f"_deal_{c}", f"_at_{c}"))
 
 
 def categorical_transform(df: DataFrame, model: CategoricalModel, pk: list | None = None) -> DataFrame:

@@ -179,3 +179,29 @@ def test_encoding_does_not_depend_on_the_join(spark, monkeypatch, limit):
     code = lambda c, v: index[c].get("[NULL]" if v is None else v, index[c][UNKNOWN_TOKEN])
     got = sorted(((r.id, r.x, r.y, r.z) for r in out.collect()), key=repr)
     assert got == sorted(((k, code("x", x), code("y", y), code("z", z)) for k, x, y, z in new), key=repr)
+
+
+def test_a_hot_label_does_not_set_the_longest_task(spark, monkeypatch):
+    """Lookups too large to broadcast: a third of the rows has one label, and the join's partitions stay even."""
+    import tendermatch.operators.categorical as C
+    monkeypatch.setattr(C, "MAX_BROADCAST_BYTES", 0)
+    n = 30_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3001 == 1, F.lit(None).cast("string"))
+                               .otherwise(F.concat(F.lit("l"), (F.col("id") % 9973).cast("string"))).alias("c")).repartition(4)
+    model = C.categorical_fit(df, {"c": {}}, ["id"])
+    assert [x[0] for x in model.info["c"]["hot"]] == ["hot"]
+    idx = {r.label: r.idx for r in model.lookup.collect()}
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = C.categorical_transform(df.union(spark.createDataFrame([(n, "never seen")], "id long, c string")), model)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 1.4 * n / 8
+        got = {r.id: r.c for r in out.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    raw = {r.id: r.c for r in df.collect()}
+    assert got == {k: idx["[NULL]" if v is None else v] for k, v in raw.items()} | {n: model.info["c"]["unknown_idx"]}
