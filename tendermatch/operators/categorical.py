@@ -83,8 +83,15 @@ HOT_SHARE = 1e-3         # of a column's rows; 1,000 labels at most have as many
 def categorical_fit(df: DataFrame, config: dict, pk: list | None = None, rare_as_unknown: bool = False
                     ) -> CategoricalModel:
     cols = [c for c in df.columns if c in config and c not in (pk or [])]
-    spark = df.sparkSession
-    counts = materialize(label_counts(df, cols))
+    return categorical_fit_state(label_counts(df, cols), {c: config[c] for c in cols}, pk, rare_as_unknown)
+
+
+def categorical_fit_state(counts: DataFrame, config: dict, pk: list | None = None, rare_as_unknown: bool = False) -> CategoricalModel:
+    """P3 from label counts (``column, label, cnt``, see :func:`label_counts`): counts of chunks add up
+    (``numeric.merge_counts``), so that a new chunk joins a fit without a look at the old rows. Every column of
+    ``config`` is fitted; one without counts has the unknown label alone."""
+    cols, spark = list(config), counts.sparkSession
+    counts = materialize(counts.where(F.col("column").isin(cols)))
     thr = {c: float(config[c].get("rare_threshold", 0.0) or 0.0) for c in cols}
     thr_map = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(thr[c]))])
 

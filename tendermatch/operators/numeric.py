@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tendermatch.functions.numeric import (clip, clip_or_fill, log1p_offset, minmax, null_flag, out_of_range_to_null,
                                            to_double, zscore)
-from tendermatch.operators.selection import rank_pair, select_ranks
+from tendermatch.operators.selection import rank_pair, select_ranks, select_weighted_ranks
 from tendermatch.session import materialize
 
 STAT_KEYS = ("fill_value", "clip_low", "clip_high", "log1p_offset", "mean", "std", "min", "max")
@@ -85,11 +86,98 @@ def _approximate(typed: DataFrame, wanted: list[tuple[str, float]], fills: dict[
     return {w: row[f"q{k}"] for k, w in enumerate(wanted)}
 
 
+class _Rows:
+    """What the fit asks of its columns, from rows of doubles: one aggregate over all columns for each question."""
+
+    def __init__(self, typed: DataFrame):
+        self.typed = typed
+
+    def counts(self, names: list[str]) -> dict[str, tuple[int, int]]:
+        """Values and nulls of each column."""
+        row = self.typed.agg(F.count(F.lit(1)).alias("_tm_n"), *[F.count(F.col(c)).alias(c) for c in names]).first()
+        return {c: (row[c], row["_tm_n"] - row[c]) for c in names}
+
+    def modes(self, names: list[str]) -> dict[str, float]:
+        return _Counted(value_histogram(self.typed, names)).modes(names)
+
+    def ranks(self, wanted: dict[str, set[int]]) -> dict[tuple[str, int], float]:
+        return select_ranks(self.typed, wanted)
+
+    def place(self, fills: dict[str, float]) -> dict[str, tuple[int, int]]:
+        """Values below and up to a number, of each column."""
+        own = [F.struct(F.count(F.when(F.col(c) < f, 1)).alias("below"), F.count(F.when(F.col(c) <= f, 1)).alias("upto")).alias(c)
+               for c, f in fills.items()]
+        row = self.typed.agg(*own).first()
+        return {c: (row[c].below, row[c].upto) for c in fills}
+
+    def least(self, values: dict[str, Callable[[Column], Column]]) -> dict[str, float | None]:
+        row = self.typed.agg(*[F.min(f(F.col(c))).alias(c) for c, f in values.items()]).first()
+        return {c: row[c] for c in values}
+
+    def moments(self, values: dict[str, Callable[[Column], Column]], shifts: dict[str, float]) -> dict[str, dict]:
+        """Number, sums of the values and their squares around a shift, least and largest value."""
+        shown = self.typed.select(*[f(F.col(c)).alias(c) for c, f in values.items()])
+        row = shown.agg(*[_moments(F.col(c), F.lit(1), shifts[c]).alias(c) for c in values]).first()
+        return {c: row[c].asDict() for c in values if row[c].n}
+
+
+def _moments(x: Column, weight: Column, shift: float) -> Column:
+    d, w = x - F.lit(shift), weight.cast("double")
+    return F.struct(F.coalesce(F.sum(F.when(x.isNotNull(), weight)), F.lit(0)).alias("n"), F.sum(w * d).alias("s1"), F.sum(w * d * d).alias("s2"),
+                    F.min(x).alias("min"), F.max(x).alias("max"))
+
+
+class _Counted:
+    """The same from counts ``column, value, cnt``; the null value holds the null count."""
+
+    def __init__(self, counts: DataFrame):
+        self.table = counts
+
+    def _of(self, names) -> DataFrame:
+        return self.table.where(F.col("column").isin(list(names)))
+
+    def counts(self, names: list[str]) -> dict[str, tuple[int, int]]:
+        null = F.col("value").isNull()
+        got = {r["column"]: (r.n, r.z) for r in self._of(names).groupBy("column").agg(
+            F.sum(F.when(null, 0).otherwise(F.col("cnt"))).alias("n"), F.sum(F.when(null, F.col("cnt")).otherwise(0)).alias("z")).collect()}
+        return {c: got.get(c, (0, 0)) for c in names}
+
+    def modes(self, names: list[str]) -> dict[str, float]:
+        """Lowest value on ties."""
+        return {r["column"]: r["mode"] for r in self._of(names).where("value is not null").groupBy("column")
+                .agg(F.max_by("value", F.struct(F.col("cnt"), -F.col("value"))).alias("mode")).collect()}
+
+    def ranks(self, wanted: dict[str, set[int]]) -> dict[tuple[str, int], float]:
+        return select_weighted_ranks(self.table, wanted)
+
+    def place(self, fills: dict[str, float]) -> dict[str, tuple[int, int]]:
+        fill = F.coalesce(*[F.when(F.col("column") == c, F.lit(float(f))) for c, f in fills.items()])
+        value, count = F.col("value"), F.col("cnt")
+        got = {r["column"]: (r.below or 0, r.upto or 0) for r in self._of(fills).groupBy("column").agg(
+            F.sum(F.when(value < fill, count)).alias("below"), F.sum(F.when(value <= fill, count)).alias("upto")).collect()}
+        return {c: got.get(c, (0, 0)) for c in fills}
+
+    def least(self, values: dict[str, Callable[[Column], Column]]) -> dict[str, float | None]:
+        x = F.coalesce(*[F.when(F.col("column") == c, f(F.col("value"))) for c, f in values.items()])
+        got = {r["column"]: r.least for r in self._of(values).select("column", x.alias("x")).groupBy("column").agg(F.min("x").alias("least")).collect()}
+        return {c: got.get(c) for c in values}
+
+    def moments(self, values: dict[str, Callable[[Column], Column]], shifts: dict[str, float]) -> dict[str, dict]:
+        shift = F.coalesce(*[F.when(F.col("column") == c, F.lit(float(s))) for c, s in shifts.items()])
+        x = F.coalesce(*[F.when(F.col("column") == c, f(F.col("value"))) for c, f in values.items()])
+        rows = self._of(values).select("column", "cnt", x.alias("x"), shift.alias("shift"))
+        d, w = F.col("x") - F.col("shift"), F.col("cnt").cast("double")
+        got = rows.groupBy("column").agg(
+            F.sum(F.when(F.col("x").isNotNull(), F.col("cnt"))).alias("n"), F.sum(w * d).alias("s1"), F.sum(w * d * d).alias("s2"),
+            F.min("x").alias("min"), F.max("x").alias("max")).collect()
+        return {r["column"]: {k: r[k] for k in ("n", "s1", "s2", "min", "max")} for r in got if r.n}
+
+
 def _between(values: dict, low: int, high: int, part: float) -> float:
     return values[low] + (values[high] - values[low]) * part
 
 
-def _exact_fills_and_bounds(typed: DataFrame, config: dict, fills: dict[str, float | None], medians: list[str], by_rank: list[str]
+def _exact_fills_and_bounds(source: _Rows | _Counted, config: dict, fills: dict[str, float | None], medians: list[str], by_rank: list[str]
                             ) -> dict[tuple[str, float], float | None]:
     """Adds the medians to ``fills`` and returns the percentile bounds of the filled columns.
 
@@ -100,9 +188,9 @@ def _exact_fills_and_bounds(typed: DataFrame, config: dict, fills: dict[str, flo
     names = sorted({*medians, *by_rank})
     if not names:
         return {}
-    row = typed.agg(F.count(F.lit(1)).alias("_tm_n"), *[F.count(F.col(c)).alias(c) for c in names]).first()
-    n = {c: row[c] for c in names}
-    nulls = {c: row["_tm_n"] - n[c] if c in medians and n[c] or fills.get(c) is not None else 0 for c in by_rank}
+    counts = source.counts(names)
+    n = {c: counts[c][0] for c in names}
+    nulls = {c: counts[c][1] if c in medians and n[c] or fills.get(c) is not None else 0 for c in by_rank}
     wanted: dict[str, set[int]] = {c: set() for c in names}
     for c in medians:
         if n[c]:
@@ -110,22 +198,21 @@ def _exact_fills_and_bounds(typed: DataFrame, config: dict, fills: dict[str, flo
     asked = {(c, q / 100.0): rank_pair(n[c] + nulls[c], q / 100.0) for c in by_rank for q in config[c]["clip"] if n[c] + nulls[c]}
     for (c, _), (low, high, _) in asked.items():
         wanted[c].update(r for x in (low, high) for r in (x, x - nulls[c]) if 0 <= r < n[c])
-    found = select_ranks(typed, wanted)
+    found = source.ranks(wanted)
     of = {c: {r: found[c, r] for r in wanted[c]} for c in names}
     for c in medians:
         fills[c] = _between(of[c], *rank_pair(n[c], 0.5)) if n[c] else None
     shifted = [c for c in by_rank if nulls[c]]
-    place = typed.agg(*[F.count(F.when(F.col(c) < fills[c], 1)).alias(f"below_{k}") for k, c in enumerate(shifted)],
-                      *[F.count(F.when(F.col(c) <= fills[c], 1)).alias(f"upto_{k}") for k, c in enumerate(shifted)]).first() if shifted else {}
+    place = source.place({c: fills[c] for c in shifted}) if shifted else {}
     out: dict[tuple[str, float], float | None] = {(c, q / 100.0): None for c in by_rank for q in config[c]["clip"]}
     for (c, p), (low, high, part) in asked.items():
         def value(r: int, c: str = c) -> float:
             if not nulls[c]:
                 return of[c][r]
-            k = shifted.index(c)
-            if r < place[f"below_{k}"]:
+            below, upto = place[c]
+            if r < below:
                 return of[c][r]
-            return fills[c] if r < place[f"upto_{k}"] + nulls[c] else of[c][r - nulls[c]]
+            return fills[c] if r < upto + nulls[c] else of[c][r - nulls[c]]
         out[c, p] = _between({low: value(low), high: value(high)}, low, high, part)
     return out
 
@@ -141,6 +228,39 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None,
     if not cols:
         return model
     typed = materialize(df.select(*[to_double(c).alias(c) for c in cols]))
+    _fit(model, cols, _Rows(typed), typed if approx_accuracy else None, approx_accuracy)
+    typed.unpersist()
+    return model
+
+
+def numeric_state(df: DataFrame, config: dict) -> DataFrame:
+    """``column, value, cnt`` of the configured columns: a fit's whole state. States of chunks add up
+    (:func:`merge_counts`), so that a new chunk joins a fit without a look at the old rows."""
+    return value_histogram(df, [c for c in df.columns if c in config])
+
+
+def merge_counts(*states: DataFrame) -> DataFrame:
+    """The counts of several states (numeric or categorical) added up."""
+    merged = states[0]
+    for more in states[1:]:
+        merged = merged.unionByName(more)
+    return merged.groupBy(*[c for c in merged.columns if c != "cnt"]).agg(F.sum("cnt").alias("cnt"))
+
+
+def numeric_fit_state(state: DataFrame, config: dict, pk: list | None = None) -> NumericModel:
+    """P1 from counts: the model that :func:`numeric_fit` gives for the rows behind them. Columns of ``config`` that the
+    state lacks are left out."""
+    known = {r[0] for r in state.select("column").distinct().collect()}
+    cols = [c for c in config if c in known]
+    model = NumericModel(config={c: config[c] for c in cols}, pk=list(pk or []))
+    if cols:
+        _fit(model, cols, _Counted(state))
+    return model
+
+
+def _fit(model: NumericModel, cols: list[str], source: _Rows | _Counted, typed: DataFrame | None = None,
+         approx_accuracy: int | None = None) -> None:
+    config = model.config
 
     # (1) fill values: constants as they are, mode by count (lowest value on ties), median by rank
     kinds = {c: _fill_kind(config[c]) for c in cols}
@@ -148,9 +268,7 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None,
     medians = [c for c, k in kinds.items() if k == "median"]
     modes = [c for c, k in kinds.items() if k == "mode"]
     if modes:
-        hist = value_histogram(typed, modes).where("value is not null")
-        got = {r["column"]: r["mode"] for r in hist.groupBy("column")
-               .agg(F.max_by("value", F.struct(F.col("cnt"), -F.col("value"))).alias("mode")).collect()}
+        got = source.modes(modes)
         fills.update({c: got.get(c, 0.0) for c in modes})
 
     # (2) bounds: given ones, and percentiles of the filled distribution (the null count moves onto the fill value)
@@ -160,22 +278,24 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None,
         fills.update({c: v for (c, _), v in _approximate(typed, [(c, 0.5) for c in medians], {}, approx_accuracy).items()})
         found = _approximate(typed, [(c, q / 100.0) for c in by_rank for q in config[c]["clip"]], fills, approx_accuracy)
     else:
-        found = _exact_fills_and_bounds(typed, config, fills, medians, by_rank)
+        found = _exact_fills_and_bounds(source, config, fills, medians, by_rank)
     bounds.update({c: tuple(found[(c, q / 100.0)] for q in config[c]["clip"]) for c in by_rank})
     known = {c: b for c, b in bounds.items() if None not in b}
 
-    def clipped(c: str) -> Column:
-        x = F.coalesce(F.col(c), F.lit(fills.get(c)).cast("double"))
-        if c not in known:
-            return x
-        low, high = map(F.lit, known[c])
-        return out_of_range_to_null(x, low, high) if config[c].get("clip_to_null", False) else clip(x, low, high)
+    def clipped(c: str) -> Callable[[Column], Column]:
+        def of(x: Column) -> Column:
+            x = F.coalesce(x, F.lit(fills.get(c)).cast("double"))
+            if c not in known:
+                return x
+            low, high = map(F.lit, known[c])
+            return out_of_range_to_null(x, low, high) if config[c].get("clip_to_null", False) else clip(x, low, high)
+        return of
 
     # (3) log offsets from the smallest clipped value
     logs = [c for c in cols if config[c].get("log1p", False)]
     offsets: dict[str, float] = {}
     if logs:
-        least = typed.agg(*[F.min(clipped(c)).alias(c) for c in logs]).first()
+        least = source.least({c: clipped(c) for c in logs})
         for c in logs:
             m = least[c]
             offsets[c] = abs(m) + 1.0 if m is not None and m <= 0 else 0.0
@@ -196,18 +316,11 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None,
 
     scaled = [c for c in cols if config[c].get("scale") in ("zscore", "minmax")]
     shifts = {c: before_scale(fills.get(c), c) for c in scaled}
-    moments = {}
-    if scaled:
-        values = typed.select(*[(F.log1p(clipped(c) + offsets[c]) if c in offsets else clipped(c)).alias(f"x{k}") for k, c in enumerate(scaled)])
-        aggs = []
-        for k, c in enumerate(scaled):
-            x = F.col(f"x{k}")
-            d = x - F.lit(shifts[c])
-            aggs += [F.count(x).alias(f"n{k}"), F.sum(d).alias(f"s{k}"), F.sum(d * d).alias(f"q{k}"), F.min(x).alias(f"min{k}"),
-                     F.max(x).alias(f"max{k}")]
-        row = values.agg(*aggs).first()
-        moments = {c: {"n": row[f"n{k}"], "s1": row[f"s{k}"], "s2": row[f"q{k}"], "min": row[f"min{k}"], "max": row[f"max{k}"]}
-                   for k, c in enumerate(scaled) if row[f"n{k}"]}
+
+    def unscaled(c: str) -> Callable[[Column], Column]:
+        return lambda x: F.log1p(clipped(c)(x) + offsets[c]) if c in offsets else clipped(c)(x)
+
+    moments = source.moments({c: unscaled(c) for c in scaled}, shifts) if scaled else {}
 
     for c in cols:
         s: dict = {"fill_value": fills.get(c)}
@@ -227,8 +340,6 @@ def numeric_fit(df: DataFrame, config: dict, pk: list | None = None,
             lo, hi = (m["min"], m["max"]) if m else (None, None)
             s["min"], s["max"] = lo, lo + 1.0 if lo is not None and lo == hi else hi
         model.stats[c] = s
-    typed.unpersist()
-    return model
 
 
 def numeric_columns(model: NumericModel, c: str) -> Column:

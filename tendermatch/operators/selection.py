@@ -48,12 +48,20 @@ def select_ranks(df: DataFrame, wanted: dict[str, Iterable[int]]) -> dict[tuple[
 
     ``df`` is scanned once for each pass, at most six times; ranks outside a column's values are left out.
     """
+    names = [c for c, ranks in wanted.items() if ranks]
+    if not names:
+        return {}
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "column", "value")
+    return select_weighted_ranks(values.withColumn("cnt", F.lit(1).cast("bigint")), wanted)
+
+
+def select_weighted_ranks(values: DataFrame, wanted: dict[str, Iterable[int]]) -> dict[tuple[str, int], float]:
+    """:func:`select_ranks` over rows ``column, value, cnt``, of which each stands for ``cnt`` equal values."""
     wanted = {c: sorted(set(ranks)) for c, ranks in wanted.items() if ranks}
     if not wanted:
         return {}
-    names = list(wanted)
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "column", "value")
-    keys = values.where(F.col("value").isNotNull()).select("column", order_key(F.col("value")).alias("key"))
+    keys = (values.where(F.col("value").isNotNull() & F.col("column").isin(list(wanted)))
+            .select("column", order_key(F.col("value")).alias("key"), "cnt"))
     # (column, rank): higher bits so far, rank among the values that have them
     at: dict[tuple[str, int], tuple[int, int]] = {(c, r): (0, r) for c, ranks in wanted.items() for r in ranks}
     shift, before = _FRACTION, None
@@ -65,9 +73,9 @@ def select_ranks(df: DataFrame, wanted: dict[str, Iterable[int]]) -> dict[tuple[
             level = keys.where(F.array_contains(known[F.col("column")], F.shiftright("key", before)))
         bits = F.shiftright("key", shift) if shift else F.col("key")
         counts: dict[tuple[str, int], list[tuple[int, int]]] = {}
-        for r in level.groupBy("column", bits.alias("bits")).count().collect():     # FEW for each wanted prefix at most
+        for r in level.groupBy("column", bits.alias("bits")).agg(F.sum("cnt").alias("n")).collect():     # FEW for each wanted prefix at most
             parent = r.bits >> (before - shift) if before is not None else 0
-            counts.setdefault((r["column"], parent), []).append((r.bits, r["count"]))
+            counts.setdefault((r["column"], parent), []).append((r.bits, r.n))
         for own in counts.values():
             own.sort()
         most, moved = 0, {}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tendermatch.operators.categorical import CategoricalModel, categorical_fit, categorical_transform
+from tendermatch.operators.categorical import CategoricalModel, categorical_fit, categorical_fit_state, categorical_transform, label_counts
+from tendermatch.operators.numeric import merge_counts
 from tendermatch.plans import roles
 from tendermatch.plans.registry import ORACLES, query
 from tendermatch.plans.sqlparts import NOTICE_CTE, with_
@@ -39,6 +40,15 @@ def categorical_vocab_q(spark, sf_dir):
     return model.vocab.select("column", "label", "idx", "cnt")
 
 
+@query("categorical_vocab_merged", oracle=ORACLES["categorical_vocab"])
+def categorical_vocab_merged_q(spark, sf_dir):
+    """P3 / P6 chunk by chunk: the label counts of three chunks added up give the vocabulary of all rows."""
+    notice = roles.notice(spark, sf_dir).select("notice_no", *CAT_COLS)
+    chunks = [label_counts(notice.where(F.pmod(F.xxhash64("notice_no"), F.lit(3)) == k), CAT_COLS) for k in range(3)]
+    model = categorical_fit_state(merge_counts(*chunks), roles.NOTICE_CATEGORICAL, roles.NOTICE_PK)
+    return model.vocab.select("column", "label", "idx", "cnt")
+
+
 _ENC_SELECT = ",\n       ".join(
     [f"(SELECT idx FROM lookup WHERE col = '{c}' AND raw = coalesce(CAST(n.{c} AS VARCHAR), '[NULL]')) AS {c}"
      for c in CAT_COLS] + [f"CAST(n.{c} IS NULL AS DOUBLE) AS {c}_is_null" for c in CAT_COLS])

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tendermatch.functions.numeric import round6
-from tendermatch.operators.numeric import STAT_KEYS, numeric_fit, numeric_fit_transform, numeric_transform
+from tendermatch.operators.numeric import (STAT_KEYS, merge_counts, numeric_fit, numeric_fit_state, numeric_fit_transform,
+                                           numeric_state, numeric_transform)
 from tendermatch.plans import roles
-from tendermatch.plans.registry import query
+from tendermatch.plans.registry import ORACLES, query
 from tendermatch.plans.sqlparts import COMPANY_CTE, NOTICE_CTE, f32, r6, with_
+from tendermatch.sources.sinks import scratch_path
 
 _TP = """tp_fill AS (SELECT median(o_totalprice) AS f FROM notice),
 tp_filled AS (SELECT notice_no, coalesce(o_totalprice, (SELECT f FROM tp_fill)) AS v FROM notice),
@@ -58,6 +60,19 @@ def numeric_fit_stats_q(spark, sf_dir):
     return st.select("column", *[round6(k).alias(k) for k in STAT_KEYS])
 
 
+@query("numeric_fit_merged", oracle=ORACLES["numeric_fit_stats"])
+def numeric_fit_merged_q(spark, sf_dir):
+    """P1 / P6 chunk by chunk: the stored counts of three chunks added up give the fit of all rows."""
+    notice = roles.notice(spark, sf_dir).select("notice_no", "o_totalprice", "o_custkey")
+    base = scratch_path(spark, "fit-states")
+    for k in range(3):
+        chunk = notice.where(F.pmod(F.xxhash64("notice_no"), F.lit(3)) == k)
+        numeric_state(chunk, roles.NOTICE_NUMERIC).write.parquet(f"{base}/{k}")
+    state = merge_counts(*[spark.read.parquet(f"{base}/{k}") for k in range(3)])
+    st = numeric_fit_state(state, roles.NOTICE_NUMERIC).to_df(spark)
+    return st.select("column", *[round6(k).alias(k) for k in STAT_KEYS])
+
+
 _ACCT_CFG = {"s_acctbal": {"fill": "median", "clip_abs": [0.0, 5000.0], "clip_to_null": True, "add_flag": True}}
 
 

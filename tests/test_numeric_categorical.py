@@ -205,3 +205,35 @@ def test_a_hot_label_does_not_set_the_longest_task(spark, monkeypatch):
             spark.conf.set(k, v)
     raw = {r.id: r.c for r in df.collect()}
     assert got == {k: idx["[NULL]" if v is None else v] for k, v in raw.items()} | {n: model.info["c"]["unknown_idx"]}
+
+
+@pytest.mark.parametrize("case", sorted(CASES))
+def test_added_up_states_give_the_fit_of_all_rows(spark, case):
+    cfg = {"x": CASES[case], "y": {"fill": "median", "clip": [1, 99], "scale": "zscore"}, "absent": {"fill": 0}}
+    rows = [(i, None if v is None or math.isnan(v) else float(v), None if i % 4 else i * 0.1) for i, v in enumerate(_values())]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    whole = numeric_fit(df, cfg, ["id"])
+    chunks = [N.numeric_state(df.where(F.col("id") % 3 == k), cfg) for k in range(3)]
+    merged = N.numeric_fit_state(N.merge_counts(*chunks), cfg, ["id"])
+    assert merged.config == whole.config and merged.pk == whole.pk
+    for c in ("x", "y"):
+        assert merged.stats[c] == pytest.approx(whole.stats[c], rel=1e-12, nan_ok=True)
+        for k in ("fill_value", "clip_low", "clip_high", "log1p_offset", "min", "max"):
+            assert merged.stats[c].get(k) == whole.stats[c].get(k)
+
+
+def test_added_up_label_counts_give_the_vocabulary_of_all_rows(spark):
+    import tendermatch.operators.categorical as C
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else f"b{i % 11}", f"c{i % 3}" if i % 7 else "[UNKNOWN]") for i in range(90)],
+                               "id long, x string, y string")
+    cfg = {"x": {"rare_threshold": 0.05}, "y": {}}
+    whole = categorical_fit(df, cfg, ["id"])
+    merged = C.categorical_fit_state(N.merge_counts(*[C.label_counts(df.where(F.col("id") % 2 == k), ["x", "y"]) for k in range(2)]), cfg, ["id"])
+    assert sorted(map(tuple, merged.vocab.collect())) == sorted(map(tuple, whole.vocab.collect()))
+    assert sorted(map(tuple, merged.lookup.collect())) == sorted(map(tuple, whole.lookup.collect()))
+    assert merged.info == whole.info
+
+
+def test_states_of_no_rows(spark):
+    df = spark.createDataFrame([], "id long, x double")
+    assert N.numeric_fit_state(N.numeric_state(df, {"x": {"fill": "median"}}), {"x": {"fill": "median"}}).stats == {}
