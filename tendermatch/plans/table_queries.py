@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tendermatch.functions.numeric import round6
+from tendermatch.operators import profile_sketch as PS
 from tendermatch.operators.numeric import NumericModel, numeric_fit, numeric_transform
 from tendermatch.operators.profile import column_profile, vocab_sizes
 from tendermatch.plans import roles
@@ -259,3 +260,21 @@ def snapshot_reload_q(spark, sf_dir):
     total = spark.createDataFrame([("all_files", R.count_records(spark, f"{base}/*/*.parquet"))],
                                   "table_name string, n_rows long")
     return parts[0].unionByName(parts[1]).unionByName(total)
+
+
+@query("profile_merged", oracle="""
+WITH v AS (SELECT 'o_orderstatus' AS "column", o_orderstatus AS value FROM orders UNION ALL
+           SELECT 'o_orderpriority', o_orderpriority FROM orders),
+d AS (SELECT "column", count(*) AS n_rows, count(*) - count(value) AS n_null, count(DISTINCT value) AS n_distinct FROM v GROUP BY "column")
+SELECT "column", n_rows, n_null, n_distinct, value, count(*) AS at_least, count(*) AS at_most FROM v JOIN d USING ("column")
+GROUP BY ALL""")
+def profile_merged_q(spark, sf_dir):
+    """M1 chunk by chunk: stored states of three chunks merged. The columns have few values, so that the frequent ones are
+    all of them and their counts, like the sketched number of values, are exact."""
+    orders = roles.table(spark, sf_dir, "orders")
+    base = S.scratch_path(spark, "profiles")
+    for k in range(3):
+        PS.profile_state(orders.where(F.col("o_orderkey") % 3 == k), ["o_orderstatus", "o_orderpriority"]).write.parquet(f"{base}/chunk={k}")
+    state = PS.merge_profiles(spark.read.parquet(base).drop("chunk"))
+    return PS.profile_estimate(state).join(PS.frequent_values(state, 0.0), "column").select(
+        "column", "n_rows", "n_null", "n_distinct", "value", "at_least", "at_most")
