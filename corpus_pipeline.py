@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the decoded bytes. The workers' tables are small:
     they share the executors with what the stages before have left in memory."""
-    return bpe.encode_documents(docs, rank_file(), public_tokenizers.PATTERN, max_pieces=80_000, max_states=100_000)
+    return bpe.encode_documents(docs, rank_file(), public_tokenizers.PATTERN, max_pieces=40_000, max_states=50_000)
 
 
 STAGES = [("quality classifier", keep_quality), ("line dedup", drop_lines), ("MinHash near-dedup", drop_near_copies),
