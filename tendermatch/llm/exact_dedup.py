@@ -43,7 +43,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sha = F.sha2(F.col("norm"), 256)
     light = pin(own.select("id", "len", "start", *([sha.alias("sha")] if digests else [])), "exact-light")
 
-    lengths = _repeated(light, "len")
+    # there are no more lengths than characters in the longest text; broadcast, they leave the rows where they are, so
+    # that a length of many rows meets no single task
+    lengths = pin(_repeated(light, "len"), "exact-lengths")
+    if lengths.count() <= MAX_BROADCAST_GROUPS:
+        lengths = F.broadcast(lengths)
     starts = pin(_repeated(light.join(lengths, "len", "left_semi"), "len", "start"), "exact-starts")
     marked = starts.withColumn("again", F.lit(True))
     if starts.count() <= MAX_BROADCAST_GROUPS:
