@@ -12,6 +12,10 @@ scores it finds there is a floor; it then visits only the blocks whose bound
 reaches the floor. A visit is a join of packed queries with a packed block and
 one matrix product; k rows per visit leave it, and a window keeps the k best
 of a query's visits. The result is exact whatever the bounds prune.
+
+Equal vectors have equal scores with whatever query: of the items of one vector
+only the k first can be among a query's k best, so blocks hold no more of them,
+and equal queries are answered once. Packs are dealt evenly before their visits.
 """
 
 from __future__ import annotations
@@ -182,9 +186,11 @@ def corpus_topk(queries: DataFrame, items: DataFrame, query_keys: Sequence[str],
         # a null vector is not all_finite: the test is null there
         return df.select(*keys, F.col(vec).cast("array<double>").alias("vec")).where(all_finite("vec") & (F.size("vec") > 0))
 
-    q = materialize(vectors(queries, query_keys, query_vec).withColumn("qid", F.monotonically_increasing_id()))
+    q = materialize(vectors(queries, query_keys, query_vec))
+    asked = materialize(q.select("vec").distinct().withColumn("qid", F.monotonically_increasing_id()))
     i = materialize(with_row_index(vectors(items, item_keys, item_vec), list(item_keys), name="iid"))
-    blocks = materialize(_blocks(i.select("iid", "vec"), block_rows, pivots))
+    copy = F.row_number().over(Window.partitionBy("vec").orderBy("iid"))
+    blocks = materialize(_blocks(materialize(i.select("iid", "vec", copy.alias("copy")).where(F.col("copy") <= k).drop("copy")), block_rows, pivots))
     summary = blocks.select("block", "centre", "radius", "top_norm").orderBy("block").collect()      # at most MAX_BLOCKS and one a pivot
     found_schema = "qid bigint, iid bigint, score double"
     if summary:
@@ -193,17 +199,19 @@ def corpus_topk(queries: DataFrame, items: DataFrame, query_keys: Sequence[str],
             np.array([r.radius for r in summary]), np.array([r.top_norm for r in summary])))
         packed = blocks.select("block", "ids", "vectors")
 
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
         def visits(some: DataFrame, first: bool) -> DataFrame:
             packs = some.mapInArrow(_route(shared, first, pack_rows), "block bigint, qids binary, queries binary, floors binary")
-            return packs.join(packed, "block").mapInArrow(_visit(k), found_schema)
+            return packs.repartition(tasks).join(packed, "block").mapInArrow(_visit(k), found_schema)
 
-        start = materialize(visits(q.select("qid", "vec", F.lit(float("-inf")).alias("floor")), True))
+        start = materialize(visits(asked.select("qid", "vec", F.lit(float("-inf")).alias("floor")), True))
         floors = start.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
-        more = visits(q.select("qid", "vec").join(floors, "qid").select("qid", "vec", "floor"), False)
+        more = visits(asked.join(floors, "qid").select("qid", "vec", "floor"), False)
         found = start.unionByName(more)
     else:
         found = spark.createDataFrame([], found_schema)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "iid")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return (best.join(i.select("iid", *item_keys), "iid").join(q.select("qid", *query_keys), "qid")
-            .select(*query_keys, *item_keys, "rank", "score"))
+    best = best.join(i.select("iid", *item_keys), "iid").join(asked, "qid").select("vec", *item_keys, "rank", "score")
+    return q.join(best, "vec").select(*query_keys, *item_keys, "rank", "score")

@@ -65,6 +65,20 @@ def test_blocks_out_of_reach_are_not_visited(spark):
     assert [tuple(r)[:3] for r in t.orderBy("a", "rank").collect()] == [r[:3] for r in brute(q, x, 5)]
 
 
+def test_copies_are_compared_once(spark, monkeypatch):
+    """Few distinct vectors on both sides: what is compared grows with them and not with all pairs of rows."""
+    from tendermatch.operators import retrieval
+
+    seen = []
+    blocks = retrieval._blocks
+    monkeypatch.setattr(retrieval, "_blocks", lambda items, *rest: (seen.append(items.count()), blocks(items, *rest))[1])
+    x = [np.array(v, dtype=float) for v in ((1, 1), (1, -1), (0, 0), (-0.0, 0))] * 100 + [None]
+    q = [np.array(v, dtype=float) for v in ((2, 1), (0, 0), (-1, 3))] * 50 + [np.array([np.nan, 1])]
+    own, want = got(spark, q, x, 6, block_rows=8, pivots=4, pack_rows=7), brute(q, x, 6)
+    assert [r[:3] for r in own] == [r[:3] for r in want] and [r[3] for r in own] == [r[3] for r in want]
+    assert seen == [18]                                                  # 3 vectors (zero has one sign), 6 items each
+
+
 def optimised(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
