@@ -37,6 +37,7 @@ BANDS, ROWS = 28, 5       # a pair at the threshold is missed with a probability
 CHUNK_WORDS = 1 << 19     # words hashed at once
 MAX_WORDS = 300_000       # words whose hashes a worker remembers
 BLOCK = 256               # entries of an open bucket that one task compares with as many others
+POSTINGS = 1 << 20        # shared shingles counted at once
 MAX_BROADCAST_IDS = 1_000_000
 
 MASK = (1 << 64) - 1
@@ -151,6 +152,31 @@ def jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> flo
     return both / (int(wa.sum()) + int(wb.sum()) - both)
 
 
+class _Postings:
+    """Of each shingle, the multisets that hold it and its counts there."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.n = len(sets)
+        value = np.concatenate([np.zeros(0, np.uint64), *[v for v, _ in sets]])
+        order = np.argsort(value, kind="stable")
+        self.value, first = np.unique(value[order], return_index=True)
+        self.ends = np.append(first, len(value))
+        self.of = np.repeat(np.arange(self.n), [len(v) for v, _ in sets])[order]
+        self.weight = np.concatenate([np.zeros(0, np.int64), *[w for _, w in sets]])[order]
+
+    def shared(self, value: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """How many shingles a multiset shares with each of the others."""
+        both, step = np.zeros(self.n), max(1, POSTINGS // max(1, self.n))
+        for k in range(0, len(value) if len(self.value) else 0, step):          # parts, for memory
+            at = np.minimum(np.searchsorted(self.value, value[k:k + step]), len(self.value) - 1)
+            hit = self.value[at] == value[k:k + step]
+            at, own = at[hit], weight[k:k + step][hit]
+            count = self.ends[at + 1] - self.ends[at]
+            place = np.arange(count.sum()) + np.repeat(self.ends[at] - np.cumsum(count) + count, count)
+            both += np.bincount(self.of[place], np.minimum(self.weight[place], np.repeat(own, count)), self.n)
+        return both
+
+
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """Parts of a batch with a bounded number of bytes (a longer text is a part of its own)."""
     part, begin, size = [], 0, 0
@@ -255,12 +281,16 @@ def _blockwise(members: DataFrame, sets: DataFrame, threshold: float) -> DataFra
         found = []
         left = np.flatnonzero(block == one)
         right = np.flatnonzero(block == other)
+        postings = _Postings([sets_here[j] for j in right])
         for i in left:
-            near = right[(comp[right] != comp[i]) & (np.minimum(size[right], size[i]) >= threshold * np.maximum(size[right], size[i]))]
+            near = (comp[right] != comp[i]) & (np.minimum(size[right], size[i]) >= threshold * np.maximum(size[right], size[i]))
             if one == other:
-                near = near[near > i]
-            for j in near:
-                if comp[j] != comp[i] and jaccard(*sets_here[i], *sets_here[j]) >= threshold:
+                near &= right > i
+            if not near.any():
+                continue
+            both = postings.shared(*sets_here[i])
+            for j in right[near & (both / (size[i] + size[right] - both) >= threshold)]:
+                if comp[j] != comp[i]:
                     found.append((ids[i], ids[j]))
                     comp[comp == comp[j]] = comp[i]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")

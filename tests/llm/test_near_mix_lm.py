@@ -150,6 +150,36 @@ def test_classes(docs, empty_docs):
     assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((t[0] for t in truth), key=repr)
 
 
+def test_shared_shingles_of_many_sets(monkeypatch):
+    """Counted through postings, in parts: what each pair of multisets shares."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for n in (0, 1, 40, 60, 200):
+        value = np.unique(rng.integers(0, 250, n)).astype(np.uint64)
+        sets.append((value, rng.integers(1, 4, len(value))))
+    for most in (1 << 20, 7):
+        monkeypatch.setattr(minhash_dedup, "POSTINGS", most)
+        for own in (sets, sets[:1], []):
+            postings = minhash_dedup._Postings(own)
+            for value, weight in sets:
+                want = [sum(min(w, dict(zip(*b)).get(v, 0)) for v, w in zip(value, weight)) for b in own]
+                assert postings.shared(value, weight).tolist() == want
+
+
+def test_blocks_compare_without_a_search_for_each_pair(spark, monkeypatch):
+    """Unlinked rows of one open bucket: no pair is searched on its own."""
+    def never(*sets):
+        raise AssertionError("a pair was compared on its own")
+
+    monkeypatch.setattr(minhash_dedup, "jaccard", never)
+    rng = np.random.default_rng(10)
+    value = [sorted(rng.choice(1 << 40, 30, replace=False).tolist()) for _ in range(40)]
+    value[7] = value[3][:29] + [1 << 41]
+    sets = spark.createDataFrame([(k, v, [1] * 30) for k, v in enumerate(value)], "did long, value array<long>, weight array<int>")
+    members = spark.createDataFrame([(5, k, k) for k in range(40)], "key long, did long, comp long")
+    assert [sorted(r) for r in minhash_dedup._blockwise(members, sets, 0.8).collect()] == [[3, 7]]
+
+
 def test_classes_need_links_that_miss_the_hub(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
     rng = np.random.default_rng(7)
