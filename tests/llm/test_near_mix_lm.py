@@ -424,6 +424,59 @@ def test_lm_learns_from_all_rows(spark, monkeypatch):
     assert len(counts) == 1 + -(-(3000 + 6000 + 4) // lm_score.FRESH) + 1
 
 
+def test_lm_trains_on_every_window_of_many(spark, monkeypatch):
+    """More windows than are taken at once: all of them are dealt to shards, none is left out, and copies count once."""
+    import public_tokenizers
+    for name, value in (("TRAIN_WINDOWS", 20), ("SHARD_WINDOWS", 4), ("ROUNDS", 3), ("PIECE", 2), ("STEPS", 30), ("MIXED", 8)):
+        monkeypatch.setattr(lm_score, name, value)
+    rng = np.random.default_rng(6)
+    data = [(k, " ".join(f"w{n}ords" for n in rng.zipf(1.4, 10 + 25 * k) % 500)) for k in range(16)]
+    frame = spark.createDataFrame([*data, *[(100 + k, data[5][1]) for k in range(30)], (200, ""), (201, None)], "doc_id long, text string")
+    seen, fit = [], lm_score.fit_shards
+
+    def spy(shapes, prior, around, shards, n_windows):
+        seen.append((shards, [r.asDict() for r in around.dropDuplicates(["tid", "nth"]).collect()]))
+        return fit(shapes, prior, around, shards, n_windows)
+
+    monkeypatch.setattr(lm_score, "fit_shards", spy)
+    one, many = ([(r.doc_id, r.score) for r in sorted(lm_score.score(
+        frame.repartition(n, "doc_id"), F.lit(True), rank_file(), public_tokenizers.PATTERN).collect())] for n in (1, 7))
+    assert [i for i, _ in one] == [i for i, _ in many] and np.allclose([s for _, s in one], [s for _, s in many], rtol=1e-5)
+    assert len({s for i, s in one if i in (5, *range(100, 130))}) == 1
+    for shards, pieces in seen:
+        vectors = np.zeros((lm_score.Vocabulary(rank_file(), public_tokenizers.PATTERN).size, lm_score.SHAPE), np.float32)
+        found = lm_score._pieces(lm_score.Single(lm_score.Shapes(vectors, np.zeros((1, lm_score.SHAPE), np.float32))), pieces)
+        assert shards > 1 and len({(r["round"], r["shard"]) for r in pieces}) > 4
+        texts = {t or "" for _, t in data} | {""}
+        # an empty text and a null one are two texts of a single token
+        assert found[4].sum() == sum(len(t.split()) + 1 for t in texts) + 1
+
+
+def test_pieces_are_windows(monkeypatch):
+    """Windows made from pieces are those of whole texts."""
+    rng = np.random.default_rng(8)
+    size = 300
+    shapes = lm_score.Shapes(rng.normal(size=(size, lm_score.SHAPE)).astype(np.float32), rng.normal(size=(5, lm_score.SHAPE)).astype(np.float32))
+    counts, rows, fresh = [0, 95, 96, 97, 400, 3], [], 2 * lm_score.FRESH
+    words = [[rng.integers(0, size, rng.integers(1, 4)).astype(np.int32) for _ in range(n)] for n in counts]
+    for text in words:
+        for nth in range(-(-(len(text) + 1) // fresh)):
+            from_, to = nth * fresh - lm_score.CONTEXT - 1, min(len(text), (nth + 1) * fresh)
+            own = text[max(0, from_):to]
+            rows.append({"ids": b"".join(w.tobytes() for w in own), "sizes": np.array([len(w) for w in own], np.int32).tobytes(),
+                         "lead": max(0, -from_), "ends": len(text) < (nth + 1) * fresh})
+    vec, cls, before, at, used = lm_score._pieces(lm_score.Single(shapes), rows)
+    flat = [w for t in words for w in t]
+    all_vec, all_cls = shapes.words(np.concatenate(flat), np.array([len(w) for w in flat]))
+    all_vec, all_cls = lm_score.with_ends(all_vec, all_cls, np.array(counts))
+    want_before, want_at, want_used, _ = lm_score.windows(np.array(counts) + 1)
+    assert (used == want_used).all() and (cls[at][used] == all_cls[want_at][used]).all()
+    assert ((before < 0) == (want_before < 0))[:, lm_score.CONTEXT:][used].all()
+    near = (want_before >= 0) & (before >= 0)
+    assert np.allclose(vec[before][near], all_vec[want_before][near], atol=1e-6)
+    assert (near == (want_before >= 0))[:, :lm_score.CONTEXT + 1].all()
+
+
 def test_window_draw_grows_with_the_rows():
     got = [sum(len(lm_score.drawn(t * 7919 - 50_000, 40, 0.05)) for t in range(n)) for n in (500, 5000)]
     assert 800 < got[0] < 1200 and 9000 < got[1] < 11_000
