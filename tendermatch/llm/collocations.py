@@ -173,11 +173,14 @@ def _tokenise(overlap: int):
 def tile_counts(x: np.ndarray, y: np.ndarray, counted: np.ndarray, tile: int = TILE, dense: int = DENSE):
     """Distinct pairs ``(x, y)``, how many of their occurrences are ``counted``, and for each occurrence the place of its
     pair among the distinct ones. A tile with at least ``tile ** 2 / dense`` occurrences is counted by address."""
-    tx, ty = x // tile, y // tile
-    wide = int(ty.max(initial=0)) + 1
-    number, place, size = np.unique(tx * wide + ty, return_inverse=True, return_counts=True)
+    tall, wide = (int(v.max(initial=0)) // tile + 1 for v in (x, y))
+    kind = np.int32 if max(tall * wide, tile * tile, len(x)) < 1 << 31 else np.int64       # arrays as long as the chunk stay short
+    x, y = x.astype(kind, copy=False), y.astype(kind, copy=False)
+    number, place, size = np.unique(x // tile * wide + y // tile, return_inverse=True, return_counts=True)
+    number, place = number.astype(np.int64), place.astype(kind)
     cell = (x % tile) * tile + y % tile
-    code = np.empty(len(x), dtype=np.int64)
+    del x, y
+    code = np.empty(len(cell), dtype=kind)
     xs, ys, counts, made = [], [], [], 0
     full = size * dense >= tile * tile
 
@@ -199,11 +202,15 @@ def tile_counts(x: np.ndarray, y: np.ndarray, counted: np.ndarray, tile: int = T
     if len(rest):
         # coordinates of the sparse tiles: (tile, cell) sorted, equal ones counted
         order = rest[np.lexsort((cell[rest], place[rest]))]
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = (place[order][1:] != place[order][:-1]) | (cell[order][1:] != cell[order][:-1])
-        group = np.cumsum(first) - 1
-        code[order] = group + made
+        del rest
+        first = np.zeros(len(order), dtype=bool)
+        first[0] = True
+        for value in (place, cell):
+            value = value[order]
+            first[1:] |= value[1:] != value[:-1]
         heads = order[first]
+        group = np.cumsum(first, dtype=kind) - 1
+        code[order] = group + made
         add(number[place[heads]], cell[heads], np.bincount(group[counted[order]], minlength=len(heads)))
     if not xs:
         none = np.zeros(0, dtype=np.int64)
@@ -214,30 +221,46 @@ def tile_counts(x: np.ndarray, y: np.ndarray, counted: np.ndarray, tile: int = T
 def _count_pairs(length: int, last: bool, tile: int, dense: int):
     """Pairs of neighbouring items of a chunk: phrases of ``length`` words. ``known`` has the items that occur often
     enough: their codes, their counts in all texts (for words their numbers tell the rank) and the numbers of their
-    words."""
+    words. In the last round the rows of the phrases are given at once, as by :func:`_listed_phrases`: a stage that
+    counts and lists would need a second worker process for each task."""
     def run(chunks: pa.Table, known: pa.Table) -> pa.Table:
         out = {k: [] for k in ("chunk", "lead", "codes", "words", "counts")}
+        rows: list[pa.RecordBatch] = []
         own_code, f = known.column("code").to_numpy(), known.column("f").to_numpy()
         words = unpack_words([known.column(k).to_numpy() for k in key_names(length - 1)], length - 1)
         ranked = np.lexsort((words[0], -f))
         words = words[:, ranked]
         for chunk, lead, packed in zip(*(chunks.column(c).to_pylist() for c in ("chunk", "lead", "codes"))):
             codes = expand(packed, "<i4")
-            rank = np.full(int(codes.max(initial=-1)) + 2, -1, dtype=np.int64)      # the last place is for breaks
-            rank[own_code[ranked]] = np.arange(len(ranked))
+            rank = np.full(int(codes.max(initial=-1)) + 2, -1, dtype=np.int32)      # the last place is for breaks
+            rank[own_code[ranked]] = np.arange(len(ranked), dtype=np.int32)
             items = rank[codes]
+            del codes, rank
             first, second = items[:-1], items[1:]
             pairs = np.flatnonzero((first >= 0) & (second >= 0))
             xs, ys, counts, code = tile_counts(first[pairs], second[pairs], pairs + length - 1 >= lead, tile, dense)
+            numbers = np.concatenate([words[:, xs], words[-1:, ys]]).astype("<i8", copy=False)
+            if last:
+                rows += [_phrase_rows(chunk, numbers[:, at:at + ROWS], counts[at:at + ROWS], at) for at in range(0, len(counts), ROWS)]
+                continue
             stream = np.full(len(first), BREAK, dtype="<i4")
             stream[pairs] = code
-            numbers = np.concatenate([*words[:, xs], words[-1, ys]]).astype("<i8")
-            for name, value in zip(out, (chunk, lead, b"" if last else squeeze(stream), squeeze(numbers), squeeze(counts.astype("<i8")))):
+            del items, first, second, pairs, code, xs, ys
+            for name, value in zip(out, (chunk, lead, squeeze(stream), squeeze(numbers.ravel()), squeeze(counts.astype("<i8", copy=False)))):
                 out[name].append(value)
+        if last:
+            return pa.Table.from_batches(rows or [_phrase_rows(None, np.zeros((length, 0), np.int64), np.zeros(0, np.int64))])
         return pa.table({k: pa.array(v, {"chunk": pa.int64(), "lead": pa.int32()}.get(k, pa.binary())) for k, v in out.items()})
     return run
 
 
+def _phrase_rows(chunk: int | None, words: np.ndarray, counts: np.ndarray, begin: int = 0) -> pa.RecordBatch:
+    """Rows of a chunk's phrases from the ``begin``-th on; ``place`` is a phrase's code and its count there."""
+    place = np.arange(begin, begin + len(counts)) << 32 | counts
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(chunk, pa.int64()), len(counts)), *(pa.array(x, pa.int64()) for x in (place, *pack_words(words)))],
+                                      names=["owner", "place", *key_names(len(words))])
+
+
 def _listed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each word of a chunk."""
     for batch in batches:
@@ -252,17 +275,15 @@ def _listed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _listed_phrases(length: int):
-    """A row for each distinct phrase of a chunk; ``place`` is its code and its count there."""
+    """A row for each distinct phrase of a chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                chunk = batch.column(0)[row]
+                chunk = batch.column(0)[row].as_py()
                 words, counts = (expand(batch.column(k)[row].as_py(), "<i8") for k in (1, 2))
-                keys = pack_words(words.reshape(length, -1))
-                place = np.arange(len(counts)) << 32 | counts
+                words = words.reshape(length, -1)
                 for at in range(0, len(counts), ROWS):
-                    part = [pa.array(x[at:at + ROWS]) for x in (place, *keys)]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(chunk, len(part[0])), *part], names=["owner", "place", *key_names(length)])
+                    yield _phrase_rows(chunk, words[:, at:at + ROWS], counts[at:at + ROWS], at)
     return run
 
 
@@ -294,11 +315,14 @@ def phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, lang_col:
              .select("owner", "code", F.lit(0).cast("bigint").alias("f"), "k0"))
     for length in range(2, max_words + 1):
         last, keys = length == max_words, key_names(length)
-        chunks = (chunks.select("chunk", "lead", "codes").groupBy("chunk").cogroup(known.groupBy("owner"))
-                  .applyInArrow(_count_pairs(length, last, tile, dense), PAIR_CHUNKS))
-        chunks = chunks if last else pin(chunks, f"phrase-chunks-{length}")
-        listed = chunks.select("chunk", "words", "counts").mapInArrow(
-            _listed_phrases(length), f"owner bigint, place bigint, {', '.join(f'{k} bigint' for k in keys)}")
+        rows = f"owner bigint, place bigint, {', '.join(f'{k} bigint' for k in keys)}"
+        counted = (chunks.select("chunk", "lead", "codes").groupBy("chunk").cogroup(known.groupBy("owner"))
+                   .applyInArrow(_count_pairs(length, last, tile, dense), rows if last else PAIR_CHUNKS))
+        if last:
+            listed = counted
+        else:
+            chunks = pin(counted, f"phrase-chunks-{length}")
+            listed = chunks.select("chunk", "words", "counts").mapInArrow(_listed_phrases(length), rows)
         count = F.col("place").bitwiseAND(0xFFFFFFFF)
         if last:
             often = listed.groupBy(*keys).agg(F.sum(count).alias("f")).where(F.col("f") >= min_count)

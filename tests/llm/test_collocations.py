@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,31 @@ def test_tiles_count_like_sorting():
         assert {(a, b): c for a, b, c in zip(xs, ys, counts) if c} == Counter((a, b) for a, b, c in zip(x, y, counted) if c)
 
 
+def test_tiles_take_little_memory():
+    rng = np.random.default_rng(0)
+    n = 1 << 20
+    x, y = (np.minimum(rng.zipf(1.25, n) - 1, 60_000) for _ in range(2))
+    tracemalloc.start()
+    try:
+        M.tile_counts(x, y, np.ones(n, dtype=bool))
+        assert tracemalloc.get_traced_memory()[1] < 56 * n
+    finally:
+        tracemalloc.stop()
+
+
+def test_last_round_needs_no_second_worker():
+    """A chunk's phrases come as rows from the task that counts them, the same as those listed from a pinned chunk."""
+    codes = np.array([0, 1, 0, 1, M.BREAK, 2, 0, 1, 5], dtype="<i4")
+    chunks = pa.table({"chunk": pa.array([7]), "lead": pa.array([1], pa.int32()), "codes": pa.array([M.squeeze(codes)], pa.binary())})
+    known = pa.table({"code": pa.array([0, 1, 2], pa.int32()), "f": pa.array([0, 0, 0]), "k0": pa.array([10, 11, 12])})
+    last, earlier = (M._count_pairs(2, last, M.TILE, M.DENSE)(chunks, known) for last in (True, False))
+    listed = pa.Table.from_batches(M._listed_phrases(2)(iter(earlier.select(["chunk", "words", "counts"]).to_batches())))
+    assert last.to_pylist() == listed.to_pylist()
+    assert {r["k0"]: r["place"] & 0xFFFFFFFF for r in last.to_pylist()} == {10 << 32 | 11: 3, 11 << 32 | 10: 1, 12 << 32 | 10: 1}
+    nothing = M._count_pairs(2, True, M.TILE, M.DENSE)(chunks, known.slice(0, 0))
+    assert nothing.num_rows == 0 and nothing.schema.names == ["owner", "place", "k0"]
+
+
 def test_products_beyond_64_bits(spark):
     """The score expression on counts whose products pass 64 bits."""
     big = 987_654_321_987
