@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from tendermatch.functions.numeric import clamp_index
 
 def _rows(batched: DataFrame, cols: Sequence[str], batch_col: str, pos_col: str) -> DataFrame:
+    # sort_array compares structs itself; array_sort would run a lambda for each comparison
     return batched.groupBy(batch_col).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("pos"), *[F.col(c) for c in cols]))).alias("_rows"))
+        F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("pos"), *[F.col(c) for c in cols]))).alias("_rows"))
 
 
 def pack(batched: DataFrame, keys: Sequence[str], values_col: str = "categorical", layout: str = "row_major",
@@ -71,7 +72,7 @@ def unpack(packed: DataFrame, vocab_sizes: dict[str, int] | None = None, batch_c
 
 def combine(packed: DataFrame, group_col: str, order_col: str) -> DataFrame:
     """Concatenate packed samples of a group in order (keys of the first sample)."""
-    g = packed.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"),
+    g = packed.groupBy(group_col).agg(F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("o"),
                                                                             F.col("jagged").alias("j")))).alias("_s"))
     return g.select(group_col, F.struct(
         F.col("_s")[0]["j"]["keys"].alias("keys"),

@@ -26,11 +26,27 @@ _FRACTION = 52
 
 def order_key(x: Column) -> Column:
     """A double as a bigint of the same order (-0.0 as 0.0); null stays null. NaN is not allowed."""
-    a = F.abs(x)
-    # the exponent from a logarithm, mended where the logarithm was rounded across a power of two
-    guess = F.least(F.greatest(F.floor(F.log2(a)), F.lit(-1022)), F.lit(1023))
-    scaled = a / F.pow(F.lit(2.0), guess)
-    e = F.when(scaled >= 2.0, guess + 1).when(scaled < 1.0, guess - 1).otherwise(guess)
+    a, guess = F.abs(x), _exponent(F.abs(x))
+    return _key(x, a, guess, a / F.pow(F.lit(2.0), guess))
+
+
+def with_order_key(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with :func:`order_key` of a column, step by step: in one expression the logarithm would be taken for every
+    place where it is used."""
+    df = df.withColumn("_tm_abs", F.abs(F.col(value)))
+    df = df.withColumn("_tm_guess", _exponent(F.col("_tm_abs")))
+    df = df.withColumn("_tm_scaled", F.col("_tm_abs") / F.pow(F.lit(2.0), F.col("_tm_guess")))
+    return (df.withColumn(name, _key(F.col(value), F.col("_tm_abs"), F.col("_tm_guess"), F.col("_tm_scaled")))
+            .drop("_tm_abs", "_tm_guess", "_tm_scaled"))
+
+
+def _exponent(a: Column) -> Column:
+    """The exponent from a logarithm, which may be rounded across a power of two."""
+    return F.least(F.greatest(F.floor(F.log2(a)), F.lit(-1022)), F.lit(1023))
+
+
+def _key(x: Column, a: Column, guess: Column, scaled: Column) -> Column:
+    e = F.when(scaled >= 2.0, guess + 1).when(scaled < 1.0, guess - 1).otherwise(guess)     # the exponent, mended
     fraction = F.when(scaled >= 2.0, scaled / 2.0).when(scaled < 1.0, scaled * 2.0).otherwise(scaled) - 1.0
     normal = (e + 1023) * F.lit(1 << _FRACTION) + (fraction * float(1 << _FRACTION)).cast("bigint")
     key = (F.when(a == float("inf"), F.lit(2047 << _FRACTION)).when(a < 2.0 ** -1022, (a / 5e-324).cast("bigint")).otherwise(normal))
@@ -60,20 +76,21 @@ def select_weighted_ranks(values: DataFrame, wanted: dict[str, Iterable[int]]) -
     wanted = {c: sorted(set(ranks)) for c, ranks in wanted.items() if ranks}
     if not wanted:
         return {}
-    keys = (values.where(F.col("value").isNotNull() & F.col("column").isin(list(wanted)))
-            .select("column", order_key(F.col("value")).alias("key"), "cnt"))
+    keys = with_order_key(values.where(F.col("value").isNotNull() & F.col("column").isin(list(wanted))).select("column", "value", "cnt"),
+                          "value", "key").drop("value")
     # (column, rank): higher bits so far, rank among the values that have them
     at: dict[tuple[str, int], tuple[int, int]] = {(c, r): (0, r) for c, ranks in wanted.items() for r in ranks}
     shift, before = _FRACTION, None
     while at:
-        level = keys
+        bits = F.shiftright("key", shift) if shift else F.col("key")
         if before is not None:
             open_ = {c: sorted({p for (own, _), (p, _) in at.items() if own == c}) for c in {c for c, _ in at}}
             known = F.create_map(*[x for c, ps in open_.items() for x in (F.lit(c), F.array(*[F.lit(p) for p in ps]))])
-            level = keys.where(F.array_contains(known[F.col("column")], F.shiftright("key", before)))
-        bits = F.shiftright("key", shift) if shift else F.col("key")
+            bits = F.when(F.array_contains(known[F.col("column")], F.shiftright("key", before)), bits)    # a filter would make the keys twice
         counts: dict[tuple[str, int], list[tuple[int, int]]] = {}
-        for r in level.groupBy("column", bits.alias("bits")).agg(F.sum("cnt").alias("n")).collect():     # FEW for each wanted prefix at most
+        for r in keys.groupBy("column", bits.alias("bits")).agg(F.sum("cnt").alias("n")).collect():     # FEW for each wanted prefix at most
+            if r.bits is None:                                        # under other prefixes
+                continue
             parent = r.bits >> (before - shift) if before is not None else 0
             counts.setdefault((r["column"], parent), []).append((r.bits, r.n))
         for own in counts.values():

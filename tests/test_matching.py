@@ -181,6 +181,19 @@ def test_jagged_pack_unpack_roundtrip(spark):
     assert j["lengths"] == [2, 0, 0, 1] and j["values"] == [1, 2, 5]
 
 
+def test_rows_of_a_batch_are_sorted_without_a_lambda(spark):
+    df = spark.createDataFrame([(0, p, [p, -p]) for p in (5, 0, 3, 2, 4, 1)] + [(1, 0, [9, 9]), (None, 0, [7, 7])],
+                               "batch_id long, pos int, categorical array<bigint>")
+    packed = J.pack(df, ["a", "b"])
+    assert {r.batch_id: r.jagged["values"] for r in packed.collect()} == {
+        0: [v for p in range(6) for v in (p, -p)], 1: [9, 9], None: [7, 7]}
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
+    both = J.combine(packed.withColumn("g", F.lit(1)).withColumn("o", -F.coalesce("batch_id", F.lit(-1))), "g", "o")
+    assert both.first().jagged["values"] == [9, 9, *[v for p in range(6) for v in (p, -p)], 7, 7]
+    assert "array_sort(" not in both._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pk_violations_and_strict_pairs(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (2, "c")], "k long, v string")
     v = {(r.rule, r.k): r.n for r in pk_violations(df, ["k"]).collect()}

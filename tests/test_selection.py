@@ -81,3 +81,24 @@ def test_no_values_are_shuffled(spark):
     level = df.unpivot([], ["x"], "column", "value").select("column", S.order_key(F.col("value")).alias("key"))
     plan = level.groupBy("column", F.shiftright("key", 52)).count()._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "Sort" not in plan
+
+
+def test_a_pass_takes_one_logarithm_a_value(spark):
+    """A key is made in steps: as one expression it took the logarithm for each place where it is used."""
+    values = [0.0, -0.0, 1.0, -1.0, 5e-324, 2.2250738585072014e-308, float("inf"), float("-inf"), 0.1, -1 / 3, 1e300, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    keyed = S.with_order_key(df, "x", "k")
+    assert keyed.columns == ["x", "k"]
+    assert [r.k for r in keyed.collect()] == [r.k for r in df.select(S.order_key(F.col("x")).alias("k")).collect()]
+    grouped = keyed.groupBy(F.shiftright("k", 52), F.shiftright("k", 40)).count()
+    assert grouped._jdf.queryExecution().optimizedPlan().toString().upper().count("LOG2(") == 1
+
+
+def test_passes_keep_other_prefixes_apart(spark, monkeypatch):
+    """Values under prefixes of no wanted rank, of either sign, count nowhere."""
+    monkeypatch.setattr(S, "FEW", 1)
+    values = [-5.5, -5.25, -1e9, 0.0, None, 3.0, 3.0, 3.0000001, 1e-9, 7.5e8]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    known = sorted(v for v in values if v is not None)
+    for ranks in ([0, 8], [3], range(9)):
+        assert S.select_ranks(df, {"x": ranks}) == {("x", r): known[r] for r in ranks}
