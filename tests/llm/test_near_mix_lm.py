@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -477,6 +478,72 @@ def test_pieces_are_windows(monkeypatch):
     assert (near == (want_before >= 0))[:, :lm_score.CONTEXT + 1].all()
 
 
+def test_words_of_a_batch_are_those_of_its_texts():
+    texts = [" a  B c ", None, "", " \t ", "x\x0by\x1cz\x85q\x00 w\u00a0K\u0130", "end\n", "\r\x0c"] * 3
+    want = [(t or "").encode().lower().split() for t in texts]
+    for most in (1, 20, 1 << 20):
+        for skip in (0, 1, 3):
+            got = []
+            for begin, words, counts in lm_score._parts(pa.array(texts).slice(skip), most):
+                assert begin == len(got)
+                own, ends = words.cast(pa.binary()).to_pylist(), np.cumsum(counts).tolist()
+                got += [own[y - n:y] for y, n in zip(ends, counts.tolist())]
+            assert got == want[skip:]
+    assert list(lm_score._parts(pa.array([], pa.string()))) == []
+
+
+def test_frequent_words_are_encoded_once(monkeypatch):
+    """A worker's full dictionary makes room without the words it meets most: they are not encoded again."""
+    import public_tokenizers
+    monkeypatch.setattr(lm_score, "MAX_WORDS", 40)
+    vocabulary = lm_score.Vocabulary(rank_file(), public_tokenizers.PATTERN)
+    seen, encode = Counter(), vocabulary.encode
+    monkeypatch.setattr(vocabulary, "encode", lambda words: (seen.update(words), encode(words))[1])
+    worker = lm_score.Encoded(vocabulary)
+    for k in range(30):
+        words = [b"the", b"usual", b"words", *[f"rare{k}of{n}".encode() for n in range(25)]] * 2
+        ids, sizes = worker.encode(pa.array(words, pa.binary()))
+        want = encode(words)
+        assert ids.tolist() == want[0].tolist() and sizes.tolist() == want[1].tolist()
+    assert [seen[w] for w in (b"the", b"usual", b"words")] == [1, 1, 1] and len(seen) == 3 + 30 * 25
+
+
+def test_neighbours_are_those_of_each_place(monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(lm_score, "COMMON", 6)
+    size, counts = 30, np.array([0, 70, 1, 5, 300])
+    ids = (rng.random(counts.sum()) ** 2 * 25).astype(np.int32)
+    freq = np.bincount(ids, minlength=size)
+    known, common = np.flatnonzero(freq), np.argsort(-freq, kind="stable")[:6]
+    row, column = np.full(size + 1, -1), np.full(size + 1, -1)
+    row[known], column[common] = np.arange(len(known)), np.arange(6)
+    want, begin = np.zeros((len(known), 6), np.int64), 0
+    for n in counts.tolist():
+        text = ids[begin:begin + n]
+        for x in range(n):
+            for y in range(max(0, x - lm_score.NEAR), min(n, x + lm_score.NEAR + 1)):
+                if x != y and column[text[y]] >= 0:
+                    want[row[text[x]], column[text[y]]] += 1
+        begin += n
+    rank = lm_score.ranks(row, column)
+    out, own = np.zeros((6, rank[-1] + 1), np.int64), np.full(rank[-1] + 1, -1)
+    lm_score.neighbours(ids, counts, rank, out)
+    own[rank], got = row, np.zeros_like(want)
+    for c, r in zip(*np.nonzero(both := lm_score.both_ways(out))):
+        got[own[r], c] = both[c, r]
+    assert (got == want).all()
+
+
+def test_vectors_of_words_are_means_in_order():
+    rng = np.random.default_rng(10)
+    vectors = rng.normal(size=(50, lm_score.SHAPE)).astype(np.float32)
+    counts = rng.integers(1, 30, 300)
+    ids = rng.integers(0, 50, counts.sum())
+    vec, _ = lm_score.Shapes(vectors, np.zeros((1, lm_score.SHAPE), np.float32)).words(ids, counts)
+    want = np.add.reduceat(vectors[ids], np.cumsum(counts) - counts) / counts[:, None]
+    assert (vec == want.astype(np.float32)).all()
+
+
 def test_window_draw_grows_with_the_rows():
     got = [sum(len(lm_score.drawn(t * 7919 - 50_000, 40, 0.05)) for t in range(n)) for n in (500, 5000)]
     assert 800 < got[0] < 1200 and 9000 < got[1] < 11_000
